@@ -70,12 +70,19 @@ def _ids(text: str, path: str) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what a worker holds at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _with_ids(keys: list[str], text_col: str, vocabulary: str):
     """For mapInArrow: the columns ``keys``, and ids for the text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = _path(vocabulary)
-        for batch in batches:
+        for batch in _small(batches):
             ids = pa.array([_ids(text.as_py(), path) for text in batch.column(text_col)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), ids], [*keys, "ids"])
 
@@ -189,7 +196,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = VOCABUL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _token_bytes(_path(vocabulary))
-        for batch in batches:
+        for batch in _small(batches):
             raw = [
                 b"".join([tokens[i] for i in np.frombuffer(ids.as_py() or b"", "<u4").tolist()]) for ids in batch.column("ids")
             ]
