@@ -41,7 +41,8 @@ MIN_MEAN, MIN_TOTAL = 1.0, 20.0
 #: Rules and rows of dashes are no secrets: so many different characters a token must have.
 MIN_DISTINCT = 8
 
-#: Bounds of the training sample: documents whose words serve as identifiers, and random strings.
+#: Bounds of the training sample: documents (about so many, by a hash of their ids) whose words serve as
+#: identifiers, and random strings.
 SAMPLE_DOCUMENTS, SAMPLE_RANDOM, SAMPLE_SEED = 1000, 8000, "heddle"
 
 
@@ -64,8 +65,13 @@ def random_samples(spark: SparkSession, n: int = SAMPLE_RANDOM, seed: str = SAMP
 
 
 def identifier_samples(docs: DataFrame, id_col: str, text_col: str, n_docs: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """Ordinary words, alone and joined in pairs as identifiers are, from ``n_docs`` documents in the order of a hash."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy(F.xxhash64("id"), "id").limit(n_docs)
+    """Ordinary words, alone and joined in pairs as identifiers are, from about ``n_docs`` documents.
+
+    Documents are chosen by a hash of their ids, so that the share of ids below a bound makes the number.
+    """
+    share = min(1.0, n_docs / max(docs.count(), 1))
+    hashed = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    chosen = docs.filter(hashed < math.ceil(share * (1 << 30))).select(F.col(text_col).alias("text"))
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,}"), F.lit(0))
     pairs = chosen.select(words.alias("words")).select(
         F.explode(F.transform("words", lambda w, i: F.struct(w.alias("a"), F.get("words", i + 1).alias("b")))).alias("p")
