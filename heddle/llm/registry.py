@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from heddle.llm import byte_bpe, chat_format, quality_rules, secret_scan, url_filter
+from heddle.llm import byte_bpe, chat_format, quality_rules, secret_scan, substring_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_url_filter": url_filter.op8_url_filter,
