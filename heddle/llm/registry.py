@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import byte_bpe, chat_format, quality_rules, secret_scan, substring_dedup, url_filter
+from heddle.llm import byte_bpe, chat_format, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op10_topk_search": topk_search.op10_topk_search,
 }
 
 ORACLE_SQL = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
+    "op10_topk_search": topk_search.OP10_SQL,
 }
