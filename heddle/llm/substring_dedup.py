@@ -31,9 +31,9 @@ from heddle.llm.common import table
 from heddle.llm.words import mix, window_hashes, window_starts, word_hashes
 
 WINDOW = 20
-BLOCK_BYTES = 12 << 20  # of text in a block
+BLOCK_BYTES = 4 << 20  # of text in a block
 ROWS = 2  # of the sketch
-CELLS_PER_BYTE = 1.5  # of each row: about eight per word
+CELLS_PER_BYTE = 0.75  # of each row: four or more per word
 SHARD_BITS = 22  # cells of a shard, as a power of two
 EXACT_SHARD_BYTES = 24 << 20  # of text whose candidate windows meet in one shard
 
