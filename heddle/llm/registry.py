@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import byte_bpe, chat_format, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
+from heddle.llm import byte_bpe, chat_format, ngram_join, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_topk_search": topk_search.op10_topk_search,
 }
 

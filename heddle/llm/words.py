@@ -114,3 +114,10 @@ def window_starts(counts: np.ndarray, size: int) -> np.ndarray:
     n = int(counts.sum())
     ends = np.repeat(np.cumsum(counts), counts)
     return np.flatnonzero(np.arange(n) + size <= ends)
+
+
+def text_hashes(words: np.ndarray, counts: np.ndarray, which: int = 0) -> np.ndarray:
+    """The hash of each text's words; 0 for a text without words."""
+    ends = np.cumsum(counts)
+    out = mix(_runs(words, ends - counts, ends, _ODD[which][1]) + counts.astype(np.uint64))
+    return np.where(counts > 0, out, np.uint64(0))
