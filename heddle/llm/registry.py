@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from heddle.llm import byte_bpe, chat_format, ngram_join, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
+from heddle.llm import byte_bpe, chat_format, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_ngram_join": ngram_join.op9_ngram_join,
@@ -17,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_chat_format": chat_format.OP2_SQL,
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op6_mixing": mixing.OP6_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
     "op10_topk_search": topk_search.OP10_SQL,
 }
