@@ -2,7 +2,7 @@
 
 Pivots, from a bounded sample, cut the space into cells; a vector belongs to the nearest one. A cell's
 summary holds its size, its radius around the pivot and its largest norm. Queries are grouped by their own
-cells. Each query first searches its home cell; its k-th best score there is a bound that other cells must
+cells, neighbouring ones together up to a block. Each query first searches its home cell; its k-th best score there is a bound that other cells must
 be able to reach: no vector x of a cell with pivot p and radius r scores above q.p + |q| r, nor above |q|
 times the largest norm. A cell's rows are sent only to groups with a query that needs the cell, and solved there.
 
@@ -76,6 +76,24 @@ def _assign(frames: Iterator[pd.DataFrame], pivots: dict[int, np.ndarray]) -> It
         yield frame.assign(dim=dims.astype(np.int32), cell=cell, distance=distance, norm=norm)
 
 
+def _query_groups(summaries: list, pivots: dict[int, np.ndarray], block_rows: int) -> dict[tuple[int, int], int]:
+    """The group of each cell's queries: neighbouring cells, along the pivots' main direction, up to ``block_rows`` queries.
+
+    Each group gets its own copy of the rows it needs, so that there should be no more groups than blocks of queries.
+    """
+    groups: dict[tuple[int, int], int] = {}
+    for dim in {s.dim for s in summaries}:
+        own = [s for s in summaries if s.dim == dim]
+        points = np.array([pivots[dim][s.cell] if dim in pivots else np.zeros(dim) for s in own]).reshape(len(own), dim)
+        centred = points - points.mean(axis=0)
+        along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if dim else np.zeros(len(own))
+        before = 0
+        for k in np.argsort(along, kind="stable"):
+            groups[dim, own[k].cell] = before // block_rows
+            before += own[k].queries
+    return groups
+
+
 def _scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1])
     if most < _EXACT:
@@ -162,12 +180,13 @@ def search(
     for s in summaries:
         pivot = pivots[s.dim][s.cell] if s.dim in pivots else np.zeros(s.dim)
         cells.setdefault(s.dim, []).append((s.cell, -(-s.n // block_rows), pivot, s.radius, s.norm))
-    schema = "dim int, cell int, subs int, groups int"
-    splits = [(s.dim, s.cell, -(-s.n // block_rows), max(1, -(-s.queries // block_rows))) for s in summaries]
+    parties = _query_groups(summaries, pivots, block_rows)
+    schema = "dim int, cell int, subs int, party int, groups int"
+    splits = [(s.dim, s.cell, -(-s.n // block_rows), parties[s.dim, s.cell], max(1, -(-s.queries // block_rows))) for s in summaries]
     splits = F.broadcast(assigned.sparkSession.createDataFrame(splits, schema))
     placed = assigned.join(splits, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
-    # a query's group: its cell and, in a large one, a hash
-    group = F.concat_ws("-", "cell", F.pmod(F.xxhash64("id"), F.col("groups")))
+    # a query's group: that of its cell and, in a large cell, a hash
+    group = F.concat_ws("-", "party", F.pmod(F.xxhash64("id"), F.col("groups")))
     queries = (
         placed.filter("is_query")
         .select(F.col("id").alias("query_id"), F.xxhash64("v").alias("qhash"), F.col("v").alias("qv"), "dim", "cell", "subs", group.alias("group"))
