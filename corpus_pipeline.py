@@ -1,8 +1,78 @@
-"""From raw documents to token ids: the stages of a training-data pipeline."""
+"""From raw documents to token ids: the stages of a training-data pipeline.
 
-STAGES = []
+Every stage takes the documents that its predecessor kept and returns a DataFrame, which is written as
+Parquet in the shared folder and read again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle.llm import byte_bpe, line_dedup, mixing, ngram_join, quality_rules
+from heddle.llm.common import table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie in the band of their language or script."""
+    judged = quality_rules.judge_documents(docs, table(spark, sf_dir, "labels"))
+    # the verdicts of rows that share an id are told apart by their counts: a row stays if its own verdict keeps it
+    kept = judged.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("n_words").alias("kept_words")).distinct()
+    own_words = mixing.count_tokens(F.col("text"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (own_words == F.col("kept_words")), "left_semi").select(COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the windows of three lines that occurred before; n_chars follows the text."""
+    kept = line_dedup.remove_repeated_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each class of near duplicates; documents without an id all stay."""
+    classes = ngram_join.near_duplicates(docs)
+    gone = classes.filter("class_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # of rows that repeat an id the one with the smallest text stays
+    named = left.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.struct("text", "lang", "source")).alias("row"))
+    return named.select("doc_id", "row.*").unionByName(left.filter("doc_id is null").select(COLUMNS))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of all words, dealt to the sources by their weights; every document is taken at most once."""
+    weights = spark.createDataFrame(mixing.OP6_WEIGHTS, mixing.WEIGHTS_SCHEMA)
+    return mixing.mix(docs, weights, share=0.9, epochs=1).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of them and of the bytes that they decode to."""
+    decoded = byte_bpe.decode(byte_bpe.encode(docs))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "ids",
+    )
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing", mixture),
+    ("byte-level BPE", tokens),
+]
+
+#: Fertility, the similarity join and the tokenizer are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to the documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
