@@ -101,8 +101,8 @@ def band_hashes(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(frames: Iterator[pd.DataFrame], shingle: int, bands: int, rows: int) -> Iterator[pd.DataFrame]:
     for whole in frames:
-        for start in range(0, len(whole), 2000):
-            frame = whole.iloc[start : start + 2000]
+        for start in range(0, len(whole), 500):
+            frame = whole.iloc[start : start + 500]
             hashes, n, (c1, c2) = shingle_hashes([t.encode() for t in frame["text"]], shingle)
             has = n > 0
             keys: list = [None] * len(frame)

@@ -12,7 +12,7 @@ import numpy as np
 
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_SEGMENT = 1 << 21  # bytes hashed at a time
+_SEGMENT = 1 << 18  # bytes hashed at a time
 _ODD = [(0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
 
 
