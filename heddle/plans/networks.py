@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from heddle.operators.pairwise import cohit_pairs
 from heddle.operators.windows import add_reciprocal, bh_threshold, fdr_sweep, top_k
+from heddle.storage import written
 
 
 def network_genes(observations: DataFrame, hit_min: int = 5, min_coverage: float = 0.5, min_hit_rate: float = 0.02, min_screens: int = 15) -> DataFrame:
@@ -47,7 +48,7 @@ def leading_component(x: DataFrame, rounds: int = 30) -> tuple[DataFrame, DataFr
         su = x.join(v, "screen_id").groupBy("gene").agg(F.sum(F.col("x") * F.col("v")).alias("su"))
         v = unit(x.join(su, "gene").groupBy("screen_id").agg(F.sum(F.col("x") * F.col("su")).alias("v")))
         if step % 5 == 4:
-            v = v.checkpoint()
+            v = written(v, "component")
     return v, x.join(v, "screen_id").groupBy("gene").agg(F.sum(F.col("x") * F.col("v")).alias("su"))
 
 
