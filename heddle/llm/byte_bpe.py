@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from heddle.llm.common import table
+from heddle.llm.common import table, text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 65_536, 4_096  # characters
@@ -138,6 +138,7 @@ def encode(
     those with null ids as often as they come. Where an overlap holds no fixed boundary (one word or one run
     of white space longer than it) the chunks are encoded as one piece. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType
     small = F.length("text") <= chunk

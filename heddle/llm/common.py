@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of ``rows`` at most, which bounds what a worker and Arrow's buffers hold."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > rows or int(spark.conf.get(setting)) <= 0:
+        spark.conf.set(setting, str(rows))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

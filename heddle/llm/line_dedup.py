@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import table
+from heddle.llm.common import table, text_batches
 
 LINES = 3
 #: A line that counts holds a word, that is a character other than these.
@@ -55,6 +55,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fewer counting lines stay whole. Other columns pass through unchanged, whatever their names, except that
     n_removed is replaced.
     """
+    text_batches(docs.sparkSession)
     kept_columns = [c for c in docs.columns if c not in (text_col, "n_removed")]
     packed = docs.select(
         F.col(id_col).alias("id"),

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table, written
+from heddle.llm.common import table, text_batches, written
 from heddle.llm.components import connected_components
 from heddle.llm.words import mix, text_hashes, window_hashes, window_starts, word_hashes
 
@@ -193,6 +193,7 @@ def near_duplicates(
     integers and name documents: a repeated row counts as one more copy, and rows of one id with different
     texts are in one class. Rows without an id have a null class and no links. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall, max_hashes)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     signatures = written(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import table, written
+from heddle.llm.common import table, text_batches, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -193,6 +193,7 @@ def measure(
 
     Defined results: a null text counts as empty, which has zeros and the script ``other``. Other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(text_col, F.lit("")).alias("text")
     )

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table
+from heddle.llm.common import table, text_batches
 from heddle.llm.words import mix, window_hashes, window_starts, word_hashes
 
 WINDOW = 20
@@ -128,6 +128,7 @@ def remove_repeats(
     documents of that id in the order of their texts. Rows without an id come before all others, in a fixed
     order of their own. Other columns are ignored; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).isNull().alias("missing"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
