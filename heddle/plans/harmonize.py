@@ -46,8 +46,9 @@ def decide(metadata: DataFrame, statistics: DataFrame, overrides: DataFrame, dir
         .join(directions.filter("status = 'auto'").withColumnsRenamed({"confidence": "dir_confidence"}).drop("status"), "screen_id", "left")
     )
     used = lambda i: F.col(f"stat_{i}").isNotNull()
-    role = {i: F.when(used(i), rules.score_role(F.col(f"type_{i}"))) for i in SLOTS}
-    pair = {i: F.when(used(i), rules.pair_member(F.col(f"type_{i}"))) for i in SLOTS}
+    joined = joined.withColumns({f"role_{i}": F.when(used(i), rules.score_role(F.col(f"type_{i}"))) for i in SLOTS})
+    joined = joined.withColumns({f"pair_{i}": F.when(used(i), rules.pair_member(F.col(f"type_{i}"))) for i in SLOTS})
+    role, pair = ({i: F.col(f"{name}_{i}") for i in SLOTS} for name in ("role", "pair"))
 
     def first(condition) -> Column:
         return F.coalesce(*[F.when(condition(i), F.lit(i)) for i in SLOTS])
@@ -74,13 +75,12 @@ def decide(metadata: DataFrame, statistics: DataFrame, overrides: DataFrame, dir
     sem_slot = F.coalesce("sem_slot", F.lit(1))
     directed = F.coalesce("is_directional", F.lit(False))
 
-    def way(kind: str, slot, second=None, factor=1, final=False, basis="", reason=None) -> Column:
+    def way(kind: str, slot, second=None, factor=1, final=False, basis="", reason=None) -> list[Column]:
         as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(
-            F.lit(kind).alias("way"), as_column(slot).cast("int").alias("slot"), as_column(second).cast("int").alias("second"),
-            as_column(factor).cast("int").alias("factor"), as_column(final).alias("sign_final"), as_column(basis).alias("basis"),
-            as_column(reason).cast("string").alias("reason"),
-        )
+        return [
+            F.lit(kind), as_column(slot).cast("int"), as_column(second).cast("int"), as_column(factor).cast("int"), as_column(final), as_column(basis),
+            as_column(reason).cast("string"),
+        ]
 
     signed = lambda s: (s["negative"] > 0.05) & (s["low"] < -0.5)
     mag, prob = at("stats", "magnitude"), at("stats", "p")
@@ -88,38 +88,44 @@ def decide(metadata: DataFrame, statistics: DataFrame, overrides: DataFrame, dir
     pair_p = F.coalesce(at("p_likes", "pos"), F.lit(False)) | F.coalesce(at("p_likes", "neg"), F.lit(False))
     sem_factor = F.when(F.col("transform") == "negate", -1).otherwise(1)
     has_semantics = F.col("transform").isNotNull()
-    decision = (
-        F.when(
+    ladder = [
+        (
             (F.col("mode") == "SINGLE") & has_semantics,
             way("value", sem_slot, factor=sem_factor, final=True, basis=F.concat(F.lit("DIRECTION_BYPASSED("), semantic, F.lit(")"))),
-        )
-        .when((F.col("mode") == "SINGLE") & F.col("magnitude").isNotNull(), way("magnitude", F.col("magnitude"), factor=F.col("sign"), final=True, basis="DIRECTION_SINGLE"))
-        .when((F.col("mode") == "SINGLE") & F.col("p").isNotNull(), way("p", F.col("p"), factor=F.col("sign"), final=True, basis="DIRECTION_SINGLE"))
-        .when(F.col("mode") == "SINGLE", way("value", 1, factor=F.col("sign"), final=True, basis="DIRECTION_SINGLE"))
-        .when(F.col("mode") == "PAIR", way("pair", F.col("positive_slot"), F.col("negative_slot"), final=True, basis="DIRECTION_PAIR"))
-        .when(F.col("transform") == "quarantine", way("none", sem_slot, basis=semantic))
-        .when(has_semantics & directed, way("value", sem_slot, factor=sem_factor, final=True, basis=semantic))
-        .when(has_semantics, way("value", sem_slot, factor=sem_factor * selection, basis=F.concat(semantic, unsure)))
-        .when(F.col("pos").isNotNull() & F.col("neg").isNotNull() & pair_p, way("pair_p", F.col("pos"), F.col("neg"), basis="PAIR_PVALUE"))
-        .when(F.col("pos").isNotNull() & F.col("neg").isNotNull(), way("pair", F.col("pos"), F.col("neg"), basis="PAIR_SCORE"))
-        .when(
+        ),
+        ((F.col("mode") == "SINGLE") & F.col("magnitude").isNotNull(), way("magnitude", F.col("magnitude"), factor=F.col("sign"), final=True, basis="DIRECTION_SINGLE")),
+        ((F.col("mode") == "SINGLE") & F.col("p").isNotNull(), way("p", F.col("p"), factor=F.col("sign"), final=True, basis="DIRECTION_SINGLE")),
+        (F.col("mode") == "SINGLE", way("value", 1, factor=F.col("sign"), final=True, basis="DIRECTION_SINGLE")),
+        (F.col("mode") == "PAIR", way("pair", F.col("positive_slot"), F.col("negative_slot"), final=True, basis="DIRECTION_PAIR")),
+        (F.col("transform") == "quarantine", way("none", sem_slot, basis=semantic)),
+        (has_semantics & directed, way("value", sem_slot, factor=sem_factor, final=True, basis=semantic)),
+        (has_semantics, way("value", sem_slot, factor=sem_factor * selection, basis=F.concat(semantic, unsure))),
+        (F.col("pos").isNotNull() & F.col("neg").isNotNull() & pair_p, way("pair_p", F.col("pos"), F.col("neg"), basis="PAIR_PVALUE")),
+        (F.col("pos").isNotNull() & F.col("neg").isNotNull(), way("pair", F.col("pos"), F.col("neg"), basis="PAIR_SCORE")),
+        (
             F.col("directional").isNotNull(),
             way("value", F.col("directional"), factor=F.when(at("roles", "directional") == "DIR_NEG", -1).otherwise(1), basis=at("roles", "directional")),
-        )
-        .when(F.col("ambiguous").isNotNull(), way("none", F.col("ambiguous"), basis="FAILED", reason="ambiguous logarithm"))
-        .when(F.col("magnitude").isNotNull() & signed(mag), way("value", F.col("magnitude"), basis="SIGNED_MAG"))
-        .when(F.col("magnitude").isNotNull() & (mag["high"] <= 0), way("none", F.col("magnitude"), basis="FAILED", reason="magnitude without positive values"))
-        .when(F.col("magnitude").isNotNull(), way("magnitude", F.col("magnitude"), factor=selection, basis=F.concat(F.lit("SIG_MAG"), unsure)))
-        .when(F.col("p").isNotNull() & in_range, way("p", F.col("p"), factor=selection, basis=F.concat(F.lit("SIG_P"), unsure)))
-        .when(F.col("p").isNotNull() & signed(prob), way("value", F.col("p"), basis="SIGNED_EFFECT"))
-        .when(F.col("p").isNotNull() & (prob["low"] >= 0), way("filled", F.col("p"), factor=selection, basis=F.concat(F.lit("SIG_MAGNITUDE"), unsure)))
-        .when(F.col("p").isNotNull(), way("none", F.col("p"), basis="FAILED", reason="p-value out of range"))
-        .otherwise(way("none", F.lit(None), basis="UNRESOLVED"))
-    )
+        ),
+        (F.col("ambiguous").isNotNull(), way("none", F.col("ambiguous"), basis="FAILED", reason="ambiguous logarithm")),
+        (F.col("magnitude").isNotNull() & signed(mag), way("value", F.col("magnitude"), basis="SIGNED_MAG")),
+        (F.col("magnitude").isNotNull() & (mag["high"] <= 0), way("none", F.col("magnitude"), basis="FAILED", reason="magnitude without positive values")),
+        (F.col("magnitude").isNotNull(), way("magnitude", F.col("magnitude"), factor=selection, basis=F.concat(F.lit("SIG_MAG"), unsure))),
+        (F.col("p").isNotNull() & in_range, way("p", F.col("p"), factor=selection, basis=F.concat(F.lit("SIG_P"), unsure))),
+        (F.col("p").isNotNull() & signed(prob), way("value", F.col("p"), basis="SIGNED_EFFECT")),
+        (F.col("p").isNotNull() & (prob["low"] >= 0), way("filled", F.col("p"), factor=selection, basis=F.concat(F.lit("SIG_MAGNITUDE"), unsure))),
+        (F.col("p").isNotNull(), way("none", F.col("p"), basis="FAILED", reason="p-value out of range")),
+        (F.lit(True), way("none", F.lit(None), basis="UNRESOLVED")),
+    ]
+    # the first step of the ladder that fits, as a number; each field is then a short lookup by that number
+    step = F.lit(len(ladder) - 1)
+    for number in reversed(range(len(ladder) - 1)):
+        step = F.when(ladder[number][0], number).otherwise(step)
+    fields = ["way", "slot", "second", "factor", "sign_final", "basis", "reason"]
+    numbered = chosen.withColumn("step", step)
+    of_step = lambda i: F.element_at(F.array(*[w[i] for _, w in ladder]), F.col("step") + 1)
     activation = F.contains(F.upper(F.coalesce("methodology", F.lit(""))), F.lit("ACTIVATION")) | F.contains(F.upper(F.coalesce("library_type", F.lit(""))), F.lit("CRISPRA"))
-    return chosen.select("screen_id", "sentinel", decision.alias("d"), activation.alias("is_activation")).select(
-        "screen_id", "sentinel", "d.*", F.when(F.col("d.sign_final") | ~F.col("is_activation"), 1).otherwise(-1).alias("perturbation")
-    )
+    decided = numbered.select("screen_id", "sentinel", activation.alias("is_activation"), *[of_step(i).alias(f) for i, f in enumerate(fields)])
+    return decided.withColumn("perturbation", F.when(F.col("sign_final") | ~F.col("is_activation"), 1).otherwise(-1)).drop("is_activation")
 
 
 def harmonize(rows: DataFrame, metadata: DataFrame, overrides: DataFrame | None = None, directions: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heddle.operators.graph import both_ways
 from heddle.operators.pairwise import cohit_pairs
 from heddle.operators.windows import add_reciprocal, bh_threshold, fdr_sweep, top_k
 from heddle.storage import written
@@ -33,7 +34,7 @@ def centred(observations: DataFrame) -> DataFrame:
     return rows.join(means, "gene").select("gene", "screen_id", (F.col("percentile") - F.col("mean")).alias("x"))
 
 
-def leading_component(x: DataFrame, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
+def leading_component(x: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """The leading right singular vector by power iteration: v per screen, and su (s times u) per gene.
 
     The screens' vector has a row per screen; each round is two aggregations over the measured values, and
@@ -71,7 +72,7 @@ def cosine_pairs(x: DataFrame, su: DataFrame | None = None) -> DataFrame:
 
 def mutual_top(pairs: DataFrame, k: int) -> DataFrame:
     """Pairs (a < b) that one of the two has among its ``k`` strongest, with reciprocal = 1 where both have."""
-    both = pairs.unionByName(pairs.withColumnsRenamed({"a": "b", "b": "a"}).select(pairs.columns))
+    both = both_ways(pairs)
     best = add_reciprocal(top_k(both, ["a"], [F.desc("r"), F.col("b")], k), "a", "b")
     turned = best.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).drop("rank")
     return turned.dropDuplicates(["a", "b"])
@@ -99,7 +100,7 @@ def coessential_network(
     rows = observations.filter("percentile is not null").join(nodes, "gene", "left_semi").select("screen_id", "gene", "percentile")
 
     def best(of: DataFrame) -> DataFrame:
-        x = centred(of)
+        x = written(centred(of), "centred")
         su = leading_component(x)[1] if remove_leading else None
         pairs = cosine_pairs(x, su).filter((F.col("support") >= min_support) & (F.col("r") >= min_corr))
         return mutual_top(pairs, k)
@@ -118,8 +119,7 @@ def profile_neighbours(observations: DataFrame, min_r: float = 0.25, top: int =
     counts = rows.groupBy("gene").agg(F.count("*").alias("n")).join(F.broadcast(screens))
     kept = counts.filter(F.col("n") >= F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("screens")))).select("gene")
     pairs = cosine_pairs(centred(rows.join(kept, "gene", "left_semi"))).filter(F.col("r") >= min_r)
-    both = pairs.select("a", "b", "r").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    return top_k(both, ["a"], [F.desc("r"), F.col("b")], top).withColumnsRenamed({"a": "gene", "b": "neighbour"})
+    return top_k(both_ways(pairs.select("a", "b", "r")), ["a"], [F.desc("r"), F.col("b")], top).withColumnsRenamed({"a": "gene", "b": "neighbour"})
 
 
 def cohit_network(observations: DataFrame, tested: int | None = None, min_cohit: int = 3, min_screens: int = 1, k: int = 25, alpha: float = 0.05) -> DataFrame:
@@ -129,7 +129,7 @@ def cohit_network(observations: DataFrame, tested: int | None = None, min_cohit:
     gene with itself included. q_ref is min(1, p x tested / candidates); q_bh the monotone adjusted p-value.
     """
     pairs = cohit_pairs(observations, "gene", "screen_id", "percentile", "hit", min_cohit, min_screens)
-    both = pairs.unionByName(pairs.withColumnsRenamed({"a": "b", "b": "a", "a_hits": "b_hits", "b_hits": "a_hits"}).select(pairs.columns))
+    both = both_ways(pairs.drop("a_hits", "b_hits"))
     if tested is None:
         tested = measured_pairs(observations, min_screens)
     limit = bh_threshold(both, "p", tested, alpha).join(F.broadcast(both.agg(F.count("*").alias("candidates"))))

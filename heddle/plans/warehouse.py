@@ -140,7 +140,7 @@ def run_load(tables: dict[str, DataFrame], path: str, run_id: int) -> DataFrame:
 
 def issues(screens: DataFrame, genes: DataFrame) -> DataFrame:
     """Validation errors per version and kind, with row counts."""
-    kinds = [(screens, "screen"), (genes, "gene")]
+    kinds = [(screens, "screen"), (genes, "screen_gene")]
     parts = [
         df.filter("validation_errors is not null")
         .groupBy("version_id", F.lit(kind).alias("kind"), "validation_errors")
