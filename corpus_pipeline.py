@@ -48,8 +48,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the bytes that they decode to."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs))
-    return decoded.select(
+    encoded = byte_bpe.encode(docs, decoded=True)
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from heddle.llm.common import table, text_batches
+from heddle.llm.common import pick, table, text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 65_536, 4_096  # characters
@@ -77,14 +77,23 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
-def _with_ids(keys: list[str], text_col: str, vocabulary: str):
-    """For mapInArrow: the columns ``keys``, and ids for the text column."""
+def _bytes(ids: bytes, path: str) -> bytes:
+    """The raw bytes of the ids' tokens, one after the other."""
+    tokens = _token_bytes(path)
+    return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
+def _with_ids(keys: list[str], text_col: str, vocabulary: str, decoded: bool):
+    """For mapInArrow: the columns ``keys``, ids for the text column, and with ``decoded`` the bytes of these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = _path(vocabulary)
         for batch in _small(batches):
-            ids = pa.array([_ids(text.as_py(), path) for text in batch.column(text_col)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), ids], [*keys, "ids"])
+            ids = [_ids(text.as_py(), path) for text in batch.column(text_col)]
+            columns = {k: batch.column(k) for k in keys} | {"ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array([_bytes(x, path) for x in ids], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -129,21 +138,25 @@ def encode(
     vocabulary: str = VOCABULARY,
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded: bool = False,
 ) -> DataFrame:
     """Columns ``id_col`` and ids (binary: token ids as little-endian unsigned 32-bit integers).
 
-    ``vocabulary`` is a rank file, by its path or by its name among the public tokenizers.
+    With ``decoded`` also decoded, the bytes that the ids stand for, from the same worker: as ``decode`` gives
+    them, without a second process for each task. ``vocabulary`` is a rank file, by its path or by its name among the public tokenizers.
 
     Defined results: a null text counts as empty and has no ids. Every row is encoded, repeated ones and
     those with null ids as often as they come. Where an overlap holds no fixed boundary (one word or one run
     of white space longer than it) the chunks are encoded as one piece. Other columns are ignored.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     id_type = rows.schema["id"].dataType
     small = F.length("text") <= chunk
-    out = T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())])
-    whole = rows.filter(small).mapInArrow(_with_ids(["id"], "text", vocabulary), out)
+    results = ["ids", "decoded"] if decoded else ["ids"]
+    result_fields = [T.StructField(c, T.BinaryType()) for c in results]
+    out = T.StructType([T.StructField("id", id_type), *result_fields])
+    whole = rows.filter(small).mapInArrow(_with_ids(["id"], "text", vocabulary, decoded), out)
 
     stride = chunk - overlap
     # Of a long text's rows that are the same, one is encoded; its two hashes stand for the text in keys.
@@ -180,38 +193,36 @@ def encode(
         .repartition(*keys, "piece")
     )
     encoded_fields = T.StructType(
-        [*key_fields, T.StructField("copies", T.IntegerType()), T.StructField("piece", T.LongType()), T.StructField("ids", T.BinaryType())]
+        [*key_fields, T.StructField("copies", T.IntegerType()), T.StructField("piece", T.LongType()), *result_fields]
     )
     joined = (
-        pieces.mapInArrow(_with_ids([*keys, "copies", "piece"], "text", vocabulary), encoded_fields)
+        pieces.mapInArrow(_with_ids([*keys, "copies", "piece"], "text", vocabulary, decoded), encoded_fields)
         .groupBy(*keys, "copies")
-        .agg(F.array_sort(F.collect_list(F.struct("piece", F.hex("ids").alias("ids")))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("piece", *[F.hex(c).alias(c) for c in results]))).alias("parts"))
         .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-        .select("id", F.unhex(F.array_join(F.col("parts.ids"), "")).alias("ids"))
+        .select("id", *[F.unhex(F.array_join(F.col(f"parts.{c}"), "")).alias(c) for c in results])
     )
-    return whole.unionByName(joined).select(F.col("id").alias(id_col), "ids")
+    return whole.unionByName(joined).select(F.col("id").alias(id_col), *results)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns ``id_col``, ids and decoded: the raw bytes of each row's ids, one after the other. Null ids give no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _token_bytes(_path(vocabulary))
+        path = _path(vocabulary)
         for batch in _small(batches):
-            raw = [
-                b"".join([tokens[i] for i in np.frombuffer(ids.as_py() or b"", "<u4").tolist()]) for ids in batch.column("ids")
-            ]
+            raw = [_bytes(ids.as_py() or b"", path) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
 
-    rows = encoded.select(F.col(id_col).alias("id"), "ids")
+    rows = pick(encoded, id=id_col, ids="ids")
     out = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
     return rows.mapInArrow(run, out).select(F.col("id").alias(id_col), "ids", "decoded")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give digests of both."""
-    decoded = decode(encode(table(spark, sf_dir, "documents")))
-    return decoded.select(
+    encoded = encode(table(spark, sf_dir, "documents"), decoded=True)
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import cut, let, running_total, table
+from heddle.llm.common import cut, let, pick, running_total, table
 
 START, END, JOINT = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 ESCAPE = "␛"
@@ -57,11 +57,12 @@ def format_chats(
     gives no rows. Other columns are ignored.
     """
     turn = F.struct(
-        F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    collected = conversations.groupBy(F.col(conv_col).alias("conv")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = pick(conversations, conv=conv_col, turn=turn_col, role=role_col, text=text_col)
+    collected = rows.groupBy("conv").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def pieces(turns: Column) -> Column:
         def piece(t: Column, i: Column) -> Column:

@@ -42,6 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(df: DataFrame, **wanted: str) -> DataFrame:
+    """The columns named by the values, under the names of the keys.
+
+    Columns are taken by position, so that others may have any names: dots, the same names in other cases,
+    or the names that an operator uses inside.
+    """
+    places = {new: df.columns.index(old) for new, old in wanted.items()}
+    return numbered(df).select(*[F.col(f"_{i}").alias(new) for new, i in places.items()])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """All columns, named by their places: _0, _1 and so on."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a lambda variable, so that it is computed once however often ``use`` mentions it."""
     return F.element_at(F.transform(F.array(value), use), 1)

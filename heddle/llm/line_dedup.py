@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import table, text_batches
+from heddle.llm.common import numbered, table, text_batches
 
 LINES = 3
 #: A line that counts holds a word, that is a character other than these.
@@ -56,12 +56,14 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n_removed is replaced.
     """
     text_batches(docs.sparkSession)
-    kept_columns = [c for c in docs.columns if c not in (text_col, "n_removed")]
-    packed = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("t"),
-        F.col(text_col).alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row"),
+    text_at = docs.columns.index(text_col)
+    kept = [i for i, c in enumerate(docs.columns) if c != "n_removed"]
+    others = [F.col(f"_{i}") for i in kept if i != text_at] or [F.lit(0).alias("none")]
+    packed = numbered(docs).select(
+        F.col(f"_{docs.columns.index(id_col)}").alias("id"),
+        F.xxhash64(f"_{text_at}").alias("t"),
+        F.col(f"_{text_at}").alias("text"),
+        F.struct(*others).alias("row"),
     )
     counting = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line: F.rlike(line, F.lit(_HAS_WORD)))
     windows = (
@@ -85,8 +87,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     joined = packed.join(places, F.col("id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), "left").select("row", "text", "places")
     out = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
     done = joined.mapInArrow(lambda batches: _without_covered(batches, lines), out)
-    ordered = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "n_removed"]
-    return done.select(*ordered, "n_removed")
+    ordered = [F.col("text") if i == text_at else F.col(f"row._{i}") for i in kept]
+    return done.select(*ordered, "n_removed").toDF(*[docs.columns[i] for i in kept], "n_removed")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

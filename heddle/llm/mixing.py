@@ -12,11 +12,13 @@ per leaf, epoch and bucket of the order, and only the bucket in which the budget
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heddle.llm.common import WORD_PATTERN, table, written
+from heddle.llm.common import WORD_PATTERN, numbered, table, written
 
 LEVELS = ["domain", "lang", "source"]
 BUCKET_DIGITS = 3  # hexadecimal digits of the order that name its bucket
@@ -109,7 +111,7 @@ def mix(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    domain: Column | None = None,
+    domain: Callable[[Column], Column] = domain_of,
 ) -> DataFrame:
     """The chosen rows with all columns of ``docs``, once per epoch that takes them, and a last column ``epoch`` (from 0).
 
@@ -123,15 +125,16 @@ def mix(
     row is taken in every epoch. A column named epoch is replaced. An empty table gives no rows.
     """
     unknown = F.lit("unknown")
-    kept = [c for c in docs.columns if c != "epoch"]
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
-        F.coalesce(domain if domain is not None else domain_of(F.col(source_col)), unknown).alias("domain"),
-        F.coalesce(F.col(lang_col).cast("string"), unknown).alias("lang"),
-        F.coalesce(F.col(source_col).cast("string"), unknown).alias("source"),
-        count_tokens(F.col(text_col)).alias("tokens"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
-        F.xxhash64(text_col).alias("t"),
+    kept = [i for i, c in enumerate(docs.columns) if c != "epoch"]
+    at = lambda c: F.col(f"_{docs.columns.index(c)}")
+    rows = numbered(docs).select(
+        F.struct(*[F.col(f"_{i}") for i in kept]).alias("row"),
+        F.coalesce(domain(at(source_col)), unknown).alias("domain"),
+        F.coalesce(at(lang_col).cast("string"), unknown).alias("lang"),
+        F.coalesce(at(source_col).cast("string"), unknown).alias("source"),
+        count_tokens(at(text_col)).alias("tokens"),
+        F.coalesce(at(id_col).cast("string"), F.lit("")).alias("id"),
+        F.xxhash64(at(text_col)).alias("t"),
     )
     sizes = written(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     if budget is None:
@@ -177,7 +180,8 @@ def mix(
         .filter(F.col("running") <= F.col("end.left"))
         .select("row", "epoch")
     )
-    return whole.unionByName(ended).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "epoch")
+    chosen = whole.unionByName(ended).select(*[F.col(f"row._{i}") for i in kept], "epoch")
+    return chosen.toDF(*[docs.columns[i] for i in kept], "epoch")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

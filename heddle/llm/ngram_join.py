@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table, text_batches, written
+from heddle.llm.common import pick, table, text_batches, written
 from heddle.llm.components import connected_components
 from heddle.llm.words import mix, text_hashes, window_hashes, window_starts, word_hashes
 
@@ -195,7 +195,7 @@ def near_duplicates(
     """
     text_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall, max_hashes)
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    given = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     signatures = written(
         given.filter("id is not null").mapInPandas(
             lambda frames: _signatures(frames, shingle, bands, rows), "id long, c1 long, c2 long, bands array<long>"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import table, text_batches, written
+from heddle.llm.common import pick, table, text_batches, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -194,8 +194,8 @@ def measure(
     Defined results: a null text counts as empty, which has zeros and the script ``other``. Other columns are ignored.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(text_col, F.lit("")).alias("text")
+    rows = pick(docs, id=id_col, lang=lang_col, text=text_col).select(
+        "id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
     fields = [rows.schema["id"], rows.schema["lang"]]
     fields += [T.StructField(c, T.LongType()) for c in _COUNTS]
@@ -215,7 +215,7 @@ def fit_bands(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
     Columns by (``lang`` or ``script``), name, min_chars, max_chars, max_fallback and min_entropy. Languages
     and scripts with fewer than ``min_labelled`` such rows have no band. Labels with a null id or quality don't count.
     """
-    good = labels.filter(F.col(quality_col) == 1).select(F.col(id_col)).distinct()
+    good = pick(labels, id=id_col, quality=quality_col).filter("quality = 1").select(F.col("id").alias(id_col)).distinct()
     rows = measured.filter(~base_failed()).join(good, id_col, "left_semi")
     named = rows.select(
         F.explode(F.array(F.struct(F.lit("lang").alias("by"), F.col("lang").alias("name")), F.struct(F.lit("script").alias("by"), F.col("script").alias("name")))).alias("band"),

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import let, running_total, table
+from heddle.llm.common import let, pick, running_total, table
 
 ASSIGN = (
     r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -70,8 +70,8 @@ def identifier_samples(docs: DataFrame, id_col: str, text_col: str, n_docs: int
     Documents are chosen by a hash of their ids, so that the share of ids below a bound makes the number.
     """
     share = min(1.0, n_docs / max(docs.count(), 1))
-    hashed = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    chosen = docs.filter(hashed < math.ceil(share * (1 << 30))).select(F.col(text_col).alias("text"))
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    chosen = pick(docs, id=id_col, text=text_col).filter(hashed < math.ceil(share * (1 << 30)))
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,}"), F.lit(0))
     pairs = chosen.select(words.alias("words")).select(
         F.explode(F.transform("words", lambda w, i: F.struct(w.alias("a"), F.get("words", i + 1).alias("b")))).alias("p")
@@ -197,7 +197,7 @@ def find_secrets(
         )
 
     text = F.col("text")
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).select(
+    found = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).select(
         "id",
         F.concat(
             _spans(text, ASSIGN, ASSIGN, 0, group=2, keep=lambda m: F.length(m["part"]) >= MIN_ASSIGNED),

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table, text_batches
+from heddle.llm.common import pick, table, text_batches
 from heddle.llm.words import mix, window_hashes, window_starts, word_hashes
 
 WINDOW = 20
@@ -129,10 +129,10 @@ def remove_repeats(
     order of their own. Other columns are ignored; an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(
-        F.col(id_col).isNull().alias("missing"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
-        F.coalesce(text_col, F.lit("")).alias("text"),
+    rows = pick(docs, id=id_col, text=text_col).select(
+        F.col("id").isNull().alias("missing"),
+        F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(1, math.ceil(size / block_bytes))

@@ -13,7 +13,7 @@ all rows is many blocks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from heddle.llm.common import table, written
+from heddle.llm.common import numbered, table, written
 
 PIVOTS = 32
 SAMPLE = 2048  # about so many vectors, chosen by a hash of their ids, place the pivots
@@ -147,7 +147,7 @@ def _solve(targets: DataFrame, data: DataFrame, k: int) -> DataFrame:
 
 def search(
     vectors: DataFrame,
-    is_query: Column,
+    is_query: Callable[[Column], Column],
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -155,7 +155,7 @@ def search(
     n_pivots: int = PIVOTS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Columns query_id, rank (from 1), vec_id, score: the ``k`` highest inner products of each row that ``is_query``.
+    """Columns query_id, rank (from 1), vec_id, score: the ``k`` highest inner products of each row whose id ``is_query``.
 
     Components x count as floor(``scale`` * x). Candidates are all rows but those with the query's own id; ties
     go to the smaller id; a query with fewer candidates has all of them.
@@ -165,7 +165,9 @@ def search(
     comes; a repeated query is answered once, one id with several vectors once for each. Scores must fit a long.
     Other columns are ignored; without queries there are no rows.
     """
-    known = vectors.select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vector_col), scale).alias("v"), is_query.alias("is_query"))
+    places = {c: f"_{vectors.columns.index(c)}" for c in (id_col, vector_col)}
+    known = numbered(vectors).select(F.col(places[id_col]).cast("long").alias("id"), quantise(F.col(places[vector_col]), scale).alias("v"))
+    known = known.withColumn("is_query", F.coalesce(is_query(F.col("id")), F.lit(False)))
     known = known.filter("id is not null and v is not null")
     pivots = _pivots(known, n_pivots)
     fields = [*known.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("dim", "cell")), *(T.StructField(c, T.DoubleType()) for c in ("distance", "norm"))]
@@ -229,7 +231,7 @@ def search(
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for every 20th vector."""
-    return search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+    return search(table(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(20)) == 0)
 
 
 OP10_SQL = """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import table
+from heddle.llm.common import pick, table
 
 RULES_SCHEMA = "host string, path string, verdict string"
 #: Rules are broadcast up to this count; beyond it they are joined by a shuffle.
@@ -92,7 +92,7 @@ def filter_urls(
         lambda s: F.concat(_suffix(F.col("host"), s["n"]), F.substring(F.col("path"), F.lit(1), s["m"])),
     )
     parsed = (
-        pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+        pick(pages, id=id_col, url=url_col)
         .groupBy("id", "url")
         .agg(F.count("*").cast("int").alias("copies"))
         .withColumn("host", host_of(F.col("url")))
