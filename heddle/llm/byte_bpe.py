@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from heddle.llm.common import pick, table, text_batches
+from heddle.llm.common import give_back, pick, table, text_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 65_536, 4_096  # characters
@@ -94,6 +94,7 @@ def _with_ids(keys: list[str], text_col: str, vocabulary: str, decoded: bool):
             if decoded:
                 columns["decoded"] = pa.array([_bytes(x, path) for x in ids], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     return run
 
@@ -129,6 +130,7 @@ def _pretokenised(batches: Iterator[pa.RecordBatch], stride: int, overlap: int)
             [*batch.columns, pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))],
             [*batch.schema.names, "head", "tail"],
         )
+    give_back()
 
 
 def encode(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import numbered, table, text_batches
+from heddle.llm.common import give_back, numbered, table, text_batches
 
 LINES = 3
 #: A line that counts holds a word, that is a character other than these.
@@ -41,6 +41,7 @@ def _without_covered(batches: Iterator[pa.RecordBatch], lines: int) -> Iterator[
         keys = [c for c in batch.schema.names if c not in ("text", "places")]
         arrays = [*(batch.column(k) for k in keys), pa.array(texts, pa.string()), pa.array(removed, pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, [*keys, "text", "n_removed"])
+    give_back()
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:

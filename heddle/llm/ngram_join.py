@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import pick, table, text_batches, written
+from heddle.llm.common import give_back, pick, table, text_batches, written
 from heddle.llm.components import connected_components
 from heddle.llm.words import mix, text_hashes, window_hashes, window_starts, word_hashes
 
@@ -109,6 +109,7 @@ def _signatures(frames: Iterator[pd.DataFrame], shingle: int, bands: int, rows:
             for i, key in zip(np.flatnonzero(has), band_hashes(minima(hashes, n, bands * rows), bands, rows)):
                 keys[i] = key
             yield frame[["id"]].assign(c1=c1.view(np.int64), c2=c2.view(np.int64), bands=pd.Series(keys, frame.index, object))
+        give_back()
 
 
 def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -169,6 +170,7 @@ def _verify(frame: pd.DataFrame, shingle: int, threshold: float) -> pd.DataFrame
         np.fill_diagonal(square, False)
         linked = square.any(axis=1)
         out.append(pd.DataFrame({"node": nodes, "root": nodes[_roots(square)], "n": square @ copies})[linked])
+    give_back()
     return pd.concat(out) if out else pd.DataFrame({"node": [], "root": [], "n": []})
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import pick, table, text_batches, written
+from heddle.llm.common import give_back, pick, table, text_batches, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -176,6 +176,7 @@ def _figures(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.Da
         out["token_entropy"] = block_entropies(ids, sizes)
         out["script"] = scripts
         yield out
+    give_back()
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import pick, table, text_batches
+from heddle.llm.common import give_back, pick, table, text_batches
 from heddle.llm.words import mix, window_hashes, window_starts, word_hashes
 
 WINDOW = 20
@@ -150,6 +150,7 @@ def remove_repeats(
             for a, b in _stretches(shards):
                 inside = (cells[a:b] & np.uint64((1 << shard_bits) - 1)).astype(np.uint32)
                 out.append((row << 40 | int(shards[a]), key[0], _pack(np.diff(inside, prepend=np.uint32(0))), _bits(counts[a:b] > 1)))
+        give_back()
         return pd.DataFrame(out, columns=["shard", "block", "cells", "again"])
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -173,6 +174,7 @@ def remove_repeats(
             shards = h1 >> np.uint64(64 - exact_bits) if exact_bits else np.zeros(len(h1), np.uint64)
             for a, b in _stretches(shards):
                 out.append((int(shards[a]), key[0], h1[a:b].tobytes(), h2[a:b].tobytes(), ids[a:b].tobytes()))
+        give_back()
         return pd.DataFrame(out, columns=["shard", "block", "h1", "h2", "ids"])
 
     def group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -211,6 +213,7 @@ def remove_repeats(
             words = text.split()
             kept.append(b" ".join(words if own.all() else [words[i] for i in np.flatnonzero(own)]).decode())
             removed.append(count - int(own.sum()))
+        give_back()
         return pd.DataFrame({"missing": held.missing, "id": held.ids, "n_words": held.counts, "n_removed": removed, "kept": kept})
 
     by_block = blocked.groupBy("block")
