@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import random
 import re
 
@@ -345,9 +344,9 @@ SECRETS = [
 
 
 def test_secret_scan(spark, docs, rows, empty):
-    model = secret_scan.fit(docs)
+    model = secret_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     extra = [(500 + i, t, None, None, None) for i, t in enumerate(SECRETS)]
-    df = docs.select("doc_id", docs.columns[1], "lang", "source", "n_chars") if False else spark.createDataFrame(rows + extra, DOCS_SCHEMA)
+    df = spark.createDataFrame(rows + extra, DOCS_SCHEMA)
     got = secret_scan.find_secrets(with_clashes(df), model).collect()
     base = sorted(((r.doc_id, [tuple(s) for s in r.spans if s.kind != "markov"]) for r in got), key=repr)
     assert base == sorted(((r[0], brute_secrets(r[1])) for r in rows + extra), key=repr)
@@ -373,4 +372,3 @@ def test_secret_model_on_held_out_samples(spark, docs):
 
 def test_registered_queries():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 11))
-    assert math.isclose(sum(1 for _ in QUERIES), 10)
