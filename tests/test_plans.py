@@ -1,0 +1,184 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heddle.plans import harmonize, knowledge, networks, serving, similarity, warehouse
+
+SCORES = "screen_id long, gene string, score_1 string, score_2 string, score_3 string, score_4 string, score_5 string, hit string"
+META = "screen_id long, type_1 string, type_2 string, type_3 string, type_4 string, type_5 string, screen_type string, methodology string, library_type string"
+GENES = list("abcdef")
+VALUES = [-2.0, -1.0, -0.6, 0.5, 1.0, 3.0]
+P = [0.001, 0.01, 0.1, 0.5, 1.0, 1.0]
+
+
+def screen(i, one=None, two=None, types=("", ""), selection="Phenotype Screen", library="CRISPRn"):
+    blank = [None] * len(GENES)
+    text = lambda x: None if x is None else str(x)
+    rows = [(i, g, text(a), text(b), None, None, None, "YES" if k == 0 else "no") for k, (g, a, b) in enumerate(zip(GENES, one or blank, two or blank))]
+    return rows, (i, *types, "", "-", "", selection, "Knockout", library)
+
+
+CASES = {
+    1: (screen(1, VALUES, types=("Log2FC", "")), VALUES, "DIR_POS"),
+    2: (screen(2, VALUES, types=("Bayes Factor", "")), [-v for v in VALUES], "DIR_NEG"),
+    3: (screen(3, VALUES, types=("Log2FC", ""), library="CRISPRa"), [-v for v in VALUES], "DIR_POS"),
+    4: (screen(4, P, types=("p-value", ""), selection="Negative Selection"), [-3, -2, -1, np.log10(0.5), 0, 0], "SIG_P"),
+    5: (screen(5, P, P[::-1], types=("pos p-value", "neg p-value")), [-np.log10(a) + np.log10(b) for a, b in zip(P, P[::-1])], "PAIR_PVALUE"),
+    6: (screen(6, VALUES, [1.0] * 6, types=("enrichment x", "depletion x")), [v - 1 for v in VALUES], "PAIR_SCORE"),
+    7: (screen(7, VALUES, types=("STARS score", "")), VALUES, "SIGNED_MAG"),
+    8: (screen(8, [5, 4, 3, 2, 1, "-"], types=("STARS score", ""), selection="Negative Selection"), [-5, -4, -3, -2, -1, 0], "SIG_MAG"),
+    9: (screen(9, [5, 4, 3, 2, 1, 7], types=("STARS score", "")), [5, 4, 3, 2, 1, 7], "SIG_MAG[AMBIGUOUS_SELECTION]"),
+    10: (screen(10, VALUES, types=("Log10 p-value", "")), [None] * 6, "FAILED"),
+    11: (screen(11, VALUES, types=("MaGeCK score", "")), VALUES, "SIGNED_EFFECT"),
+    12: (screen(12, [5, 4, 3, 2, 1, 7], types=("fdr", ""), selection="Positive Selection"), [5, 4, 3, 2, 1, 7], "SIG_MAGNITUDE"),
+    13: (screen(13, VALUES, types=("colour", "")), [None] * 6, "UNRESOLVED"),
+    14: (screen(14, VALUES, types=("Log10", "")), [2.0, 1.0, 0.6, -0.5, None, -3.0], "SEMANTICS_OVERRIDE(signed)[POLARITY_UNVERIFIED]"),
+    15: (screen(15, VALUES, types=("Log2FC", "")), [None] * 6, "SEMANTICS_OVERRIDE(broken)"),
+    16: (screen(16, [5, 4, 3, 2, 1, 7], types=("STARS score", "")), [-5, -4, -3, -2, -1, -7], "DIRECTION_SINGLE"),
+    17: (screen(17, VALUES, [1.0] * 6, types=("a", "b")), [1 - v for v in VALUES], "DIRECTION_PAIR"),
+    18: (screen(18, [-0.1, -0.2, -0.3, -0.4, -0.1, -0.2], types=("rsa", "")), [None] * 6, "FAILED"),
+    19: (screen(19, [1.0] * 6, types=("Log2FC", "")), [1.0] * 6, "DIR_POS"),
+}
+
+
+@pytest.fixture(scope="module")
+def harmonized(spark):
+    rows = spark.createDataFrame([r for (own, _), *_ in CASES.values() for r in own], SCORES)
+    metadata = spark.createDataFrame([m for (_, m), *_ in CASES.values()], META)
+    overrides = spark.createDataFrame([(14, "signed", "negate", "low", 1, True, 1.0), (15, "broken", "quarantine", "high", None, None, None)], harmonize.OVERRIDES_SCHEMA)
+    directions = spark.createDataFrame(
+        [(16, "SINGLE", -1, None, None, "high", "auto"), (17, "PAIR", None, 2, 1, "high", "auto"), (1, "SINGLE", -1, None, None, "low", "needs_review")], harmonize.DIRECTIONS_SCHEMA
+    )
+    return harmonize.harmonize(rows, metadata, overrides, directions).collect()
+
+
+@pytest.mark.parametrize("i", list(CASES))
+def test_harmonize(harmonized, i):
+    _, want, basis = CASES[i]
+    own = sorted((r for r in harmonized if r.screen_id == i), key=lambda r: r.gene)
+    assert [r.harmonized for r in own] == [None if w is None else pytest.approx(w) for w in want]
+    assert {r.basis for r in own} == {basis} and [r.is_hit for r in own] == [1, 0, 0, 0, 0, 0]
+    usable = len({w for w in want if w is not None}) > 1
+    assert all((r.percentile is not None) == (usable and r.harmonized is not None) for r in own)
+
+
+def test_panel_check(spark):
+    rows = [("x", g, -0.5) for g in range(25)] + [("y", g, 0.1) for g in range(25)] + [("z", g, 0.1) for g in range(5)]
+    panel = spark.range(25).withColumnRenamed("id", "gene")
+    got = harmonize.panel_check(spark.createDataFrame(rows, "kind string, gene long, percentile double"), panel, ["kind"])
+    assert {r.kind: r.failed for r in got.collect()} == {"x": False, "y": True, "z": False}
+
+
+def test_warehouse_load(spark, tmp_path):
+    screens = spark.createDataFrame([(1, 10, "mouse", "b"), (1, 10, "human", "a"), (1, 11, "mouse", "a"), (1, None, "mouse", "a")], "version_id int, screen_id long, organism string, annotation_source string")
+    genes = spark.createDataFrame(
+        [(1, 10, 5, "G5", True, 1.0, 1), (1, 10, 5, "G5", False, 9.0, 2), (1, 10, 6, "G6", False, None, 3), (1, 11, 5, "A5", False, 2.0, 4), (1, 10, None, "x", True, 1.0, 5), (1, 99, 7, "G7", True, 1.0, 6)],
+        "version_id int, screen_id long, identifier_id long, gene_symbol string, hit_flag boolean, score_1 double, row_number long",
+    )
+    versions = spark.createDataFrame([(1, "mouse")], "version_id int, organism string")
+    built = warehouse.build(screens, genes, versions)
+    assert {(r.screen_id, r.organism) for r in built["screen"].collect()} == {(10, "human"), (11, "mouse")}
+    assert {(r.identifier_id, r.gene_symbol) for r in built["gene"].collect()} == {(5, "A5"), (6, "G6"), (7, "G7")}
+    facts = {(r.screen_id, r.identifier_id): (r.hit_count, r.hit_percentage, r.avg_raw_score, r.avg_measured_score) for r in built["fact_screen_gene"].collect()}
+    assert facts == {(10, 5): (1, 100.0, 1.0, 1.0), (10, 6): (0, 0.0, 0.0, None), (11, 5): (0, 0.0, 2.0, 2.0)}
+    dims = {r.identifier_id: (r.total_screens, r.total_screens_hit, r.avg_hit_percentage) for r in built["dim_gene"].collect()}
+    assert dims == {5: (2, 1, 50.0), 6: (1, 0, 0.0), 7: (0, 0, 0.0)}
+    path = str(tmp_path / "wh")
+    audit = warehouse.run_load(built, path, 1)
+    assert [r.status for r in audit.orderBy("step_order").collect()] == ["completed"] * 6
+    assert warehouse.run_load(built, path, 2).agg(F.sum("rows_inserted")).first()[0] == audit.agg(F.sum("rows_inserted")).first()[0]
+    assert spark.read.parquet(f"{path}/screen_gene_raw").count() == 3
+    broken = dict(built, gene=built["gene"].withColumn("bad", F.raise_error(F.lit("no"))))
+    assert [r.status for r in warehouse.run_load(broken, str(tmp_path / "bad"), 3).collect()] == ["completed", "failed"]
+    ready = {r.table_name: (r.present, r.has_columns, r.has_rows) for r in warehouse.ready(built, {"screen": ["screen_id"], "gene": ["nope"], "other": []}).collect()}
+    assert ready == {"screen": (True, True, True), "gene": (True, False, True), "other": (False, False, False)}
+
+
+def test_versions(spark):
+    versions = spark.createDataFrame([(1, "human", False), (2, "human", True), (3, "human", False), (4, "mouse", True)], "version_id int, organism string, is_current boolean")
+    runs = spark.createDataFrame([(1, "completed"), (2, "completed"), (3, "failed")], "version_id int, status string")
+    now = lambda df: {r.version_id for r in df.filter("is_current").collect()}
+    assert now(warehouse.promote(versions, runs, 1)) == {1, 4}
+    assert now(warehouse.promote(versions, runs, 3)) == {2, 4}
+    assert now(warehouse.rollback(versions, runs, "human")) == {1, 4}
+    assert now(warehouse.rollback(versions, runs, "mouse")) == {2, 4}
+    assert {r.version_id for r in warehouse.old_versions(versions, 1).collect()} == {1}
+    facts = spark.createDataFrame([(i, i) for i in (1, 2, 2, 4)], "version_id int, x int")
+    assert sorted(r.x for r in warehouse.current(facts, versions).collect()) == [2, 2, 4]
+    kept, report = warehouse.purge({"facts": facts, "runs": runs}, [2])
+    assert kept["facts"].count() == 2 and {(r.table_name, r.rows_removed) for r in report.collect()} == {("facts", 2), ("runs", 1)}
+    times = spark.createDataFrame([(1, "2026-01-01 00:00:00", "2026-01-01 00:01:30")], "run_id int, started_at string, finished_at string")
+    audit = spark.createDataFrame([(1, "completed", 5), (1, "failed", None)], "run_id int, status string, rows_inserted long")
+    assert warehouse.run_summary(times, audit).first()[3:] == (90, 2, 1, 5)
+
+
+def test_leading_component_and_cosines(spark):
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(12, 9)) + 2 * np.outer(r.normal(size=12), r.normal(size=9)), 4)
+    x[r.random(x.shape) < 0.15] = np.nan
+    rows = [(g, s, float(x[g, s])) for g in range(12) for s in range(9) if not np.isnan(x[g, s])]
+    df = networks.centred(spark.createDataFrame(rows, "gene long, screen_id long, percentile double"))
+    filled = np.where(np.isnan(x), np.nanmean(x, 1, keepdims=True), x) - np.nanmean(x, 1, keepdims=True)
+    u, s, vt = np.linalg.svd(filled, full_matrices=False)
+    v, su = networks.leading_component(df, rounds=60)
+    got = {q.screen_id: q.v for q in v.collect()}
+    assert abs(sum(got[k] * vt[0, k] for k in got)) == pytest.approx(1, abs=1e-6)
+    for component, z in ((None, filled), (su, filled - np.outer(u[:, 0] * s[0], vt[0]))):
+        z = z / np.linalg.norm(z, axis=1, keepdims=True)
+        for q in networks.cosine_pairs(df, component).collect():
+            assert q.r == pytest.approx(z[q.a] @ z[q.b], abs=1e-5)
+            assert q.support == (~np.isnan(x[q.a]) & ~np.isnan(x[q.b])).sum()
+
+
+def test_shuffled_keeps_each_screens_values(spark):
+    rows = [(s, g, s * 100.0 + g, g % 2 == 0) for s in range(3) for g in range(30)]
+    df = spark.createDataFrame(rows, "screen_id int, gene int, percentile double, hit boolean")
+    got = networks.shuffled(df).collect()
+    assert sorted((r.screen_id, r.percentile) for r in got) == sorted((r[0], r[2]) for r in rows)
+    assert sum(r.percentile == r.screen_id * 100.0 + r.gene for r in got) < 20
+
+
+def test_networks_find_planted_modules(spark):
+    r = np.random.default_rng(5)
+    profiles = {m: r.normal(size=40) for m in range(3)}
+    rows = [(s, m * 10 + i, float(np.tanh(profiles[m][s] + 0.3 * r.normal())), bool(profiles[m][s] > 0.8)) for m in range(3) for i in range(6) for s in range(40)]
+    rows += [(s, 100 + i, float(np.tanh(r.normal())), bool(r.random() < 0.2)) for i in range(12) for s in range(40)]
+    df = spark.createDataFrame(rows, "screen_id long, gene long, percentile double, hit boolean")
+    edges = networks.coessential_network(df, k=5, min_support=10, remove_leading=False).collect()
+    mutual = [e for e in edges if e.reciprocal == 1]
+    assert len(mutual) >= 15 and all(e.a // 10 == e.b // 10 < 10 for e in mutual)
+    cohits = networks.cohit_network(df, k=5).collect()
+    assert cohits and all(e.a // 10 == e.b // 10 < 10 for e in cohits) and all(0 <= e.q_bh <= 1 for e in cohits)
+
+
+def test_similar_screens(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9, 10), (1, 3, 0.1, 10), (1, 4, 0.2, 10)], "screen_a int, screen_b int, r double, overlap int")
+    papers = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, "")], "screen_id int, pmid string")
+    got = {x.screen_b: x for x in similarity.similar_screens(pairs, papers, 1).collect()}
+    rs = np.array([0.9, 0.1, 0.2])
+    assert got[2].z == pytest.approx((0.9 - rs.mean()) / rs.std()) and got[2].same_study and not got[4].same_study
+    assert {x.screen_b for x in similarity.similar_screens(pairs, papers, 1, True).collect()} == {3, 4}
+
+
+def test_serving_pieces(spark):
+    rows = [("g", 1, True, "c1", "x", "p1", "pos"), ("g", 2, True, "c1", "x", "p1", "neg"), ("g", 3, True, "c1", "x", "p2", "neg"), ("g", 4, False, "c1", "x", "p3", "neg"), ("g", 5, True, " ", None, "p4", "pos")]
+    ledger = serving.stress_ledger(spark.createDataFrame(rows, "gene string, screen_id int, hit boolean, condition string, class string, paper string, sign string"), ["gene"])
+    got = {r.condition: (r["class"], r.direction, r.net, r.n_papers, r.n_screens, r.n_agree) for r in ledger.collect()}
+    assert got == {"c1": ("x", "mixed", 0, 2, 3, 1), "unspecified condition": ("other", "resist", 1, 1, 1, 1)}
+    screens = spark.createDataFrame([("human", "stress", "FULL", None, "KO", "HeLa"), ("human", "fitness", "FULL", "RNAi", "KO", "K562")], "organism string, domain string, coverage string, curated_modality string, raw_modality string, cell_type string")
+    count = lambda **k: screens.filter(serving.corpus_filter(**k)).count()
+    assert [count(), count(domains=["stress"]), count(domains=["stress", "fitness", "reporter", "other"]), count(modalities=["KO"]), count(cell_types=["hel"]), count(organism="mouse")] == [2, 1, 2, 1, 1, 0]
+
+
+def test_knowledge_pieces(spark):
+    dep = knowledge.dependency_summary(spark.createDataFrame([(1, "m1", -1.2), (1, "m2", -0.6), (2, "m1", 0.1), (2, "m2", None), (3, "m1", -0.7), (3, "m2", 0.2)], "gene_id long, model string, value double"))
+    assert {r.gene_id: (r.n_models, r.n_dependent, r.n_strong, r.lowest_model, r["class"]) for r in dep.collect()} == {1: (2, 2, 1, "m1", "common_essential"), 2: (1, 0, 0, "m1", "non_essential"), 3: (2, 1, 0, "m1", "selective")}
+    by_rule = spark.createDataFrame([(1, "baseline", "none", "proliferation", "stress"), (2, "signal", "UNRESOLVED", "UNRESOLVED", "stress"), (3, "signal", "UNRESOLVED", "UNRESOLVED", None)], "screen_id int, condition_class string, growth_direction string, readout_type string, current_domain string")
+    reviewed = spark.createDataFrame([(2, "suppressing", "survival", "s", "auto"), (3, "promoting", "survival", "", "open")], "screen_id int, growth_direction string, readout_type string, sign_convention string, status string")
+    merged = {r.screen_id: (r.readout_type, r.source, r.status, r.new_domain, r.domain_changed) for r in knowledge.merge_facets(by_rule, reviewed).collect()}
+    assert merged == {1: ("proliferation", "rule", "auto", "fitness", True), 2: ("survival", "reviewed", "auto", "stress", False), 3: ("UNRESOLVED", "in review", "needs_review", None, False)}
+    terms = spark.createDataFrame([("A", 0.01, 50.0), ("B", 0.9, 300.0), ("C", 0.04, 120.0), ("D", 0.05, 1.0)], "term string, adj_p double, combined double")
+    assert [r.term for r in knowledge.enriched_terms(terms).collect()] == ["C", "A", "D"]
+    predictions = spark.createDataFrame([(1, "accept", "high", ["a", "z"]), (2, "accept", "high", ["q"]), (3, "reject", "high", ["a"])], "id int, verdict string, confidence string, cited array<string>")
+    supporters = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, gene string")
+    assert [tuple(r) for r in knowledge.filter_predictions(predictions, supporters).collect()] == [(1, "accept", "moderate", ["a"])]
