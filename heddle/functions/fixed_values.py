@@ -122,3 +122,29 @@ PROCESS_FRAMINGS = [
     r"(?i)^regulators?\s+of\s+",
     r"(?i)^genes?\s+(involved\s+in|for|regulating)\s+",
 ]
+
+# Directions proposed for a screen apply from this confidence; core-essential genes that may veto them, and where.
+DIRECTION_CONFIDENCE = 0.7
+CORE_ESSENTIAL = ["POLR2A", "POLR2L", "RPL3", "RPL4", "RPS11", "EIF4A3", "PSMB3", "PSMA1", "SNRNP200", "CDK1"]
+VIABILITY_MARKERS = ["prolifer", "viab", "fitness", "growth", "essential", "dropout", "depletion"]
+# Modality and sign of a methodology.
+MODALITIES = {"Knockout": ("KO", -1), "Inhibition": ("CRISPRi", -1), "Activation": ("CRISPRa", 1)}
+# What kind of comparison a score type allows; others are unknown.
+SCORE_BUCKETS = {
+    "Log2FC": "effect", "Log2": "effect", "Z-score": "effect", "pos Z-score": "effect",
+    "MaGeCK Score": "effect", "MAGeCK neg score": "effect", "MAGeCK pos score": "effect",
+    "STARS Score": "effect", "CasTLE Score": "effect", "CasTLE Effect": "effect",
+    "CRISPR Score (CS)": "effect", "Beta Score": "effect", "CERES score": "effect",
+    "Depletion-Enrichment (DE) score": "effect",
+    "p-Value": "significance", "FDR": "significance", "Bayes Factor": "significance",
+    "Rank": "rank",
+    "Read counts": "unusable",
+}
+# What requests may name.
+SYMBOL_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,39}$"
+SCREEN_ID_PATTERN = r"^[0-9]{1,9}$"
+CONTEXT_PATTERN = r"^[A-Za-z0-9:·._-]{1,40}$"
+ORGANISM_ALIASES = {
+    "human": "human", "homo sapiens": "human", "hsapiens": "human", "hs": "human", "9606": "human",
+    "mouse": "mouse", "mus musculus": "mouse", "mmusculus": "mouse", "mm": "mouse", "10090": "mouse",
+}

@@ -189,10 +189,32 @@ def prediction_confidence(n_layers: Column, n_support: Column) -> Column:
     )
 
 
-def override_status(mode: Column, confidence: Column, has_scores: Column) -> Column:
-    """Of a proposed direction: auto when confident and defined, binary_only without scores, else needs_review."""
-    sure = (confidence == "high") & (mode != "UNDEFINED")
-    return F.when(~has_scores, "binary_only").when(sure, "auto").otherwise("needs_review")
+def override_status(mode: Column, confidence: Column, unresolved: Column) -> Column:
+    """Of a proposed direction: binary_only without a continuous score, auto when defined and confident, else needs_review."""
+    sure = (mode != "UNDEFINED") & (F.coalesce(confidence, F.lit(0.0)) >= V.DIRECTION_CONFIDENCE)
+    return F.when(unresolved, "binary_only").when(sure, "auto").otherwise("needs_review")
+
+
+def is_viability_knockout(methodology: Column, phenotype: Column, rationale: Column) -> Column:
+    """Whether core-essential genes must be at the negative end of a screen."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(phenotype, F.lit("")), F.coalesce(rationale, F.lit(""))))
+    return (_clean(methodology) == "knockout") & _has_any(text, V.VIABILITY_MARKERS)
+
+
+def score_bucket(label: Column) -> Column:
+    """effect, significance, rank, unusable or unknown; labels must match exactly."""
+    found = F.lit("unknown")
+    for bucket in sorted(set(V.SCORE_BUCKETS.values())):
+        found = F.when(label.isin([k for k, v in V.SCORE_BUCKETS.items() if v == bucket]), bucket).otherwise(found)
+    return found
+
+
+def modality(methodology: Column) -> Column:
+    """Struct of modality and sign; unknown methodologies stand for themselves, with sign 0."""
+    found = F.struct(F.coalesce(F.nullif(methodology, F.lit("")), F.lit("unknown")).alias("modality"), F.lit(0).alias("sign"))
+    for name, (kind, sign) in V.MODALITIES.items():
+        found = F.when(methodology == name, F.struct(F.lit(kind).alias("modality"), F.lit(sign).alias("sign"))).otherwise(found)
+    return found
 
 
 def organism(name: Column, default: str | None = "human") -> Column:

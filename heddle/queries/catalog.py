@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heddle.functions import rules, scores
 from heddle.functions.stats import hypergeom_sf
 from heddle.operators import graph, pairwise, upsert, windows
-from heddle.plans import harmonize, knowledge, networks, serving, similarity, warehouse
+from heddle.plans import details, harmonize, knowledge, networks, serving, similarity, warehouse
 from heddle.queries.bindings import BEST, EDGES, OBS, SCORED, SCREENS, best, edges, observations, scored, screens, table
 from heddle.streaming.ingest import windowed_counts
 
@@ -813,3 +813,107 @@ def node_sets(spark, d):
     parts = [("gene", a.union(b).distinct()), ("both", a.intersect(b)), ("only", a.subtract(b))]
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n") for name, df in parts]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+# ---- details
+
+
+@query(f"""WITH {SCORED}, {SCREENS}, c AS (SELECT gene, count(DISTINCT screen_id) AS screens, count(DISTINCT screen_id) FILTER (hit) AS hit_screens, avg(percentile) FILTER (hit) AS m FROM scored GROUP BY 1),
+p AS (SELECT DISTINCT gene, CAST(pmid AS VARCHAR) AS pmid, cell_line FROM scored JOIN screens USING (screen_id) WHERE hit), k AS (SELECT gene, min(pmid || '/' || cell_line) AS first_citation FROM p GROUP BY 1)
+SELECT gene, screens, hit_screens, round(coalesce(m, 0), 6) + 0 AS correlation, round(10.0 / log10(hit_screens + 2), 2) AS dark_score, hit_screens > 50 AS is_bright, first_citation FROM c LEFT JOIN k USING (gene)""")
+def gene_details(spark, d):
+    papers = screens(spark, d).select("screen_id", F.col("pmid"), F.col("cell_line").alias("author"))
+    found = details.gene_details(scored(spark, d), papers)
+    first = F.array_min(F.transform("citations", lambda c: F.concat_ws("/", c["pmid"], c["author"])))
+    return found.select("gene", "screens", "hit_screens", r6("correlation").alias("correlation"), "dark_score", "is_bright", first.alias("first_citation"))
+
+
+@query(f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE gene <= 200 AND percentile IS NOT NULL), m AS (SELECT x.gene AS a, y.gene AS b, count(*) AS n, sum(x.percentile) AS sx, sum(y.percentile) AS sy, sum(x.percentile * y.percentile) AS sxy, sum(x.percentile ** 2) AS sxx, sum(y.percentile ** 2) AS syy
+FROM f x JOIN f y ON x.screen_id = y.screen_id AND x.gene < y.gene AND (x.hit OR y.hit) GROUP BY ALL HAVING count(*) >= 8)
+SELECT a, b, n, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 5) + 0 AS r FROM m WHERE n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0""")
+def anchored_correlations(spark, d):
+    found = details.anchored_correlations(scored(spark, d).filter("gene <= 200"), 8)
+    return found.select("a", "b", "n", (F.round("r", 5) + F.lit(0.0)).alias("r"))
+
+
+@query(f"""WITH {EGO}, {SCORED}, {SCREENS}, lean AS (SELECT gene, avg(percentile) AS m FROM scored JOIN screens USING (screen_id) WHERE domain = 'fitness' GROUP BY 1)
+SELECT node, round(m, 3) AS mean_percentile, CASE WHEN m < -0.15 THEN 'essential' WHEN m > 0.15 THEN 'advantageous' WHEN m IS NOT NULL THEN 'mixed' ELSE 'unknown' END AS lean, node = 17 AS focus FROM nodes LEFT JOIN lean ON gene = node""")
+def coloured_network(spark, d):
+    fitness = _by_organism(spark, d).filter("domain = 'fitness'").groupBy("gene").agg(F.avg("percentile").alias("mean_percentile"))
+    return details.coloured_nodes(graph.neighbourhood(edges(spark, d), 17).select("node"), fitness, 17)
+
+
+@query(f"""WITH {EDGES}, w AS (SELECT a, b, strength, reciprocal FROM edges UNION ALL SELECT b, a, strength, reciprocal FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY strength DESC, b) AS rank FROM w),
+t AS (SELECT r.*, CASE WHEN reciprocal = 1 AND (r.a + r.b) % 3 = 0 THEN 1 WHEN reciprocal = 1 THEN 2 WHEN (r.a + r.b) % 3 = 0 THEN 3 ELSE 4 END AS tier FROM r WHERE rank <= 18 AND a <= 300)
+SELECT a AS gene, b AS partner, CAST(rank AS INTEGER) AS rank, CAST(tier AS INTEGER) AS tier, CASE WHEN (a + b) % 3 = 0 THEN 1.5 END AS fold, p_type AS term FROM t JOIN part ON p_partkey = b""")
+def partner_dossiers(spark, d):
+    e = edges(spark, d)
+    cohits = e.filter("(a + b) % 3 = 0").select("a", "b", F.lit(1.5).alias("fold"))
+    part = table(spark, d, "part")
+    terms = part.select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("term"), F.lit(True).alias("positive"))
+    pathways = part.select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("pathway"))
+    lean = part.select(F.col("p_partkey").alias("gene"), F.lit(0.0).alias("mean_percentile"))
+    found = details.dossiers(e, cohits, terms, pathways, lean).filter("gene <= 300")
+    return found.select("gene", "partner", "rank", "tier", "fold", F.col("terms")[0].alias("term"))
+
+
+@query(f"""WITH {BEST}, {SCREENS}, h AS (SELECT gene, domain AS phenotype, condition FROM best JOIN screens USING (screen_id) WHERE hit), n AS (SELECT gene, phenotype, count(*) AS n FROM h GROUP BY ALL),
+c AS (SELECT gene, phenotype, condition, count(*) AS k FROM h GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY gene, phenotype ORDER BY k DESC, condition) AS r FROM c)
+SELECT gene, phenotype, n, condition AS first_condition, k AS times FROM n JOIN t USING (gene, phenotype) WHERE r = 1""")
+def hit_facets(spark, d):
+    rows = best(spark, d).filter("hit").join(screens(spark, d), "screen_id").select("gene", "screen_id", F.col("domain").alias("phenotype"), "condition", F.col("cell_line").alias("cell_type"))
+    return details.hit_facets(rows).select("gene", "phenotype", "n", F.col("condition")[0]["value"].alias("first_condition"), F.col("condition")[0]["n"].alias("times"))
+
+
+@query(f"""WITH {SCREENS}, {BEST}, h AS (SELECT screen_id, count(*) FILTER (hit) AS n FROM best GROUP BY 1) SELECT screen_id, cell_line, n AS n_hits FROM screens JOIN h USING (screen_id)
+WHERE screen_id % 2 = 0 AND (contains(lower(replace(replace(cell_line, '-', ''), ' ', '')), '00001') OR contains(lower(cell_line), '0000-1') OR contains(lower(condition), '0000-1') OR starts_with(CAST(screen_id AS VARCHAR), '0000-1')) ORDER BY n DESC, screen_id LIMIT 8""")
+def screen_suggestions(spark, d):
+    hits = best(spark, d).groupBy("screen_id").agg(F.count_if("hit").cast("string").alias("number_of_hits"))
+    rows = screens(spark, d).join(hits, "screen_id").withColumns({"phenotype": F.lit(None).cast("string"), "author": F.lit("")})
+    found = details.suggest_screens(rows, screens(spark, d).filter("screen_id % 2 = 0"), "0000-1")
+    return found.select("screen_id", "cell_line", F.col("number_of_hits").cast("long").alias("n_hits"))
+
+
+@query(f"""WITH {SCORED}, {SCREENS}, u AS (SELECT screen_id, count(percentile) AS n_genes FROM scored GROUP BY 1), m AS (SELECT s.screen_id, domain, coverage, CASE screen_id % 3 WHEN 0 THEN 'Knockout' WHEN 1 THEN 'Activation' ELSE 'Other' END AS methodology FROM screens s)
+SELECT m.screen_id, domain, CASE methodology WHEN 'Knockout' THEN 'KO' WHEN 'Activation' THEN 'CRISPRa' ELSE methodology END AS modality, CAST(CASE methodology WHEN 'Knockout' THEN -1 WHEN 'Activation' THEN 1 ELSE 0 END AS INTEGER) AS sign,
+CASE WHEN domain = 'stress' THEN 'CDK' END AS mechanism, coverage, coalesce(n_genes, 0) AS n_genes FROM m LEFT JOIN u USING (screen_id)""")
+def screen_contexts(spark, d):
+    k = F.col("screen_id") % 3
+    rows = screens(spark, d).withColumns({"methodology": F.when(k == 0, "Knockout").when(k == 1, "Activation").otherwise("Other"), "class": F.when(F.col("domain") == "stress", "drug").otherwise("baseline"), "condition": F.lit("palbociclib 1uM")})
+    found = details.screen_contexts(rows, scored(spark, d))
+    return found.select("screen_id", "domain", "modality", "sign", "mechanism", "coverage", "n_genes")
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT screen_id, count(percentile) AS n_panel, avg(percentile) AS panel_mean FROM scored WHERE gene % 40 = 3 GROUP BY 1)
+SELECT s_suppkey AS screen_id, n_panel, round(panel_mean, 6) + 0 AS panel_mean, coalesce(s_suppkey % 2 = 0 AND n_panel >= 3 AND panel_mean > 0, false) AS conflict FROM supplier LEFT JOIN m ON screen_id = s_suppkey""")
+def direction_vetoes(spark, d):
+    supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("screen_id"))
+    described = supplier.withColumns({"methodology": F.when(F.col("screen_id") % 2 == 0, "Knockout").otherwise("Inhibition"), "phenotype": F.lit("cell proliferation"), "rationale": F.lit(None).cast("string")})
+    panel = table(spark, d, "part").filter("p_partkey % 40 = 3").select(F.col("p_partkey").alias("gene"))
+    found = details.veto_directions(scored(spark, d), described, supplier, panel)
+    return found.select("screen_id", "n_panel", r6("panel_mean").alias("panel_mean"), "conflict")
+
+
+@query(f"""WITH {BEST}, {SCREENS}, al AS (SELECT p_partkey AS gene_id, count(DISTINCT p_brand) AS n_aliases FROM part GROUP BY 1), h AS (SELECT gene AS gene_id, count(*) AS n_hits, count(DISTINCT domain) AS n_phenotypes FROM best JOIN screens USING (screen_id) WHERE hit GROUP BY 1)
+SELECT p_partkey AS gene_id, p_name AS symbol, n_aliases, coalesce(n_hits, 0) AS n_hits, coalesce(n_phenotypes, 0) AS n_phenotypes, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS n_terms FROM part JOIN al ON al.gene_id = p_partkey LEFT JOIN h ON h.gene_id = p_partkey""")
+def gene_bundles(spark, d):
+    part = table(spark, d, "part")
+    genes = part.select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("symbol"))
+    terms = part.select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("term"), F.lit("bp").alias("namespace"), F.when(F.col("p_partkey") % 4 == 0, "NOT|involved_in").alias("qualifier"))
+    hits = best(spark, d).filter("hit").join(screens(spark, d), "screen_id").select(F.col("gene").alias("gene_id"), F.col("domain").alias("phenotype"))
+    links = edges(spark, d).select("a", "b", F.col("strength").alias("combined_score"))
+    found = details.gene_bundle(genes, part.select(F.col("p_partkey").alias("gene_id"), F.col("p_brand").alias("alias")), terms, links, hits)
+    size = lambda c: F.greatest(F.size(F.col(c)), F.lit(0))
+    return found.select("gene_id", "symbol", size("aliases").cast("long").alias("n_aliases"), "n_hits", F.coalesce(size("phenotypes"), F.lit(0)).cast("long").alias("n_phenotypes"), F.coalesce(size("terms"), F.lit(0)).alias("n_terms"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'verified', 'high', 2), (2, 'rejected:not-novel', 'high', 2), (3, 'single-supporter', 'moderate', 1), (4, 'verified', 'moderate', 1), (5, 'rejected:no-verifiable-support', 'low', 0), (6, 'verified', 'low', 2)) v(id, verdict, confidence, n_support)""")
+def prediction_verdicts(spark, d):
+    dossier = spark.createDataFrame(
+        [(1, "a", 0.9, 1, 1, ["t"]), (1, "b", 0.8, 1, 2, ["t"]), (1, "c", 0.7, 0, 3, ["t"]), (1, "x", 0.6, 0, 4, ["t"]), (1, "y", 0.5, 0, 4, ["t"]), (1, "z", 0.5, 0, 4, [])],
+        "gene int, partner string, strength double, reciprocal int, tier int, terms array<string>",
+    ).withColumn("pathways", F.array().cast("array<string>"))
+    cases = [(1, 1, "new one", ["a", "b", "q"]), (1, 2, " Known ", ["a", "b"]), (1, 3, "three", ["c", "c"]), (1, 4, "four", ["a", "z"]), (1, 5, "five", ["z"]), (1, 6, "six", ["x", "y"]), (1, 7, " ", ["a"])]
+    predictions = spark.createDataFrame(cases, "gene int, id int, name string, cited array<string>")
+    own = spark.createDataFrame([(1, "known")], "gene int, name string")
+    return details.weigh_predictions(predictions, dossier, own).select("id", "verdict", "confidence", F.col("n_support").cast("int").alias("n_support"))
