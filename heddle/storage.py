@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in tests.
-LOCAL_SHARED_DIR = "file:///tmp/checkpoints/heddle"
+LOCAL_SHARED_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    """This application's folder below the shared one, which ``spark.checkpoint.dir`` names."""
+    top = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    return f"{top}/heddle-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -20,3 +21,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete all tables that this application has written so; results that read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
