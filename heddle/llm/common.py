@@ -4,24 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_SHARED_DIR = "file:///tmp/checkpoints/heddle"
+from heddle.storage import written  # noqa: F401  operators take it from here
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
-
-
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python in batches of ``rows`` at most, which bounds what a worker and Arrow's buffers hold."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -38,17 +31,6 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    It cuts the lineage: whoever is lost afterwards, the rows are read again rather than computed again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
