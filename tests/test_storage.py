@@ -1,13 +1,9 @@
-from heddle.storage import clean, shared_dir, written
+from heddle import storage
 
 
-def test_written_tables_follow_the_setting_and_are_cleaned(spark, tmp_path):
-    top = f"file://{tmp_path}/shared"
-    spark.conf.set("spark.checkpoint.dir", top)
-    try:
-        df = written(spark.range(5), "numbers")
-        assert df.count() == 5 and shared_dir(spark).startswith(top)
-        assert [p for p in (tmp_path / "shared").rglob("*.parquet")]
-        assert clean(spark) and not [p for p in (tmp_path / "shared").rglob("*.parquet")]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_written_tables_are_in_one_folder_and_cleaned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "LOCAL_SHARED_DIR", f"file://{tmp_path}/shared")
+    df = storage.written(spark.range(5), "numbers")
+    assert df.count() == 5 and spark.sparkContext.applicationId in storage.shared_dir(spark)
+    assert list((tmp_path / "shared").rglob("*.parquet"))
+    assert storage.clean(spark) and not list((tmp_path / "shared").rglob("*.parquet"))
