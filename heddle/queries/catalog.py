@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import rules, scores
-from heddle.functions.stats import hypergeom_sf
+from heddle.functions.stats import correlation_p, hypergeom_sf
 from heddle.operators import graph, pairwise, upsert, windows
-from heddle.plans import details, harmonize, knowledge, networks, serving, similarity, warehouse
+from heddle.plans import details, harmonize, knowledge, networks, serving, similarity, upload, warehouse
 from heddle.queries.bindings import BEST, EDGES, OBS, SCORED, SCREENS, best, edges, observations, scored, screens, table
+from heddle.sources import screens as screen_files
+from heddle.storage import written
 from heddle.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -917,3 +919,135 @@ def prediction_verdicts(spark, d):
     predictions = spark.createDataFrame(cases, "gene int, id int, name string, cited array<string>")
     own = spark.createDataFrame([(1, "known")], "gene int, name string")
     return details.weigh_predictions(predictions, dossier, own).select("id", "verdict", "confidence", F.col("n_support").cast("int").alias("n_support"))
+
+
+# ---- uploads, on files whose answers are written down
+
+UPLOADS = {
+    "counts": "id\tnum\tneg|score\tneg|lfc\n" + "".join(f"G{i}\t4\t0.{i}\t-{i}.5\n" for i in range(1, 8)),
+    "ranked": "Gene,q-value,p-value,LFC,Rank\n" + "".join(f"G{i},0.1,0.2,{i - 3},{i}\n" for i in range(6)),
+    "contrast": "gene\tbaseMean\tlog2FoldChange\tlfcSE\tpadj\n" + "".join(f"G{i}\t9\t{i}\t1\tNA\n" for i in range(1, 6)),
+    "deposited": "#SCREEN_ID\tOFFICIAL_SYMBOL\tSCORE.1\tHIT\n# note\n" + "".join(f"1\tG{i}\t{'-' if i == 4 else i - 2}\tYES\n" for i in range(5)),
+    "plain": "gene_symbol,score\n" + "".join(f"'ATG{i}',-{i}.25\n" for i in range(1, 6)) + ",1\n",
+    "short": "gene,score\nA,1\nB,2\n",
+}
+
+
+def _uploads(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(UPLOADS.items()), "file string, text string")
+
+
+@query("""SELECT * FROM (VALUES ('counts', 'MAGECK', 'id', 'neg|lfc', 0.95), ('ranked', 'STARS', 'Gene', 'LFC', 0.95), ('contrast', 'DESEQ2', 'gene', 'log2FoldChange', 0.95),
+('deposited', 'ORCS', 'OFFICIAL_SYMBOL', 'SCORE.1', 0.95), ('plain', 'SIMPLE', 'gene_symbol', 'score', 0.95), ('short', 'SIMPLE', 'gene', 'score', 0.95)) v(file, format, id_column, score_column, c), LATERAL (SELECT CAST(c AS DOUBLE) AS confidence)""".replace("SELECT * FROM", "SELECT file, format, id_column, score_column, confidence FROM"))
+def upload_formats(spark, d):
+    return upload.detect(_uploads(spark)).select("file", *[F.col(f"found.{c}").alias(c) for c in ("format", "id_column", "score_column", "confidence")])
+
+
+@query("""SELECT file, n_genes, hit_count, coverage, direction FROM (VALUES ('counts', 7, -1, 'FULL', 'depletion'), ('ranked', 6, -1, 'FULL', 'bidirectional'), ('contrast', 5, -1, 'FULL', 'enrichment'),
+('deposited', 5, 5, 'HITS_ONLY', 'bidirectional'), ('plain', 5, -1, 'FULL', 'depletion')) v(file, n_genes, hit_count, coverage, direction)""")
+def upload_signals(spark, d):
+    return upload.signals(upload.parse_genes(_uploads(spark))[0]).withColumn("hit_count", F.coalesce("hit_count", F.lit(-1)))
+
+
+@query("""SELECT file, n_genes, n_skipped, n_without_score, accepted FROM (VALUES ('counts', 7, 0, 0, true), ('ranked', 6, 0, 0, true), ('contrast', 5, 0, 0, true), ('deposited', 5, 0, 0, true), ('plain', 5, 1, 0, true), ('short', 2, 0, 0, false)) v(file, n_genes, n_skipped, n_without_score, accepted)""")
+def upload_reports(spark, d):
+    return upload.parse_genes(_uploads(spark))[1].drop("warnings")
+
+
+@query("""SELECT symbol, resolved, mapped FROM (VALUES ('9474', 'ATG5', true), ('1', '1', false), ('ENSG00000057663.12', 'ATG5', true), ('Irgm1', 'IRGM', true), ('Abc', 'ABC', false)) v(symbol, resolved, mapped)""")
+def upload_resolution(spark, d):
+    walk = spark.createDataFrame([("entrez", "9474", "ATG5"), ("ensembl", "ENSG00000057663", "ATG5"), ("ortholog", "Irgm1", "IRGM")], "kind string, id string, target string")
+    genes = spark.createDataFrame([("9474",), ("1",), ("ENSG00000057663.12",), ("Irgm1",), ("Abc",)], "symbol string")
+    return upload.resolve_ids(genes, walk, "Mouse").select("symbol", "resolved", "mapped")
+
+
+@query("SELECT name, symbol FROM (VALUES ('Trp53', 'Trp53'), ('atg5', 'ATG5'), ('irgm', 'Irgm')) v(name, symbol)")
+def known_casings(spark, d):
+    names = spark.createDataFrame([("Trp53",), ("atg5",), ("irgm",), ("none",)], "name string")
+    return details.known_casing(names, spark.createDataFrame([("Trp53",), ("TRP53",), ("ATG5",), ("Irgm",)], "symbol string"))
+
+
+@query("""SELECT screen_id, gene, CAST(harmonized AS DOUBLE) AS harmonized FROM (VALUES (1, 'a', 2.0), (1, 'b', NULL), (1, 'c', -3.0), (2, 'a', NULL), (2, 'b', NULL), (2, 'c', NULL), (3, 'a', 2.0), (3, 'b', -1.0), (3, 'c', -3.0), (4, 'a', 3.0), (4, 'b', 0.0), (4, 'c', -2.0)) v(screen_id, gene, harmonized)""")
+def harmonized_overrides(spark, d):
+    rows = [(s, g, x, "1.0", None, None, None, "NO") for s in (1, 2, 3, 4) for g, x in (("a", "-2.0"), ("b", "1.0"), ("c", "3.0"))]
+    scores_ = spark.createDataFrame(rows, "screen_id long, gene string, score_1 string, score_2 string, score_3 string, score_4 string, score_5 string, hit string")
+    kinds = {1: "Log10", 2: "Log2FC", 3: "Bayes Factor", 4: "any"}
+    metadata = spark.createDataFrame([(s, t, "other", "", "", "", "Phenotype Screen", "Knockout", "") for s, t in kinds.items()], "screen_id long, type_1 string, type_2 string, type_3 string, type_4 string, type_5 string, screen_type string, methodology string, library_type string")
+    overrides = spark.createDataFrame([(1, "signed", "negate", "low", 1, True, 1.0), (2, "broken", "quarantine", "high", 1, None, None)], harmonize.OVERRIDES_SCHEMA)
+    directions = spark.createDataFrame([(4, "PAIR", None, 2, 1, "high", "auto"), (3, "SINGLE", 1, None, None, "low", "needs_review")], harmonize.DIRECTIONS_SCHEMA)
+    return harmonize.harmonize(scores_, metadata, overrides, directions).select("screen_id", "gene", "harmonized")
+
+
+# ---- small relational pieces
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS largest FROM customer")
+def counts_per_row(spark, d):
+    counted = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("largest"))
+    return table(spark, d, "customer").select("c_custkey").join(counted, "c_custkey", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY TRY_CAST(CASE WHEN p_size % 5 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS INTEGER) DESC NULLS LAST, p_partkey LIMIT 50")
+def numeric_order_of_text(spark, d):
+    part = table(spark, d, "part").withColumn("size", F.when(F.col("p_size") % 5 == 0, "n/a").otherwise(F.col("p_size").cast("string")))
+    return part.orderBy(F.col("size").try_cast("int").desc_nulls_last(), "p_partkey").limit(50).select("p_partkey", "p_retailprice")
+
+
+@query("SELECT l_suppkey AS model, l_partkey AS gene_id, max(l_quantity) AS value FROM lineitem WHERE l_partkey BETWEEN 1 AND 20 GROUP BY ALL")
+def unpivoted_models(spark, d):
+    rows = table(spark, d, "lineitem").filter("l_partkey between 1 and 20")
+    wide = rows.groupBy(F.col("l_suppkey").alias("model_id")).pivot("l_partkey", list(range(1, 21))).agg(F.max("l_quantity"))
+    wide = wide.toDF("model_id", *[f"GENE{i} ({i})" for i in range(1, 21)])
+    return screen_files.unpivot_models(wide, "model_id").filter("value is not null")
+
+
+@query("SELECT p_name AS term, adj_p, combined FROM (SELECT p_name, p_size / 1000.0::DOUBLE AS adj_p, p_retailprice AS combined FROM part) WHERE adj_p <= 0.02 ORDER BY combined DESC, p_name LIMIT 15")
+def enriched_terms(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_name").alias("term"), (F.col("p_size") / 1000.0).alias("adj_p"), F.col("p_retailprice").alias("combined"))
+    return knowledge.enriched_terms(rows, most_p=0.02)
+
+
+@query(f"WITH {EDGES}, w AS (SELECT a, b, CASE WHEN support % 2 = 0 THEN -strength ELSE strength END AS rho FROM edges), n AS (SELECT CASE WHEN a = 17 THEN b ELSE a END AS node, rho FROM w WHERE a = 17 OR b = 17) SELECT node, round(rho, 6) AS rho FROM n WHERE node % 2 = 1")
+def connected_genes(spark, d):
+    signed = edges(spark, d).select("a", "b", F.when(F.col("support") % 2 == 0, -F.col("strength")).otherwise(F.col("strength")).alias("rho"))
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 2 == 1, "gene").otherwise("screen").alias("kind"))
+    return details.connected(signed, nodes, 17, "gene").select("node", r6("rho").alias("rho"))
+
+
+@query("SELECT id, CAST(p AS DOUBLE) AS p FROM (VALUES (1, 0.073388), (2, 0.5), (3, 1.0), (4, 0.0), (5, 0.001917)) v(id, p)")
+def correlation_p_values(spark, d):
+    rows = [(1, 2 / 14**0.5, 12.0), (2, 0.5**0.5, 3.0), (3, 0.0, 30.0), (4, 1.0, 9.0), (5, 0.65, 20.0)]
+    df = spark.createDataFrame(rows, "id int, r double, n double")
+    return df.select("id", F.round(correlation_p("r", "n"), 6).alias("p"))
+
+
+@query(f"SELECT version_id, organism, CASE WHEN organism = 'human' THEN version_id = 1 ELSE is_current END AS is_current FROM (SELECT version_id, organism, CASE WHEN organism = 'human' THEN version_id = 2 ELSE is_current END AS is_current FROM {CONTROL})")
+def rollback_version(spark, d):
+    versions, runs = _control(spark)
+    return warehouse.rollback(warehouse.promote(versions, runs, 2), runs, "human")
+
+
+@query(f"WITH {SCREENS} SELECT domain, count(*) AS n_screens, count(*) >= 25 AS has_power FROM screens GROUP BY domain")
+def context_power(spark, d):
+    return details.context_power(screens(spark, d), "domain", 25)
+
+
+@query("""SELECT screen_id, source, status, new_domain, domain_changed FROM (VALUES (1, 'rule', 'auto', 'fitness', true), (2, 'reviewed', 'auto', 'stress', false), (3, 'in review', 'needs_review', 'stress', false), (4, 'rule', 'auto', 'reporter', true)) v(screen_id, source, status, new_domain, domain_changed)""")
+def merged_facets(spark, d):
+    rows = [(1, "baseline", "none", "proliferation", "stress"), (2, "signal", "UNRESOLVED", "UNRESOLVED", "stress"), (3, "signal", "UNRESOLVED", "UNRESOLVED", "stress"), (4, "binding", "suppressing", "binding", "fitness")]
+    by_rule = spark.createDataFrame(rows, "screen_id int, condition_class string, growth_direction string, readout_type string, current_domain string")
+    reviewed = spark.createDataFrame([(2, "suppressing", "survival", "s", "auto"), (3, "promoting", "survival", "", "open")], "screen_id int, growth_direction string, readout_type string, sign_convention string, status string")
+    return knowledge.merge_facets(by_rule, reviewed).select("screen_id", "source", "status", "new_domain", "domain_changed")
+
+
+@query()
+def screen_similarity_without_component(spark, d):
+    few = scored(spark, d).filter("screen_id <= 40").select("screen_id", "gene", "percentile")
+    v, su = networks.leading_component(written(networks.centred(few), "few"), rounds=6)
+    return similarity.screen_similarity(similarity.without_component(few, v, su), min_overlap=50)
+
+
+@query(f"WITH {SCORED} SELECT screen_id, count(*) AS n, round(sum(percentile), 6) + 0 AS total, round(sum(percentile ** 2), 6) AS squares FROM scored GROUP BY screen_id")
+def shuffled_null(spark, d):
+    null = networks.shuffled(scored(spark, d).select("screen_id", "gene", "percentile"))
+    return null.groupBy("screen_id").agg(F.count("*").alias("n"), r6(F.sum("percentile")).alias("total"), r6(F.sum(F.col("percentile") * F.col("percentile"))).alias("squares"))
