@@ -1014,7 +1014,7 @@ def connected_genes(spark, d):
     return details.connected(signed, nodes, 17, "gene").select("node", r6("rho").alias("rho"))
 
 
-@query("SELECT id, CAST(p AS DOUBLE) AS p FROM (VALUES (1, 0.073388), (2, 0.5), (3, 1.0), (4, 0.0), (5, 0.001917)) v(id, p)")
+@query("SELECT id, CAST(p AS DOUBLE) AS p FROM (VALUES (1, 0.073388), (2, 0.5), (3, 1.0), (4, 0.0), (5, 0.00192)) v(id, p)")
 def correlation_p_values(spark, d):
     rows = [(1, 2 / 14**0.5, 12.0), (2, 0.5**0.5, 3.0), (3, 0.0, 30.0), (4, 1.0, 9.0), (5, 0.65, 20.0)]
     df = spark.createDataFrame(rows, "id int, r double, n double")
