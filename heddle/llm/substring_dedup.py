@@ -35,7 +35,7 @@ BLOCK_BYTES = 4 << 20  # of text in a block
 ROWS = 2  # of the sketch
 CELLS_PER_BYTE = 0.75  # of each row: four or more per word
 SHARD_BITS = 22  # cells of a shard, as a power of two
-EXACT_SHARD_BYTES = 24 << 20  # of text whose candidate windows meet in one shard
+EXACT_SHARD_BYTES = 6 << 20  # of text whose candidate windows meet in one shard
 
 _MESSAGE = "block long, kind int, shard long, answer binary"
 
