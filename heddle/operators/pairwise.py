@@ -17,22 +17,23 @@ from heddle.functions.stats import correlation_p, hypergeom_sf
 MOMENTS = ["n", "sx", "sy", "sxy", "sxx", "syy"]
 
 
-def pair_moments(values: DataFrame, item: str, member: str, value: str, within: list[str] | None = None, keep: Column | None = None) -> DataFrame:
+def pair_moments(values: DataFrame, item: str, member: str, value: str, within: list[str] | None = None, part: Column | None = None) -> DataFrame:
     """Rows (a, b, n, sx, sy, sxy, sxx, syy) for a < b over shared members; ``within``: columns that must agree.
 
-    ``keep`` is a condition on x and y, for sums over part of the members only.
+    ``part`` is a condition on x and y: the same sums over the members that meet it come with the prefix ``part_``,
+    from the same join.
     """
     within = within or []
     rows = values.filter(F.col(value).isNotNull())
     left = rows.select(*within, F.col(member).alias("m"), F.col(item).alias("a"), F.col(value).alias("x"))
     right = rows.select(*within, F.col(member).alias("m"), F.col(item).alias("b"), F.col(value).alias("y"))
     pairs = left.join(right, [*within, "m"]).filter("a < b")
-    if keep is not None:
-        pairs = pairs.filter(keep)
-    return pairs.groupBy(*within, "a", "b").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-    )
+    x, y = F.col("x"), F.col("y")
+    terms = {"n": F.lit(1), "sx": x, "sy": y, "sxy": x * y, "sxx": x * x, "syy": y * y}
+    sums = [F.sum(e).alias(c) for c, e in terms.items()]
+    if part is not None:
+        sums += [F.coalesce(F.sum(F.when(part, e)), F.lit(0)).alias(f"part_{c}") for c, e in terms.items()]
+    return pairs.groupBy(*within, "a", "b").agg(*sums)
 
 
 def blocked_moments(values: DataFrame, item: str, member: str, value: str, item_blocks: int = 8, member_blocks: int = 16) -> DataFrame:
@@ -116,17 +117,15 @@ def item_correlations(
     sizes = rows.groupBy(*within, item).agg(F.count("*").alias("size"))
     a_size = sizes.select(*within, F.col(item).alias("a"), F.col("size").alias("a_size"))
     b_size = sizes.select(*within, F.col(item).alias("b"), F.col("size").alias("b_size"))
-    tails = pair_moments(rows, item, member, value, within, (F.abs("x") > tail) | (F.abs("y") > tail))
-    tails = tails.filter(F.col("n") >= min_tail).select(*within, "a", "b", pearson().alias("tail_rho"))
-    kept = pair_moments(rows, item, member, value, within).filter(F.col("n") >= min_overlap).withColumn("rho", pearson())
-    kept = kept.filter(F.abs("rho") >= min_rho)
+    sums = pair_moments(rows, item, member, value, within, (F.abs("x") > tail) | (F.abs("y") > tail))
+    kept = sums.filter(F.col("n") >= min_overlap).withColumn("rho", pearson()).filter(F.abs("rho") >= min_rho)
+    tail_rho = F.when(F.col("part_n") >= min_tail, pearson(*[f"part_{c}" for c in MOMENTS]))
     return (
         kept.join(a_size, [*within, "a"])
         .join(b_size, [*within, "b"])
-        .join(tails, [*within, "a", "b"], "left")
         .select(
             *within, "a", "b", "n", "rho", correlation_p("rho", F.col("n").cast("double")).alias("p"),
-            (F.col("n") / F.least("a_size", "b_size")).alias("overlap_fraction"), "tail_rho",
+            (F.col("n") / F.least("a_size", "b_size")).alias("overlap_fraction"), tail_rho.alias("tail_rho"),
         )
     )
 
