@@ -34,7 +34,7 @@ BLOCK = 50  # tokens
 
 #: A band needs so many labelled rows; it is so many standard deviations wide on either side.
 MIN_LABELLED = 30
-ENTROPY_WIDTH, CHARS_WIDTH, FALLBACK_WIDTH = 6.0, 9.0, 9.0
+ENTROPY_WIDTH, CHARS_WIDTH, FALLBACK_WIDTH = 6.5, 10.0, 10.0
 #: The share of byte-fallback tokens that any band allows beyond its mean.
 MIN_FALLBACK_SLACK = 0.05
 #: Bands are broadcast up to this many of them.
@@ -175,12 +175,16 @@ def _figures(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.Da
         out["fallback_share"] = in_bytes / np.maximum(sizes, 1)
         out["token_entropy"] = block_entropies(ids, sizes)
         out["script"] = scripts
+        out["length"] = np.minimum(np.log2(np.maximum(-(-sizes // BLOCK), 1)).astype(np.int32), LONGEST)
         yield out
     give_back()
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _FIGURES = ["chars_per_token", "fallback_share", "token_entropy"]
+#: Lengths of texts that have bands of their own: by doublings of the number of blocks, the last one open.
+LONGEST = 4
+ANY_LENGTH = -1
 
 
 def measure(
@@ -190,7 +194,7 @@ def measure(
     lang_col: str = "lang",
     vocabulary: str = VOCABULARY,
 ) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, lang, the five counts, the three figures, script.
+    """Per row of ``docs``: ``id_col``, lang, the five counts, the three figures, script, length (a class of 0 to 4).
 
     Defined results: a null text counts as empty, which has zeros and the script ``other``. Other columns are ignored.
     """
@@ -201,7 +205,7 @@ def measure(
     fields = [rows.schema["id"], rows.schema["lang"]]
     fields += [T.StructField(c, T.LongType()) for c in _COUNTS]
     fields += [T.StructField(c, T.DoubleType()) for c in _FIGURES]
-    fields.append(T.StructField("script", T.StringType()))
+    fields += [T.StructField("script", T.StringType()), T.StructField("length", T.IntegerType())]
     measured = rows.mapInPandas(lambda batches: _figures(batches, vocabulary), T.StructType(fields))
     return measured.withColumnRenamed("id", id_col)
 
@@ -213,18 +217,17 @@ def base_failed() -> Column:
 def fit_bands(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", min_labelled: int = MIN_LABELLED) -> DataFrame:
     """Bands from all measured rows that are labelled as good (1) and pass the base rules.
 
-    Columns by (``lang`` or ``script``), name, min_chars, max_chars, max_fallback and min_entropy. Languages
-    and scripts with fewer than ``min_labelled`` such rows have no band. Labels with a null id or quality don't count.
+    Columns by (``lang`` or ``script``), name, length, min_chars, max_chars, max_fallback and min_entropy. There is
+    one band per length, as figures of short texts vary more, and one for any length. Those with fewer than
+    ``min_labelled`` such rows are left out. Labels with a null id or quality don't count.
     """
     good = pick(labels, id=id_col, quality=quality_col).filter("quality = 1").select(F.col("id").alias(id_col)).distinct()
     rows = measured.filter(~base_failed()).join(good, id_col, "left_semi")
-    named = rows.select(
-        F.explode(F.array(F.struct(F.lit("lang").alias("by"), F.col("lang").alias("name")), F.struct(F.lit("script").alias("by"), F.col("script").alias("name")))).alias("band"),
-        *_FIGURES,
-    ).filter("band.name is not null")
+    names = [F.struct(F.lit(by).alias("by"), F.col(by).alias("name"), length.alias("length")) for by in ("lang", "script") for length in (F.col("length"), F.lit(ANY_LENGTH))]
+    named = rows.select(F.explode(F.array(*names)).alias("band"), *_FIGURES).filter("band.name is not null")
     spread = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
     return (
-        named.groupBy("band.by", "band.name")
+        named.groupBy("band.by", "band.name", "band.length")
         .agg(
             F.count("*").alias("n"),
             (F.mean("chars_per_token") - CHARS_WIDTH * spread("chars_per_token")).alias("min_chars"),
@@ -240,26 +243,29 @@ def fit_bands(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
 def judge(measured: DataFrame, bands: DataFrame) -> DataFrame:
     """``measured`` with base_failed and kept.
 
-    The band of the language decides, else that of the script; a row that has neither is kept unless the base
-    rules fail it.
+    The band of the language and length decides, else that of the language, else those of the script; a row that
+    has none is kept unless the base rules fail it.
     """
     if bands.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
         bands = F.broadcast(bands)
     limits = F.struct("min_chars", "max_chars", "max_fallback", "min_entropy")
-    of_lang = bands.filter("by = 'lang'").select(F.col("name").alias("lang"), limits.alias("lang_band"))
-    of_script = bands.filter("by = 'script'").select(F.col("name").alias("script"), limits.alias("script_band"))
-    band = F.coalesce("lang_band", "script_band")
+    joined, found = measured, []
+    for by in ("lang", "script"):
+        own = bands.filter(F.col("by") == by)
+        exact = own.filter(F.col("length") != ANY_LENGTH).select(F.col("name").alias(by), "length", limits.alias(f"{by}_band"))
+        whole = own.filter(F.col("length") == ANY_LENGTH).select(F.col("name").alias(by), limits.alias(f"{by}_any"))
+        joined = joined.join(exact, [by, "length"], "left").join(whole, by, "left")
+        found += [f"{by}_band", f"{by}_any"]
+    band = F.coalesce(*found)
     inside = (
         F.col("chars_per_token").between(band["min_chars"], band["max_chars"])
         & (F.col("fallback_share") <= band["max_fallback"])
         & (F.col("token_entropy") >= band["min_entropy"])
     )
     return (
-        measured.join(of_lang, "lang", "left")
-        .join(of_script, "script", "left")
-        .withColumn("base_failed", base_failed())
+        joined.withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-        .drop("lang_band", "script_band")
+        .drop(*found)
     )
 
 
