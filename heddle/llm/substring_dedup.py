@@ -42,7 +42,7 @@ _MESSAGE = "block long, kind int, shard long, answer binary"
 
 def _pack(values: np.ndarray) -> bytes:
     """Numbers as planes of their bytes, compressed: the high bytes of small numbers take next to nothing."""
-    planes = values.view(np.uint8).reshape(len(values), -1).T
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 

@@ -59,6 +59,9 @@ def _segments(texts: list[bytes]):
     held, size = [], 0
     for k, text in enumerate(texts):
         at = 0
+        if len(text) > _SEGMENT and held:  # words come in the order of texts
+            yield held
+            held, size = [], 0
         while len(text) - at > _SEGMENT:
             stop = at + _SEGMENT
             while stop < len(text) and not BLANKS[text[stop]]:

@@ -57,6 +57,15 @@ def test_substring_dedup(docs, rows, window, block, bits):
     assert plain(got) == brute_substrings(named, window)
 
 
+def test_substring_dedup_of_texts_longer_than_a_segment(spark):
+    r = random.Random(9)
+    ws = [f"w{r.randrange(10**6)}" for _ in range(60_000)]  # about 450 KB
+    texts = ["first " * 5, " ".join(ws), "x " + " ".join(ws[100:160]) + " y", " ".join(ws[:30]) + " z"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert plain(got) == brute_substrings(rows, 20)
+
+
 def test_substring_dedup_without_ids_and_empty(docs, empty):
     got = substring_dedup.remove_repeats(docs.filter("doc_id is null"), window=3).collect()
     assert sorted(r.n_words for r in got) == [0, 20] and {r.doc_id for r in got} == {None}
