@@ -27,10 +27,13 @@ def best_observation(df: DataFrame, keys: list[str], hit: str, score: str, last:
 
 
 def average_rank(value: Column, by: list[str]) -> Column:
-    """Rank from 1 within ``by``, ties sharing their mean rank; null for null."""
-    order = Window.partitionBy(*by, value.isNull()).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return F.when(value.isNotNull(), F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0))
+    """Rank from 1 within ``by``, ties sharing their mean rank; null for null.
+
+    Ties are the peers of one ordered window, so that one exchange and one sort serve both counts.
+    """
+    order = Window.partitionBy(*by).orderBy(value.asc_nulls_last())
+    peers = order.rangeBetween(Window.currentRow, Window.currentRow)
+    return F.when(value.isNotNull(), F.rank().over(order) + (F.count("*").over(peers) - 1) / F.lit(2.0))
 
 
 def add_signed_percentile(df: DataFrame, by: list[str], value: str, out: str = "percentile") -> DataFrame:
