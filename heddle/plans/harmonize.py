@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import rules, scores
 from heddle.operators.windows import add_robust_z, add_signed_percentile
+from heddle.storage import written
 
 SLOTS = [1, 2, 3, 4, 5]
 OVERRIDES_SCHEMA = "screen_id long, semantics string, transform string, confidence string, slot int, is_directional boolean, sentinel double"
@@ -45,26 +46,30 @@ def decide(metadata: DataFrame, statistics: DataFrame, overrides: DataFrame, dir
         .join(overrides.withColumnsRenamed({"confidence": "sem_confidence", "slot": "sem_slot"}), "screen_id", "left")
         .join(directions.filter("status = 'auto'").withColumnsRenamed({"confidence": "dir_confidence"}).drop("status"), "screen_id", "left")
     )
-    used = lambda i: F.col(f"stat_{i}").isNotNull()
-    joined = joined.withColumns({f"role_{i}": F.when(used(i), rules.score_role(F.col(f"type_{i}"))) for i in SLOTS})
-    joined = joined.withColumns({f"pair_{i}": F.when(used(i), rules.pair_member(F.col(f"type_{i}"))) for i in SLOTS})
-    role, pair = ({i: F.col(f"{name}_{i}") for i in SLOTS} for name in ("role", "pair"))
+    # The rules run over arrays of the five slots, so that a plan holds each of them once.
+    slots = joined.withColumns({"stats": F.array(*[F.col(f"stat_{i}") for i in SLOTS]), "types": F.array(*[F.coalesce(f"type_{i}", F.lit("")) for i in SLOTS])})
+    used = lambda i: F.get("stats", i).isNotNull()
+    ruled = slots.withColumns(
+        {
+            "roles": F.transform("types", lambda t, i: F.when(used(i), rules.score_role(t))),
+            "pairs": F.transform("types", lambda t, i: F.when(used(i), rules.pair_member(t))),
+        }
+    )
 
-    def first(condition) -> Column:
-        return F.coalesce(*[F.when(condition(i), F.lit(i)) for i in SLOTS])
+    def first(array: str, fits) -> Column:
+        """The first slot (from 1) whose element fits."""
+        found = F.array_position(F.transform(array, lambda x: F.coalesce(fits(x), F.lit(False))), F.lit(True))
+        return F.nullif(found, F.lit(0)).cast("int")
 
-    chosen = joined.select(
+    chosen = ruled.select(
         "*",
-        first(lambda i: pair[i]["side"] == "pos").alias("pos"),
-        first(lambda i: pair[i]["side"] == "neg").alias("neg"),
-        first(lambda i: role[i].isin("DIR_POS", "DIR_NEG")).alias("directional"),
-        first(lambda i: role[i] == "AMBIGUOUS_LOG").alias("ambiguous"),
-        first(lambda i: role[i] == "SIG_MAG").alias("magnitude"),
-        first(lambda i: role[i] == "SIG_P").alias("p"),
-        F.array(*[role[i] for i in SLOTS]).alias("roles"),
-        F.array(*[pair[i]["p_like"] for i in SLOTS]).alias("p_likes"),
-        F.array(*[F.col(f"stat_{i}") for i in SLOTS]).alias("stats"),
-        F.array(*[F.coalesce(F.col(f"type_{i}"), F.lit("")) for i in SLOTS]).alias("types"),
+        first("pairs", lambda x: x["side"] == "pos").alias("pos"),
+        first("pairs", lambda x: x["side"] == "neg").alias("neg"),
+        first("roles", lambda x: x.isin("DIR_POS", "DIR_NEG")).alias("directional"),
+        first("roles", lambda x: x == "AMBIGUOUS_LOG").alias("ambiguous"),
+        first("roles", lambda x: x == "SIG_MAG").alias("magnitude"),
+        first("roles", lambda x: x == "SIG_P").alias("p"),
+        F.col("pairs.p_like").alias("p_likes"),
         rules.selection_sign(F.col("screen_type")).alias("selection"),
     )
     at = lambda array, slot: F.get(F.col(array), F.col(slot) - 1)
@@ -138,7 +143,8 @@ def harmonize(rows: DataFrame, metadata: DataFrame, overrides: DataFrame | None
     overrides = overrides if overrides is not None else spark.createDataFrame([], OVERRIDES_SCHEMA)
     directions = directions if directions is not None else spark.createDataFrame([], DIRECTIONS_SCHEMA)
     numbers = numeric_scores(rows)
-    ways = decide(metadata, column_statistics(numbers), overrides, directions)
+    # One row per screen; and scores that sizes, medians and ranks all read: both are stored rather than computed again.
+    ways = written(decide(metadata, column_statistics(numbers), overrides, directions), "ways")
     joined = numbers.join(ways, "screen_id")
     slots = F.array(*[F.col(f"s{i}") for i in SLOTS])
     x, y = F.get(slots, F.col("slot") - 1), F.get(slots, F.col("second") - 1)
@@ -156,7 +162,7 @@ def harmonize(rows: DataFrame, metadata: DataFrame, overrides: DataFrame | None
         "screen_id", "gene", (raw * F.col("factor") * F.col("perturbation")).alias("harmonized"),
         (F.upper(F.trim(F.coalesce("hit", F.lit("")))) == "YES").cast("int").alias("is_hit"), "basis", "reason",
     )
-    return rank_scores(scored).select("screen_id", "gene", "harmonized", "percentile", "robust_z", "is_hit", "basis", F.coalesce("reason", "note").alias("note"))
+    return rank_scores(written(scored, "scored")).select("screen_id", "gene", "harmonized", "percentile", "robust_z", "is_hit", "basis", F.coalesce("reason", "note").alias("note"))
 
 
 def rank_scores(scored: DataFrame) -> DataFrame:
