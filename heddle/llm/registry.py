@@ -20,7 +20,9 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_topk_search": topk_search.OP10_SQL,
 }

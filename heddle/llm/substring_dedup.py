@@ -235,3 +235,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove windows of 20 words that start earlier elsewhere from every document."""
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM words WHERE len(ws) >= {WINDOW})),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + shift) AS places FROM later, range({WINDOW}) s(shift) GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM words),
+covered AS (SELECT doc_id, unnest(places) AS i, true AS c FROM gone),
+kept AS (
+  SELECT doc_id, count(*) FILTER (c) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (c IS NULL) AS text
+  FROM each LEFT JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
