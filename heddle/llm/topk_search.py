@@ -114,7 +114,8 @@ def best_of_block(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataF
         scores = _scores(np.array(part["qv"].tolist(), np.int64).reshape(-1, dim), vectors)
         own = part["query_id"].to_numpy()[:, None] == ids[None, :]
         if np.abs(scores).max() < _KEYED:
-            keys = np.where(own, np.iinfo(np.int64).min, scores * n + (n - 1 - np.arange(n)))
+            # own rows come last: the least long that can be negated, as that of int64.min is itself
+            keys = np.where(own, np.iinfo(np.int64).min + 1, scores * n + (n - 1 - np.arange(n)))
             top = np.argpartition(-keys, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), keys.shape)
         else:
             top = np.lexsort((np.broadcast_to(np.arange(n), scores.shape), -scores, own), axis=1)[:, :k]

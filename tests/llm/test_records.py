@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,23 @@ def test_connected_components(spark):
     got = connected_components(spark.createDataFrame(pairs, "a long, b long"))
     assert {(x.node, x.component) for x in got.collect()} == {(x, find(x)) for x in list(root)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("pivots,block", [(1, 4096), (4, 4096), (4, 64)])
+def test_topk_search_fills_all_places_from_the_own_block(spark, pivots, block):
+    r = np.random.default_rng(2)
+    centres = 20 * np.eye(4)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(100)]  # equal
+    rows += [(1000 + i, (centres[i % 4] + 0.05 * r.normal(size=4)).tolist()) for i in range(240)]  # tight clusters
+    rows += [(1000, rows[130][1]), (1000, rows[134][1])]  # one id, several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk_search.search(df, lambda i: i % 4 == 0, n_pivots=pivots, block_rows=block).collect()]
+    want = brute_search(rows, 20)
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_best_of_block_has_k_rows_beside_the_own_one():
+    data = pd.DataFrame({"id": np.arange(100), "v": [[1, 2]] * 100})
+    queries = pd.DataFrame({"query_id": [0, 50], "qhash": [1, 2], "qv": [[1, 2]] * 2})
+    got = topk_search.best_of_block(queries, data, 20)
+    assert sorted(got[got.query_id == 0].vec_id) == list(range(1, 21)) and sorted(got[got.query_id == 50].vec_id) == list(range(20))
