@@ -30,6 +30,13 @@ def query(sql: str | None = None):
     return register
 
 
+def whole(name: str, cut: str) -> None:
+    """Register query ``name`` over all ids as well, as NAME_whole; its SQL lacks the range of ids ``cut``."""
+    assert cut in ORACLE_SQL[name]
+    QUERIES[f"{name}_whole"] = lambda spark, d: QUERIES[name](spark, d, ids="true")
+    ORACLE_SQL[f"{name}_whole"] = ORACLE_SQL[name].replace(cut, "")
+
+
 def r6(c) -> F.Column:
     """To six digits; no negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -345,11 +352,14 @@ def screen_correlations(spark, d):
 @query(f"""WITH {SCORED}, few AS (SELECT * FROM scored WHERE screen_id <= 60)
 SELECT x.screen_id AS a, y.screen_id AS b, count(*) AS n, round(sum(x.percentile * y.percentile), 6) + 0 AS sxy, round(sum(x.percentile), 6) + 0 AS sx, round(sum(y.percentile ** 2), 6) AS syy
 FROM few x JOIN few y ON x.gene = y.gene AND x.screen_id < y.screen_id GROUP BY ALL""")
-def blocked_screen_moments(spark, d):
-    few = scored(spark, d).filter("screen_id <= 60")
+def blocked_screen_moments(spark, d, ids="screen_id <= 60"):
+    few = scored(spark, d).filter(ids)
     return pairwise.blocked_moments(few, "screen_id", "gene", "percentile").select("a", "b", "n", *[r6(c).alias(c) for c in ("sxy", "sx", "syy")])
 
 
+whole("blocked_screen_moments", " WHERE screen_id <= 60")
+
+
 @query(f"""WITH {SCORED}, w AS (SELECT x.screen_id AS a, y.screen_id AS b, x.percentile AS p, y.percentile AS q, abs(x.percentile * y.percentile) AS w FROM scored x JOIN scored y ON x.gene = y.gene AND x.screen_id < y.screen_id),
 s AS (SELECT a, b, count(*) AS n, sum(w) AS w, sum(w * p) AS wx, sum(w * q) AS wy, sum(w * p * q) AS wxy, sum(w * p * p) AS wxx, sum(w * q * q) AS wyy, sum(p) AS x, sum(q) AS y, sum(p * q) AS xy, sum(p * p) AS xx, sum(q * q) AS yy FROM w GROUP BY ALL)
 SELECT a, b, n, round((w * wxy - wx * wy) / sqrt((w * wxx - wx * wx) * (w * wyy - wy * wy)), 6) AS r, round((n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)), 6) AS r_plain FROM s WHERE n >= 130""")
@@ -381,30 +391,33 @@ cp AS (SELECT a, b, cohit, n, a_hits, b_hits, a_hits * b_hits / n AS expected, s
 
 
 @query(f"WITH {COHIT} SELECT a, b, cohit, n, a_hits, b_hits, round(expected, 6) AS expected, round(cohit / expected, 6) AS fold, round(p, 6) AS p, round(concordance, 6) AS concordance FROM cp")
-def cohit_pairs(spark, d):
-    found = pairwise.cohit_pairs(scored(spark, d).filter("gene <= 300"), "gene", "screen_id", "percentile", "hit", 3)
+def cohit_pairs(spark, d, ids="gene <= 300"):
+    found = pairwise.cohit_pairs(scored(spark, d).filter(ids), "gene", "screen_id", "percentile", "hit", 3)
     return found.withColumns({c: r6(c) for c in ("expected", "fold", "p", "concordance")})
 
 
 @query(f"""WITH {COHIT}, ways AS (SELECT a, b, cohit, expected, p, n, concordance FROM cp UNION ALL SELECT b, a, cohit, expected, p, n, concordance FROM cp),
 rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(p, 12), cohit DESC, b) AS rn FROM ways), best25 AS (SELECT * FROM rk WHERE rn <= 25)
 SELECT least(x.a, x.b) AS a, greatest(x.a, x.b) AS b, max(x.cohit) AS cohit, max(CASE WHEN y.a IS NULL THEN 0 ELSE 1 END) AS reciprocal FROM best25 x LEFT JOIN best25 y ON y.a = x.b AND y.b = x.a GROUP BY 1, 2""")
-def cohit_best_partners(spark, d):
-    pairs = pairwise.cohit_pairs(scored(spark, d).filter("gene <= 300"), "gene", "screen_id", "percentile", "hit", 3)
+def cohit_best_partners(spark, d, ids="gene <= 300"):
+    pairs = pairwise.cohit_pairs(scored(spark, d).filter(ids), "gene", "screen_id", "percentile", "hit", 3)
     both = pairs.select("a", "b", "cohit", "p").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cohit", "p"))
     top = windows.add_reciprocal(windows.top_k(both, ["a"], [F.round("p", 12), F.desc("cohit"), F.col("b")], 25), "a", "b")
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cohit", "reciprocal").distinct()
 
 
+whole("cohit_pairs", " WHERE gene <= 300")
+whole("cohit_best_partners", " WHERE gene <= 300")
+
+
 @query()
 def cohit_network(spark, d):
-    return networks.cohit_network(scored(spark, d).filter("gene <= 300"), tested=2000, alpha=0.5)
+    return networks.cohit_network(scored(spark, d), alpha=0.5)
 
 
 @query()
 def coessential_network(spark, d):
-    few = scored(spark, d).filter("gene <= 200")
-    return networks.coessential_network(few, min_screens=3, min_support=5, hit_min=2, min_coverage=0.1, min_corr=0.2, fdr=2.0)
+    return networks.coessential_network(scored(spark, d), min_screens=3, min_support=5, hit_min=2, min_coverage=0.1, min_corr=0.2, fdr=2.0)
 
 
 @query(f"""WITH {SCORED}, k AS (SELECT * FROM scored WHERE gene <= 300), g AS (SELECT gene, avg(percentile) AS mu FROM k GROUP BY gene HAVING count(*) >= greatest(20, floor(0.11 * (SELECT count(DISTINCT screen_id) FROM k)))),
@@ -412,11 +425,14 @@ c AS (SELECT gene, screen_id, percentile - mu AS x FROM k JOIN g USING (gene)),
 dd AS (SELECT p.gene AS a, q.gene AS b, sum(p.x * q.x) AS dot FROM c p JOIN c q ON p.screen_id = q.screen_id AND p.gene != q.gene GROUP BY ALL),
 rr AS (SELECT a, b, dot / sqrt(x.q * y.q) AS r FROM dd JOIN nn x ON x.gene = a JOIN nn y ON y.gene = b)
 SELECT a AS gene, b AS neighbour, round(r, 6) AS r FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rn FROM rr WHERE r >= 0.25) WHERE rn <= 14""")
-def profile_neighbours(spark, d):
-    found = networks.profile_neighbours(scored(spark, d).filter("gene <= 300"), least=20)
+def profile_neighbours(spark, d, ids="gene <= 300"):
+    found = networks.profile_neighbours(scored(spark, d).filter(ids), least=20)
     return found.select("gene", "neighbour", r6("r").alias("r"))
 
 
+whole("profile_neighbours", " WHERE gene <= 300")
+
+
 SIMILAR = f"""{SCORED}, few AS (SELECT * FROM scored WHERE screen_id <= 60), pr AS (SELECT x.screen_id AS a, y.screen_id AS b, count(*) AS n, sum(x.percentile) AS sx, sum(y.percentile) AS sy, sum(x.percentile * y.percentile) AS sxy, sum(x.percentile ** 2) AS sxx, sum(y.percentile ** 2) AS syy
 FROM few x JOIN few y ON x.gene = y.gene AND x.screen_id != y.screen_id WHERE x.screen_id = 5 GROUP BY ALL HAVING count(*) >= 50),
 rs AS (SELECT b AS screen_b, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r, n AS overlap FROM pr),
@@ -424,12 +440,15 @@ zs AS (SELECT *, (r - avg(r) OVER ()) / stddev_pop(r) OVER () AS z FROM rs)"""
 
 
 @query(f"WITH {SIMILAR} SELECT screen_b, round(r, 6) AS r, overlap, round(z, 5) AS z FROM zs WHERE screen_b // 10 != 0")
-def similar_screens(spark, d):
-    pairs = similarity.screen_similarity(scored(spark, d).filter("screen_id <= 60"), min_overlap=50)
+def similar_screens(spark, d, ids="screen_id <= 60"):
+    pairs = similarity.screen_similarity(scored(spark, d).filter(ids), min_overlap=50)
     found = similarity.similar_screens(pairs, screens(spark, d).select("screen_id", "pmid"), 5, exclude_same_study=True)
     return found.select("screen_b", r6("r").alias("r"), "overlap", F.round("z", 5).alias("z"))
 
 
+whole("similar_screens", " WHERE screen_id <= 60")
+
+
 # ---- graphs
 
 
@@ -454,9 +473,12 @@ na AS (SELECT f.a, f.b, w.b AS c FROM few f JOIN way w ON w.a = f.a WHERE w.b !=
 x AS (SELECT a, b, count(*) AS k FROM na JOIN nb USING (a, b, c) GROUP BY ALL), p AS (SELECT a, b, count(*) AS k FROM na GROUP BY ALL), q AS (SELECT a, b, count(*) AS k FROM nb GROUP BY ALL)
 SELECT f.a, f.b, coalesce(round(coalesce(x.k, 0) / nullif(coalesce(p.k, 0) + coalesce(q.k, 0) - coalesce(x.k, 0), 0), 3), 0.0) AS jaccard
 FROM few f LEFT JOIN x ON x.a = f.a AND x.b = f.b LEFT JOIN p ON p.a = f.a AND p.b = f.b LEFT JOIN q ON q.a = f.a AND q.b = f.b""")
-def neighbourhood_jaccard(spark, d):
+def neighbourhood_jaccard(spark, d, ids="a <= 200"):
     e = edges(spark, d)
-    return graph.neighbourhood_jaccard(e, e.filter("a <= 200").select("a", "b"))
+    return graph.neighbourhood_jaccard(e, e.filter(ids).select("a", "b"))
+
+
+whole("neighbourhood_jaccard", " WHERE a <= 200")
 
 
 @query(f"""WITH {EDGES}, {BEST}, hits AS (SELECT * FROM best WHERE hit), ch AS (SELECT x.gene AS a, y.gene AS b FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL HAVING count(*) >= 6),
@@ -721,8 +743,8 @@ def predicted_terms(spark, d):
 l AS (SELECT a, c / sqrt(p.n * q.n) AS lift, CASE WHEN x.p_size % 10 = y.p_size % 10 THEN 1 ELSE 0 END AS label FROM c JOIN h p ON p.gene = a JOIN h q ON q.gene = b JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b),
 r AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY lift) + (count(*) OVER (PARTITION BY a, lift) - 1) / 2.0 AS rk FROM l), s AS (SELECT a, sum(label) AS p, count(*) - sum(label) AS n, coalesce(sum(rk) FILTER (label = 1), 0) AS rs FROM r GROUP BY a)
 SELECT a AS gene, round((rs - p * (p + 1) / 2) / (p * n), 6) AS auroc FROM s WHERE p > 0 AND n > 0""")
-def backtest_auroc(spark, d):
-    hits = best(spark, d).filter("hit and gene <= 200").select("screen_id", "gene")
+def backtest_auroc(spark, d, ids="gene <= 200"):
+    hits = best(spark, d).filter(f"hit and {ids}").select("screen_id", "gene")
     sizes = hits.groupBy("gene").agg(F.count("*").alias("n"))
     pairs = hits.withColumnRenamed("gene", "a").join(hits.withColumnRenamed("gene", "b"), "screen_id").filter("a != b").groupBy("a", "b").agg(F.count("*").alias("c"))
     sized = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 10).alias("group"))
@@ -734,6 +756,9 @@ def backtest_auroc(spark, d):
     return windows.auroc(lift, ["gene"], "lift", "label").filter("auroc is not null").withColumn("auroc", r6("auroc"))
 
 
+whole("backtest_auroc", " AND gene <= 200")
+
+
 # ---- significance, and thresholds
 
 
@@ -833,11 +858,14 @@ def gene_details(spark, d):
 @query(f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE gene <= 200 AND percentile IS NOT NULL), m AS (SELECT x.gene AS a, y.gene AS b, count(*) AS n, sum(x.percentile) AS sx, sum(y.percentile) AS sy, sum(x.percentile * y.percentile) AS sxy, sum(x.percentile ** 2) AS sxx, sum(y.percentile ** 2) AS syy
 FROM f x JOIN f y ON x.screen_id = y.screen_id AND x.gene < y.gene AND (x.hit OR y.hit) GROUP BY ALL HAVING count(*) >= 8)
 SELECT a, b, n, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 5) + 0 AS r FROM m WHERE n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0""")
-def anchored_correlations(spark, d):
-    found = details.anchored_correlations(scored(spark, d).filter("gene <= 200"), 8)
+def anchored_correlations(spark, d, ids="gene <= 200"):
+    found = details.anchored_correlations(scored(spark, d).filter(ids), 8)
     return found.select("a", "b", "n", (F.round("r", 5) + F.lit(0.0)).alias("r"))
 
 
+whole("anchored_correlations", "gene <= 200 AND ")
+
+
 @query(f"""WITH {EGO}, {SCORED}, {SCREENS}, lean AS (SELECT gene, avg(percentile) AS m FROM scored JOIN screens USING (screen_id) WHERE domain = 'fitness' GROUP BY 1)
 SELECT node, round(m, 3) AS mean_percentile, CASE WHEN m < -0.15 THEN 'essential' WHEN m > 0.15 THEN 'advantageous' WHEN m IS NOT NULL THEN 'mixed' ELSE 'unknown' END AS lean, node = 17 AS focus FROM nodes LEFT JOIN lean ON gene = node""")
 def coloured_network(spark, d):
@@ -1042,9 +1070,9 @@ def merged_facets(spark, d):
 
 @query()
 def screen_similarity_without_component(spark, d):
-    few = scored(spark, d).filter("screen_id <= 40").select("screen_id", "gene", "percentile")
-    v, su = networks.leading_component(written(networks.centred(few), "few"), rounds=6)
-    return similarity.screen_similarity(similarity.without_component(few, v, su), min_overlap=50)
+    rows = scored(spark, d).select("screen_id", "gene", "percentile")
+    v, su = networks.leading_component(written(networks.centred(rows), "centred"), rounds=6)
+    return similarity.screen_similarity(similarity.without_component(rows, v, su), min_overlap=50)
 
 
 @query(f"WITH {SCORED} SELECT screen_id, count(*) AS n, round(sum(percentile), 6) + 0 AS total, round(sum(percentile ** 2), 6) AS squares FROM scored GROUP BY screen_id")
