@@ -521,20 +521,29 @@ def complex_precision(spark, d):
 @query(f"""WITH {SCORED}, {SCREENS} SELECT gene, domain, count(percentile) AS n, count(*) FILTER (hit) AS n_hits, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate, round(median(percentile), 4) AS median, round(avg(percentile), 4) AS mean,
 round(quantile_cont(percentile, 0.25), 4) AS p25, round(quantile_cont(percentile, 0.75), 4) AS p75, round(min(percentile), 4) AS min, round(max(percentile), 4) AS max,
 CASE WHEN median(percentile) < -0.15 THEN 'essential' WHEN median(percentile) > 0.15 THEN 'advantageous' ELSE 'mixed' END AS lean FROM scored JOIN screens USING (screen_id) WHERE gene <= 500 GROUP BY gene, domain""")
-def gene_summary(spark, d):
-    return serving.summary(_by_organism(spark, d).filter("gene <= 500"), ["gene", "domain"])
+def gene_summary(spark, d, ids="gene <= 500"):
+    return serving.summary(_by_organism(spark, d).filter(ids), ["gene", "domain"])
+
+
+whole("gene_summary", " WHERE gene <= 500")
 
 
 @query(f"""WITH {SCORED}, b AS (SELECT gene, least(CAST(floor((percentile + 1.0::DOUBLE) / (2.0::DOUBLE / 26)) AS INTEGER) + 1, 26) AS bin FROM scored WHERE gene <= 100 AND percentile IS NOT NULL), g AS (SELECT DISTINCT gene FROM b)
 SELECT g.gene, CAST(r.bin AS INTEGER) AS bin, count(b.bin) AS n FROM g CROSS JOIN range(1, 27) r(bin) LEFT JOIN b ON b.gene = g.gene AND b.bin = r.bin GROUP BY ALL""")
-def gene_histogram(spark, d):
-    return serving.gene_histogram(scored(spark, d).filter("gene <= 100"), ["gene"])
+def gene_histogram(spark, d, ids="gene <= 100"):
+    return serving.gene_histogram(scored(spark, d).filter(ids), ["gene"])
+
+
+whole("gene_histogram", "gene <= 100 AND ")
 
 
 @query(f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE gene <= 100), lo AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY percentile, screen_id) AS rank FROM f), hi AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY percentile DESC, screen_id) AS rank FROM f)
 SELECT gene, screen_id, 'essential' AS side, CAST(rank AS INTEGER) AS rank FROM lo WHERE rank <= 10 UNION ALL SELECT gene, screen_id, 'advantageous', CAST(rank AS INTEGER) FROM hi WHERE rank <= 10""")
-def gene_extremes(spark, d):
-    return serving.extremes(scored(spark, d).filter("gene <= 100"), ["gene"]).select("gene", "screen_id", "side", "rank")
+def gene_extremes(spark, d, ids="gene <= 100"):
+    return serving.extremes(scored(spark, d).filter(ids), ["gene"]).select("gene", "screen_id", "side", "rank")
+
+
+whole("gene_extremes", " WHERE gene <= 100")
 
 
 LEDGER = f"""{SCORED}, {SCREENS}, hits AS (SELECT gene, condition, 'drug' AS class, pmid AS paper, screen_id, percentile >= 0 AS pos FROM scored JOIN screens USING (screen_id) WHERE hit AND domain = 'stress'),
@@ -645,12 +654,15 @@ def gene_suggestions(spark, d):
 @query(f"""WITH {INDEX}, names AS (SELECT upper(p_name) AS name FROM part WHERE p_partkey <= 50 UNION SELECT p_brand || '-' || p_size FROM part WHERE p_partkey <= 50),
 j AS (SELECT names.name, gene_id, symbol, CASE WHEN is_alias = 0 AND names.name = symbol THEN 0 WHEN is_alias = 0 THEN 1 ELSE 2 END AS priority FROM names JOIN idx ON term = upper(names.name))
 SELECT name, gene_id, symbol, CAST(priority AS INTEGER) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY priority, gene_id) AS rn FROM j) WHERE rn = 1""")
-def resolve_gene_names(spark, d):
-    part = table(spark, d, "part").filter("p_partkey <= 50")
+def resolve_gene_names(spark, d, ids="p_partkey <= 50"):
+    part = table(spark, d, "part").filter(ids)
     names = part.select(F.upper("p_name").alias("name")).union(part.select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")))).distinct()
     return knowledge.resolve_names(names, _index(spark, d).drop("name"))
 
 
+whole("resolve_gene_names", " WHERE p_partkey <= 50")
+
+
 @query(f"WITH {SCORED}, {SCREENS} SELECT gene, organism, round(avg(percentile), 6) AS mean_percentile, count(*) AS n FROM scored JOIN screens USING (screen_id) WHERE domain = 'fitness' AND percentile IS NOT NULL GROUP BY ALL")
 def fitness_lean(spark, d):
     return knowledge.fitness_lean(_by_organism(spark, d)).withColumn("mean_percentile", r6("mean_percentile"))
@@ -717,28 +729,34 @@ PREDICT = """nb AS (SELECT DISTINCT l_suppkey AS gene, l_partkey AS neighbour, C
 nl AS (SELECT gene, layer, neighbour, max(w) AS w FROM nb GROUP BY ALL), nw AS (SELECT gene, neighbour, sum(w / m) AS weight, list(layer) AS layers FROM (SELECT *, max(w) OVER (PARTITION BY gene, layer) AS m FROM nl) GROUP BY ALL)"""
 
 
-def _layers(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").filter("l_suppkey <= 30")
+def _layers(spark: SparkSession, d: str, ids: str) -> DataFrame:
+    line = table(spark, d, "lineitem").filter(ids)
     rows = line.select(F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("neighbour"), F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("y").alias("layer"), F.col("l_quantity").alias("w"))
     return windows.sum_layers(rows.groupBy("gene", "layer", "neighbour").agg(F.max("w").alias("w")), ["gene"], "layer", "neighbour", "w")
 
 
 @query(f"WITH {PREDICT} SELECT gene, neighbour, round(weight, 6) AS weight, array_to_string(list_sort(layers), '+') AS layers FROM nw")
-def layered_neighbours(spark, d):
-    return _layers(spark, d).select("gene", "neighbour", r6("weight").alias("weight"), F.array_join("layers", "+").alias("layers"))
+def layered_neighbours(spark, d, ids="l_suppkey <= 30"):
+    return _layers(spark, d, ids).select("gene", "neighbour", r6("weight").alias("weight"), F.array_join("layers", "+").alias("layers"))
+
+
+whole("layered_neighbours", " WHERE l_suppkey <= 30")
 
 
 @query(f"""WITH {PREDICT}, an AS (SELECT DISTINCT p_partkey AS gene, p_type || '/' || p_size AS term, p_partkey % 9 != 0 AS positive FROM part), gv AS (SELECT DISTINCT gene AS neighbour, term FROM an WHERE positive),
 sz AS (SELECT term FROM gv GROUP BY 1 HAVING count(*) BETWEEN 2 AND 300), vt AS (SELECT nw.gene, term, sum(weight) AS score, count(DISTINCT neighbour) AS n_support, list_sort(list_distinct(flatten(list(layers)))) AS layers FROM nw JOIN gv USING (neighbour) JOIN sz USING (term) GROUP BY ALL HAVING count(DISTINCT neighbour) >= 2),
 cd AS (SELECT * FROM vt ANTI JOIN an ON an.gene = vt.gene AND an.term = vt.term), rk AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY round(score, 9) DESC, term) AS rank FROM cd)
 SELECT gene, term, round(score, 6) AS score, n_support, CAST(rank AS INTEGER) AS rank, CASE WHEN len(layers) >= 2 AND n_support >= 3 THEN 'high' WHEN n_support >= 4 OR len(layers) >= 2 THEN 'moderate' ELSE 'tentative' END AS confidence FROM rk WHERE rank <= 8""")
-def predicted_terms(spark, d):
+def predicted_terms(spark, d, ids="l_suppkey <= 30"):
     part = table(spark, d, "part")
     annotations = part.select(F.col("p_partkey").alias("gene"), F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("term"), (F.col("p_partkey") % 9 != 0).alias("positive")).distinct()
-    found = serving.predict_terms(_layers(spark, d), annotations, least_size=2)
+    found = serving.predict_terms(_layers(spark, d, ids), annotations, least_size=2)
     return found.select("gene", "term", r6("score").alias("score"), "n_support", "rank", "confidence")
 
 
+whole("predicted_terms", " WHERE l_suppkey <= 30")
+
+
 @query(f"""WITH {BEST}, hits AS (SELECT screen_id, gene FROM best WHERE hit AND gene <= 200), h AS (SELECT gene, count(*) AS n FROM hits GROUP BY 1), c AS (SELECT x.gene AS a, y.gene AS b, count(*) AS c FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene != y.gene GROUP BY ALL),
 l AS (SELECT a, c / sqrt(p.n * q.n) AS lift, CASE WHEN x.p_size % 10 = y.p_size % 10 THEN 1 ELSE 0 END AS label FROM c JOIN h p ON p.gene = a JOIN h q ON q.gene = b JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b),
 r AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY lift) + (count(*) OVER (PARTITION BY a, lift) - 1) / 2.0 AS rk FROM l), s AS (SELECT a, sum(label) AS p, count(*) - sum(label) AS n, coalesce(sum(rk) FILTER (label = 1), 0) AS rs FROM r GROUP BY a)
@@ -779,12 +797,15 @@ def fdr_threshold(spark, d):
 
 @query(f"""WITH c AS (SELECT p_partkey, p_size AS r, p_size // 2 + 5 AS k, p_size // 4 + 1 AS a, 60 AS n FROM part WHERE p_partkey <= 500), t AS (SELECT p_partkey, r, k, n, a, unnest(range(greatest(a, r + k - n), least(r, k) + 1)) AS x FROM c)
 SELECT p_partkey, round(CASE WHEN max(a) <= greatest(0, max(r + k - n)) THEN 1.0 ELSE sum({HYPER.format(n='n', r='r', k='k')}) END, 9) AS p FROM t GROUP BY p_partkey""")
-def hypergeometric_tail(spark, d):
+def hypergeometric_tail(spark, d, ids="p_partkey <= 500"):
     size = F.col("p_size")
-    found = table(spark, d, "part").filter("p_partkey <= 500").select("p_partkey", hypergeom_sf(F.floor(size / 4) + 1, F.lit(60), size, F.floor(size / 2) + 5).alias("p"), F.least(size, F.floor(size / 2) + 5).alias("most"))
+    found = table(spark, d, "part").filter(ids).select("p_partkey", hypergeom_sf(F.floor(size / 4) + 1, F.lit(60), size, F.floor(size / 2) + 5).alias("p"), F.least(size, F.floor(size / 2) + 5).alias("most"))
     return found.filter(F.col("most") >= 1).select("p_partkey", F.round("p", 9).alias("p"))
 
 
+whole("hypergeometric_tail", " WHERE p_partkey <= 500")
+
+
 # ---- rules, on cases whose answers are written down
 
 CASES = {
@@ -876,17 +897,20 @@ def coloured_network(spark, d):
 @query(f"""WITH {EDGES}, w AS (SELECT a, b, strength, reciprocal FROM edges UNION ALL SELECT b, a, strength, reciprocal FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY strength DESC, b) AS rank FROM w),
 t AS (SELECT r.*, CASE WHEN reciprocal = 1 AND (r.a + r.b) % 3 = 0 THEN 1 WHEN reciprocal = 1 THEN 2 WHEN (r.a + r.b) % 3 = 0 THEN 3 ELSE 4 END AS tier FROM r WHERE rank <= 18 AND a <= 300)
 SELECT a AS gene, b AS partner, CAST(rank AS INTEGER) AS rank, CAST(tier AS INTEGER) AS tier, CASE WHEN (a + b) % 3 = 0 THEN 1.5 END AS fold, p_type AS term FROM t JOIN part ON p_partkey = b""")
-def partner_dossiers(spark, d):
+def partner_dossiers(spark, d, ids="gene <= 300"):
     e = edges(spark, d)
     cohits = e.filter("(a + b) % 3 = 0").select("a", "b", F.lit(1.5).alias("fold"))
     part = table(spark, d, "part")
     terms = part.select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("term"), F.lit(True).alias("positive"))
     pathways = part.select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("pathway"))
     lean = part.select(F.col("p_partkey").alias("gene"), F.lit(0.0).alias("mean_percentile"))
-    found = details.dossiers(e, cohits, terms, pathways, lean).filter("gene <= 300")
+    found = details.dossiers(e, cohits, terms, pathways, lean).filter(ids)
     return found.select("gene", "partner", "rank", "tier", "fold", F.col("terms")[0].alias("term"))
 
 
+whole("partner_dossiers", " AND a <= 300")
+
+
 @query(f"""WITH {BEST}, {SCREENS}, h AS (SELECT gene, domain AS phenotype, condition FROM best JOIN screens USING (screen_id) WHERE hit), n AS (SELECT gene, phenotype, count(*) AS n FROM h GROUP BY ALL),
 c AS (SELECT gene, phenotype, condition, count(*) AS k FROM h GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY gene, phenotype ORDER BY k DESC, condition) AS r FROM c)
 SELECT gene, phenotype, n, condition AS first_condition, k AS times FROM n JOIN t USING (gene, phenotype) WHERE r = 1""")
@@ -1029,6 +1053,14 @@ def unpivoted_models(spark, d):
     return screen_files.unpivot_models(wide, "model_id").filter("value is not null")
 
 
+@query("SELECT l_suppkey AS model, l_linenumber AS gene_id, max(l_quantity) AS value FROM lineitem GROUP BY ALL")
+def unpivoted_models_whole(spark, d):
+    """All rows; the wide table's columns are line numbers, of which there are seven."""
+    wide = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("model_id")).pivot("l_linenumber", list(range(1, 8))).agg(F.max("l_quantity"))
+    wide = wide.toDF("model_id", *[f"GENE{i} ({i})" for i in range(1, 8)])
+    return screen_files.unpivot_models(wide, "model_id").filter("value is not null")
+
+
 @query("SELECT p_name AS term, adj_p, combined FROM (SELECT p_name, p_size / 1000.0::DOUBLE AS adj_p, p_retailprice AS combined FROM part) WHERE adj_p <= 0.02 ORDER BY combined DESC, p_name LIMIT 15")
 def enriched_terms(spark, d):
     rows = table(spark, d, "part").select(F.col("p_name").alias("term"), (F.col("p_size") / 1000.0).alias("adj_p"), F.col("p_retailprice").alias("combined"))

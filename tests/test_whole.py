@@ -62,3 +62,15 @@ def test_cohit_network_reaches_far_ids_and_counts_its_tests(spark, tmp_path):
     assert any(min(e) >= FAR for e in found)
     for e, r in found.items():
         assert math.isclose(r.q_ref, min(1, p[e] * tested / len(p)), rel_tol=1e-6)
+
+
+@pytest.mark.parametrize(
+    "name,key",
+    [
+        ("gene_summary", "gene"), ("gene_histogram", "gene"), ("gene_extremes", "gene"), ("partner_dossiers", "gene"), ("resolve_gene_names", "gene_id"),
+        ("layered_neighbours", "gene"), ("predicted_terms", "gene"), ("hypergeometric_tail", "p_partkey"), ("unpivoted_models", "model"),
+    ],
+)
+def test_report_reaches_far_ids(far_dir, name, key):
+    con = connect(far_dir)
+    assert con.sql(f"SELECT count(*) FROM ({ORACLE_SQL[name + '_whole']}) WHERE {key} > {FAR}").fetchall()[0][0] > 0
