@@ -34,7 +34,7 @@ BLOCK = 50  # tokens
 
 #: A band needs so many labelled rows; it is so many standard deviations wide on either side.
 MIN_LABELLED = 30
-ENTROPY_WIDTH, CHARS_WIDTH, FALLBACK_WIDTH = 6.5, 10.0, 10.0
+ENTROPY_WIDTH, CHARS_WIDTH, FALLBACK_WIDTH = 5.0, 10.0, 10.0
 #: The share of byte-fallback tokens that any band allows beyond its mean.
 MIN_FALLBACK_SLACK = 0.05
 #: Bands are broadcast up to this many of them.

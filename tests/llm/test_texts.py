@@ -381,3 +381,13 @@ def test_secret_model_on_held_out_samples(spark, docs):
 
 def test_registered_queries():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 11))
+
+
+def test_quality_rules_reject_low_entropy_and_keep_the_clean_tail(spark):
+    schema = "doc_id long, lang string, n_words long, n_repeat_words long, chars_per_token double, fallback_share double, token_entropy double, script string, length int"
+    good = [(i, "en", 100, 0, 4.0, 0.0, 5.0 + (0.1 if i % 2 else -0.1), "latin", 0) for i in range(400)]
+    cases = [(1000, 5.0 - 0.1 * 4.5, True), (1001, 5.0 - 0.1 * 5.5, False), (1002, 5.0 - 0.1 * 6.2, False)]
+    measured = spark.createDataFrame(good + [(i, "en", 100, 0, 4.0, 0.0, e, "latin", 0) for i, e, _ in cases], schema)
+    labels = spark.createDataFrame([(i, 1) for i in range(400)] + [(1001, 0)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(measured, quality_rules.fit_bands(measured, labels)).collect()}
+    assert all(kept[i] for i in range(400)) and all(kept[i] == want for i, _, want in cases)
