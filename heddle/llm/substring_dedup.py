@@ -1,6 +1,6 @@
 """Substring dedup: words covered by a window of words that also starts earlier are removed.
 
-Documents are dealt into blocks by a hash of their ids. Three passes over the blocks find the repeats:
+Documents are dealt into blocks by a hash of their ids and texts. Three passes over the blocks find the repeats:
 
 1. Each block makes a sketch of its windows: for each row of a count-min sketch the cells its windows fall
    into, once or more often. Sketches are cut into shards by cell and merged shard by shard. A merged cell
@@ -64,8 +64,8 @@ class _Block:
     """The windows of a block's documents, in the order of ids."""
 
     def __init__(self, frame: pd.DataFrame, window: int, bits: int, which: tuple[int, ...] = (0,)):
-        # documents without an id come first, all else by id; rows of one id by their texts
-        frame = frame.sort_values(["missing", "id", "text"], ascending=[False, True, True])
+        # documents without an id come first, all else by id; rows of one id by their hash, as the blocks are
+        frame = frame.sort_values(["missing", "id", "hash", "text"], ascending=[False, True, True, True])
         self.missing, self.ids = frame["missing"].to_numpy(), frame["id"].to_numpy()
         self.texts = [text.encode() for text in frame["text"]]
         self.window, self.bits = window, bits
@@ -125,8 +125,8 @@ def remove_repeats(
     Ids are integers.
 
     Defined results: a null text has no words. Texts shorter than the window stay whole. Rows of one id count as
-    documents of that id in the order of their texts. Rows without an id come before all others, in a fixed
-    order of their own. Other columns are ignored; an empty table gives no rows.
+    documents of that id in the order of a hash of id and text. Rows without an id come before all others, in a
+    fixed order of their own. Other columns are ignored; an empty table gives no rows. Rows alike in id and text share a block.
     """
     text_batches(docs.sparkSession)
     rows = pick(docs, id=id_col, text=text_col).select(
@@ -138,8 +138,10 @@ def remove_repeats(
     blocks = max(1, math.ceil(size / block_bytes))
     bits = max(shard_bits, math.ceil(math.log2(size * CELLS_PER_BYTE + 1)))
     exact_bits = max(0, math.ceil(math.log2(size / exact_shard_bytes + 1e-9))) if size else 0
-    block = F.pmod(F.xxhash64("id", F.when(F.col("missing"), F.col("text"))), F.lit(blocks))
-    blocked = rows.select(block.alias("block"), "missing", "id", "text")
+    # blocks are ranges of the hash, so that their order is that of the rows of one id
+    place = F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * blocks)
+    rows = rows.withColumn("hash", F.xxhash64("id", "text"))
+    blocked = rows.select(F.least(place, F.lit(blocks - 1)).alias("block"), "missing", "id", "hash", "text")
 
     def sketch(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         held = _Block(frame, window, bits)

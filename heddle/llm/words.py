@@ -1,19 +1,23 @@
-"""Hashes of words and of windows of words, over whole batches of texts at a time.
+"""Hashes of words, of windows of words and of whole texts, over batches of texts at a time.
 
-A hash is a polynomial in a random odd base over random numbers per byte, modulo 2**64, taken from one
-running sum over the batch; a finishing step mixes its bits. Two of them with different numbers make 128 bits.
+A hash has two halves of 64 bits. A word's is taken eight bytes at a time, a window's from those of shorter
+windows, each time by a multiplication, a sum and a mixing step that is not linear, so that no pattern of
+repeated letters or words cancels. Long words and whole texts take BLAKE2b digests. Of 10**13 different windows
+two share both halves with a probability of about 10**-13, so that equal hashes count as equal words.
 """
 
 from __future__ import annotations
 
-import functools
+from hashlib import blake2b
 
 import numpy as np
 
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_SEGMENT = 1 << 18  # bytes hashed at a time
-_ODD = [(0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
+_SEGMENT = 1 << 18  # bytes taken apart at a time
+_LONG = 128  # bytes; longer words are hashed one by one
+_SEEDS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
+_FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,35 +29,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@functools.cache
-def _bytes_table(which: int) -> np.ndarray:
-    return np.random.default_rng(1000 + which).integers(1, 2**64, 256, np.uint64, endpoint=False)
-
-
-@functools.cache
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _powers_of(base: int, size: int) -> np.ndarray:
-    return _powers(base, 1 << max(12, int(size - 1).bit_length()))[:size]
-
-
-def _inverse(base: int) -> int:
-    return pow(base, -1, 2**64)
-
-
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers_of(base, len(values)), out=total[1:])
-    return (total[ends] - total[starts]) * _powers_of(_inverse(base), len(values) + 1)[starts]
-
-
 def _segments(texts: list[bytes]):
     """Stretches of the texts, each ending between words: lists of (text number, stretch)."""
     held, size = [], 0
@@ -78,12 +53,38 @@ def _segments(texts: list[bytes]):
         yield held
 
 
+def _long_word(word: bytes) -> np.ndarray:
+    return np.frombuffer(blake2b(word, digest_size=16).digest(), np.uint64)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: tuple[int, ...]) -> list[np.ndarray]:
+    """The wanted halves for each data[start:end]; ``data`` goes on for eight bytes or more after the last end."""
+    lanes = np.lib.stride_tricks.as_strided(data[:8].view(np.uint64), (len(data) - 7,), (1,))  # eight bytes from each place on
+    sizes = ends - starts
+    out = [mix(sizes.astype(np.uint64) + _SEEDS[half]) for half in which]
+    short = np.flatnonzero(sizes <= _LONG)
+    for at in range(0, _LONG, 8):
+        short = short[sizes[short] > at]
+        if not len(short):
+            break
+        lane = lanes[starts[short] + at]
+        unused = np.maximum(at + 8 - sizes[short], 0).astype(np.uint64) * np.uint64(8)
+        lane = lane << unused  # the first bytes are the low ones
+        for hashes, half in zip(out, which):
+            hashes[short] = mix(hashes[short] * _FACTORS[half] + lane)
+    for k in np.flatnonzero(sizes > _LONG):
+        digest = _long_word(data[starts[k] : ends[k]].tobytes())
+        for hashes, half in zip(out, which):
+            hashes[k] = digest[half]
+    return out
+
+
 def word_hashes(texts: list[bytes], which: tuple[int, ...] = (0,)) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each of the wanted hash functions the hashes of all words in order; and how many words each text has."""
+    """For each of the wanted halves (0, 1) the hashes of all words in order; and how many words each text has."""
     out: list[list[np.ndarray]] = [[] for _ in which]
     counts = np.zeros(len(texts), np.int64)
     for segment in _segments(texts):
-        data = np.frombuffer(b" ".join(s for _, s in segment) + b" ", np.uint8)
+        data = np.frombuffer(b" ".join(s for _, s in segment) + b" " * 9, np.uint8)
         blank = BLANKS[data]
         edge = np.empty(len(data), bool)
         edge[0] = not blank[0]
@@ -92,24 +93,29 @@ def word_hashes(texts: list[bytes], which: tuple[int, ...] = (0,)) -> tuple[list
         starts, ends = places[0::2], places[1::2]
         limits = np.cumsum([len(s) + 1 for _, s in segment])
         np.add.at(counts, [k for k, _ in segment], np.diff(np.searchsorted(starts, limits), prepend=0))
-        for hashes, w in zip(out, which):
-            run = _runs(_bytes_table(w)[data], starts, ends, _ODD[w][0])
-            hashes.append(mix(run + (ends - starts).astype(np.uint64)))
+        for hashes, found in zip(out, _hashes(data, starts, ends, which)):
+            hashes.append(found)
     return [np.concatenate(h) if h else np.zeros(0, np.uint64) for h in out], counts
 
 
 def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """The hash of words[i:i + size] for each i; windows may run across texts."""
-    n = len(words) - size + 1
-    if n <= 0:
+    if len(words) < size:
         return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    step = _SEGMENT // 4
-    for at in range(0, n, step):
-        m = min(step, n - at)
-        starts = np.arange(m)
-        out[at : at + m] = mix(_runs(words[at : at + m + size - 1], starts, starts + size, _ODD[which][1]))
-    return out
+    # windows of 1, 2, 4 and so on words; those that add up to the size are put together
+    power, width, whole, done = words, 1, None, 0
+    while True:
+        if size & width:
+            if whole is None:
+                whole = power
+            else:
+                n = len(words) - done - width + 1
+                whole = mix(whole[:n] * _FACTORS[which] + power[done : done + n])
+            done += width
+        if done == size:
+            return whole if size > 1 else mix(words)
+        power = mix(power[:-width] * _FACTORS[which] + power[width:])
+        width *= 2
 
 
 def window_starts(counts: np.ndarray, size: int) -> np.ndarray:
@@ -119,8 +125,11 @@ def window_starts(counts: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + size <= ends)
 
 
-def text_hashes(words: np.ndarray, counts: np.ndarray, which: int = 0) -> np.ndarray:
-    """The hash of each text's words; 0 for a text without words."""
-    ends = np.cumsum(counts)
-    out = mix(_runs(words, ends - counts, ends, _ODD[which][1]) + counts.astype(np.uint64))
-    return np.where(counts > 0, out, np.uint64(0))
+def text_hashes(texts: list[bytes]) -> np.ndarray:
+    """In a row per text the two halves of the hash of its words, whatever separates them; zeros for a text without words."""
+    out = np.zeros((len(texts), 2), np.uint64)
+    for k, text in enumerate(texts):
+        words = text.split()
+        if words:
+            out[k] = np.frombuffer(blake2b(b" ".join(words), digest_size=16).digest(), np.uint64)
+    return out

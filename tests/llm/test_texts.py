@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from heddle.llm import byte_bpe, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup
 from heddle.llm.registry import QUERIES
@@ -36,9 +37,10 @@ def plain(df):
 # ---- substring dedup
 
 
-def brute_substrings(rows, window):
+def brute_substrings(rows, window, hashes=None):
+    """``hashes``, by id and text, order the rows of one id."""
     seen, out = set(), []
-    for id_, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for id_, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[0], r[1] or ""] if hashes else 0)):
         ws = words(text)
         gone = [False] * len(ws)
         for i in range(len(ws) - window + 1):
@@ -51,10 +53,35 @@ def brute_substrings(rows, window):
 
 
 @pytest.mark.parametrize("window,block,bits", [(20, 4 << 20, 22), (4, 3000, 8), (2, 500, 6)])
-def test_substring_dedup(docs, rows, window, block, bits):
+def test_substring_dedup(spark, docs, rows, window, block, bits):
     named = [r for r in rows if r[0] is not None]
     got = substring_dedup.remove_repeats(docs.filter("doc_id is not null"), window=window, block_bytes=block, shard_bits=bits, exact_shard_bytes=1000)
-    assert plain(got) == brute_substrings(named, window)
+    pairs = spark.createDataFrame([(r[0], r[1] or "") for r in named], "doc_id long, text string")
+    of = pairs.select("*", F.xxhash64("doc_id", "text"))
+    assert plain(got) == brute_substrings(named, window, {(r[0], r[1]): r[2] for r in of.collect()})
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [4 << 20, 200])
+def test_substring_dedup_tells_patterned_words_apart(spark, block):
+    x, y = ("".join(thue_morse(1024, *ab)) for ab in ("ab", "ba"))
+    start = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*start, x])), (2, " ".join([*start, y])), (3, " ".join(thue_morse(1024, "a", "b"))), (4, " ".join(thue_morse(1024, "b", "a")))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block)
+    assert plain(got) == brute_substrings(rows, 20)
+    assert all(r.n_removed == 0 for r in got.filter("doc_id <= 2").collect())
+
+
+@pytest.mark.parametrize("block", [4 << 20, 300])
+def test_substring_dedup_of_one_id_with_many_texts(spark, block):
+    r = random.Random(4)
+    rows = [(7, " ".join(f"w{r.randrange(3)}" for _ in range(30))) for _ in range(60)] + [(7, "a b c d e")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text")).collect()}
+    assert plain(substring_dedup.remove_repeats(df, window=4, block_bytes=block)) == brute_substrings(rows, 4, hashes)
 
 
 def test_substring_dedup_of_texts_longer_than_a_segment(spark):
@@ -165,28 +192,31 @@ def test_script(text, script):
 
 
 def brute_near(rows, size=5):
-    sets = {}
-    for id_, text, *_ in rows:
+    """(id, class, links) of each row, judged by its own text."""
+    sets = []
+    for _, text, *_ in rows:
         ws = words(text)
-        sets[id_] = {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)} if len(ws) >= size else ({tuple(ws)} if ws else set())
-    number = collections.Counter(r[0] for r in rows)
-    root = {i: i for i in sets}
+        sets.append({tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)} if len(ws) >= size else ({tuple(ws)} if ws else set()))
+    root = list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    links = collections.Counter()
-    for a in sets:
-        for b in sets:
+    links = [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
             both = len(sets[a] & sets[b])
-            if a < b and both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
-                links[a] += number[b]
-                links[b] += number[a]
+            if both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                links[a] += 1
+                links[b] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return sorted((i, find(i), links[i] + (number[i] - 1 if sets[i] else 0)) for i, *_ in rows)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted((r[0], least[find(i)], links[i]) for i, r in enumerate(rows))
 
 
 @pytest.mark.parametrize("block_members", [1024, 2])
@@ -205,6 +235,51 @@ def test_ngram_join(spark, rows, block_members):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_near(named)
 
 
+@pytest.mark.parametrize("members,size", [(1024, 4 << 20), (2, 4 << 20), (1024, 1000)])
+def test_ngram_join_of_ids_with_several_texts(spark, members, size):
+    r = random.Random(8)
+    a, b = ([f"{x}{r.randrange(900)}" for _ in range(80)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b, "x"])), (3, " ".join([*a, "y"]))]
+    rows += [(4, " ".join(a)), (1, " ".join(a)), (9, " ".join(b[:60])), (9, " ".join(reversed(a)))]
+    for _ in range(30):
+        base = a if r.random() < 0.5 else b
+        cut = r.randrange(12)
+        rows.append((r.randrange(10, 20), " ".join([*base[cut:], *base[:cut]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df, block_members=members, block_bytes=size)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute_near(rows)
+    assert {r.class_id for r in got.collect() if r.doc_id <= 3} == {1}
+
+
+def test_ngram_join_tells_patterned_texts_apart(spark):
+    rows = [(1, " ".join(thue_morse(1024, "a", "b"))), (2, " ".join(thue_morse(1024, "b", "a")))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=40, threshold=0.99)
+    assert sorted((r.doc_id, r.copy_of) for r in got.collect()) == [(1, 1), (2, 2)]
+
+
+def test_one_of_each(spark, rows, empty):
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(70)]
+    extra = [(i, " ".join([*base, f"v{i}"]), "en", f"src{i % 3}", i) for i in range(500, 520)]
+    extra += [extra[0], extra[0][:4] + (7,), (500, "another text of the first id here", "en", None, None), (None, extra[1][1], None, None, None)]
+    df = with_clashes(spark.createDataFrame(rows + extra, DOCS_SCHEMA))
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    named = [x for x in rows + extra if x[0] is not None]
+    every, groups = collections.Counter(), brute_near(named)
+    for i, c, _ in groups:
+        every[c] += 1
+    kept = [tuple(x)[:5] for x in got.collect()]
+    assert sorted(repr(x) for x in kept if x[0] is None) == sorted(repr(x) for x in rows + extra if x[0] is None)
+    left = [x for x in kept if x[0] is not None]
+    assert [x for x in left if x[0] >= 500] == [extra[0][:4] + (7,), extra[22]] or sorted(x[1] for x in left if x[0] >= 500) == sorted([extra[0][1], extra[22][1]])
+    # what is left has no links, and every text has a near copy among it
+    assert all(n == 0 for _, _, n in brute_near(left) if n and words(dict((x[0], x[1]) for x in left).get(_, "")))
+    texts = {x[1] for x in left}
+    assert all(t in texts for _, t, *_ in named if not words(t))
+    assert ngram_join.one_of_each(empty).count() == 0
+
+
 def test_ngram_join_without_ids_and_empty(docs, empty):
     got = ngram_join.near_duplicates(docs.filter("doc_id is null")).collect()
     assert [(r.doc_id, r.class_id, r.n_links) for r in got] == [(None, None, 0)] * 2
