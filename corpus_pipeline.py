@@ -32,12 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each class of near duplicates; documents without an id all stay."""
-    classes = ngram_join.near_duplicates(docs)
-    gone = classes.filter("class_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    # of rows that repeat an id the one with the smallest text stays
-    named = left.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.struct("text", "lang", "source")).alias("row"))
-    return named.select("doc_id", "row.*").unionByName(left.filter("doc_id is null").select(COLUMNS))
+    return ngram_join.one_of_each(docs.select(COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
