@@ -4,37 +4,40 @@ A text in a language the vocabulary knows takes few tokens, hardly any single by
 tokens. Per row three figures are measured: characters per token, the share of byte-fallback tokens, and
 the entropy of the tokens in bits, as the mean over blocks of 50 tokens so that it does not depend on a
 text's length. Bands per language, or per script where a language has too few labelled rows, say which
-figures are ordinary; they come from rows labelled as good. A row outside its band is rejected.
+figures are ordinary; they come from rows labelled as good. A row outside its band is rejected. How many
+standard deviations wide bands are follows from the labelled rows too: half as much again as the deviation
+that one in a thousand of them exceeds, and no less than five.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.common import give_back, pick, table, text_batches, written
+from heddle.llm.common import give_back, numbered, pick, table, text_batches, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: Words are encoded in parts of this many characters at most, so that one endless word stays cheap.
-MAX_PART = 256
 
 BLOCK = 50  # tokens
 
-#: A band needs so many labelled rows; it is so many standard deviations wide on either side.
+#: A band needs so many labelled rows.
 MIN_LABELLED = 30
-ENTROPY_WIDTH, CHARS_WIDTH, FALLBACK_WIDTH = 5.0, 10.0, 10.0
+#: Widths in standard deviations: ``MARGIN`` times what this share of labelled rows exceeds, or ``MIN_WIDTH`` if that is more.
+EXCEEDED, MARGIN, MIN_WIDTH = 0.001, 1.5, 5.0
 #: The share of byte-fallback tokens that any band allows beyond its mean.
 MIN_FALLBACK_SLACK = 0.05
 #: Bands are broadcast up to this many of them.
@@ -58,16 +61,10 @@ class _Words:
         self.is_byte = np.array([self.known.is_byte(i) for i in range(self.known.get_piece_size())])
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each word has."""
-        parts, of = [], []
-        for k, word in enumerate(words):
-            text = word.decode()
-            for i in range(0, len(text), MAX_PART):
-                parts.append(text[i : i + MAX_PART])
-                of.append(k)
-        ids = self.known.encode(parts, num_threads=1) if parts else []
-        sizes = np.bincount(of, [len(x) for x in ids], len(words)).astype(np.int64) if words else np.zeros(0, np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum())), sizes
+        """All ids in order, and how many each word has. Encoding takes time in proportion to a word's length."""
+        ids = self.known.encode([word.decode() for word in words], num_threads=1) if words else []
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
 
 def _measure(text: str, index: dict[bytes, int], words: list[bytes]) -> tuple:
@@ -145,17 +142,14 @@ def script_of(text: str) -> str:
     return best if counts[best] else "other"
 
 
-def _small(frame: pd.DataFrame, rows: int = 2500) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(frame), rows):
-        yield frame.iloc[start : start + rows]
-
-
-def _figures(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
+def _figures(batches: Iterator[pa.RecordBatch], vocabulary: str, keep_text: bool, names: list[str], rows: int = 2500) -> Iterator[pa.RecordBatch]:
+    """The batches' columns, their first one (the text) only if it is to be kept, and all that is measured of the texts."""
     encoder = _Words(_path(vocabulary))
-    for frame in (part for whole in batches for part in _small(whole)):
+    for batch in (whole.slice(start, rows) for whole in batches for start in range(0, whole.num_rows, rows)):
         index: dict[bytes, int] = {}
         counts, codes, scripts = [], [], []
-        for text in frame["text"]:
+        for text in batch.column(0).to_pylist():
+            text = text or ""
             row, code = _measure(text, index, text.encode().split())
             counts.append(row)
             codes.append(code)
@@ -169,14 +163,13 @@ def _figures(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.Da
         of_word = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         sizes = np.bincount(of_word, many, len(codes)).astype(np.int64)
         in_bytes = np.bincount(np.repeat(of_word, many), encoder.is_byte[ids], len(codes))
-        out = frame.drop(columns="text")
-        out[_COUNTS] = np.array(counts, np.int64).reshape(-1, len(_COUNTS))
-        out["chars_per_token"] = out["word_chars"].to_numpy() / np.maximum(sizes, 1)
-        out["fallback_share"] = in_bytes / np.maximum(sizes, 1)
-        out["token_entropy"] = block_entropies(ids, sizes)
-        out["script"] = scripts
-        out["length"] = np.minimum(np.log2(np.maximum(-(-sizes // BLOCK), 1)).astype(np.int32), LONGEST)
-        yield out
+        numbers = np.array(counts, np.int64).reshape(-1, len(_COUNTS))
+        length = np.minimum(np.log2(np.maximum(-(-sizes // BLOCK), 1)).astype(np.int32), LONGEST)
+        chars = numbers[:, _COUNTS.index("word_chars")]
+        figures = [chars / np.maximum(sizes, 1), in_bytes / np.maximum(sizes, 1), block_entropies(ids, sizes)]
+        measured = [*np.ascontiguousarray(numbers.T), *figures, pa.array(scripts, pa.string()), length]
+        given = batch.columns if keep_text else batch.columns[1:]
+        yield pa.RecordBatch.from_arrays([*given, *map(pa.array, measured)], names)
     give_back()
 
 
@@ -187,6 +180,17 @@ LONGEST = 4
 ANY_LENGTH = -1
 
 
+def _measured(rows: DataFrame, vocabulary: str, keep_text: bool) -> DataFrame:
+    """``rows``, whose first column is the text, with the counts and figures."""
+    text_batches(rows.sparkSession)
+    fields = list(rows.schema.fields if keep_text else rows.schema.fields[1:])
+    fields += [T.StructField(c, T.LongType()) for c in _COUNTS]
+    fields += [T.StructField(c, T.DoubleType()) for c in _FIGURES]
+    fields += [T.StructField("script", T.StringType()), T.StructField("length", T.IntegerType())]
+    names = [f.name for f in fields]
+    return rows.mapInArrow(lambda batches: _figures(batches, vocabulary, keep_text, names), T.StructType(fields))
+
+
 def measure(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -196,18 +200,11 @@ def measure(
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, lang, the five counts, the three figures, script, length (a class of 0 to 4).
 
-    Defined results: a null text counts as empty, which has zeros and the script ``other``. Other columns are ignored.
+    Defined results: a null text counts as empty, which has zeros and the script ``other``. Words are encoded whole,
+    however long. Other columns are ignored.
     """
-    text_batches(docs.sparkSession)
-    rows = pick(docs, id=id_col, lang=lang_col, text=text_col).select(
-        "id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    fields = [rows.schema["id"], rows.schema["lang"]]
-    fields += [T.StructField(c, T.LongType()) for c in _COUNTS]
-    fields += [T.StructField(c, T.DoubleType()) for c in _FIGURES]
-    fields += [T.StructField("script", T.StringType()), T.StructField("length", T.IntegerType())]
-    measured = rows.mapInPandas(lambda batches: _figures(batches, vocabulary), T.StructType(fields))
-    return measured.withColumnRenamed("id", id_col)
+    rows = pick(docs, text=text_col, id=id_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string"))
+    return _measured(rows, vocabulary, False).withColumnRenamed("id", id_col)
 
 
 def base_failed() -> Column:
@@ -225,18 +222,23 @@ def fit_bands(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
     rows = measured.filter(~base_failed()).join(good, id_col, "left_semi")
     names = [F.struct(F.lit(by).alias("by"), F.col(by).alias("name"), length.alias("length")) for by in ("lang", "script") for length in (F.col("length"), F.lit(ANY_LENGTH))]
     named = rows.select(F.explode(F.array(*names)).alias("band"), *_FIGURES).filter("band.name is not null")
-    spread = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
-    return (
-        named.groupBy("band.by", "band.name", "band.length")
-        .agg(
-            F.count("*").alias("n"),
-            (F.mean("chars_per_token") - CHARS_WIDTH * spread("chars_per_token")).alias("min_chars"),
-            (F.mean("chars_per_token") + CHARS_WIDTH * spread("chars_per_token")).alias("max_chars"),
-            (F.mean("fallback_share") + F.greatest(F.lit(MIN_FALLBACK_SLACK), FALLBACK_WIDTH * spread("fallback_share"))).alias("max_fallback"),
-            (F.mean("token_entropy") - ENTROPY_WIDTH * spread("token_entropy")).alias("min_entropy"),
-        )
-        .filter(F.col("n") >= min_labelled)
-        .drop("n")
+    of_figure = [a for c in _FIGURES for a in (F.mean(c).alias(f"mean_{c}"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"sd_{c}"))]
+    stats = named.groupBy("band").agg(F.count("*").alias("n"), *of_figure).filter(F.col("n") >= min_labelled)
+    # how far labelled rows lie from the mean of their language and length, of all languages and lengths together
+    own = named.filter((F.col("band.by") == "lang") & (F.col("band.length") != ANY_LENGTH)).join(stats, "band")
+    away = {c: F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"sd_{c}")) for c in _FIGURES}
+    beyond = lambda c, share: F.abs(F.percentile_approx(away[c], share, 100_000))
+    sides = {"few_chars": beyond("chars_per_token", EXCEEDED), "many_chars": beyond("chars_per_token", 1 - EXCEEDED)}
+    sides |= {"fallback": beyond("fallback_share", 1 - EXCEEDED), "entropy": beyond("token_entropy", EXCEEDED)}
+    found = own.agg(*[e.alias(k) for k, e in sides.items()]).first()
+    width = {k: max(MIN_WIDTH, MARGIN * (found[k] or 0.0)) for k in sides}
+    mean, sd = (lambda c: F.col(f"mean_{c}")), (lambda c: F.col(f"sd_{c}"))
+    return stats.select(
+        "band.*",
+        (mean("chars_per_token") - width["few_chars"] * sd("chars_per_token")).alias("min_chars"),
+        (mean("chars_per_token") + width["many_chars"] * sd("chars_per_token")).alias("max_chars"),
+        (mean("fallback_share") + F.greatest(F.lit(MIN_FALLBACK_SLACK), width["fallback"] * sd("fallback_share"))).alias("max_fallback"),
+        (mean("token_entropy") - width["entropy"] * sd("token_entropy")).alias("min_entropy"),
     )
 
 
@@ -275,6 +277,16 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(measured, fit_bands(measured, labels))
 
 
+def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Each row carries its own figures, so that nothing is joined back."""
+    at = {c: f"_{docs.columns.index(c)}" for c in (text_col, id_col, lang_col)}
+    rows = numbered(docs)
+    rows = rows.select(at[text_col], *[c for c in rows.columns if c != at[text_col]], F.col(at[id_col]).alias(f"id {id_col}"), F.col(at[lang_col]).cast("string").alias("lang"))
+    measured = written(_measured(rows, vocabulary, True), "quality").withColumnRenamed(f"id {id_col}", id_col)
+    kept = judge(measured, fit_bands(measured, labels, id_col)).filter("kept")
+    return kept.select([f"_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     judged = judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

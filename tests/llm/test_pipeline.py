@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from heddle.llm import byte_bpe, mixing, quality_rules
 from heddle.llm.common import table, written
-from tests.llm.cases import DOCS_SCHEMA, documents, words
+from tests.llm.cases import DOCS_SCHEMA, documents, with_clashes, words
 from tests.llm.test_texts import brute_lines, brute_mix, brute_near
 
 
@@ -77,7 +77,7 @@ def test_run_gives_what_the_stages_give(spark, sf_dir, stages):
 
 
 def test_stages_take_odd_documents(spark, sf_dir):
-    docs = spark.createDataFrame(documents(), DOCS_SCHEMA)
+    docs = with_clashes(spark.createDataFrame(documents(), DOCS_SCHEMA))
     for odd in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             result = stage(spark, odd, sf_dir)

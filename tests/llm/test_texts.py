@@ -155,7 +155,7 @@ def test_quality_counts_and_figures(docs, rows):
     by_id = {r[0]: r[1] for r in rows if r[0] is not None}
     for r in got:
         ws = words(by_id.get(r.doc_id))
-        if not ws or max(map(len, ws)) > quality_rules.MAX_PART:
+        if not ws:
             continue
         ids = [i for w in ws for i in known.encode(w)]
         starts = [min(k, max(0, len(ids) - 50)) for k in range(0, len(ids), 50)] if len(ids) >= 50 else [0]
@@ -183,6 +183,37 @@ def test_quality_verdicts(spark, empty):
     assert quality_rules.judge_documents(empty, labels).count() == 0
 
 
+def test_quality_encodes_long_words_whole(spark):
+    r = random.Random(6)
+    texts = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n)) for n in (255, 256, 257, 963, 20_000)] + ["a" * 3000, "x" + "ab1" * 700]
+    known = quality_rules.processor(public_tokenizers.path(quality_rules.VOCABULARY))
+    got = quality_rules.measure(spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    for row in got.collect():
+        assert row.chars_per_token == pytest.approx(len(texts[row.doc_id]) / len(known.encode(texts[row.doc_id])))
+
+
+def test_quality_bands_follow_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    measured = quality_rules.measure(docs).cache()
+    one, other = (labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k) for k in (0, 1))
+    judged = quality_rules.judge(measured, quality_rules.fit_bands(measured, one)).filter("not base_failed").join(other, "doc_id")
+    share = {r.quality: r.share for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] >= 0.99 and share[0] <= 0.2
+
+
+def test_keep_documents_judges_rows_of_one_id_apart(spark):
+    r = random.Random(5)
+    ws = ["the", "of", "and", "house", "river", "people", "winter", "garden", "number", "story", "letter", "music", "under", "water", "light", "paper"]
+    good = [(i, " ".join(r.choice(ws) + r.choice(["", "s", "ing", "er"]) for _ in range(120)), "en") for i in range(60)]
+    extra = [(1, " ".join(["same"] * 120), "en"), (1, " ".join(r.choice(ws) + "*** $$$" for _ in range(60)), "en"), (None, good[3][1], "en"), (2, None, None), good[4], good[4]]
+    df = with_clashes(spark.createDataFrame([(i, t, g, "s", 1) for i, t, g in good + extra], DOCS_SCHEMA))
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    got = quality_rules.keep_documents(df, labels)
+    assert got.columns == df.columns
+    assert sorted((tuple(x)[:3] for x in got.collect()), key=repr) == sorted([*good, extra[2], good[4], good[4]], key=repr)
+
+
 @pytest.mark.parametrize("text,script", [("abc", "latin"), ("абв", "cyrillic"), ("漢字かな", "cjk"), ("123 !", "other"), ("", "other"), ("αβγ a", "greek")])
 def test_script(text, script):
     assert quality_rules.script_of(text) == script
