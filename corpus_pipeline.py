@@ -10,40 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import byte_bpe, line_dedup, mixing, ngram_join, quality_rules
-from heddle.llm.common import table, written
+from heddle.llm.common import pick, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def own(docs: DataFrame) -> DataFrame:
+    """The columns of documents, by their places: others may have the same names in other cases."""
+    return pick(docs, **{c: c for c in COLUMNS})
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in the band of their language or script."""
-    judged = quality_rules.judge_documents(docs, table(spark, sf_dir, "labels"))
-    # the verdicts of rows that share an id are told apart by their counts: a row stays if its own verdict keeps it
-    kept = judged.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("n_words").alias("kept_words")).distinct()
-    own_words = mixing.count_tokens(F.col("text"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (own_words == F.col("kept_words")), "left_semi").select(COLUMNS)
+    return quality_rules.keep_documents(own(docs), table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the windows of three lines that occurred before; n_chars follows the text."""
-    kept = line_dedup.remove_repeated_lines(docs)
+    kept = line_dedup.remove_repeated_lines(own(docs))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each class of near duplicates; documents without an id all stay."""
-    return ngram_join.one_of_each(docs.select(COLUMNS))
+    return ngram_join.one_of_each(own(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of all words, dealt to the sources by their weights; every document is taken at most once."""
     weights = spark.createDataFrame(mixing.OP6_WEIGHTS, mixing.WEIGHTS_SCHEMA)
-    return mixing.mix(docs, weights, share=0.9, epochs=1).select(COLUMNS)
+    return mixing.mix(own(docs), weights, share=0.9, epochs=1).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the bytes that they decode to."""
-    encoded = byte_bpe.encode(docs, decoded=True)
+    encoded = byte_bpe.encode(own(docs), decoded=True)
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
