@@ -1,13 +1,16 @@
 """Exact top-k search by inner product as a Voronoi join.
 
 Pivots, from a bounded sample, cut the space into cells; a vector belongs to the nearest one. A cell's
-summary holds its size, its radius around the pivot and its largest norm. Queries are grouped by their own
-cells, neighbouring ones together up to a block. Each query first searches its home cell; its k-th best score there is a bound that other cells must
-be able to reach: no vector x of a cell with pivot p and radius r scores above q.p + |q| r, nor above |q|
-times the largest norm. A cell's rows are sent only to groups with a query that needs the cell, and solved there.
+summary holds its size, its radius around the pivot and its largest norm, for all its rows and for its queries.
+A cell's queries are a group. From the summaries alone follows a score that the k best of every query of a group
+reach: no product of a query within s of pivot q and a row within r of pivot p is less than
+q.p - |q| r - s |p| - s r, nor more than q.p + |q| r + s |p| + s r; cells whose most is less are not searched.
+Each query first searches its home cell; its k-th best score there, if higher, is a sharper bound for that query.
+A cell's rows are sent only to groups with a query that needs the cell, and solved there. Groups of neighbouring
+cells are put together up to a block.
 
 Cells and groups of queries are split by hash into blocks of bounded size, so that a cell with a third of
-all rows is many blocks.
+all rows is many blocks. Rows alike in id and vector are one row with a count.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql.window import Window
 
 from heddle.llm.common import numbered, table, written
 
-PIVOTS = 32
-SAMPLE = 2048  # about so many vectors, chosen by a hash of their ids, place the pivots
+PIVOTS, MOST_PIVOTS = 32, 1024  # an eighth of the square root of the number of rows, within these
+SAMPLE_PER_PIVOT = 16  # about so many vectors, chosen by a hash of ids and vectors, place the pivots; 2,048 or more
 ROUNDS = 5
 BLOCK_ROWS = 4096  # rows of a cell, and queries of a group, in one block
 
@@ -39,11 +42,17 @@ def quantise(vector: Column, scale: int = 64) -> Column:
     return F.when(~bad, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
-def _pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
+def choose_pivots(rows: int) -> int:
+    """How many pivots so many rows have."""
+    return min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows) // 8))
+
+
+def _pivots(vectors: DataFrame, n: int, rows: int) -> dict[int, np.ndarray]:
     """Pivots by dimension: rounds of k-means over a bounded sample, from evenly spaced members."""
-    share = min(1.0, SAMPLE / max(vectors.count(), 1))
-    bound = math.ceil(share * (1 << 30))
-    chosen = vectors.filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) < bound).select("v").collect()
+    sample = max(2048, SAMPLE_PER_PIVOT * n)
+    bound = math.ceil(min(1.0, sample / max(rows, 1)) * (1 << 30))
+    of_hash = vectors.filter(F.pmod(F.xxhash64(F.lit(7), "id", "v"), F.lit(1 << 30)) < bound)
+    chosen = of_hash.select("v").limit(2 * sample).collect()
     by_dim: dict[int, list] = {}
     for row in chosen:
         by_dim.setdefault(len(row.v), []).append(row.v)
@@ -76,6 +85,39 @@ def _assign(frames: Iterator[pd.DataFrame], pivots: dict[int, np.ndarray]) -> It
         yield frame.assign(dim=dims.astype(np.int32), cell=cell, distance=distance, norm=norm)
 
 
+class _Cells:
+    """Summaries of the cells of one length of vectors, with what each group of queries has to search."""
+
+    def __init__(self, summaries: list, pivots: np.ndarray, k: int, rows_per_id: int, block_rows: int):
+        self.cells = np.array([s.cell for s in summaries], np.int32)
+        self.pivots = pivots[self.cells]
+        self.subs = np.array([-(-s.n // block_rows) for s in summaries], np.int32)
+        self.radius, self.norm = (np.array([s[c] for s in summaries], float) for c in ("radius", "norm"))
+        counts = np.array([s.n for s in summaries])
+        spread = np.array([s.query_radius or 0.0 for s in summaries])
+        sizes = np.sqrt((self.pivots**2).sum(axis=1))
+        product = self.pivots @ self.pivots.T
+        margin = sizes[:, None] * self.radius + spread[:, None] * sizes + spread[:, None] * self.radius
+        slack = 0.5 + 1e-9 * (sizes[:, None] + spread[:, None]) * (sizes + self.radius)
+        #: A score that the k-th best of each query of a group reaches, its own rows left out.
+        self.floors = np.full(len(summaries), -np.inf)
+        for group, least in enumerate(product - margin - slack):
+            order = np.argsort(-least, kind="stable")
+            enough = np.searchsorted(np.cumsum(counts[order]), k + rows_per_id)
+            if enough < len(order):
+                self.floors[group] = least[order[enough]]
+        #: By group and cell: whether the summaries leave the cell to be searched.
+        self.reach = product + margin + slack >= self.floors[:, None]
+
+    def needed(self, points: np.ndarray, own: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """By query and cell: whether the query has to search the cell, its own one excepted."""
+        group = np.searchsorted(self.cells, own)
+        norms = np.sqrt((points**2).sum(axis=1))
+        most = np.minimum(points @ self.pivots.T + norms[:, None] * self.radius, norms[:, None] * self.norm)
+        slack = 0.5 + 1e-9 * norms[:, None] * (self.radius + self.norm)
+        return self.reach[group] & (most + slack >= np.fmax(floors, self.floors[group])[:, None]) & (self.cells != own[:, None])
+
+
 def _query_groups(summaries: list, pivots: dict[int, np.ndarray], block_rows: int) -> dict[tuple[int, int], int]:
     """The group of each cell's queries: neighbouring cells, along the pivots' main direction, up to ``block_rows`` queries.
 
@@ -124,26 +166,36 @@ def best_of_block(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataF
         real = ~own[row, col]
         row, col = row[real], col[real]
         out.append(
-            pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "qhash": part["qhash"].to_numpy()[row], "vec_id": ids[col], "score": scores[row, col]})
+            pd.DataFrame(
+                {
+                    "query_id": part["query_id"].to_numpy()[row],
+                    "qhash": part["qhash"].to_numpy()[row],
+                    "vec_id": ids[col],
+                    "score": scores[row, col],
+                    "copies": data["copies"].to_numpy()[col],
+                }
+            )
         )
     return pd.concat(out)
 
 
 _BLOCK = ["dim", "cell", "sub", "group"]
+_RESULT = {"query_id": "long", "qhash": "long", "vec_id": "long", "score": "long", "copies": "long"}
 
 
 def _solve(targets: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """Local results of queries (with the block each is to search) in ``data``, whose rows go where a group needs them."""
     needed = targets.select(*_BLOCK).distinct()
-    sent = data.select("id", "v", "dim", "cell", "sub").join(needed, ["dim", "cell", "sub"])
-    sent = sent.select("id", "v", *(F.col(c).alias(f"to_{c}") for c in _BLOCK))  # fresh names: both sides of the cogroup come from one table
+    sent = data.select("id", "v", "copies", "dim", "cell", "sub").join(needed, ["dim", "cell", "sub"])
+    sent = sent.select("id", "v", "copies", *(F.col(c).alias(f"to_{c}") for c in _BLOCK))  # fresh names: both sides of the cogroup come from one table
 
     def solve(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "qhash": [], "vec_id": [], "score": []})
+            return pd.DataFrame({c: [] for c in _RESULT})
         return best_of_block(queries, rows, k)
 
-    return targets.groupBy(*_BLOCK).cogroup(sent.groupBy(*(f"to_{c}" for c in _BLOCK))).applyInPandas(solve, "query_id long, qhash long, vec_id long, score long")
+    cogrouped = targets.groupBy(*_BLOCK).cogroup(sent.groupBy(*(f"to_{c}" for c in _BLOCK)))
+    return cogrouped.applyInPandas(solve, ", ".join(f"{c} {t}" for c, t in _RESULT.items()))
 
 
 def search(
@@ -153,7 +205,7 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: int = 64,
-    n_pivots: int = PIVOTS,
+    n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Columns query_id, rank (from 1), vec_id, score: the ``k`` highest inner products of each row whose id ``is_query``.
@@ -168,32 +220,35 @@ def search(
     """
     places = {c: f"_{vectors.columns.index(c)}" for c in (id_col, vector_col)}
     known = numbered(vectors).select(F.col(places[id_col]).cast("long").alias("id"), quantise(F.col(places[vector_col]), scale).alias("v"))
-    known = known.withColumn("is_query", F.coalesce(is_query(F.col("id")), F.lit(False)))
-    known = known.filter("id is not null and v is not null")
-    pivots = _pivots(known, n_pivots)
+    known = known.filter("id is not null and v is not null").groupBy("id", "v").agg(F.count("*").alias("copies"))
+    known = written(known.withColumn("is_query", F.coalesce(is_query(F.col("id")), F.lit(False))), "vectors")
+    rows = known.count()
+    rows_per_id = known.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    pivots = _pivots(known, n_pivots or choose_pivots(rows), rows)
     fields = [*known.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("dim", "cell")), *(T.StructField(c, T.DoubleType()) for c in ("distance", "norm"))]
     assigned = written(known.mapInPandas(lambda frames: _assign(frames, pivots), T.StructType(fields)), "cells")
     # One row per dimension and pivot: no more than pivots for each length of vectors.
     summaries = (
         assigned.groupBy("dim", "cell")
-        .agg(F.count("*").alias("n"), F.count_if("is_query").alias("queries"), F.max("distance").alias("radius"), F.max("norm").alias("norm"))
+        .agg(
+            F.count("*").alias("n"), F.count_if("is_query").alias("queries"), F.max("distance").alias("radius"), F.max("norm").alias("norm"),
+            F.max(F.when(F.col("is_query"), F.col("distance"))).alias("query_radius"),
+        )
+        .orderBy("dim", "cell")
         .collect()
-    )
-    cells: dict[int, list[tuple]] = {}
-    for s in summaries:
-        pivot = pivots[s.dim][s.cell] if s.dim in pivots else np.zeros(s.dim)
-        cells.setdefault(s.dim, []).append((s.cell, -(-s.n // block_rows), pivot, s.radius, s.norm))
+    )
+    by_dim = {
+        dim: _Cells([s for s in summaries if s.dim == dim], pivots.get(dim, np.zeros((1, dim))), k, rows_per_id, block_rows) for dim in {s.dim for s in summaries}
+    }
     parties = _query_groups(summaries, pivots, block_rows)
     schema = "dim int, cell int, subs int, party int, groups int"
     splits = [(s.dim, s.cell, -(-s.n // block_rows), parties[s.dim, s.cell], max(1, -(-s.queries // block_rows))) for s in summaries]
     splits = F.broadcast(assigned.sparkSession.createDataFrame(splits, schema))
-    placed = assigned.join(splits, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
+    placed = assigned.join(splits, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id", "v"), F.col("subs")).cast("int"))
     # a query's group: that of its cell and, in a large cell, a hash
-    group = F.concat_ws("-", "party", F.pmod(F.xxhash64("id"), F.col("groups")))
-    queries = (
-        placed.filter("is_query")
-        .select(F.col("id").alias("query_id"), F.xxhash64("v").alias("qhash"), F.col("v").alias("qv"), "dim", "cell", "subs", group.alias("group"))
-        .dropDuplicates(["query_id", "qhash", "dim"])
+    group = F.concat_ws("-", "party", F.pmod(F.xxhash64("id", "v"), F.col("groups")))
+    queries = placed.filter("is_query").select(
+        F.col("id").alias("query_id"), F.xxhash64("v").alias("qhash"), F.col("v").alias("qv"), "dim", "cell", "subs", group.alias("group")
     )
     every_sub = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
     home = written(_solve(queries.withColumn("sub", every_sub).drop("subs"), placed, k), "home")
@@ -202,18 +257,14 @@ def search(
 
     def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for dim, part in frame.groupby("dim"):
+                cells = by_dim[dim]
                 points = np.array(part["qv"].tolist(), float).reshape(-1, dim)
-                norms = np.sqrt((points**2).sum(axis=1))
-                floors = part["floor"].fillna(-np.inf).to_numpy()
-                for cell, subs, pivot, radius, norm in cells[dim]:
-                    bound = np.minimum(points @ pivot + norms * radius, norms * norm)
-                    slack = 0.5 + 1e-9 * norms * (radius + norm)
-                    reach = (bound + slack >= floors) & (part["cell"].to_numpy() != cell)
-                    out.append(part[reach].assign(cell=np.int32(cell), subs=np.int32(subs)))
-            if out:
-                yield pd.concat(out)[["query_id", "qhash", "qv", "dim", "cell", "subs", "group"]]
+                query, cell = np.nonzero(cells.needed(points, part["cell"].to_numpy(), part["floor"].to_numpy(float)))
+                for at in range(0, len(query), 10_000):
+                    here = slice(at, at + 10_000)
+                    sent = part.iloc[query[here]].assign(cell=cells.cells[cell[here]], subs=cells.subs[cell[here]])
+                    yield sent[["query_id", "qhash", "qv", "dim", "cell", "subs", "group"]]
 
     others = (
         queries.join(floor, ["query_id", "qhash"], "left")
@@ -223,10 +274,12 @@ def search(
         .drop("subs")
     )
     everywhere = home.unionByName(_solve(others, placed, k))
+    last = F.sum("copies").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        everywhere.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        everywhere.withColumn("last", last)
+        .withColumn("first", F.col("last") - F.col("copies") + 1)
+        .filter(F.col("first") <= k)
+        .select("query_id", F.explode(F.sequence(F.col("first").cast("int"), F.least("last", F.lit(k)).cast("int"))).alias("rank"), "vec_id", "score")
     )
 
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from heddle.llm import chat_format, topk_search, url_filter
@@ -72,9 +73,12 @@ def brute_verdict(url, rules):
     return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("shapes,broadcast", [(500, 100_000), (3, 100_000), (500, 2), (3, 2)])
+def test_url_filter(spark, monkeypatch, shapes, broadcast):
+    monkeypatch.setattr(url_filter, "MOST_SHAPES", shapes)
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
     r = random.Random(4)
-    rules = [*url_filter.OP8_RULES, ("com", "", "block"), ("a.b.c", "/p", "allow"), ("c", "/path/x", "block"), ("dup.com", "/", "allow"), ("dup.com", "/", "block"), (None, "/", "block"), ("", "/", "block"), ("x.org", None, "block")]
+    rules = [*url_filter.OP8_RULES, ("com", "", "block"), ("a.b.c", "/p", "allow"), ("c", "/path/x", "block"), ("dup.com", "/", "allow"), ("dup.com", "/", "block"), (None, "/", "block"), ("", "/", "block"), ("x.org", None, "block"), ("m.ex", "ample.net/de/", "block"), ("example", "com", "block"), ("example.com/en", "/7", "block")]
     hosts = ["example.com", "EXAMPLE.com", "m.example.net", "a.b.c", "z.a.b.c", "x.org", "org", "ample.com", "dup.com", "ÄÖ.com", "a..com", "com.", "example.com:80", ""]
     paths = ["", "/", "/en/7", "/en/71/x", "/de/8", "/de/", "/es/", "/path/xyz", "/p?q=/en/", "#/en/", "?://x/en/", "/EN/", "/" + "a" * 5000]
     urls = [r.choice(["http://", "https://", "://", "", "ftp:/"]) + r.choice(hosts) + r.choice(paths) for _ in range(400)] + [None, "", "://", "x", "http://example.com\n/en/"]
@@ -150,7 +154,46 @@ def test_topk_search_fills_all_places_from_the_own_block(spark, pivots, block):
 
 
 def test_best_of_block_has_k_rows_beside_the_own_one():
-    data = pd.DataFrame({"id": np.arange(100), "v": [[1, 2]] * 100})
+    data = pd.DataFrame({"id": np.arange(100), "v": [[1, 2]] * 100, "copies": 1})
     queries = pd.DataFrame({"query_id": [0, 50], "qhash": [1, 2], "qv": [[1, 2]] * 2})
     got = topk_search.best_of_block(queries, data, 20)
     assert sorted(got[got.query_id == 0].vec_id) == list(range(1, 21)) and sorted(got[got.query_id == 50].vec_id) == list(range(20))
+
+
+@pytest.mark.parametrize("pivots", [2, 8, None])
+def test_topk_search_of_clusters_with_repeats(spark, pivots):
+    r = np.random.default_rng(3)
+    rows = [(i, (c + 0.02 * r.normal(size=3)).tolist()) for i, c in enumerate(np.repeat([[30.0, 0, 0], [0, 30.0, 0]], 200, axis=0))]
+    rows += [rows[8]] * 30 + [(12, rows[3][1])] * 25 + [(16, (np.array(rows[16][1]) + 0.01 * n).tolist()) for n in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk_search.search(df, lambda i: i % 4 == 0, n_pivots=pivots).collect()]
+    ok = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, qv in {(i, tuple(v)) for i, v in ok if i % 4 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ok if i != q)[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(got) == sorted(want)
+
+
+def test_summaries_of_clusters_exclude_cells():
+    r = np.random.default_rng(5)
+    centres = 3000 * r.normal(size=(40, 8))
+    points = np.floor(np.repeat(centres, 100, axis=0) + 5 * r.normal(size=(4000, 8)))
+    near, distance = topk_search._nearest(points, centres)
+    of = [np.flatnonzero(near == c) for c in range(40)]
+    rows = [dict(cell=c, n=len(o), radius=distance[o].max(), norm=np.sqrt((points[o] ** 2).sum(axis=1)).max(), query_radius=distance[o].max()) for c, o in enumerate(of)]
+    cells = topk_search._Cells([Row(**x) for x in rows], centres, 20, 1, 4096)
+    assert cells.reach.mean() < 0.1
+    scores = points @ points.T
+    np.fill_diagonal(scores, -np.inf)
+    kth = np.sort(scores, axis=1)[:, -20]
+    assert (kth >= cells.floors[near]).all()
+    needed = cells.needed(points, near, np.full(len(points), np.nan))
+    assert needed.mean() < 0.1
+    for q in range(0, len(points), 37):
+        found = {near[x] for x in np.flatnonzero(scores[q] >= kth[q])}
+        assert found <= set(np.flatnonzero(needed[q])) | {near[q]}
+
+
+def test_pivots_grow_with_the_rows():
+    assert [topk_search.choose_pivots(n) for n in (0, 10_000, 1_000_000, 10**12)] == [32, 32, 125, 1024]
