@@ -6,13 +6,17 @@ family cannot take goes up to the siblings of its parent. As every node's capaci
 children's, dealing top-down does just that. A leaf reads its documents in seeded order, epoch after epoch, and
 takes the prefix that its budget covers.
 
-Trees have a row per node, and are aggregated in Spark. Prefixes need no sort of a whole leaf: tokens are summed
-per leaf, epoch and bucket of the order, and only the bucket in which the budget ends is ordered row by row.
+Trees have a row per node, and are aggregated in Spark. Words are counted once, into a narrow table of leaf,
+id, hash of the text and count. Prefixes need no sort of a whole leaf: counts are summed per leaf, epoch and bucket
+of the order, the bucket in which the budget ends is cut into smaller ones until few rows are left, and only these are
+ordered. What comes out is one place per leaf at which reading stops; rows with their texts are filtered by it
+and never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +25,8 @@ from pyspark.sql.window import Window
 from heddle.llm.common import WORD_PATTERN, numbered, table, written
 
 LEVELS = ["domain", "lang", "source"]
-BUCKET_DIGITS = 3  # hexadecimal digits of the order that name its bucket
+BUCKET_DIGITS = 3  # hexadecimal digits of the order that name a bucket of 4,096
+ORDERED_ROWS = 10_000  # of a leaf that may be ordered row by row
 WEIGHTS_SCHEMA = "domain string, lang string, source string, weight long"
 #: Leaves are broadcast up to this count.
 BROADCAST_LEAVES = 50_000
@@ -120,68 +125,71 @@ def mix(
     its own fit the leaf's budget.
 
     Defined results: null levels are named ``unknown``, a text without words (or null) costs nothing and is taken
-    in every epoch that the leaf reads to that place. Ties of the order are broken by a hash of the text; rows
-    that are the same are taken together or not at all. Where all capacities are less than the budget, every
-    row is taken in every epoch. A column named epoch is replaced. An empty table gives no rows.
+    in every epoch that the leaf reads to that place. A row without an id has a hash of its text in the id's place.
+    Ties of the order are broken by a hash of the text; rows that are the same are taken together or not at all.
+    Where all capacities are less than the budget, every row is taken in every epoch. A column named epoch is
+    replaced. An empty table gives no rows.
     """
     unknown = F.lit("unknown")
     kept = [i for i, c in enumerate(docs.columns) if c != "epoch"]
     at = lambda c: F.col(f"_{docs.columns.index(c)}")
-    rows = numbered(docs).select(
-        F.struct(*[F.col(f"_{i}") for i in kept]).alias("row"),
-        F.coalesce(domain(at(source_col)), unknown).alias("domain"),
-        F.coalesce(at(lang_col).cast("string"), unknown).alias("lang"),
-        F.coalesce(at(source_col).cast("string"), unknown).alias("source"),
-        count_tokens(at(text_col)).alias("tokens"),
-        F.coalesce(at(id_col).cast("string"), F.lit("")).alias("id"),
-        F.xxhash64(at(text_col)).alias("t"),
-    )
-    sizes = written(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
+    t = F.xxhash64(at(text_col))
+    named = {
+        "domain": F.coalesce(domain(at(source_col)), unknown),
+        "lang": F.coalesce(at(lang_col).cast("string"), unknown),
+        "source": F.coalesce(at(source_col).cast("string"), unknown),
+        "id": F.coalesce(at(id_col).cast("string"), t.cast("string")),
+        "t": t,
+    }
+    rows = numbered(docs)
+    counted = written(rows.select(*[c.alias(n) for n, c in named.items()], count_tokens(at(text_col)).alias("tokens")), "tokens")
+    sizes = written(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     if budget is None:
-        all_tokens = sizes.agg(F.sum("tokens").alias("n")).first().n or 0
-        budget = int(all_tokens * (1.0 if share is None else share))
-    leaves = allocate(sizes, weights, budget, epochs).select(*LEVELS, "budget")
+        part = Fraction(str(1 if share is None else share))
+        budget = (sizes.agg(F.sum("tokens").alias("n")).first().n or 0) * part.numerator // part.denominator
+    leaves = allocate(sizes, weights, budget, epochs).select(*LEVELS, F.col("budget").alias("left"))
     epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
-    read = (
-        rows.select("*", epoch)
-        .withColumn("order", F.md5(F.concat_ws("-", F.lit(seed), F.col("epoch"), F.col("id"))))
-        .withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
-    )
-    # One row per leaf: the epoch and bucket in which its budget ends, and what is left of the budget there.
-    by_leaf = Window.partitionBy(*LEVELS).orderBy("epoch", "bucket")
-    sums = read.groupBy(*LEVELS, "epoch", "bucket").agg(F.sum("tokens").alias("in_bucket"))
-    ends = written(
-        sums.withColumn("up_to", F.sum("in_bucket").over(by_leaf))
-        .join(leaves, LEVELS)
-        .groupBy(*LEVELS)
-        .agg(
-            F.min(
-                F.when(
-                    F.col("up_to") > F.col("budget"),
-                    F.struct("epoch", "bucket", (F.col("budget") - F.col("up_to") + F.col("in_bucket")).alias("left")),
-                )
-            ).alias("end")
-        ),
-        "ends",
-    )
-    if ends.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
-        ends = F.broadcast(ends)
-    placed = read.join(ends, LEVELS)
-    here, end = F.struct("epoch", "bucket"), F.struct("end.epoch", "end.bucket")
-    whole = placed.filter(F.col("end").isNull() | (here < end)).select("row", "epoch")
-    running = (
-        Window.partitionBy(*LEVELS, "epoch", "bucket")
-        .orderBy("order", "t")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ended = (
-        placed.filter(here == end)
-        .withColumn("running", F.sum("tokens").over(running))
-        .filter(F.col("running") <= F.col("end.left"))
-        .select("row", "epoch")
-    )
-    chosen = whole.unionByName(ended).select(*[F.col(f"row._{i}") for i in kept], "epoch")
-    return chosen.toDF(*[docs.columns[i] for i in kept], "epoch")
+    stops = _stops(counted.select("*", epoch).withColumn("order", _order(seed)), leaves)
+    if stops.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
+        stops = F.broadcast(stops)
+    read = rows.withColumns(named).select("*", epoch).join(stops, LEVELS, "left")
+    taken = F.col("stop").isNull() | (F.struct("epoch", _order(seed).alias("order"), "t") < F.col("stop"))
+    return read.filter(taken).select(*[f"_{i}" for i in kept], "epoch").toDF(*[docs.columns[i] for i in kept], "epoch")
+
+
+def _order(seed: str) -> Column:
+    return F.md5(F.concat_ws("-", F.lit(seed), F.col("epoch"), F.col("id")))
+
+
+def _stops(read: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Columns LEVELS and stop (epoch, order, t): the place of the first row that the budget of a leaf does not cover.
+
+    A leaf whose budget covers all has none. ``leaves`` has each one's budget as ``left``.
+    """
+    digits = lambda n: F.substring("order", 1 + n * BUCKET_DIGITS, BUCKET_DIGITS)
+    high = F.shiftright("t", 52)
+    places = [F.struct("epoch", digits(0).alias("bucket")), digits(1), F.col("order"), high, F.shiftright("t", 40)]
+    rest = read.join(_hint(leaves), LEVELS)
+    for n, place in enumerate(places):
+        if n and (rest.groupBy(*LEVELS).count().agg(F.max("count").alias("n")).first().n or 0) <= ORDERED_ROWS:
+            break
+        sums = rest.groupBy(*LEVELS, place.alias("place")).agg(F.sum("tokens").alias("tokens"), F.max("left").alias("left"))
+        ends = written(_first_beyond(sums, ["place"], F.struct("place", "before")), "ends")
+        inside = rest.join(_hint(ends), LEVELS).filter(place == F.col("end.place"))
+        rest = written(inside.withColumn("left", F.col("left") - F.col("end.before")).drop("end"), "rest")
+    sums = rest.groupBy(*LEVELS, "epoch", "order", "t").agg(F.sum("tokens").alias("tokens"), F.max("left").alias("left"))
+    return written(_first_beyond(sums, ["order", "t"], F.struct("epoch", "order", "t")), "stops").withColumnRenamed("end", "stop")
+
+
+def _first_beyond(sums: DataFrame, order: list[str], end: Column) -> DataFrame:
+    """Per leaf the least ``end`` at which the running total of tokens is more than what is left; before: the total up to there."""
+    by_leaf = Window.partitionBy(*LEVELS).orderBy(*order)
+    running = sums.withColumn("up_to", F.sum("tokens").over(by_leaf)).withColumn("before", F.col("up_to") - F.col("tokens"))
+    return running.filter(F.col("up_to") > F.col("left")).groupBy(*LEVELS).agg(F.min(end).alias("end"))
+
+
+def _hint(leaves: DataFrame) -> DataFrame:
+    return F.broadcast(leaves) if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else leaves
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,6 +419,30 @@ def test_mixing(spark, rows, share, epochs):
     assert sorted(((r["doc_id"], r["epoch"]) for r in got.collect()), key=repr) == brute_mix(one_each, mixing.OP6_WEIGHTS, budget, epochs, mixing.OP6_SEED)
 
 
+@pytest.mark.parametrize("ordered", [0, 10])
+@pytest.mark.parametrize("share", [0.01, 0.37, 0.62])
+def test_mixing_cuts_buckets_until_few_rows_are_left(spark, monkeypatch, ordered, share):
+    monkeypatch.setattr(mixing, "ORDERED_ROWS", ordered)
+    r = random.Random(12)
+    one_id = [(7, f"{'w ' * r.randrange(6)}x{i}") for i in range(300)]  # many texts of one id
+    nameless = [(None, f"{'w ' * r.randrange(6)}y{i % 90}") for i in range(300)]
+    rows = [(i, t, "en", "src0", 1) for i, t in one_id + nameless + [(100 + i, "a b c") for i in range(50)] + [(200, None), (201, "")]]
+    df = spark.createDataFrame(rows, DOCS_SCHEMA)
+    hashes = {(x[0], x[1]): x[2] for x in df.select("doc_id", "text", F.xxhash64("text")).collect()}
+    place = lambda x, epoch: (hashlib.md5(f"{mixing.OP6_SEED}-{epoch}-{hashes[x[0], x[1]] if x[0] is None else x[0]}".encode()).hexdigest(), hashes[x[0], x[1]])
+    budget, want, used = int(share * 2 * sum(len(words(x[1])) for x in rows)), [], 0
+    for epoch in range(2):
+        peers = collections.defaultdict(list)
+        for x in rows:
+            peers[place(x, epoch)].append(x)
+        for key in sorted(peers):
+            used += sum(len(words(x[1])) for x in peers[key])
+            if used <= budget:
+                want += [(x[0], x[1], epoch) for x in peers[key]]
+    got = mixing.mix(df, spark.createDataFrame([], mixing.WEIGHTS_SCHEMA), budget=budget, epochs=2)
+    assert sorted(((x.doc_id, x.text, x.epoch) for x in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_mixing_shortage_goes_to_siblings_first(spark):
     schema = "domain string, lang string, source string, tokens long"
     leaves = spark.createDataFrame([("a", "x", "s1", 10), ("a", "x", "s2", 500), ("a", "y", "s3", 500), ("b", "x", "s4", 500)], schema)
