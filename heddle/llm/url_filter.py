@@ -1,7 +1,7 @@
 """URL filters: rules for hosts with their subdomains and path prefixes, the longest fitting rule deciding.
 
 Every URL is expanded into those (host suffix, path prefix) expressions whose shape (number of host labels,
-length of path) occurs among the rules. Expressions meet rules in an equi-join on the first 32 bits of
+length of path) occurs among the rules; where rules have very many shapes, into all of them. Expressions meet rules in an equi-join on the first 32 bits of
 their SHA-256; a hit counts only if the full digests agree. Of the rules that fit, the longest decides.
 All of it runs as DataFrame expressions.
 """
@@ -17,6 +17,8 @@ RULES_SCHEMA = "host string, path string, verdict string"
 #: Rules are broadcast up to this count; beyond it they are joined by a shuffle.
 BROADCAST_RULES = 100_000
 PREFIX_DIGITS = 8  # hexadecimal digits of the digest in the join key
+#: URLs are expanded by the rules' shapes up to this count; beyond it into all of their own suffixes and prefixes.
+MOST_SHAPES = 500
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -45,6 +47,24 @@ def _suffix(host: Column, labels: Column) -> Column:
     return F.call_function("substring_index", host, F.lit("."), -labels)
 
 
+def _of_shapes(shapes: list[tuple[int, int]]) -> Column:
+    """A URL's expressions with one of the shapes (labels of the host, length of the path)."""
+    if not shapes:
+        return F.array().cast("array<string>")
+    given = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in shapes])
+    fitting = F.filter(given, lambda s: (s["n"] <= F.col("labels_here")) & (s["m"] <= F.col("length_here")))
+    return F.transform(fitting, lambda s: F.concat(_suffix(F.col("host"), s["n"]), F.substring(F.col("path"), F.lit(1), s["m"])))
+
+
+def _of_all_shapes() -> Column:
+    """All expressions of a URL: each suffix of its host with each prefix of its path."""
+    labels = F.sequence(F.lit(1), F.col("labels_here"))
+    lengths = F.sequence(F.lit(0), F.col("length_here"))
+    return F.flatten(
+        F.transform(labels, lambda n: F.transform(lengths, lambda m: F.concat(_suffix(F.col("host"), n), F.substring(F.col("path"), F.lit(1), m))))
+    )
+
+
 def filter_urls(
     pages: DataFrame,
     rules: DataFrame,
@@ -61,10 +81,12 @@ def filter_urls(
 
     Defined results: a null URL, an empty one or one without ``://`` has an empty host and path, so that no
     rule fits. Repeated rows are judged once and returned as often as they came. Rules with a null host or
-    path, or an empty host, never fit. An empty ``pages`` or ``rules`` is fine. Other columns of ``pages`` are ignored.
+    path, an empty host or one with a ``/``, or a path that is not empty and does not start with ``/``, never fit. An
+    empty ``pages`` or ``rules`` is fine. Other columns of ``pages`` are ignored.
     """
     rules = (
-        rules.filter("host is not null and host != '' and path is not null")
+        # with these the first slash parts host and path, in rules as in expressions
+        rules.filter("host != '' and instr(host, '/') = 0 and (path = '' or startswith(path, '/'))")
         .select(
             F.concat("host", "path").alias("rule"),
             F.col("verdict").alias("rule_verdict"),
@@ -75,22 +97,12 @@ def filter_urls(
         .withColumn("digest", F.sha2("rule", 256))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
-    # Shapes are pairs of two small numbers: there are no more than labels x lengths of the longest rule.
-    shapes = [(r.labels, r.path_length) for r in rules.select("labels", "path_length").distinct().collect()]
+    shapes = [(r.labels, r.path_length) for r in rules.select("labels", "path_length").distinct().limit(MOST_SHAPES + 1).collect()]
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
-
-    shape_array = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in sorted(shapes)])
-    if not shapes:
-        shape_array = F.array().cast("array<struct<n:int,m:int>>")
-    fitting = F.filter(
-        shape_array,
-        lambda s: (s["n"] <= F.col("labels_here")) & (s["m"] <= F.col("length_here")),
-    )
-    expressions = F.transform(
-        fitting,
-        lambda s: F.concat(_suffix(F.col("host"), s["n"]), F.substring(F.col("path"), F.lit(1), s["m"])),
-    )
+    expressions = _of_shapes(sorted(shapes)) if len(shapes) <= MOST_SHAPES else _of_all_shapes()
+    # what has no expression joins nothing; its key, unlike a null, is not the same for all
+    no_key = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
     parsed = (
         pick(pages, id=id_col, url=url_col)
         .groupBy("id", "url")
@@ -101,7 +113,7 @@ def filter_urls(
         .withColumn("length_here", F.length("path"))
         .select("id", "url", "copies", "host", "path", F.explode_outer(expressions).alias("expression"))
         .withColumn("own_digest", F.sha2("expression", 256))
-        .withColumn("prefix", F.substring("own_digest", 1, PREFIX_DIGITS))
+        .withColumn("prefix", F.coalesce(F.substring("own_digest", 1, PREFIX_DIGITS), no_key))
     )
     confirmed = F.when(
         F.col("own_digest") == F.col("digest"),
@@ -123,7 +135,7 @@ def filter_urls(
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge every page's url by the six given rules."""
+    """Judge every page's url by the five given rules."""
     rules = spark.createDataFrame(OP8_RULES, RULES_SCHEMA)
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
