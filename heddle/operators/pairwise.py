@@ -1,28 +1,40 @@
-"""Statistics of all pairs of items over the members they share, in long form.
+"""Statistics of all pairs of items over the members they share.
 
-An item's missing values are missing rows. ``pair_moments`` is a self-join on the member, for sparse or
-medium data; ``blocked_moments`` gives the same rows by products of dense blocks in Arrow batches, for data in
-which most pairs share most members. Neither gathers an item or a member as a whole.
+An item's missing values are missing rows. ``block_sums`` multiplies dense blocks of items in Arrow batches: of data in
+which most pairs share most members, a join on the member would make a row for each pair and member.
+``pair_moments`` is that join, for sparse data. Neither gathers an item or a member as a whole.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.stats import correlation_p, hypergeom_sf
+from heddle.storage import written
 
 MOMENTS = ["n", "sx", "sy", "sxy", "sxx", "syy"]
-
-
-def pair_moments(values: DataFrame, item: str, member: str, value: str, within: list[str] | None = None, part: Column | None = None) -> DataFrame:
-    """Rows (a, b, n, sx, sy, sxy, sxx, syy) for a < b over shared members; ``within``: columns that must agree.
-
-    ``part`` is a condition on x and y: the same sums over the members that meet it come with the prefix ``part_``,
-    from the same join.
-    """
+BLOCK_ITEMS = 512  # of a block; a task holds the sums of two blocks' pairs
+TASK_CELLS = 1 << 20  # measured values of a task, about
+_TILE = 2048  # members multiplied at a time
+
+Factor = Callable[[np.ndarray], np.ndarray]
+one: Factor = np.ones_like
+same: Factor = np.positive
+square: Factor = np.square
+#: Sums over shared members of one factor of x times one of y.
+MOMENT_FACTORS: dict[str, tuple[Factor, Factor]] = {
+    "n": (one, one), "sx": (same, one), "sy": (one, same), "sxy": (same, same), "sxx": (square, one), "syy": (one, square),
+}
+
+
+def pair_moments(values: DataFrame, item: str, member: str, value: str, within: list[str] | None = None) -> DataFrame:
+    """Rows (a, b, n, sx, sy, sxy, sxx, syy) for a < b over shared members; ``within``: columns that must agree."""
     within = within or []
     rows = values.filter(F.col(value).isNotNull())
     left = rows.select(*within, F.col(member).alias("m"), F.col(item).alias("a"), F.col(value).alias("x"))
@@ -30,53 +42,84 @@ def pair_moments(values: DataFrame, item: str, member: str, value: str, within:
     pairs = left.join(right, [*within, "m"]).filter("a < b")
     x, y = F.col("x"), F.col("y")
     terms = {"n": F.lit(1), "sx": x, "sy": y, "sxy": x * y, "sxx": x * x, "syy": y * y}
-    sums = [F.sum(e).alias(c) for c, e in terms.items()]
-    if part is not None:
-        sums += [F.coalesce(F.sum(F.when(part, e)), F.lit(0)).alias(f"part_{c}") for c, e in terms.items()]
-    return pairs.groupBy(*within, "a", "b").agg(*sums)
+    return pairs.groupBy(*within, "a", "b").agg(*[F.sum(e).alias(c) for c, e in terms.items()])
 
 
-def blocked_moments(values: DataFrame, item: str, member: str, value: str, item_blocks: int = 8, member_blocks: int = 16) -> DataFrame:
-    """The rows of ``pair_moments`` by products of blocks of items (integers) over slices of members.
+def block_sums(
+    values: DataFrame, item: str, member: str, value: str, sums: dict[str, tuple[Factor, Factor]], within: list[str] | None = None,
+    block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS,
+) -> DataFrame:
+    """Rows (``within``, a, b, n, and the ``sums``) for a < b that share a member.
 
-    Each value is sent to ``item_blocks`` pairs of blocks; a task holds two blocks of items over one slice.
+    A sum is over shared members of f(x) g(y), for a pair of factors (f, g); with each pair (g, f) must be there too.
+    Items are dealt into blocks and members into slices, as many as the numbers of items and values ask for. Each value is
+    sent to as many tasks as there are blocks; a task multiplies two blocks over one slice.
     """
+    within = within or []
+    sums = {"n": (one, one)} | sums
+    mirror = {name: next(k for k, v in sums.items() if v == (g, f)) for name, (f, g) in sums.items()}
     rows = values.filter(F.col(value).isNotNull()).select(
-        F.col(item).cast("long").alias("item"), F.xxhash64(F.col(member)).alias("member"), F.col(value).cast("double").alias("value")
+        *within, F.col(item).alias("item"), F.xxhash64(F.col(member)).alias("member"), F.col(value).cast("double").alias("value")
     )
-    block = F.pmod(F.xxhash64("item"), F.lit(item_blocks)).cast("int")
+    rows = written(rows, "cells")
+    size = rows.agg(F.count("*").alias("cells"), F.approx_count_distinct("item").alias("items")).first()
+    blocks = max(1, math.ceil(size["items"] / block_items))
+    slices = max(1, math.ceil(2 * size["cells"] / (blocks * task_cells)))
+    task = [*within, "low", "high", "slice"]
     sent = (
-        rows.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .withColumn("slice", F.pmod("member", F.lit(member_blocks)))
-    )
+        rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select(
+            *within, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            F.pmod("member", F.lit(slices)).alias("slice"), "block", "item", "member", "value",
+        )
+    )
 
     def products(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = key[0], key[1]
-        members, column = np.unique(frame["member"], return_inverse=True)
-
-        def dense(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            own = (frame["block"] == which).to_numpy()
-            items, row = np.unique(frame["item"][own], return_inverse=True)
-            x, mask = np.zeros((2, len(items), len(members)))
-            x[row, column[own]], mask[row, column[own]] = frame["value"][own], 1
-            return items, x, mask
-
-        a, x, mx = dense(low)
-        b, y, my = dense(high) if high != low else (a, x, mx)
-        found = [mx @ my.T, x @ my.T, mx @ y.T, x @ y.T, (x * x) @ my.T, mx @ (y * y).T]
-        i, j = np.nonzero(found[0] * ((a[:, None] < b[None, :]) if low == high else 1))
-        out = pd.DataFrame({"a": a[i], "b": b[j]} | {c: f[i, j] for c, f in zip(MOMENTS, found)})
-        turned = out["a"] > out["b"]
-        swap = {"a": "b", "b": "a", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"}
-        out = pd.concat([out[~turned], out[turned].rename(columns=swap)[out.columns]])
-        return out.astype({"n": "int64"})
-
-    schema = "a long, b long, n long, sx double, sy double, sxy double, sxx double, syy double"
-    partial = sent.groupBy("low", "high", "slice").applyInPandas(products, schema)
-    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in MOMENTS])
+        low, high = key[len(within)], key[len(within) + 1]
+        column = np.unique(frame["member"], return_inverse=True)[1]
+        block, cells = frame["block"].to_numpy(), frame["value"].to_numpy()
+        sides = []
+        for which in (low, high):
+            own = np.flatnonzero(block == which)
+            items, row = np.unique(frame["item"].to_numpy()[own], return_inverse=True)
+            order = np.argsort(column[own], kind="stable")
+            sides.append((items, row[order], column[own][order], cells[own][order]))
+        (a, *_), (b, *_) = sides
+        found = {name: np.zeros((len(a), len(b))) for name in sums}
+        for start in range(0, int(column.max()) + 1, _TILE):
+            dense: dict[tuple, np.ndarray] = {}
+            for name, factors in sums.items():
+                for side, f in enumerate(factors):
+                    if (side, f) not in dense:
+                        items, row, at, x = sides[side]
+                        here = slice(*np.searchsorted(at, [start, start + _TILE]))
+                        flat = row[here] * _TILE + at[here] - start
+                        dense[side, f] = np.bincount(flat, f(x[here]), len(items) * _TILE).reshape(len(items), _TILE)
+                found[name] += dense[0, factors[0]] @ dense[1, factors[1]].T
+        shared = found["n"] > 0.5
+        i, j = np.nonzero(shared & (a[:, None] < b[None, :]))
+        out = [pd.DataFrame({"a": a[i], "b": b[j]} | {name: found[name][i, j] for name in sums})]
+        if low != high:
+            i, j = np.nonzero(shared & (a[:, None] > b[None, :]))
+            out.append(pd.DataFrame({"a": b[j], "b": a[i]} | {name: found[mirror[name]][i, j] for name in sums}))
+        result = pd.concat(out).astype({"n": "int64"})
+        for name, part in zip(reversed(within), reversed(key[: len(within)])):
+            result.insert(0, name, part)
+        return result
+
+    kind = values.schema[item].dataType.simpleString()
+    groups = [f"`{c}` {values.schema[c].dataType.simpleString()}" for c in within]
+    schema = ", ".join([*groups, f"a {kind}", f"b {kind}", *[f"{c} {'long' if c == 'n' else 'double'}" for c in sums]])
+    partial = sent.groupBy(*task).applyInPandas(products, schema)
+    if slices == 1:
+        return partial
+    return partial.groupBy(*within, "a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def blocked_moments(values: DataFrame, item: str, member: str, value: str, within: list[str] | None = None, **sizes: int) -> DataFrame:
+    """The rows of ``pair_moments`` by ``block_sums``."""
+    return block_sums(values, item, member, value, MOMENT_FACTORS, within, **sizes)
 
 
 def pearson(n="n", sx="sx", sy="sy", sxy="sxy", sxx="sxx", syy="syy") -> Column:
@@ -86,22 +129,40 @@ def pearson(n="n", sx="sx", sy="sy", sxy="sxy", sxx="sxx", syy="syy") -> Column:
     return F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) / F.sqrt(vx * vy))
 
 
+def _weight(x: np.ndarray) -> np.ndarray:
+    return np.abs(x)
+
+
+def _weighted(x: np.ndarray) -> np.ndarray:
+    return np.abs(x) * x
+
+
+def _weighted_square(x: np.ndarray) -> np.ndarray:
+    return np.abs(x) * x * x
+
+
+#: With weights |x y|: each moment's factors times |x| and |y|.
+WEIGHTED_FACTORS = {
+    "w": (_weight, _weight), "wx": (_weighted, _weight), "wy": (_weight, _weighted), "wxy": (_weighted, _weighted),
+    "wxx": (_weighted_square, _weight), "wyy": (_weight, _weighted_square),
+}
+
+
 def weighted_pearson(values: DataFrame, item: str, member: str, value: str, min_overlap: int = 1) -> DataFrame:
     """Rows (a, b, n, r, r_plain) for a < b with weights |x y|; null where the weights or a weighted variance are 0."""
-    rows = values.filter(F.col(value).isNotNull())
-    left = rows.select(F.col(member).alias("m"), F.col(item).alias("a"), F.col(value).alias("x"))
-    right = rows.select(F.col(member).alias("m"), F.col(item).alias("b"), F.col(value).alias("y"))
-    pairs = left.join(right, "m").filter("a < b").withColumn("w", F.abs(F.col("x") * F.col("y")))
-    total = lambda e: F.sum(F.expr(e))
-    sums = pairs.groupBy("a", "b").agg(
-        F.count("*").alias("n"), total("x").alias("sx"), total("y").alias("sy"), total("x * y").alias("sxy"),
-        total("x * x").alias("sxx"), total("y * y").alias("syy"), total("w").alias("w"), total("w * x").alias("wx"), total("w * y").alias("wy"),
-        total("w * x * y").alias("wxy"), total("w * x * x").alias("wxx"), total("w * y * y").alias("wyy"),
-    )
+    sums = block_sums(values, item, member, value, MOMENT_FACTORS | WEIGHTED_FACTORS)
     r = pearson("w", "wx", "wy", "wxy", "wxx", "wyy")
     return sums.filter(F.col("n") >= min_overlap).select("a", "b", "n", F.when(F.col("w") > 0, r).alias("r"), pearson().alias("r_plain"))
 
 
+def _within(factor: Factor, most: float) -> Factor:
+    """The factor of values of ``most`` or less in size, and 0 for others. The same object for the same arguments."""
+    return _WITHIN.setdefault((factor, most), lambda x: np.where(np.abs(x) <= most, factor(x), 0.0))
+
+
+_WITHIN: dict[tuple[Factor, float], Factor] = {}
+
+
 def item_correlations(
     values: DataFrame, item: str, member: str, value: str, within: list[str], min_overlap: int = 500, min_rho: float = 0.3,
     tail: float = 0.5, min_tail: int = 20,
@@ -117,7 +178,10 @@ def item_correlations(
     sizes = rows.groupBy(*within, item).agg(F.count("*").alias("size"))
     a_size = sizes.select(*within, F.col(item).alias("a"), F.col("size").alias("a_size"))
     b_size = sizes.select(*within, F.col(item).alias("b"), F.col("size").alias("b_size"))
-    sums = pair_moments(rows, item, member, value, within, (F.abs("x") > tail) | (F.abs("y") > tail))
+    # what lies beyond the tail in either item is what does not lie within it in both
+    inner = {f"in_{c}": (_within(f, tail), _within(g, tail)) for c, (f, g) in MOMENT_FACTORS.items()}
+    sums = block_sums(rows, item, member, value, MOMENT_FACTORS | inner, within)
+    sums = sums.withColumns({f"part_{c}": F.col(c) - F.col(f"in_{c}") for c in MOMENTS})
     kept = sums.filter(F.col("n") >= min_overlap).withColumn("rho", pearson()).filter(F.abs("rho") >= min_rho)
     tail_rho = F.when(F.col("part_n") >= min_tail, pearson(*[f"part_{c}" for c in MOMENTS]))
     return (

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.operators.windows import first_per_key
+from heddle.storage import exists, shared_dir
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,18 +43,15 @@ def append_batches(work: DataFrame, path: str, key: str, batches: int) -> int:
     A load that broke off is resumed by running it again.
     """
     spark = work.sparkSession
-    written = 0
-    for batch in range(batches):
-        part = work.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == batch)
-        try:
-            part = still_to_do(part, spark.read.parquet(path), [key])
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        if not part.isEmpty():
-            part.write.mode("append").parquet(path)
-            written += 1
-    return written
+    todo = still_to_do(work, spark.read.parquet(path), [key]) if exists(spark, path) else work
+    # dealt once into partitions on disk, of which each batch reads its own
+    dealt = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    todo.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")).write.partitionBy("_batch").parquet(dealt)
+    held = spark.read.schema(todo.schema.add("_batch", "integer")).parquet(dealt)
+    numbers = [r[0] for r in held.select("_batch").distinct().orderBy("_batch").collect()]
+    for number in numbers:
+        held.filter(F.col("_batch") == number).drop("_batch").write.mode("append").parquet(path)
+    return len(numbers)
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions.fixed_values import MAD_TO_SIGMA
+from heddle.storage import written
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -93,14 +94,43 @@ def add_background_z(df: DataFrame, by: list[str], value: str, out: str = "z") -
     return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)))
 
 
+def add_running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over all rows up to this one in ``order``, peers included.
+
+    Rows are dealt into ranges of ``order``; the totals of ranges, one row each, are added up first, so that no
+    task holds all rows.
+    """
+    placed = _ranges(df, order)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    starts = totals.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order))
+    return placed.join(F.broadcast(starts), "_range").withColumn(out, F.col("_start") + inside).drop("_range", "_start")
+
+
+def add_least_from(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``out``: the least ``value`` of all rows from this one on in ``order``; by ranges, as in ``add_running_total``."""
+    placed = _ranges(df, order)
+    after = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    least = placed.groupBy("_range").agg(F.min(value).alias("_min"))
+    ends = least.select("_range", F.min("_min").over(after).alias("_end"))
+    inside = F.min(value).over(Window.partitionBy("_range").orderBy(F.desc(order)))
+    return placed.join(F.broadcast(ends), "_range").withColumn(out, F.least(inside, F.col("_end"))).drop("_range", "_end")
+
+
+def _ranges(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with the number of the range of ``order`` that each row is in: as many as partitions. Equal values share one."""
+    return written(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
 def bh_threshold(df: DataFrame, p: str, tested: int | Column, alpha: float) -> DataFrame:
     """One row, threshold: the largest p of rank k with p <= k / tested x alpha, or 0 (Benjamini and Hochberg).
 
-    The rank of a p-value is counted from totals per value, so that only different values are sorted.
+    The rank of a p-value is counted from totals per value, over ranges of values.
     """
     tested = F.lit(tested) if isinstance(tested, int) else tested
     counts = df.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("k", F.sum("n").over(Window.orderBy("p")))
+    ranked = add_running_total(counts, "p", "n", "k")
     return ranked.agg(F.coalesce(F.max(F.when(F.col("p") <= F.col("k") / tested * alpha, F.col("p"))), F.lit(0.0)).alias("threshold"))
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.functions import rules, scores
-from heddle.operators.windows import add_robust_z, add_signed_percentile
+from heddle.functions.fixed_values import MAD_TO_SIGMA
+from heddle.operators.windows import average_rank
 from heddle.storage import written
 
 SLOTS = [1, 2, 3, 4, 5]
@@ -143,7 +145,7 @@ def harmonize(rows: DataFrame, metadata: DataFrame, overrides: DataFrame | None
     overrides = overrides if overrides is not None else spark.createDataFrame([], OVERRIDES_SCHEMA)
     directions = directions if directions is not None else spark.createDataFrame([], DIRECTIONS_SCHEMA)
     numbers = numeric_scores(rows)
-    # One row per screen; and scores that sizes, medians and ranks all read: both are stored rather than computed again.
+    # one row per screen, which the rows' join below reads
     ways = written(decide(metadata, column_statistics(numbers), overrides, directions), "ways")
     joined = numbers.join(ways, "screen_id")
     slots = F.array(*[F.col(f"s{i}") for i in SLOTS])
@@ -162,16 +164,33 @@ def harmonize(rows: DataFrame, metadata: DataFrame, overrides: DataFrame | None
         "screen_id", "gene", (raw * F.col("factor") * F.col("perturbation")).alias("harmonized"),
         (F.upper(F.trim(F.coalesce("hit", F.lit("")))) == "YES").cast("int").alias("is_hit"), "basis", "reason",
     )
-    return rank_scores(written(scored, "scored")).select("screen_id", "gene", "harmonized", "percentile", "robust_z", "is_hit", "basis", F.coalesce("reason", "note").alias("note"))
+    return rank_scores(scored).select("screen_id", "gene", "harmonized", "percentile", "robust_z", "is_hit", "basis", F.coalesce("reason", "note").alias("note"))
 
 
 def rank_scores(scored: DataFrame) -> DataFrame:
-    """``scored`` (screen_id, harmonized, ...) with note, percentile and robust_z; both null where quality fails."""
-    sizes = scored.groupBy("screen_id").agg(F.count("harmonized").alias("_n"), F.count_distinct("harmonized").alias("_d"))
-    checked = scored.join(sizes, "screen_id").withColumn("_q", rules.screen_quality(F.col("_n"), F.col("_d")))
-    usable = checked.withColumn("_value", F.when(F.col("_q.ok"), F.col("harmonized"))).withColumn("note", F.col("_q.note"))
-    ranked = add_robust_z(add_signed_percentile(usable, ["screen_id"], "_value"), ["screen_id"], "_value")
-    return ranked.drop("_n", "_d", "_q", "_value")
+    """``scored`` (screen_id, harmonized, ...) with note, percentile and robust_z; both null where quality fails.
+
+    Counts, ranks and medians are windows over screens, so that rows are exchanged and sorted once. A screen has a row per
+    gene and is one task's work.
+    """
+    screen, x = Window.partitionBy("screen_id"), F.col("harmonized")
+    places = screen.orderBy(x.asc_nulls_last())
+    ranked = scored.withColumns(
+        {"_rank": average_rank(x, ["screen_id"]) - 1.0, "_dense": F.when(x.isNotNull(), F.dense_rank().over(places))}
+    ).withColumns(
+        {
+            "_n": F.count(x).over(screen), "_d": F.coalesce(F.max("_dense").over(screen), F.lit(0)), "_top": F.max("_rank").over(screen),
+            "_median": F.median(x).over(screen), "_deviation": F.stddev_samp(x).over(screen),
+        }
+    ).withColumn("_mad", F.median(F.abs(x - F.col("_median"))).over(screen))
+    judged = ranked.withColumn("_q", rules.screen_quality(F.col("_n"), F.col("_d")))
+    ok, scale = F.col("_q.ok"), F.when(F.col("_mad") > 0, F.col("_mad") * MAD_TO_SIGMA).otherwise(F.col("_deviation"))
+    return judged.withColumns(
+        {
+            "note": F.col("_q.note"), "percentile": F.when(ok, 2.0 * F.try_divide(F.col("_rank"), F.col("_top")) - 1.0),
+            "robust_z": F.when(ok & (scale > 0), (x - F.col("_median")) / scale),
+        }
+    ).drop("_rank", "_dense", "_n", "_d", "_top", "_median", "_deviation", "_mad", "_q")
 
 
 def panel_check(scores_: DataFrame, panel: DataFrame, by: list[str], least: int = 20) -> DataFrame:

@@ -8,13 +8,15 @@ rows minus s^2 times the product of their entries in u.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.operators.graph import both_ways
-from heddle.operators.pairwise import cohit_pairs
-from heddle.operators.windows import add_reciprocal, bh_threshold, fdr_sweep, top_k
+from heddle.operators.pairwise import block_sums, cohit_pairs, same
+from heddle.operators.windows import add_least_from, add_reciprocal, add_running_total, bh_threshold, fdr_sweep, top_k
 from heddle.storage import written
 
 
@@ -37,19 +39,19 @@ def centred(observations: DataFrame) -> DataFrame:
 def leading_component(x: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """The leading right singular vector by power iteration: v per screen, and su (s times u) per gene.
 
-    The screens' vector has a row per screen; each round is two aggregations over the measured values, and
-    lineage is cut every few rounds. It starts from each screen's sum, so that the result is reproducible.
+    The screens' vector has a row per screen; each round is two aggregations over the measured values. The vector is
+    stored after each, and its length, one number, is taken from there. It starts from each screen's sum, so that the
+    result is reproducible.
     """
     def unit(df: DataFrame) -> DataFrame:
-        norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(F.lit(0))))
-        return df.withColumn("v", F.try_divide(F.col("v"), norm))
+        v = written(df, "component")
+        length = math.sqrt(v.agg(F.sum(F.col("v") * F.col("v")).alias("q")).first()["q"] or 0.0)
+        return v.withColumn("v", F.try_divide(F.col("v"), F.lit(length)))
 
-    v = unit(x.groupBy("screen_id").agg(F.sum("x").alias("v"), F.lit(1).alias("one")).withColumn("v", F.col("v") + F.lit(1e-9)).drop("one"))
-    for step in range(rounds):
+    v = unit(x.groupBy("screen_id").agg((F.sum("x") + F.lit(1e-9)).alias("v")))
+    for _ in range(rounds):
         su = x.join(v, "screen_id").groupBy("gene").agg(F.sum(F.col("x") * F.col("v")).alias("su"))
         v = unit(x.join(su, "gene").groupBy("screen_id").agg(F.sum(F.col("x") * F.col("su")).alias("v")))
-        if step % 5 == 4:
-            v = written(v, "component")
     return v, x.join(v, "screen_id").groupBy("gene").agg(F.sum(F.col("x") * F.col("v")).alias("su"))
 
 
@@ -58,9 +60,7 @@ def cosine_pairs(x: DataFrame, su: DataFrame | None = None) -> DataFrame:
 
     With ``su``, of their rows without the leading component. Support is the number of screens that measured both.
     """
-    left = x.select("screen_id", F.col("gene").alias("a"), F.col("x").alias("xa"))
-    right = x.select("screen_id", F.col("gene").alias("b"), F.col("x").alias("xb"))
-    dots = left.join(right, "screen_id").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"), F.count("*").alias("support"))
+    dots = block_sums(x, "gene", "screen_id", "x", {"dot": (same, same)}).withColumnRenamed("n", "support")
     norms = x.groupBy("gene").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
     norms = norms.join(su, "gene", "left").withColumn("su", F.coalesce("su", F.lit(0.0))) if su is not None else norms.withColumn("su", F.lit(0.0))
     norms = norms.withColumn("square", F.col("square") - F.col("su") * F.col("su"))
@@ -136,8 +136,8 @@ def cohit_network(observations: DataFrame, tested: int | None = None, min_cohit:
     best = top_k(both, ["a"], [F.col("p"), F.desc("cohit"), F.col("b")], k).join(F.broadcast(limit)).filter(F.col("p") <= F.col("threshold"))
     edges = add_reciprocal(best, "a", "b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"])
     counts = both.groupBy("p").agg(F.count("*").alias("m"))
-    ranks = counts.withColumn("k", F.sum("m").over(Window.orderBy("p")))
-    adjusted = ranks.withColumn("q_bh", F.least(F.lit(1.0), F.min(F.col("p") * tested / F.col("k")).over(Window.orderBy(F.desc("p")))))
+    ranks = add_running_total(counts, "p", "m", "k").withColumn("q", F.least(F.lit(1.0), F.col("p") * tested / F.col("k")))
+    adjusted = add_least_from(ranks, "p", "q", "q_bh")
     return edges.join(adjusted.select("p", "q_bh"), "p").select(
         "a", "b", "cohit", F.round("expected", 3).alias("expected"), F.round("fold", 3).alias("fold"), "p",
         F.least(F.lit(1.0), F.col("p") * tested / F.col("candidates")).alias("q_ref"), "q_bh", F.col("n").alias("support"),

@@ -6,12 +6,18 @@ facts and dimensions carry their version and no flag of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions.fixed_values import ROW_BYTES
+from heddle.operators.upsert import replace_partitions
 from heddle.operators.windows import best_observation, first_per_key
+from heddle.storage import exists, remove
 
 MISSING_SCREEN, MISSING_GENE = "Missing screen id", "Missing identifier_id"
 DUPLICATE = "Duplicate identifier"
@@ -118,24 +124,52 @@ def build(staging_screens: DataFrame, staging_genes: DataFrame, versions: DataFr
     }
 
 
-STEPS = ["screen", "gene", "screen_gene_raw", "fact_screen_gene", "dim_screen", "dim_gene"]
+#: The steps of a load in order. Each one's plan takes the tables that those before it wrote, read back.
+STEPS = {
+    "staged": lambda t: mark_invalid(t["staging_genes"]),
+    "screen": lambda t: load_screens(mark_invalid_screens(t["staging_screens"])),
+    "gene": lambda t: load_genes(t["staged"], t["versions"]),
+    "screen_gene_raw": lambda t: raw_pairs(t["staged"], t["screen"], t["gene"]),
+    "fact_screen_gene": lambda t: facts(t["screen_gene_raw"]),
+    "dim_screen": lambda t: dim_screen(t["screen"], t["screen_gene_raw"]),
+    "dim_gene": lambda t: dim_gene(t["gene"], t["screen_gene_raw"]),
+}
+AUDIT_SCHEMA = "run_id int, step_name string, step_order int, status string, rows_inserted long, seconds double, error string"
 
 
-def run_load(tables: dict[str, DataFrame], path: str, run_id: int) -> DataFrame:
+def run_load(staging_screens: DataFrame, staging_genes: DataFrame, versions: DataFrame, path: str, run_id: int) -> DataFrame:
     """Write the tables of a load by version and return its audit rows; a step that fails ends the run and says so.
 
-    Each step reads what the one before it wrote, and a repeated run replaces the versions that it writes.
+    ``versions`` are those that are loaded; they replace what the tables had of them. Progress is kept below ``path``, so
+    that a run that broke off, started again under its number, goes on after its last completed step.
     """
-    spark = tables["screen"].sparkSession
-    audit = []
-    for order, name in enumerate(STEPS, start=1):
+    spark = staging_genes.sparkSession
+    tables = {"staging_screens": staging_screens, "staging_genes": staging_genes, "versions": versions}
+    log = f"{path}/audit"
+    done = audit_of(spark, log).filter((F.col("run_id") == run_id) & (F.col("status") == "completed"))
+    completed = {r.step_name for r in done.select("step_name").distinct().collect()}
+    own = F.broadcast(versions.select("version_id").distinct())
+    for order, (name, plan) in enumerate(STEPS.items(), start=1):
+        began, failure = time.monotonic(), None
         try:
-            tables[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_id").parquet(f"{path}/{name}")
-            audit.append((run_id, name, order, "completed", spark.read.parquet(f"{path}/{name}").count(), None))
-        except Exception as error:  # noqa: BLE001  the run's status must be recorded whatever failed
-            audit.append((run_id, name, order, "failed", None, str(error)[:500]))
+            if name not in completed:
+                replace_partitions(plan(tables), f"{path}/{name}", ["version_id"])
+            tables[name] = spark.read.parquet(f"{path}/{name}").join(own, "version_id", "left_semi")
+            rows = tables[name].count()
+        except (PySparkException, Py4JJavaError) as error:
+            failure, rows = str(error)[:500], None
+        if name not in completed:
+            status = "failed" if failure else "completed"
+            row = (run_id, name, order, status, rows, time.monotonic() - began, failure)
+            spark.createDataFrame([row], AUDIT_SCHEMA).write.mode("append").parquet(log)
+        if failure:
             break
-    return spark.createDataFrame(audit, "run_id int, step_name string, step_order int, status string, rows_inserted long, error string")
+    return audit_of(spark, log).filter(F.col("run_id") == run_id)
+
+
+def audit_of(spark: SparkSession, log: str) -> DataFrame:
+    """The audit rows kept in a folder; none if there is no folder."""
+    return spark.read.schema(AUDIT_SCHEMA).parquet(log) if exists(spark, log) else spark.createDataFrame([], AUDIT_SCHEMA)
 
 
 def issues(screens: DataFrame, genes: DataFrame) -> DataFrame:
@@ -189,6 +223,20 @@ def purge(tables: dict[str, DataFrame], version_ids: list[int]) -> tuple[dict[st
     return {name: df.filter(~gone) for name, df in reversed(tables.items())}, whole
 
 
+def drop_versions(spark: SparkSession, path: str, version_ids: list[int]) -> DataFrame:
+    """Remove versions from stored tables by their partitions, dependents first; a report of the rows removed."""
+    names = [name for name in reversed(STEPS) if exists(spark, f"{path}/{name}")]
+    counted = [
+        spark.read.parquet(f"{path}/{name}").filter(F.col("version_id").isin(version_ids))
+        .groupBy(F.lit(name).alias("table_name"), F.col("version_id").cast("int").alias("version_id")).agg(F.count("*").alias("rows_removed"))
+        for name in names
+    ]
+    removed = [r for part in counted for r in part.collect()]  # one row per table and version
+    for row in removed:
+        remove(spark, f"{path}/{row.table_name}/version_id={row.version_id}")
+    return spark.createDataFrame(removed, "table_name string, version_id int, rows_removed long")
+
+
 def old_versions(versions: DataFrame, keep: int) -> DataFrame:
     """Versions beyond the latest ``keep`` of their organism that are not current."""
     age = F.row_number().over(Window.partitionBy("organism").orderBy(F.desc("version_id")))
@@ -214,6 +262,23 @@ def run_summary(runs: DataFrame, audit: DataFrame) -> DataFrame:
     return runs.withColumn("seconds", seconds).join(steps, "run_id", "left")
 
 
+def run_history(runs: DataFrame, audit: DataFrame, versions: DataFrame) -> DataFrame:
+    """Runs with their version's organism and, per run, its last step, from the latest start on. ``runs``: run_id, version_id, status, started_at."""
+    last = audit.groupBy("run_id").agg(F.max_by("step_name", "step_order").alias("last_step"), F.max_by("error", "step_order").alias("last_error"))
+    joined = runs.join(versions.select("version_id", "organism", "is_current"), "version_id", "left").join(last, "run_id", "left")
+    return joined.orderBy(F.desc("started_at"), "run_id")
+
+
+def step_statistics(audit: DataFrame) -> DataFrame:
+    """Per step over all runs: how often it ran and failed, its mean and longest time, and its rows per second."""
+    ok = F.col("status") == "completed"
+    return audit.groupBy("step_name").agg(
+        F.count("*").alias("n_runs"), F.count_if(~ok).alias("n_failed"), F.round(100.0 * F.count_if(ok) / F.count("*"), 2).alias("success_percentage"),
+        F.avg("seconds").alias("mean_seconds"), F.max("seconds").alias("longest_seconds"), F.sum("rows_inserted").alias("n_rows"),
+        F.try_divide(F.sum(F.when(ok, F.col("rows_inserted"))), F.sum(F.when(ok, F.col("seconds")))).alias("rows_per_second"),
+    )
+
+
 def ready(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
     """Per required table: whether it is there, has its columns, and has rows."""
     any_table = next(iter(tables.values()))

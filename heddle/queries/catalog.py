@@ -30,13 +30,6 @@ def query(sql: str | None = None):
     return register
 
 
-def whole(name: str, cut: str) -> None:
-    """Register query ``name`` over all ids as well, as NAME_whole; its SQL lacks the range of ids ``cut``."""
-    assert cut in ORACLE_SQL[name]
-    QUERIES[f"{name}_whole"] = lambda spark, d: QUERIES[name](spark, d, ids="true")
-    ORACLE_SQL[f"{name}_whole"] = ORACLE_SQL[name].replace(cut, "")
-
-
 def r6(c) -> F.Column:
     """To six digits; no negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -349,17 +342,14 @@ def screen_correlations(spark, d):
     return found.select("organism", "a", "b", "n", r6("rho").alias("rho"), r6("overlap_fraction").alias("overlap_fraction"), r6("tail_rho").alias("tail_rho"))
 
 
-@query(f"""WITH {SCORED}, few AS (SELECT * FROM scored WHERE screen_id <= 60)
+@query(f"""WITH {SCORED}, few AS (SELECT * FROM scored)
 SELECT x.screen_id AS a, y.screen_id AS b, count(*) AS n, round(sum(x.percentile * y.percentile), 6) + 0 AS sxy, round(sum(x.percentile), 6) + 0 AS sx, round(sum(y.percentile ** 2), 6) AS syy
 FROM few x JOIN few y ON x.gene = y.gene AND x.screen_id < y.screen_id GROUP BY ALL""")
-def blocked_screen_moments(spark, d, ids="screen_id <= 60"):
-    few = scored(spark, d).filter(ids)
+def blocked_screen_moments(spark, d):
+    few = scored(spark, d)
     return pairwise.blocked_moments(few, "screen_id", "gene", "percentile").select("a", "b", "n", *[r6(c).alias(c) for c in ("sxy", "sx", "syy")])
 
 
-whole("blocked_screen_moments", " WHERE screen_id <= 60")
-
-
 @query(f"""WITH {SCORED}, w AS (SELECT x.screen_id AS a, y.screen_id AS b, x.percentile AS p, y.percentile AS q, abs(x.percentile * y.percentile) AS w FROM scored x JOIN scored y ON x.gene = y.gene AND x.screen_id < y.screen_id),
 s AS (SELECT a, b, count(*) AS n, sum(w) AS w, sum(w * p) AS wx, sum(w * q) AS wy, sum(w * p * q) AS wxy, sum(w * p * p) AS wxx, sum(w * q * q) AS wyy, sum(p) AS x, sum(q) AS y, sum(p * q) AS xy, sum(p * p) AS xx, sum(q * q) AS yy FROM w GROUP BY ALL)
 SELECT a, b, n, round((w * wxy - wx * wy) / sqrt((w * wxx - wx * wx) * (w * wyy - wy * wy)), 6) AS r, round((n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)), 6) AS r_plain FROM s WHERE n >= 130""")
@@ -383,7 +373,7 @@ def screen_hit_overlaps(spark, d):
     return found.withColumns({"jaccard": r6("jaccard"), "p": r6("p")})
 
 
-COHIT = f"""{SCORED}, few AS (SELECT * FROM scored WHERE gene <= 300), hits AS (SELECT * FROM few WHERE hit),
+COHIT = f"""{SCORED}, few AS (SELECT * FROM scored), hits AS (SELECT * FROM few WHERE hit),
 c AS (SELECT x.gene AS a, y.gene AS b, count(*) AS cohit, count(*) FILTER (x.percentile * y.percentile > 0) AS same FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL HAVING count(*) >= 3),
 w AS (SELECT x.gene AS a, y.gene AS b, count(*) AS n, count(*) FILTER (x.hit) AS a_hits, count(*) FILTER (y.hit) AS b_hits FROM few x JOIN few y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL),
 t AS (SELECT a, b, cohit, same, n, a_hits, b_hits, unnest(range(cohit, least(a_hits, b_hits) + 1)) AS x FROM c JOIN w USING (a, b)),
@@ -391,25 +381,21 @@ cp AS (SELECT a, b, cohit, n, a_hits, b_hits, a_hits * b_hits / n AS expected, s
 
 
 @query(f"WITH {COHIT} SELECT a, b, cohit, n, a_hits, b_hits, round(expected, 6) AS expected, round(cohit / expected, 6) AS fold, round(p, 6) AS p, round(concordance, 6) AS concordance FROM cp")
-def cohit_pairs(spark, d, ids="gene <= 300"):
-    found = pairwise.cohit_pairs(scored(spark, d).filter(ids), "gene", "screen_id", "percentile", "hit", 3)
+def cohit_pairs(spark, d):
+    found = pairwise.cohit_pairs(scored(spark, d), "gene", "screen_id", "percentile", "hit", 3)
     return found.withColumns({c: r6(c) for c in ("expected", "fold", "p", "concordance")})
 
 
 @query(f"""WITH {COHIT}, ways AS (SELECT a, b, cohit, expected, p, n, concordance FROM cp UNION ALL SELECT b, a, cohit, expected, p, n, concordance FROM cp),
 rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(p, 12), cohit DESC, b) AS rn FROM ways), best25 AS (SELECT * FROM rk WHERE rn <= 25)
 SELECT least(x.a, x.b) AS a, greatest(x.a, x.b) AS b, max(x.cohit) AS cohit, max(CASE WHEN y.a IS NULL THEN 0 ELSE 1 END) AS reciprocal FROM best25 x LEFT JOIN best25 y ON y.a = x.b AND y.b = x.a GROUP BY 1, 2""")
-def cohit_best_partners(spark, d, ids="gene <= 300"):
-    pairs = pairwise.cohit_pairs(scored(spark, d).filter(ids), "gene", "screen_id", "percentile", "hit", 3)
+def cohit_best_partners(spark, d):
+    pairs = pairwise.cohit_pairs(scored(spark, d), "gene", "screen_id", "percentile", "hit", 3)
     both = pairs.select("a", "b", "cohit", "p").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cohit", "p"))
     top = windows.add_reciprocal(windows.top_k(both, ["a"], [F.round("p", 12), F.desc("cohit"), F.col("b")], 25), "a", "b")
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cohit", "reciprocal").distinct()
 
 
-whole("cohit_pairs", " WHERE gene <= 300")
-whole("cohit_best_partners", " WHERE gene <= 300")
-
-
 @query()
 def cohit_network(spark, d):
     return networks.cohit_network(scored(spark, d), alpha=0.5)
@@ -420,35 +406,29 @@ def coessential_network(spark, d):
     return networks.coessential_network(scored(spark, d), min_screens=3, min_support=5, hit_min=2, min_coverage=0.1, min_corr=0.2, fdr=2.0)
 
 
-@query(f"""WITH {SCORED}, k AS (SELECT * FROM scored WHERE gene <= 300), g AS (SELECT gene, avg(percentile) AS mu FROM k GROUP BY gene HAVING count(*) >= greatest(20, floor(0.11 * (SELECT count(DISTINCT screen_id) FROM k)))),
+@query(f"""WITH {SCORED}, k AS (SELECT * FROM scored), g AS (SELECT gene, avg(percentile) AS mu FROM k GROUP BY gene HAVING count(*) >= greatest(20, floor(0.11 * (SELECT count(DISTINCT screen_id) FROM k)))),
 c AS (SELECT gene, screen_id, percentile - mu AS x FROM k JOIN g USING (gene)), nn AS (SELECT gene, sum(x * x) AS q FROM c GROUP BY 1),
 dd AS (SELECT p.gene AS a, q.gene AS b, sum(p.x * q.x) AS dot FROM c p JOIN c q ON p.screen_id = q.screen_id AND p.gene != q.gene GROUP BY ALL),
 rr AS (SELECT a, b, dot / sqrt(x.q * y.q) AS r FROM dd JOIN nn x ON x.gene = a JOIN nn y ON y.gene = b)
 SELECT a AS gene, b AS neighbour, round(r, 6) AS r FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rn FROM rr WHERE r >= 0.25) WHERE rn <= 14""")
-def profile_neighbours(spark, d, ids="gene <= 300"):
-    found = networks.profile_neighbours(scored(spark, d).filter(ids), least=20)
+def profile_neighbours(spark, d):
+    found = networks.profile_neighbours(scored(spark, d), least=20)
     return found.select("gene", "neighbour", r6("r").alias("r"))
 
 
-whole("profile_neighbours", " WHERE gene <= 300")
-
-
-SIMILAR = f"""{SCORED}, few AS (SELECT * FROM scored WHERE screen_id <= 60), pr AS (SELECT x.screen_id AS a, y.screen_id AS b, count(*) AS n, sum(x.percentile) AS sx, sum(y.percentile) AS sy, sum(x.percentile * y.percentile) AS sxy, sum(x.percentile ** 2) AS sxx, sum(y.percentile ** 2) AS syy
+SIMILAR = f"""{SCORED}, few AS (SELECT * FROM scored), pr AS (SELECT x.screen_id AS a, y.screen_id AS b, count(*) AS n, sum(x.percentile) AS sx, sum(y.percentile) AS sy, sum(x.percentile * y.percentile) AS sxy, sum(x.percentile ** 2) AS sxx, sum(y.percentile ** 2) AS syy
 FROM few x JOIN few y ON x.gene = y.gene AND x.screen_id != y.screen_id WHERE x.screen_id = 5 GROUP BY ALL HAVING count(*) >= 50),
 rs AS (SELECT b AS screen_b, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r, n AS overlap FROM pr),
 zs AS (SELECT *, (r - avg(r) OVER ()) / stddev_pop(r) OVER () AS z FROM rs)"""
 
 
 @query(f"WITH {SIMILAR} SELECT screen_b, round(r, 6) AS r, overlap, round(z, 5) AS z FROM zs WHERE screen_b // 10 != 0")
-def similar_screens(spark, d, ids="screen_id <= 60"):
-    pairs = similarity.screen_similarity(scored(spark, d).filter(ids), min_overlap=50)
+def similar_screens(spark, d):
+    pairs = similarity.screen_similarity(scored(spark, d), min_overlap=50)
     found = similarity.similar_screens(pairs, screens(spark, d).select("screen_id", "pmid"), 5, exclude_same_study=True)
     return found.select("screen_b", r6("r").alias("r"), "overlap", F.round("z", 5).alias("z"))
 
 
-whole("similar_screens", " WHERE screen_id <= 60")
-
-
 # ---- graphs
 
 
@@ -468,17 +448,14 @@ def ego_network(spark, d):
     return graph.induced(e, nodes).select("a", "b", r6("strength").alias("strength"), "reciprocal")
 
 
-@query(f"""WITH {EDGES}, way AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), few AS (SELECT a, b FROM edges WHERE a <= 200),
+@query(f"""WITH {EDGES}, way AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), few AS (SELECT a, b FROM edges),
 na AS (SELECT f.a, f.b, w.b AS c FROM few f JOIN way w ON w.a = f.a WHERE w.b != f.b), nb AS (SELECT f.a, f.b, w.b AS c FROM few f JOIN way w ON w.a = f.b WHERE w.b != f.a),
 x AS (SELECT a, b, count(*) AS k FROM na JOIN nb USING (a, b, c) GROUP BY ALL), p AS (SELECT a, b, count(*) AS k FROM na GROUP BY ALL), q AS (SELECT a, b, count(*) AS k FROM nb GROUP BY ALL)
 SELECT f.a, f.b, coalesce(round(coalesce(x.k, 0) / nullif(coalesce(p.k, 0) + coalesce(q.k, 0) - coalesce(x.k, 0), 0), 3), 0.0) AS jaccard
 FROM few f LEFT JOIN x ON x.a = f.a AND x.b = f.b LEFT JOIN p ON p.a = f.a AND p.b = f.b LEFT JOIN q ON q.a = f.a AND q.b = f.b""")
-def neighbourhood_jaccard(spark, d, ids="a <= 200"):
+def neighbourhood_jaccard(spark, d):
     e = edges(spark, d)
-    return graph.neighbourhood_jaccard(e, e.filter(ids).select("a", "b"))
-
-
-whole("neighbourhood_jaccard", " WHERE a <= 200")
+    return graph.neighbourhood_jaccard(e, e.select("a", "b"))
 
 
 @query(f"""WITH {EDGES}, {BEST}, hits AS (SELECT * FROM best WHERE hit), ch AS (SELECT x.gene AS a, y.gene AS b FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL HAVING count(*) >= 6),
@@ -520,30 +497,21 @@ def complex_precision(spark, d):
 
 @query(f"""WITH {SCORED}, {SCREENS} SELECT gene, domain, count(percentile) AS n, count(*) FILTER (hit) AS n_hits, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate, round(median(percentile), 4) AS median, round(avg(percentile), 4) AS mean,
 round(quantile_cont(percentile, 0.25), 4) AS p25, round(quantile_cont(percentile, 0.75), 4) AS p75, round(min(percentile), 4) AS min, round(max(percentile), 4) AS max,
-CASE WHEN median(percentile) < -0.15 THEN 'essential' WHEN median(percentile) > 0.15 THEN 'advantageous' ELSE 'mixed' END AS lean FROM scored JOIN screens USING (screen_id) WHERE gene <= 500 GROUP BY gene, domain""")
-def gene_summary(spark, d, ids="gene <= 500"):
-    return serving.summary(_by_organism(spark, d).filter(ids), ["gene", "domain"])
-
+CASE WHEN median(percentile) < -0.15 THEN 'essential' WHEN median(percentile) > 0.15 THEN 'advantageous' ELSE 'mixed' END AS lean FROM scored JOIN screens USING (screen_id) GROUP BY gene, domain""")
+def gene_summary(spark, d):
+    return serving.summary(_by_organism(spark, d), ["gene", "domain"])
 
-whole("gene_summary", " WHERE gene <= 500")
 
-
-@query(f"""WITH {SCORED}, b AS (SELECT gene, least(CAST(floor((percentile + 1.0::DOUBLE) / (2.0::DOUBLE / 26)) AS INTEGER) + 1, 26) AS bin FROM scored WHERE gene <= 100 AND percentile IS NOT NULL), g AS (SELECT DISTINCT gene FROM b)
+@query(f"""WITH {SCORED}, b AS (SELECT gene, least(CAST(floor((percentile + 1.0::DOUBLE) / (2.0::DOUBLE / 26)) AS INTEGER) + 1, 26) AS bin FROM scored WHERE percentile IS NOT NULL), g AS (SELECT DISTINCT gene FROM b)
 SELECT g.gene, CAST(r.bin AS INTEGER) AS bin, count(b.bin) AS n FROM g CROSS JOIN range(1, 27) r(bin) LEFT JOIN b ON b.gene = g.gene AND b.bin = r.bin GROUP BY ALL""")
-def gene_histogram(spark, d, ids="gene <= 100"):
-    return serving.gene_histogram(scored(spark, d).filter(ids), ["gene"])
-
+def gene_histogram(spark, d):
+    return serving.gene_histogram(scored(spark, d), ["gene"])
 
-whole("gene_histogram", "gene <= 100 AND ")
 
-
-@query(f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE gene <= 100), lo AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY percentile, screen_id) AS rank FROM f), hi AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY percentile DESC, screen_id) AS rank FROM f)
+@query(f"""WITH {SCORED}, f AS (SELECT * FROM scored), lo AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY percentile, screen_id) AS rank FROM f), hi AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY percentile DESC, screen_id) AS rank FROM f)
 SELECT gene, screen_id, 'essential' AS side, CAST(rank AS INTEGER) AS rank FROM lo WHERE rank <= 10 UNION ALL SELECT gene, screen_id, 'advantageous', CAST(rank AS INTEGER) FROM hi WHERE rank <= 10""")
-def gene_extremes(spark, d, ids="gene <= 100"):
-    return serving.extremes(scored(spark, d).filter(ids), ["gene"]).select("gene", "screen_id", "side", "rank")
-
-
-whole("gene_extremes", " WHERE gene <= 100")
+def gene_extremes(spark, d):
+    return serving.extremes(scored(spark, d), ["gene"]).select("gene", "screen_id", "side", "rank")
 
 
 LEDGER = f"""{SCORED}, {SCREENS}, hits AS (SELECT gene, condition, 'drug' AS class, pmid AS paper, screen_id, percentile >= 0 AS pos FROM scored JOIN screens USING (screen_id) WHERE hit AND domain = 'stress'),
@@ -651,18 +619,15 @@ def gene_suggestions(spark, d):
     return serving.suggest(_index(spark, d).filter("taxid = 1").unionByName(_index(spark, d).filter("taxid = 0")), "b").select("symbol", "term", "rank")
 
 
-@query(f"""WITH {INDEX}, names AS (SELECT upper(p_name) AS name FROM part WHERE p_partkey <= 50 UNION SELECT p_brand || '-' || p_size FROM part WHERE p_partkey <= 50),
+@query(f"""WITH {INDEX}, names AS (SELECT upper(p_name) AS name FROM part UNION SELECT p_brand || '-' || p_size FROM part),
 j AS (SELECT names.name, gene_id, symbol, CASE WHEN is_alias = 0 AND names.name = symbol THEN 0 WHEN is_alias = 0 THEN 1 ELSE 2 END AS priority FROM names JOIN idx ON term = upper(names.name))
 SELECT name, gene_id, symbol, CAST(priority AS INTEGER) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY priority, gene_id) AS rn FROM j) WHERE rn = 1""")
-def resolve_gene_names(spark, d, ids="p_partkey <= 50"):
-    part = table(spark, d, "part").filter(ids)
+def resolve_gene_names(spark, d):
+    part = table(spark, d, "part")
     names = part.select(F.upper("p_name").alias("name")).union(part.select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")))).distinct()
     return knowledge.resolve_names(names, _index(spark, d).drop("name"))
 
 
-whole("resolve_gene_names", " WHERE p_partkey <= 50")
-
-
 @query(f"WITH {SCORED}, {SCREENS} SELECT gene, organism, round(avg(percentile), 6) AS mean_percentile, count(*) AS n FROM scored JOIN screens USING (screen_id) WHERE domain = 'fitness' AND percentile IS NOT NULL GROUP BY ALL")
 def fitness_lean(spark, d):
     return knowledge.fitness_lean(_by_organism(spark, d)).withColumn("mean_percentile", r6("mean_percentile"))
@@ -725,44 +690,38 @@ def clean_neighbours(spark, d):
     return knowledge.clean_neighbours(rows, ["x", "y"]).withColumn("weight", r6("weight"))
 
 
-PREDICT = """nb AS (SELECT DISTINCT l_suppkey AS gene, l_partkey AS neighbour, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS layer, l_quantity AS w FROM lineitem WHERE l_suppkey <= 30),
+PREDICT = """nb AS (SELECT DISTINCT l_suppkey AS gene, l_partkey AS neighbour, CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS layer, l_quantity AS w FROM lineitem),
 nl AS (SELECT gene, layer, neighbour, max(w) AS w FROM nb GROUP BY ALL), nw AS (SELECT gene, neighbour, sum(w / m) AS weight, list(layer) AS layers FROM (SELECT *, max(w) OVER (PARTITION BY gene, layer) AS m FROM nl) GROUP BY ALL)"""
 
 
-def _layers(spark: SparkSession, d: str, ids: str) -> DataFrame:
-    line = table(spark, d, "lineitem").filter(ids)
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
     rows = line.select(F.col("l_suppkey").alias("gene"), F.col("l_partkey").alias("neighbour"), F.when(F.col("l_linenumber") % 2 == 0, "x").otherwise("y").alias("layer"), F.col("l_quantity").alias("w"))
     return windows.sum_layers(rows.groupBy("gene", "layer", "neighbour").agg(F.max("w").alias("w")), ["gene"], "layer", "neighbour", "w")
 
 
 @query(f"WITH {PREDICT} SELECT gene, neighbour, round(weight, 6) AS weight, array_to_string(list_sort(layers), '+') AS layers FROM nw")
-def layered_neighbours(spark, d, ids="l_suppkey <= 30"):
-    return _layers(spark, d, ids).select("gene", "neighbour", r6("weight").alias("weight"), F.array_join("layers", "+").alias("layers"))
-
-
-whole("layered_neighbours", " WHERE l_suppkey <= 30")
+def layered_neighbours(spark, d):
+    return _layers(spark, d).select("gene", "neighbour", r6("weight").alias("weight"), F.array_join("layers", "+").alias("layers"))
 
 
 @query(f"""WITH {PREDICT}, an AS (SELECT DISTINCT p_partkey AS gene, p_type || '/' || p_size AS term, p_partkey % 9 != 0 AS positive FROM part), gv AS (SELECT DISTINCT gene AS neighbour, term FROM an WHERE positive),
 sz AS (SELECT term FROM gv GROUP BY 1 HAVING count(*) BETWEEN 2 AND 300), vt AS (SELECT nw.gene, term, sum(weight) AS score, count(DISTINCT neighbour) AS n_support, list_sort(list_distinct(flatten(list(layers)))) AS layers FROM nw JOIN gv USING (neighbour) JOIN sz USING (term) GROUP BY ALL HAVING count(DISTINCT neighbour) >= 2),
 cd AS (SELECT * FROM vt ANTI JOIN an ON an.gene = vt.gene AND an.term = vt.term), rk AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY round(score, 9) DESC, term) AS rank FROM cd)
 SELECT gene, term, round(score, 6) AS score, n_support, CAST(rank AS INTEGER) AS rank, CASE WHEN len(layers) >= 2 AND n_support >= 3 THEN 'high' WHEN n_support >= 4 OR len(layers) >= 2 THEN 'moderate' ELSE 'tentative' END AS confidence FROM rk WHERE rank <= 8""")
-def predicted_terms(spark, d, ids="l_suppkey <= 30"):
+def predicted_terms(spark, d):
     part = table(spark, d, "part")
     annotations = part.select(F.col("p_partkey").alias("gene"), F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("term"), (F.col("p_partkey") % 9 != 0).alias("positive")).distinct()
-    found = serving.predict_terms(_layers(spark, d, ids), annotations, least_size=2)
+    found = serving.predict_terms(_layers(spark, d), annotations, least_size=2)
     return found.select("gene", "term", r6("score").alias("score"), "n_support", "rank", "confidence")
 
 
-whole("predicted_terms", " WHERE l_suppkey <= 30")
-
-
-@query(f"""WITH {BEST}, hits AS (SELECT screen_id, gene FROM best WHERE hit AND gene <= 200), h AS (SELECT gene, count(*) AS n FROM hits GROUP BY 1), c AS (SELECT x.gene AS a, y.gene AS b, count(*) AS c FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene != y.gene GROUP BY ALL),
+@query(f"""WITH {BEST}, hits AS (SELECT screen_id, gene FROM best WHERE hit), h AS (SELECT gene, count(*) AS n FROM hits GROUP BY 1), c AS (SELECT x.gene AS a, y.gene AS b, count(*) AS c FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene != y.gene GROUP BY ALL),
 l AS (SELECT a, c / sqrt(p.n * q.n) AS lift, CASE WHEN x.p_size % 10 = y.p_size % 10 THEN 1 ELSE 0 END AS label FROM c JOIN h p ON p.gene = a JOIN h q ON q.gene = b JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b),
 r AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY lift) + (count(*) OVER (PARTITION BY a, lift) - 1) / 2.0 AS rk FROM l), s AS (SELECT a, sum(label) AS p, count(*) - sum(label) AS n, coalesce(sum(rk) FILTER (label = 1), 0) AS rs FROM r GROUP BY a)
 SELECT a AS gene, round((rs - p * (p + 1) / 2) / (p * n), 6) AS auroc FROM s WHERE p > 0 AND n > 0""")
-def backtest_auroc(spark, d, ids="gene <= 200"):
-    hits = best(spark, d).filter(f"hit and {ids}").select("screen_id", "gene")
+def backtest_auroc(spark, d):
+    hits = best(spark, d).filter("hit").select("screen_id", "gene")
     sizes = hits.groupBy("gene").agg(F.count("*").alias("n"))
     pairs = hits.withColumnRenamed("gene", "a").join(hits.withColumnRenamed("gene", "b"), "screen_id").filter("a != b").groupBy("a", "b").agg(F.count("*").alias("c"))
     sized = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 10).alias("group"))
@@ -774,9 +733,6 @@ def backtest_auroc(spark, d, ids="gene <= 200"):
     return windows.auroc(lift, ["gene"], "lift", "label").filter("auroc is not null").withColumn("auroc", r6("auroc"))
 
 
-whole("backtest_auroc", " AND gene <= 200")
-
-
 # ---- significance, and thresholds
 
 
@@ -795,17 +751,14 @@ def fdr_threshold(spark, d):
     return windows.fdr_sweep(real, null, "r", 0.15, 0.90, 0.005, 0.85)
 
 
-@query(f"""WITH c AS (SELECT p_partkey, p_size AS r, p_size // 2 + 5 AS k, p_size // 4 + 1 AS a, 60 AS n FROM part WHERE p_partkey <= 500), t AS (SELECT p_partkey, r, k, n, a, unnest(range(greatest(a, r + k - n), least(r, k) + 1)) AS x FROM c)
+@query(f"""WITH c AS (SELECT p_partkey, p_size AS r, p_size // 2 + 5 AS k, p_size // 4 + 1 AS a, 60 AS n FROM part0), t AS (SELECT p_partkey, r, k, n, a, unnest(range(greatest(a, r + k - n), least(r, k) + 1)) AS x FROM c)
 SELECT p_partkey, round(CASE WHEN max(a) <= greatest(0, max(r + k - n)) THEN 1.0 ELSE sum({HYPER.format(n='n', r='r', k='k')}) END, 9) AS p FROM t GROUP BY p_partkey""")
-def hypergeometric_tail(spark, d, ids="p_partkey <= 500"):
+def hypergeometric_tail(spark, d):
     size = F.col("p_size")
-    found = table(spark, d, "part").filter(ids).select("p_partkey", hypergeom_sf(F.floor(size / 4) + 1, F.lit(60), size, F.floor(size / 2) + 5).alias("p"), F.least(size, F.floor(size / 2) + 5).alias("most"))
+    found = table(spark, d, "part").select("p_partkey", hypergeom_sf(F.floor(size / 4) + 1, F.lit(60), size, F.floor(size / 2) + 5).alias("p"), F.least(size, F.floor(size / 2) + 5).alias("most"))
     return found.filter(F.col("most") >= 1).select("p_partkey", F.round("p", 9).alias("p"))
 
 
-whole("hypergeometric_tail", " WHERE p_partkey <= 500")
-
-
 # ---- rules, on cases whose answers are written down
 
 CASES = {
@@ -876,17 +829,14 @@ def gene_details(spark, d):
     return found.select("gene", "screens", "hit_screens", r6("correlation").alias("correlation"), "dark_score", "is_bright", first.alias("first_citation"))
 
 
-@query(f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE gene <= 200 AND percentile IS NOT NULL), m AS (SELECT x.gene AS a, y.gene AS b, count(*) AS n, sum(x.percentile) AS sx, sum(y.percentile) AS sy, sum(x.percentile * y.percentile) AS sxy, sum(x.percentile ** 2) AS sxx, sum(y.percentile ** 2) AS syy
+@query(f"""WITH {SCORED}, f AS (SELECT * FROM scored WHERE percentile IS NOT NULL), m AS (SELECT x.gene AS a, y.gene AS b, count(*) AS n, sum(x.percentile) AS sx, sum(y.percentile) AS sy, sum(x.percentile * y.percentile) AS sxy, sum(x.percentile ** 2) AS sxx, sum(y.percentile ** 2) AS syy
 FROM f x JOIN f y ON x.screen_id = y.screen_id AND x.gene < y.gene AND (x.hit OR y.hit) GROUP BY ALL HAVING count(*) >= 8)
 SELECT a, b, n, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 5) + 0 AS r FROM m WHERE n * sxx - sx * sx > 0 AND n * syy - sy * sy > 0""")
-def anchored_correlations(spark, d, ids="gene <= 200"):
-    found = details.anchored_correlations(scored(spark, d).filter(ids), 8)
+def anchored_correlations(spark, d):
+    found = details.anchored_correlations(scored(spark, d), 8)
     return found.select("a", "b", "n", (F.round("r", 5) + F.lit(0.0)).alias("r"))
 
 
-whole("anchored_correlations", "gene <= 200 AND ")
-
-
 @query(f"""WITH {EGO}, {SCORED}, {SCREENS}, lean AS (SELECT gene, avg(percentile) AS m FROM scored JOIN screens USING (screen_id) WHERE domain = 'fitness' GROUP BY 1)
 SELECT node, round(m, 3) AS mean_percentile, CASE WHEN m < -0.15 THEN 'essential' WHEN m > 0.15 THEN 'advantageous' WHEN m IS NOT NULL THEN 'mixed' ELSE 'unknown' END AS lean, node = 17 AS focus FROM nodes LEFT JOIN lean ON gene = node""")
 def coloured_network(spark, d):
@@ -895,22 +845,19 @@ def coloured_network(spark, d):
 
 
 @query(f"""WITH {EDGES}, w AS (SELECT a, b, strength, reciprocal FROM edges UNION ALL SELECT b, a, strength, reciprocal FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY strength DESC, b) AS rank FROM w),
-t AS (SELECT r.*, CASE WHEN reciprocal = 1 AND (r.a + r.b) % 3 = 0 THEN 1 WHEN reciprocal = 1 THEN 2 WHEN (r.a + r.b) % 3 = 0 THEN 3 ELSE 4 END AS tier FROM r WHERE rank <= 18 AND a <= 300)
+t AS (SELECT r.*, CASE WHEN reciprocal = 1 AND (r.a + r.b) % 3 = 0 THEN 1 WHEN reciprocal = 1 THEN 2 WHEN (r.a + r.b) % 3 = 0 THEN 3 ELSE 4 END AS tier FROM r WHERE rank <= 18)
 SELECT a AS gene, b AS partner, CAST(rank AS INTEGER) AS rank, CAST(tier AS INTEGER) AS tier, CASE WHEN (a + b) % 3 = 0 THEN 1.5 END AS fold, p_type AS term FROM t JOIN part ON p_partkey = b""")
-def partner_dossiers(spark, d, ids="gene <= 300"):
+def partner_dossiers(spark, d):
     e = edges(spark, d)
     cohits = e.filter("(a + b) % 3 = 0").select("a", "b", F.lit(1.5).alias("fold"))
     part = table(spark, d, "part")
     terms = part.select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("term"), F.lit(True).alias("positive"))
     pathways = part.select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("pathway"))
     lean = part.select(F.col("p_partkey").alias("gene"), F.lit(0.0).alias("mean_percentile"))
-    found = details.dossiers(e, cohits, terms, pathways, lean).filter(ids)
+    found = details.dossiers(e, cohits, terms, pathways, lean)
     return found.select("gene", "partner", "rank", "tier", "fold", F.col("terms")[0].alias("term"))
 
 
-whole("partner_dossiers", " AND a <= 300")
-
-
 @query(f"""WITH {BEST}, {SCREENS}, h AS (SELECT gene, domain AS phenotype, condition FROM best JOIN screens USING (screen_id) WHERE hit), n AS (SELECT gene, phenotype, count(*) AS n FROM h GROUP BY ALL),
 c AS (SELECT gene, phenotype, condition, count(*) AS k FROM h GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY gene, phenotype ORDER BY k DESC, condition) AS r FROM c)
 SELECT gene, phenotype, n, condition AS first_condition, k AS times FROM n JOIN t USING (gene, phenotype) WHERE r = 1""")
@@ -1045,16 +992,8 @@ def numeric_order_of_text(spark, d):
     return part.orderBy(F.col("size").try_cast("int").desc_nulls_last(), "p_partkey").limit(50).select("p_partkey", "p_retailprice")
 
 
-@query("SELECT l_suppkey AS model, l_partkey AS gene_id, max(l_quantity) AS value FROM lineitem WHERE l_partkey BETWEEN 1 AND 20 GROUP BY ALL")
-def unpivoted_models(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_partkey between 1 and 20")
-    wide = rows.groupBy(F.col("l_suppkey").alias("model_id")).pivot("l_partkey", list(range(1, 21))).agg(F.max("l_quantity"))
-    wide = wide.toDF("model_id", *[f"GENE{i} ({i})" for i in range(1, 21)])
-    return screen_files.unpivot_models(wide, "model_id").filter("value is not null")
-
-
 @query("SELECT l_suppkey AS model, l_linenumber AS gene_id, max(l_quantity) AS value FROM lineitem GROUP BY ALL")
-def unpivoted_models_whole(spark, d):
+def unpivoted_models(spark, d):
     """All rows; the wide table's columns are line numbers, of which there are seven."""
     wide = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("model_id")).pivot("l_linenumber", list(range(1, 8))).agg(F.max("l_quantity"))
     wide = wide.toDF("model_id", *[f"GENE{i} ({i})" for i in range(1, 8)])

@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_SHARED_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below the shared one, which ``spark.checkpoint.dir`` names."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR).rstrip("/")
+    """This application's folder below the shared one, which ``spark.checkpoint.dir`` names; on a cluster it has to."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = (top or LOCAL_SHARED_DIR).rstrip("/")
     return f"{top}/heddle-{spark.sparkContext.applicationId}"
 
 
@@ -25,5 +28,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def clean(spark: SparkSession) -> bool:
     """Delete all tables that this application has written so; results that read them must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return remove(spark, shared_dir(spark))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all that it holds; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

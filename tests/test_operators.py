@@ -86,12 +86,33 @@ def random_matrix(items, members, seed=0):
     return x
 
 
+def test_block_sums_within_groups_of_text_items(spark):
+    r = np.random.default_rng(4)
+    rows = [(g, f"i{i}", f"m{r.integers(12)}", float(np.round(r.normal(), 2))) for g in "xy" for i in range(7) for _ in range(9)]
+    df = spark.createDataFrame(rows, "kind string, item string, member string, v double")
+    rounded = lambda q: tuple(q)[:4] + tuple(round(v, 6) + 0.0 for v in tuple(q)[4:])
+    joined = sorted(rounded(q) for q in pairwise.pair_moments(df, "item", "member", "v", ["kind"]).collect())
+    for sizes in ({}, {"block_items": 2, "task_cells": 20}):
+        assert sorted(rounded(q) for q in pairwise.blocked_moments(df, "item", "member", "v", ["kind"], **sizes).collect()) == joined
+    assert pairwise.blocked_moments(df.limit(0), "item", "member", "v", ["kind"]).count() == 0
+
+
+def test_running_total_and_least_from(spark):
+    r = np.random.default_rng(9)
+    rows = [(float(r.integers(60)) / 7, int(r.integers(100))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "p double, n long").repartition(6)
+    total = {(q.p, q.k) for q in windows.add_running_total(df, "p", "n", "k").collect()}
+    assert total == {(p, sum(n for q, n in rows if q <= p)) for p, _ in rows}
+    least = {(q.p, q.low) for q in windows.add_least_from(df, "p", "n", "low").collect()}
+    assert least == {(p, min(n for q, n in rows if q >= p)) for p, _ in rows}
+
+
 def test_moments_both_ways(spark):
     x = random_matrix(9, 40)
     rows = [(i, m, float(x[i, m])) for i in range(9) for m in range(40) if not np.isnan(x[i, m])]
     df = spark.createDataFrame(rows, "item long, member long, v double")
     joined = {(r.a, r.b): tuple(r)[2:] for r in pairwise.pair_moments(df, "item", "member", "v").collect()}
-    blocked = {(r.a, r.b): tuple(r)[2:] for r in pairwise.blocked_moments(df, "item", "member", "v", 3, 4).collect()}
+    blocked = {(r.a, r.b): tuple(r)[2:] for r in pairwise.blocked_moments(df, "item", "member", "v", block_items=3, task_cells=60).collect()}
     assert joined.keys() == blocked.keys() == {(i, j) for i in range(9) for j in range(i + 1, 9)}
     for (i, j), sums in joined.items():
         both = ~np.isnan(x[i]) & ~np.isnan(x[j])

@@ -84,12 +84,32 @@ def test_warehouse_load(spark, tmp_path):
     dims = {r.identifier_id: (r.total_screens, r.total_screens_hit, r.avg_hit_percentage) for r in built["dim_gene"].collect()}
     assert dims == {5: (2, 1, 50.0), 6: (1, 0, 0.0), 7: (0, 0, 0.0)}
     path = str(tmp_path / "wh")
-    audit = warehouse.run_load(built, path, 1)
-    assert [r.status for r in audit.orderBy("step_order").collect()] == ["completed"] * 6
-    assert warehouse.run_load(built, path, 2).agg(F.sum("rows_inserted")).first()[0] == audit.agg(F.sum("rows_inserted")).first()[0]
-    assert spark.read.parquet(f"{path}/screen_gene_raw").count() == 3
-    broken = dict(built, gene=built["gene"].withColumn("bad", F.raise_error(F.lit("no"))))
-    assert [r.status for r in warehouse.run_load(broken, str(tmp_path / "bad"), 3).collect()] == ["completed", "failed"]
+    steps = lambda df: [(r.step_name, r.status, r.rows_inserted) for r in df.orderBy("step_order").collect()]
+    audit = steps(warehouse.run_load(screens, genes, versions, path, 1))
+    assert audit == [(name, "completed", n) for name, n in zip(warehouse.STEPS, (6, 2, 3, 3, 3, 2, 3))]
+    assert steps(warehouse.run_load(screens, genes, versions, path, 2)) == audit
+    for name in ("screen", "gene", "screen_gene_raw", "fact_screen_gene", "dim_screen", "dim_gene"):
+        stored = spark.read.parquet(f"{path}/{name}").select(built[name].columns)
+        assert sorted(map(repr, stored.collect())) == sorted(map(repr, built[name].collect()))
+    # a run that breaks off goes on after its last completed step, and does not read what that had read
+    bad, second = str(tmp_path / "bad"), spark.createDataFrame([(2, "mouse")], "version_id int, organism string")
+    broken = second.withColumn("organism", F.expr("raise_error('no')").cast("string"))
+    moved = [df.withColumn("version_id", F.lit(2)) for df in (screens, genes)]
+    assert [x[:2] for x in steps(warehouse.run_load(*moved, broken, bad, 3))] == [("staged", "completed"), ("screen", "completed"), ("gene", "failed")]
+    unread = moved[1].withColumn("gene_symbol", F.expr("raise_error('read again')").cast("string"))
+    again = steps(warehouse.run_load(moved[0], unread, second, bad, 3))
+    assert [x[:2] for x in again if x[1] == "completed"] == [(name, "completed") for name in warehouse.STEPS] and len(again) == 8
+    # versions are dropped by their partitions
+    warehouse.run_load(*moved, second, path, 4)
+    report = {(r.table_name, r.version_id): r.rows_removed for r in warehouse.drop_versions(spark, path, [2, 9]).collect()}
+    assert report == {(name, 2): n for name, _, n in audit}
+    assert spark.read.parquet(f"{path}/screen_gene_raw").select("version_id").distinct().collect() == [(1,)]
+    log = warehouse.audit_of(spark, f"{bad}/audit")
+    numbers = {r.step_name: (r.n_runs, r.n_failed, r.success_percentage) for r in warehouse.step_statistics(log).collect()}
+    assert numbers["gene"] == (2, 1, 50.0) and numbers["staged"] == (1, 0, 100.0)
+    runs = spark.createDataFrame([(3, 2, "failed", "2024-01-02"), (1, 1, "completed", "2024-01-01")], "run_id int, version_id int, status string, started_at string")
+    history = warehouse.run_history(runs, log, spark.createDataFrame([(1, "mouse", True), (2, "mouse", False)], "version_id int, organism string, is_current boolean"))
+    assert [(r.run_id, r.last_step, r.is_current) for r in history.collect()] == [(3, "dim_gene", False), (1, None, True)]
     ready = {r.table_name: (r.present, r.has_columns, r.has_rows) for r in warehouse.ready(built, {"screen": ["screen_id"], "gene": ["nope"], "other": []}).collect()}
     assert ready == {"screen": (True, True, True), "gene": (True, False, True), "other": (False, False, False)}
 
