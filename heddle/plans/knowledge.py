@@ -147,16 +147,3 @@ def merge_facets(by_rule: DataFrame, reviewed: DataFrame) -> DataFrame:
 def enriched_terms(rows: DataFrame, most_p: float = 0.05, top: int = 15) -> DataFrame:
     """Enrichment results (term, adj_p, combined) that are significant, by combined score."""
     return rows.filter(F.col("adj_p") <= most_p).orderBy(F.desc("combined"), "term").limit(top)
-
-
-def filter_predictions(predictions: DataFrame, supporters: DataFrame, least_cited: int = 1) -> DataFrame:
-    """Predictions (id, verdict, confidence, cited array) whose citations are real supporters.
-
-    Citations that are no supporter are dropped; a prediction left with fewer than ``least_cited`` goes, as does one
-    that is rejected. Confidence falls by one step if citations were dropped.
-    """
-    known = supporters.groupBy("id").agg(F.collect_set("gene").alias("known"))
-    joined = predictions.filter("verdict != 'reject'").join(known, "id", "left").withColumn("real", F.array_intersect("cited", F.coalesce("known", F.array().cast("array<string>"))))
-    lowered = F.when(F.col("confidence") == "high", "moderate").otherwise("tentative")
-    kept = joined.filter(F.size("real") >= least_cited)
-    return kept.select("id", "verdict", F.when(F.size("real") < F.size(F.array_distinct("cited")), lowered).otherwise(F.col("confidence")).alias("confidence"), F.array_sort("real").alias("cited"))

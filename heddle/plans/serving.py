@@ -179,3 +179,19 @@ def suggest(index: DataFrame, typed: str, limit: int = 10, over_fetch: int = 5)
     fetched = index.filter(F.col("term").startswith(word)).orderBy(*order).limit(limit * over_fetch)
     placed = fetched.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
     return first_per_key(placed, ["symbol"], [F.col("_place")]).orderBy("_place").limit(limit).drop("_place")
+
+
+def drawer_rows(genes: DataFrame, needle: str, by: str, ascending: bool, ties: list[str]) -> DataFrame:
+    """A screen's genes whose ``symbol`` has ``needle`` in it, in any case, with their ``place`` by a column; null is the lowest value."""
+    word = needle.strip().upper()
+    found = genes.filter(F.contains(F.upper("symbol"), F.lit(word))) if word else genes
+    order = F.col(by).asc_nulls_first() if ascending else F.col(by).desc_nulls_last()
+    return found.withColumn("place", F.row_number().over(Window.orderBy(order, *ties)))
+
+
+def drawer_tokens(genes: DataFrame, needle: str, order: list, show_all: bool = False, most: int = 40) -> DataFrame:
+    """Genes shown as tokens: the first ``most``, or all that have ``needle`` in their symbol."""
+    word = needle.strip().upper()
+    if word:
+        return genes.filter(F.contains(F.upper("symbol"), F.lit(word)))
+    return genes if show_all else genes.orderBy(*order).limit(most)

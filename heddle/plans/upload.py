@@ -1,22 +1,18 @@
 """Uploaded gene lists: many files at a time, each with a format of its own.
 
-A file is one row of text. Its format is found from its header by a small Python function per file; lines are
-then exploded and read by Spark expressions.
+A file is one row of text. Its format is the first of a table of formats whose conditions its header meets; all is
+evaluated as Spark expressions over the names in the header.
 """
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import fixed_values as V
 
-FORMAT_SCHEMA = (
-    "format string, delimiter string, columns array<string>, id_column string, hit_column string, condition_column string, "
-    "score_column string, confidence double"
-)
 HIGH, MEDIUM, LOW = 0.95, 0.75, 0.5
 #: Score columns by preference, where a format has fixed names.
 PREFERRED = {
@@ -25,74 +21,126 @@ PREFERRED = {
     "DESEQ2": ["log2FoldChange", "log2foldchange", "stat", "pvalue", "padj", "baseMean"],
     "RESIDUAL": ["z_score", "mean_lfc", "mean_residual", "fdr", "p_value"],
 }
+_DESEQ_IDS = ["gene", "", "geneid", "gene_id"]
+_SCORE = r"^score\.\d+$"
 
 
-def detect_format(raw: str | None) -> dict:
-    """The format of a file, from its first line that is not blank. Formats are tried from the most to the least specific."""
-    lines = [line.strip() for line in (raw or "").strip().split("\n") if line.strip()]
-    if not lines:
-        return _found("UNKNOWN", "\t", [], "", 0.0)
-    head = re.sub(r"^#+\s*", "", lines[0])
-    delimiter = "\t" if head.count("\t") >= head.count(",") else ","
-    columns = [re.sub(r"^[\"']|[\"']$", "", c.strip()) for c in head.split(delimiter)]
-    low = [c.lower() for c in columns]
-    has = lambda *names: all(n in low for n in names)
-    any_of = lambda *names: any(n in low for n in names)
-    named = lambda name: columns[low.index(name)] if name in low else ""
-    hit = any_of(*V.HIT_COLUMNS)
-    scored = any(re.fullmatch(r"score\.\d+", c) for c in low)
-    piped = any("|" in c for c in columns)
-    stars = sum(c in low for c in V.STARS_COLUMNS)
-    deseq = sum(c in low for c in V.DESEQ_COLUMNS)
-
-    if has("official_symbol") and (scored or hit):
-        return _found("ORCS", delimiter, columns, named("official_symbol"), HIGH if scored and hit else MEDIUM)
-    if has("gene", "mean_lfc") and any_of("z_score", "mean_residual", "ascending_rank"):
-        return _found("RESIDUAL", delimiter, columns, named("gene"), HIGH if has("z_score", "mean_residual") else MEDIUM)
-    if piped:
-        return _found("MAGECK", delimiter, columns, named("id") or columns[0], HIGH if has("id") else MEDIUM)
-    if stars >= 3:
-        return _found("STARS", delimiter, columns, named("gene") or columns[0], HIGH if stars == len(V.STARS_COLUMNS) else MEDIUM)
-    if deseq >= 2:
-        first = next((columns[i] for i, c in enumerate(low) if c in ("gene", "", "geneid", "gene_id")), columns[0])
-        full = HIGH if any_of(*V.DESEQ_OPTIONAL) else MEDIUM
-        return _found("DESEQ2", delimiter, columns, first, full if deseq == len(V.DESEQ_COLUMNS) else LOW)
-    if len(columns) <= 3:
-        is_id = any(t in low[0] for t in V.SIMPLE_ID_TERMS)
-        is_score = len(low) > 1 and any(t in low[1] for t in V.SIMPLE_SCORE_TERMS)
-        if is_id or len(columns) == 1:
-            return _found("SIMPLE", delimiter, columns, columns[0], HIGH if is_id and is_score else MEDIUM)
-        parts = lines[1].split(delimiter) if len(lines) > 1 else [""]
-        if re.match(r"[A-Za-z]", parts[0].strip()) and (len(parts) == 1 or re.match(r"\s*[-+]?(\d|\.\d|Infinity)", parts[1])):
-            return _found("SIMPLE", delimiter, columns, columns[0], LOW)
-    return _found("UNKNOWN", delimiter, columns, columns[0], 0.0)
-
-
-def _found(kind: str, delimiter: str, columns: list[str], id_column: str, confidence: float) -> dict:
-    low = [c.lower() for c in columns]
-    first = lambda names: next((columns[i] for i, c in enumerate(low) if c in names), "")
-    return {
-        "format": kind, "delimiter": delimiter, "columns": columns, "id_column": id_column, "hit_column": first(V.HIT_COLUMNS),
-        "condition_column": first(["condition"]), "score_column": suggest_score(columns, kind), "confidence": confidence,
-    }
-
-
-def suggest_score(columns: list[str], kind: str) -> str:
-    """The score column to begin with: the first preferred one that is there."""
-    if not columns:
-        return ""
-    if kind == "ORCS":
-        preferred = sorted((c for c in columns if re.fullmatch(r"(?i)score\.\d+", c)), key=lambda c: int(c.split(".")[1]))
-    elif kind in PREFERRED:
-        preferred = [*PREFERRED[kind], *(c for c in columns if kind == "MAGECK" and "|" in c)]
-    else:
-        preferred = columns[1:2] or columns[:1]
-    return next((c for c in preferred if c in columns), columns[1] if len(columns) > 1 else columns[0])
+def _names() -> Column:
+    return F.col("columns")
+
+
+def _low() -> Column:
+    return F.transform("columns", F.lower)
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _unquote(text: Column) -> Column:
+    return F.regexp_replace(_strip(text), "^[\"']|[\"']$", "")
+
+
+def _texts(names: list[str]) -> Column:
+    return F.array(*[F.lit(n) for n in names])
+
+
+def _all(*names: str) -> Column:
+    return F.size(F.array_intersect(_low(), _texts(list(names)))) == len(names)
+
+
+def _some(names: list[str]) -> Column:
+    return F.arrays_overlap(_low(), _texts(names))
+
+
+def _count(names: list[str]) -> Column:
+    return F.size(F.array_intersect(_low(), _texts(names)))
+
+
+def _called(names: list[str]) -> Column:
+    """The first column of one of the names (in lower case), as it is written; null if there is none."""
+    return F.get(F.filter(_names(), lambda c: F.lower(c).isin(names)), F.lit(0))
+
+
+def _holds(place: int, terms: list[str]) -> Column:
+    """Whether the name at a place has one of the terms in it."""
+    name = F.coalesce(F.get(_low(), F.lit(place)), F.lit(""))
+    return F.exists(_texts(terms), lambda t: F.contains(name, t)) & (F.size(_names()) > place)
+
+
+@dataclass(frozen=True)
+class Format:
+    """A format: when a header has it, its identifier column, and how sure that is."""
+
+    name: str
+    fits: Column
+    id_column: Column
+    sure: Column
+
+
+def _formats() -> list[Format]:
+    """From the most to the least specific."""
+    first = F.get(_names(), F.lit(0))
+    numbered, hit = F.exists(_low(), lambda c: F.rlike(c, F.lit(_SCORE))), _some(V.HIT_COLUMNS)
+    graded = lambda full, other=MEDIUM: F.when(full, HIGH).otherwise(other)
+    stars, deseq = _count(V.STARS_COLUMNS), _count(V.DESEQ_COLUMNS)
+    named, scored = _holds(0, V.SIMPLE_ID_TERMS), _holds(1, V.SIMPLE_SCORE_TERMS)
+    row = F.split("second", F.col("delimiter"), -1)
+    letters = F.rlike(_strip(F.get(row, F.lit(0))), F.lit("^[A-Za-z]"))
+    number = F.rlike(F.get(row, F.lit(1)), F.lit(r"^\s*[-+]?(\d|\.\d|Infinity)"))
+    small = F.size(_names()) <= 3
+    return [
+        Format("ORCS", _all("official_symbol") & (numbered | hit), _called(["official_symbol"]), graded(numbered & hit)),
+        Format(
+            "RESIDUAL", _all("gene", "mean_lfc") & _some(["z_score", "mean_residual", "ascending_rank"]), _called(["gene"]), graded(_all("z_score", "mean_residual"))
+        ),
+        Format("MAGECK", F.exists(_names(), lambda c: F.contains(c, F.lit("|"))), F.coalesce(_called(["id"]), first), graded(_all("id"))),
+        Format("STARS", stars >= 3, F.coalesce(_called(["gene"]), first), graded(stars == len(V.STARS_COLUMNS))),
+        Format(
+            "DESEQ2", deseq >= 2, F.coalesce(_called(_DESEQ_IDS), first),
+            F.when(deseq < len(V.DESEQ_COLUMNS), LOW).otherwise(graded(_some(V.DESEQ_OPTIONAL))),
+        ),
+        Format("SIMPLE", small & (named | (F.size(_names()) == 1)), first, graded(named & scored)),
+        Format("SIMPLE", small & letters & ((F.size(row) == 1) | number), first, F.lit(LOW)),
+        Format("UNKNOWN", F.lit(True), first, F.lit(0.0)),
+    ]
+
+
+def _score_column() -> Column:
+    """The score column to begin with: the first preferred one of the format that is there, else the second column."""
+    any_second = F.coalesce(F.get(_names(), F.lit(1)), F.get(_names(), F.lit(0)), F.lit(""))
+    numbered = F.filter(_names(), lambda c: F.rlike(F.lower(c), F.lit(_SCORE)))
+    lowest = F.array_min(F.transform(numbered, lambda c: F.struct(F.substring_index(c, ".", -1).cast("int").alias("number"), c.alias("name"))))["name"]
+    found = F.when(F.col("format") == "ORCS", lowest)
+    for kind, preferred in PREFERRED.items():
+        own = F.get(F.array_intersect(_texts(preferred), _names()), F.lit(0))
+        if kind == "MAGECK":
+            own = F.coalesce(own, F.get(F.filter(_names(), lambda c: F.contains(c, F.lit("|"))), F.lit(0)))
+        found = F.when(F.col("format") == kind, own).otherwise(found)
+    return F.coalesce(found, any_second)
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """``files`` (file, text) with a struct ``found``."""
-    return files.withColumn("found", F.udf(detect_format, FORMAT_SCHEMA)("text"))
+    """``files`` (file, text) with a struct ``found``: format, delimiter, columns, id_column, hit_column, condition_column,
+    score_column and confidence.
+
+    The format is that of the first line that is not blank; of the text no more than the first two such lines are taken.
+    """
+    line = lambda n: _strip(F.regexp_extract("text", r"^\s*" + r"[^\n]*\n\s*" * n + r"([^\n]*)", 1))
+    head = F.regexp_replace(line(0), r"^#+\s*", "")
+    read = files.withColumns({"head": F.coalesce(head, F.lit("")), "second": F.coalesce(line(1), F.lit("")), "any": F.coalesce(F.rlike("text", F.lit(r"\S")), F.lit(False))})
+    tabs = F.regexp_count("head", F.lit("\t")) >= F.regexp_count("head", F.lit(","))
+    read = read.withColumn("delimiter", F.when(tabs, "\t").otherwise(","))
+    read = read.withColumn("columns", F.when(F.col("any"), F.transform(F.split("head", F.col("delimiter"), -1), _unquote)).otherwise(F.array().cast("array<string>")))
+    formats = _formats()
+    fits = [F.when(F.col("any") & f.fits, F.struct(F.lit(f.name).alias("format"), f.id_column.alias("id_column"), f.sure.alias("confidence"))) for f in formats]
+    none = F.struct(F.lit("UNKNOWN").alias("format"), F.lit("").alias("id_column"), F.lit(0.0).alias("confidence"))
+    judged = read.withColumn("kind", F.coalesce(*fits, none)).select("*", "kind.*")
+    found = F.struct(
+        "format", "delimiter", "columns", F.coalesce("id_column", F.lit("")).alias("id_column"), F.coalesce(_called(V.HIT_COLUMNS), F.lit("")).alias("hit_column"),
+        F.coalesce(_called(["condition"]), F.lit("")).alias("condition_column"), _score_column().alias("score_column"), "confidence",
+    )
+    return judged.select(*files.columns, found.alias("found"))
 
 
 def parse_genes(files: DataFrame) -> tuple[DataFrame, DataFrame]:

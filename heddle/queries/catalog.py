@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,29 +10,11 @@ from heddle.functions.stats import correlation_p, hypergeom_sf
 from heddle.operators import graph, pairwise, upsert, windows
 from heddle.plans import details, harmonize, knowledge, networks, serving, similarity, upload, warehouse
 from heddle.queries.bindings import BEST, EDGES, OBS, SCORED, SCREENS, best, edges, observations, scored, screens, table
+from heddle.queries.registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from heddle.sources import screens as screen_files
 from heddle.storage import written
 from heddle.streaming.ingest import windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c) -> F.Column:
-    """To six digits; no negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
-
-
 GENES = list(range(1, 41))
 GENE_LIST = ", ".join(map(str, GENES))
 
@@ -960,10 +940,15 @@ def upload_resolution(spark, d):
     return upload.resolve_ids(genes, walk, "Mouse").select("symbol", "resolved", "mapped")
 
 
-@query("SELECT name, symbol FROM (VALUES ('Trp53', 'Trp53'), ('atg5', 'ATG5'), ('irgm', 'Irgm')) v(name, symbol)")
+@query("""WITH known AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN upper(p_name[1]) || lower(p_name[2:]) ELSE p_name END AS symbol FROM part),
+typed AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_partkey % 2 = 0),
+forms AS (SELECT name, name AS form, 0 AS o FROM typed UNION ALL SELECT name, upper(name), 1 FROM typed UNION ALL SELECT name, upper(name[1]) || lower(name[2:]), 2 FROM typed)
+SELECT name, symbol FROM (SELECT name, symbol, row_number() OVER (PARTITION BY name ORDER BY o) AS rn FROM forms JOIN known ON symbol = form) WHERE rn = 1""")
 def known_casings(spark, d):
-    names = spark.createDataFrame([("Trp53",), ("atg5",), ("irgm",), ("none",)], "name string")
-    return details.known_casing(names, spark.createDataFrame([("Trp53",), ("TRP53",), ("ATG5",), ("Irgm",)], "symbol string"))
+    part, k = table(spark, d, "part"), F.col("p_partkey") % 3
+    capital = F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.expr("substring(p_name, 2)")))
+    known = part.select(F.when(k == 0, F.upper("p_name")).when(k == 1, capital).otherwise(F.col("p_name")).alias("symbol")).distinct()
+    return details.known_casing(part.filter("p_partkey % 2 = 0").select(F.lower("p_name").alias("name")).distinct(), known).select("name", "symbol")
 
 
 @query("""SELECT screen_id, gene, CAST(harmonized AS DOUBLE) AS harmonized FROM (VALUES (1, 'a', 2.0), (1, 'b', NULL), (1, 'c', -3.0), (2, 'a', NULL), (2, 'b', NULL), (2, 'c', NULL), (3, 'a', 2.0), (3, 'b', -1.0), (3, 'c', -3.0), (4, 'a', 3.0), (4, 'b', 0.0), (4, 'c', -2.0)) v(screen_id, gene, harmonized)""")
@@ -1050,3 +1035,6 @@ def screen_similarity_without_component(spark, d):
 def shuffled_null(spark, d):
     null = networks.shuffled(scored(spark, d).select("screen_id", "gene", "percentile"))
     return null.groupBy("screen_id").agg(F.count("*").alias("n"), r6(F.sum("percentile")).alias("total"), r6(F.sum(F.col("percentile") * F.col("percentile"))).alias("squares"))
+
+
+from heddle.queries import builders, files  # noqa: E402, F401  these register their queries too

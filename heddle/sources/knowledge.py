@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.operators.windows import first_per_key
+
 
 def read_positions(spark: SparkSession, path: str, columns: dict[str, int], sep: str = "\t", header: bool = True) -> DataFrame:
     """Text columns of a delimited file by their positions (from 0); ``-`` and nothing are null.
@@ -53,3 +55,13 @@ def read_complexes(spark: SparkSession, path: str, least: int = 3, most: int = 6
 def fresh(cache: DataFrame, now, days: int = 30) -> DataFrame:
     """Cached answers of external sources (column fetched_at) that are no older than ``days``."""
     return cache.filter(F.col("fetched_at") >= F.lit(now) - F.expr(f"interval {days} days"))
+
+
+def cached_answers(cache: DataFrame, now, ties: list, days: int = 30) -> DataFrame:
+    """Per source and key the latest answer that is no older than ``days`` at the time ``now``, with its age_days.
+
+    ``cache``: source, key, fetched_at and whatever was answered; it stands for the external source.
+    """
+    known = fresh(cache, now, days).filter(F.col("fetched_at") <= F.lit(now))
+    latest = first_per_key(known, ["source", "key"], [F.desc("fetched_at"), *ties])
+    return latest.withColumn("age_days", F.datediff(F.lit(now).cast("date"), F.col("fetched_at").cast("date")))

@@ -17,12 +17,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_artifact(df: DataFrame, key: str, path: str, most: int = 100_000) -> None:
-    """A JSON object of one record per key, in the order of keys: for tables with a row per screen.
+    """A JSON object of one record per key, in the order of keys, as one text file in the folder ``path``.
 
-    The file is written by the driver, so that a table of more than ``most`` rows is refused.
+    For tables with a row per screen: the object is put together by the driver, so that more than ``most`` rows are refused.
     """
     rows = df.orderBy(key).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows are no artifact")
-    with open(path, "w") as out:
-        json.dump({str(r[key]): {k: v for k, v in r.asDict(recursive=True).items() if k != key} for r in rows}, out, indent=1, sort_keys=True, default=str)
+    records = {str(r[key]): {k: v for k, v in r.asDict(recursive=True).items() if k != key} for r in rows}
+    text = json.dumps(records, indent=1, sort_keys=True, default=str)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -68,11 +68,10 @@ FILES = {
 }
 
 
-@pytest.mark.parametrize("name", list(FILES))
-def test_formats(name):
-    text, kind, id_column, score = FILES[name]
-    found = upload.detect_format(text)
-    assert (found["format"], found["id_column"], found["score_column"]) == (kind, id_column, score)
+def test_formats(spark):
+    files = spark.createDataFrame([(k, v[0]) for k, v in FILES.items()], "file string, text string")
+    found = {r.file: (r.found.format, r.found.id_column, r.found.score_column) for r in upload.detect(files).collect()}
+    assert found == {name: (kind, id_column, score) for name, (_, kind, id_column, score) in FILES.items()}
 
 
 def test_parsing(spark):
