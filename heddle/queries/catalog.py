@@ -731,7 +731,7 @@ def fdr_threshold(spark, d):
     return windows.fdr_sweep(real, null, "r", 0.15, 0.90, 0.005, 0.85)
 
 
-@query(f"""WITH c AS (SELECT p_partkey, p_size AS r, p_size // 2 + 5 AS k, p_size // 4 + 1 AS a, 60 AS n FROM part0), t AS (SELECT p_partkey, r, k, n, a, unnest(range(greatest(a, r + k - n), least(r, k) + 1)) AS x FROM c)
+@query(f"""WITH c AS (SELECT p_partkey, p_size AS r, p_size // 2 + 5 AS k, p_size // 4 + 1 AS a, 60 AS n FROM part), t AS (SELECT p_partkey, r, k, n, a, unnest(range(greatest(a, r + k - n), least(r, k) + 1)) AS x FROM c)
 SELECT p_partkey, round(CASE WHEN max(a) <= greatest(0, max(r + k - n)) THEN 1.0 ELSE sum({HYPER.format(n='n', r='r', k='k')}) END, 9) AS p FROM t GROUP BY p_partkey""")
 def hypergeometric_tail(spark, d):
     size = F.col("p_size")
