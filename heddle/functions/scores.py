@@ -21,11 +21,6 @@ def neglog10(p: Column) -> Column:
     return -F.log10(F.least(F.greatest(F.coalesce(p, F.lit(1.0)), F.lit(V.P_FLOOR)), F.lit(1.0)))
 
 
-def invert_sign(score: Column, is_activation: Column) -> Column:
-    """Activation screens are read in the loss-of-function frame."""
-    return score * F.when(is_activation, -1).otherwise(1)
-
-
 def effect_sign(harmonized: Column, robust_z: Column) -> Column:
     """``pos`` or ``neg``: the sign of the harmonized score, of the robust z where that is null or 0, else pos."""
     value = F.coalesce(F.nullif(harmonized, F.lit(0.0)), robust_z, F.lit(0.0))

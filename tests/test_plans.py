@@ -199,6 +199,3 @@ def test_knowledge_pieces(spark):
     assert merged == {1: ("proliferation", "rule", "auto", "fitness", True), 2: ("survival", "reviewed", "auto", "stress", False), 3: ("UNRESOLVED", "in review", "needs_review", None, False)}
     terms = spark.createDataFrame([("A", 0.01, 50.0), ("B", 0.9, 300.0), ("C", 0.04, 120.0), ("D", 0.05, 1.0)], "term string, adj_p double, combined double")
     assert [r.term for r in knowledge.enriched_terms(terms).collect()] == ["C", "A", "D"]
-    predictions = spark.createDataFrame([(1, "accept", "high", ["a", "z"]), (2, "accept", "high", ["q"]), (3, "reject", "high", ["a"])], "id int, verdict string, confidence string, cited array<string>")
-    supporters = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, gene string")
-    assert [tuple(r) for r in knowledge.filter_predictions(predictions, supporters).collect()] == [(1, "accept", "moderate", ["a"])]
