@@ -41,6 +41,11 @@ MIN_MEAN, MIN_TOTAL = 1.0, 20.0
 #: Rules and rows of dashes are no secrets: so many different characters a token must have.
 MIN_DISTINCT = 8
 
+#: What is taken out of texts before their words count as ordinary: whatever a fixed pattern reports.
+CLAIMED = rf"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{{{MIN_ASSIGNED},}})|{ACCESS}|{HEX}"
+#: A word by itself or between the joints of an identifier; runs of letters inside keys touch digits or signs.
+WORD = r"(?<![A-Za-z0-9+/=])[A-Za-z]{3,}(?![A-Za-z0-9+/=])"
+
 #: Bounds of the training sample: documents (about so many, by a hash of their ids) whose words serve as
 #: identifiers, and random strings.
 SAMPLE_DOCUMENTS, SAMPLE_RANDOM, SAMPLE_SEED = 1000, 8000, "heddle"
@@ -67,12 +72,14 @@ def random_samples(spark: SparkSession, n: int = SAMPLE_RANDOM, seed: str = SAMP
 def identifier_samples(docs: DataFrame, id_col: str, text_col: str, n_docs: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Ordinary words, alone and joined in pairs as identifiers are, from about ``n_docs`` documents.
 
-    Documents are chosen by a hash of their ids, so that the share of ids below a bound makes the number.
+    Documents are chosen by a hash of their ids, so that the share of ids below a bound makes the number. Secrets that
+    the fixed patterns report, and pieces of mixed tokens, are no ordinary words.
     """
     share = min(1.0, n_docs / max(docs.count(), 1))
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     chosen = pick(docs, id=id_col, text=text_col).filter(hashed < math.ceil(share * (1 << 30)))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,}"), F.lit(0))
+    ordinary = F.regexp_replace(F.coalesce("text", F.lit("")), CLAIMED, " ")
+    words = F.regexp_extract_all(ordinary, F.lit(WORD), F.lit(0))
     pairs = chosen.select(words.alias("words")).select(
         F.explode(F.transform("words", lambda w, i: F.struct(w.alias("a"), F.get("words", i + 1).alias("b")))).alias("p")
     )
@@ -91,7 +98,11 @@ def identifier_samples(docs: DataFrame, id_col: str, text_col: str, n_docs: int
     return pairs.select(joined.alias("text"), F.lit(0).alias("label"))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
+#: Added to each pair's count: ordinary names hold pairs that a sample of bounded size has few or none of.
+SMOOTHING = 5.0
+
+
+def train(samples: DataFrame, smoothing: float = SMOOTHING) -> list[int]:
     """Log-likelihood ratios of character pairs, random against ordinary, from samples (text, label 1 or 0).
 
     Row-major over ``STATES`` x ``STATES``, in thousandths of a nat. Without samples of a label its model is uniform.
