@@ -278,7 +278,9 @@ r AS (SELECT *, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY screen_id
 
 @query(f"""WITH {HARMONIZED} SELECT screen_id, gene, round(harmonized, 6) + 0 AS harmonized, is_hit, note, round(CAST(2 AS DOUBLE) * (r0 / nullif(max(r0) OVER (PARTITION BY screen_id), 0)) - 1, 6) AS percentile FROM r""")
 def harmonized_scores(spark, d):
-    done = harmonize.harmonize(*_raw_corpus(spark, d))
+    rows, metadata = _raw_corpus(spark, d)
+    # the rows are read twice, for statistics and for scores: they are stored, as deposited screens are
+    done = harmonize.harmonize(written(rows, "deposited"), metadata)
     return done.select("screen_id", "gene", r6("harmonized").alias("harmonized"), "is_hit", "note", r6("percentile").alias("percentile"))
 
 
