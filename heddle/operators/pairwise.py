@@ -45,19 +45,8 @@ def pair_moments(values: DataFrame, item: str, member: str, value: str, within:
     return pairs.groupBy(*within, "a", "b").agg(*[F.sum(e).alias(c) for c, e in terms.items()])
 
 
-def block_sums(
-    values: DataFrame, item: str, member: str, value: str, sums: dict[str, tuple[Factor, Factor]], within: list[str] | None = None,
-    block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS,
-) -> DataFrame:
-    """Rows (``within``, a, b, n, and the ``sums``) for a < b that share a member.
-
-    A sum is over shared members of f(x) g(y), for a pair of factors (f, g); with each pair (g, f) must be there too.
-    Items are dealt into blocks and members into slices, as many as the numbers of items and values ask for. Each value is
-    sent to as many tasks as there are blocks; a task multiplies two blocks over one slice.
-    """
-    within = within or []
-    sums = {"n": (one, one)} | sums
-    mirror = {name: next(k for k, v in sums.items() if v == (g, f)) for name, (f, g) in sums.items()}
+def _dealt(values: DataFrame, item: str, member: str, value: str, within: list[str], block_items: int, task_cells: int) -> tuple[DataFrame, int]:
+    """The values, each sent to the tasks (``within``, low, high, slice) that multiply its block, and the number of slices."""
     rows = values.filter(F.col(value).isNotNull()).select(
         *within, F.col(item).alias("item"), F.xxhash64(F.col(member)).alias("member"), F.col(value).cast("double").alias("value")
     )
@@ -65,7 +54,6 @@ def block_sums(
     size = rows.agg(F.count("*").alias("cells"), F.approx_count_distinct("item").alias("items")).first()
     blocks = max(1, math.ceil(size["items"] / block_items))
     slices = max(1, math.ceil(2 * size["cells"] / (blocks * task_cells)))
-    task = [*within, "low", "high", "slice"]
     sent = (
         rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -74,28 +62,56 @@ def block_sums(
             F.pmod("member", F.lit(slices)).alias("slice"), "block", "item", "member", "value",
         )
     )
+    return sent, slices
+
+
+def _sides(frame: pd.DataFrame, low: int, high: int) -> tuple[int, list[tuple]]:
+    """The number of members of a task, and for its two blocks their items, and by value the item's and member's number and x."""
+    column = np.unique(frame["member"], return_inverse=True)[1]
+    block, cells = frame["block"].to_numpy(), frame["value"].to_numpy()
+    sides = []
+    for which in (low, high):
+        own = np.flatnonzero(block == which)
+        items, row = np.unique(frame["item"].to_numpy()[own], return_inverse=True)
+        order = np.argsort(column[own], kind="stable")
+        sides.append((items, row[order], column[own][order], cells[own][order]))
+    return int(column.max()) + 1, sides
+
+
+def _tile(side: tuple, factor: Factor, start: int) -> np.ndarray:
+    """The factor of a block's values over ``_TILE`` members, by item and member."""
+    items, row, at, x = side
+    here = slice(*np.searchsorted(at, [start, start + _TILE]))
+    flat = row[here] * _TILE + at[here] - start
+    return np.bincount(flat, factor(x[here]), len(items) * _TILE).reshape(len(items), _TILE)
+
+
+def block_sums(
+    values: DataFrame, item: str, member: str, value: str, sums: dict[str, tuple[Factor, Factor]], within: list[str] | None = None,
+    block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS,
+) -> DataFrame:
+    """Rows (``within``, a, b, n, and the ``sums``) for a < b that share a member.
+
+    A sum is over shared members of f(x) g(y), for a pair of factors (f, g); with each pair (g, f) must be there too.
+    Items are dealt into blocks and members into slices, as many as the numbers of items and values ask for. Each value is
+    sent to as many tasks as there are blocks; a task multiplies two blocks over one slice.
+    """
+    within = within or []
+    sums = {"n": (one, one)} | sums
+    mirror = {name: next(k for k, v in sums.items() if v == (g, f)) for name, (f, g) in sums.items()}
+    sent, slices = _dealt(values, item, member, value, within, block_items, task_cells)
 
     def products(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         low, high = key[len(within)], key[len(within) + 1]
-        column = np.unique(frame["member"], return_inverse=True)[1]
-        block, cells = frame["block"].to_numpy(), frame["value"].to_numpy()
-        sides = []
-        for which in (low, high):
-            own = np.flatnonzero(block == which)
-            items, row = np.unique(frame["item"].to_numpy()[own], return_inverse=True)
-            order = np.argsort(column[own], kind="stable")
-            sides.append((items, row[order], column[own][order], cells[own][order]))
+        members, sides = _sides(frame, low, high)
         (a, *_), (b, *_) = sides
         found = {name: np.zeros((len(a), len(b))) for name in sums}
-        for start in range(0, int(column.max()) + 1, _TILE):
+        for start in range(0, members, _TILE):
             dense: dict[tuple, np.ndarray] = {}
             for name, factors in sums.items():
                 for side, f in enumerate(factors):
                     if (side, f) not in dense:
-                        items, row, at, x = sides[side]
-                        here = slice(*np.searchsorted(at, [start, start + _TILE]))
-                        flat = row[here] * _TILE + at[here] - start
-                        dense[side, f] = np.bincount(flat, f(x[here]), len(items) * _TILE).reshape(len(items), _TILE)
+                        dense[side, f] = _tile(sides[side], f, start)
                 found[name] += dense[0, factors[0]] @ dense[1, factors[1]].T
         shared = found["n"] > 0.5
         i, j = np.nonzero(shared & (a[:, None] < b[None, :]))
@@ -111,12 +127,43 @@ def block_sums(
     kind = values.schema[item].dataType.simpleString()
     groups = [f"`{c}` {values.schema[c].dataType.simpleString()}" for c in within]
     schema = ", ".join([*groups, f"a {kind}", f"b {kind}", *[f"{c} {'long' if c == 'n' else 'double'}" for c in sums]])
-    partial = sent.groupBy(*task).applyInPandas(products, schema)
+    partial = sent.groupBy(*within, "low", "high", "slice").applyInPandas(products, schema)
     if slices == 1:
         return partial
     return partial.groupBy(*within, "a", "b").agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def count_pairs(values: DataFrame, item: str, member: str, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS) -> int:
+    """The number of unordered pairs of different items that share a member.
+
+    A task makes one bit for each pair of its two blocks; the bits of all slices are put together per pair of blocks.
+    """
+    sent, _ = _dealt(values.filter(F.col(item).isNotNull() & F.col(member).isNotNull()).withColumn("_one", F.lit(1.0)), item, member, "_one", [], block_items, task_cells)
+
+    def bits(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        low, high, _ = key
+        members, sides = _sides(frame, low, high)
+        (a, *_), (b, *_) = sides
+        shared = np.zeros((len(a), len(b)), bool)
+        for start in range(0, members, _TILE):
+            shared |= _tile(sides[0], one, start) @ _tile(sides[1], one, start).T > 0.5
+        if low == high:
+            shared &= a[:, None] < b[None, :]
+        return pd.DataFrame({"low": [low], "high": [high], "a": [a.tolist()], "b": [b.tolist()], "bits": [np.packbits(shared).tobytes()]})
+
+    def union(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.unique(np.concatenate([np.asarray(x) for x in frame[c]])) for c in ("a", "b"))
+        shared = np.zeros((len(a), len(b)), bool)
+        for own_a, own_b, data in zip(frame["a"], frame["b"], frame["bits"]):
+            part = np.unpackbits(np.frombuffer(data, np.uint8), count=len(own_a) * len(own_b)).astype(bool)
+            shared[np.ix_(np.searchsorted(a, own_a), np.searchsorted(b, own_b))] |= part.reshape(len(own_a), len(own_b))
+        return pd.DataFrame({"pairs": [int(shared.sum())]})
+
+    kind = values.schema[item].dataType.simpleString()
+    partial = sent.groupBy("low", "high", "slice").applyInPandas(bits, f"low int, high int, a array<{kind}>, b array<{kind}>, bits binary")
+    return partial.groupBy("low", "high").applyInPandas(union, "pairs long").agg(F.sum("pairs").alias("pairs")).first()["pairs"] or 0
+
+
 def blocked_moments(values: DataFrame, item: str, member: str, value: str, within: list[str] | None = None, **sizes: int) -> DataFrame:
     """The rows of ``pair_moments`` by ``block_sums``."""
     return block_sums(values, item, member, value, MOMENT_FACTORS, within, **sizes)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.operators.graph import both_ways
-from heddle.operators.pairwise import block_sums, cohit_pairs, same
+from heddle.operators.pairwise import block_sums, cohit_pairs, count_pairs, same
 from heddle.operators.windows import add_least_from, add_reciprocal, add_running_total, bh_threshold, fdr_sweep, top_k
 from heddle.storage import written
 
@@ -149,8 +149,7 @@ def measured_pairs(observations: DataFrame, min_screens: int = 1) -> int:
     """The number of ordered pairs of genes that some screen measured both of, each gene with itself included."""
     rows = observations.filter("percentile is not null").select("gene", "screen_id").distinct()
     kept = rows.join(rows.groupBy("gene").agg(F.count("*").alias("n")).filter(F.col("n") >= min_screens), "gene", "left_semi")
-    pairs = kept.withColumnRenamed("gene", "a").join(kept.withColumnRenamed("gene", "b"), "screen_id").select("a", "b").distinct()
-    return pairs.count()
+    return 2 * count_pairs(kept, "gene", "screen_id") + kept.select("gene").distinct().count()
 
 
 def complex_precision(edges: DataFrame, complexes: DataFrame) -> DataFrame:

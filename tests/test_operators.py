@@ -86,6 +86,17 @@ def random_matrix(items, members, seed=0):
     return x
 
 
+def test_count_pairs_by_blocks_and_slices(spark):
+    rng = np.random.default_rng(3)
+    rows = {(f"g{rng.integers(40)}", int(rng.integers(60))) for _ in range(150)}
+    df = spark.createDataFrame([*rows, (None, 1), ("g1", None)], "gene string, screen_id int")
+    genes = {g: {s for h, s in rows if h == g} for g, _ in rows}
+    expected = sum(a < b and bool(genes[a] & genes[b]) for a in genes for b in genes)
+    for sizes in ({}, {"block_items": 7, "task_cells": 20}):
+        assert pairwise.count_pairs(df, "gene", "screen_id", **sizes) == expected
+    assert pairwise.count_pairs(df.limit(0), "gene", "screen_id") == 0
+
+
 def test_block_sums_within_groups_of_text_items(spark):
     r = np.random.default_rng(4)
     rows = [(g, f"i{i}", f"m{r.integers(12)}", float(np.round(r.normal(), 2))) for g in "xy" for i in range(7) for _ in range(9)]
