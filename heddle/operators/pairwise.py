@@ -267,12 +267,14 @@ def cohit_pairs(observations: DataFrame, gene: str, screen: str, value: str, hit
     """Genes that are hits in the same screens: a < b, cohit, n (screens that measured both), a_hits and b_hits among
     these, expected, fold, p and concordance (share of common hits with the same strict sign).
 
-    Only pairs with ``min_cohit`` common hits are followed up, so that the join is over hits alone.
+    Only pairs with ``min_cohit`` common hits are followed up, so that the join is over hits alone. The rows are stored
+    once, as each side of both joins reads them.
     """
     rows = observations.filter(F.col(value).isNotNull()).select(
         F.col(gene).alias("g"), F.col(screen).alias("s"), F.col(value).alias("v"), F.col(hit).alias("h")
     )
     rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_screens), "g", "left_semi")
+    rows = written(rows, "observations")
     hits = rows.filter("h")
     both = hits.select(F.col("g").alias("a"), "s", F.col("v").alias("x")).join(hits.select(F.col("g").alias("b"), "s", F.col("v").alias("y")), "s").filter("a < b")
     same = F.count_if((F.col("x") < 0) & (F.col("y") < 0) | (F.col("x") > 0) & (F.col("y") > 0))

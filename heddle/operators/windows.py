@@ -128,10 +128,19 @@ def bh_threshold(df: DataFrame, p: str, tested: int | Column, alpha: float) -> D
 
     The rank of a p-value is counted from totals per value, over ranges of values.
     """
+    return bh_threshold_of(value_ranks(df, p), tested, alpha)
+
+
+def value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """Per different value (p): its rows (n) and its rank (k), the number of rows up to it."""
+    counts = df.groupBy(F.col(value).alias("p")).agg(F.count("*").alias("n"))
+    return add_running_total(counts, "p", "n", "k")
+
+
+def bh_threshold_of(ranks: DataFrame, tested: int | Column, alpha: float) -> DataFrame:
+    """``bh_threshold`` from the rows of ``value_ranks``."""
     tested = F.lit(tested) if isinstance(tested, int) else tested
-    counts = df.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"))
-    ranked = add_running_total(counts, "p", "n", "k")
-    return ranked.agg(F.coalesce(F.max(F.when(F.col("p") <= F.col("k") / tested * alpha, F.col("p"))), F.lit(0.0)).alias("threshold"))
+    return ranks.agg(F.coalesce(F.max(F.when(F.col("p") <= F.col("k") / tested * alpha, F.col("p"))), F.lit(0.0)).alias("threshold"))
 
 
 def fdr_sweep(real: DataFrame, null: DataFrame, value: str, start: float, stop: float, step: float, fdr: float) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from heddle.operators.graph import both_ways
 from heddle.operators.pairwise import block_sums, cohit_pairs, count_pairs, same
-from heddle.operators.windows import add_least_from, add_reciprocal, add_running_total, bh_threshold, fdr_sweep, top_k
+from heddle.operators.windows import add_least_from, add_reciprocal, bh_threshold_of, fdr_sweep, top_k, value_ranks
 from heddle.storage import written
 
 
@@ -128,16 +128,16 @@ def cohit_network(observations: DataFrame, tested: int | None = None, min_cohit:
     ``tested``: the number of ordered pairs counted as tests; by default all pairs of genes measured together, a
     gene with itself included. q_ref is min(1, p x tested / candidates); q_bh the monotone adjusted p-value.
     """
-    pairs = cohit_pairs(observations, "gene", "screen_id", "percentile", "hit", min_cohit, min_screens)
+    pairs = written(cohit_pairs(observations, "gene", "screen_id", "percentile", "hit", min_cohit, min_screens), "cohits")
     both = both_ways(pairs.drop("a_hits", "b_hits"))
     if tested is None:
         tested = measured_pairs(observations, min_screens)
-    limit = bh_threshold(both, "p", tested, alpha).join(F.broadcast(both.agg(F.count("*").alias("candidates"))))
+    ranks = value_ranks(both, "p")
+    limit = bh_threshold_of(ranks, tested, alpha).join(F.broadcast(both.agg(F.count("*").alias("candidates"))))
     best = top_k(both, ["a"], [F.col("p"), F.desc("cohit"), F.col("b")], k).join(F.broadcast(limit)).filter(F.col("p") <= F.col("threshold"))
     edges = add_reciprocal(best, "a", "b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"])
-    counts = both.groupBy("p").agg(F.count("*").alias("m"))
-    ranks = add_running_total(counts, "p", "m", "k").withColumn("q", F.least(F.lit(1.0), F.col("p") * tested / F.col("k")))
-    adjusted = add_least_from(ranks, "p", "q", "q_bh")
+    steps = ranks.withColumn("q", F.least(F.lit(1.0), F.col("p") * tested / F.col("k")))
+    adjusted = add_least_from(steps, "p", "q", "q_bh")
     return edges.join(adjusted.select("p", "q_bh"), "p").select(
         "a", "b", "cohit", F.round("expected", 3).alias("expected"), F.round("fold", 3).alias("fold"), "p",
         F.least(F.lit(1.0), F.col("p") * tested / F.col("candidates")).alias("q_ref"), "q_bh", F.col("n").alias("support"),
