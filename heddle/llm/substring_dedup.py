@@ -12,8 +12,10 @@ Documents are dealt into blocks by a hash of their ids and texts. Three passes o
 3. Each block marks the later occurrences and removes the words they cover.
 
 The sketch overestimates only, so that no repeated window is lost. Its width grows with the number of
-words, shards with the width and blocks with the bytes: no task holds more than one block or shard. A
-window in a third of all documents makes one record per block.
+words, the number of shards with the width and that of blocks with the bytes: no task holds more than one block
+or shard. Each block has a record for each shard, so that beyond 32 GiB blocks and shards also get larger, with the
+square root of the bytes, up to 16 times: records then stay as large as before up to 8 TiB, and hold about ten windows
+at 100 TB. A block of 64 MiB takes a worker about a GB. A window in a third of all documents makes one record per block.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ ROWS = 2  # of the sketch
 CELLS_PER_BYTE = 0.75  # of each row: four or more per word
 SHARD_BITS = 22  # cells of a shard, as a power of two
 EXACT_SHARD_BYTES = 6 << 20  # of text whose candidate windows meet in one shard
+GROW_FROM, MOST_GROWTH = 32 << 30, 4  # bytes of text from which blocks and shards grow, and how often they double
 
 _MESSAGE = "block long, kind int, shard long, answer binary"
 
@@ -60,6 +63,11 @@ def _mask(data: bytes, size: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=size).astype(bool)
 
 
+def growth(size: int, grow_from: int = GROW_FROM) -> int:
+    """How often blocks and shards double for ``size`` bytes of text: half as often as the bytes themselves."""
+    return min(MOST_GROWTH, max(0, math.ceil(math.log2(max(size, 1) / grow_from) / 2)))
+
+
 class _Block:
     """The windows of a block's documents, in the order of ids."""
 
@@ -115,6 +123,7 @@ def remove_repeats(
     block_bytes: int = BLOCK_BYTES,
     shard_bits: int = SHARD_BITS,
     exact_shard_bytes: int = EXACT_SHARD_BYTES,
+    grow_from: int = GROW_FROM,
 ) -> DataFrame:
     """Columns ``id_col``, n_words, n_removed, kept (the kept words joined by one space).
 
@@ -135,6 +144,8 @@ def remove_repeats(
         F.coalesce("text", F.lit("")).alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    grown = growth(size, grow_from)
+    block_bytes, exact_shard_bytes, shard_bits = block_bytes << grown, exact_shard_bytes << grown, shard_bits + grown
     blocks = max(1, math.ceil(size / block_bytes))
     bits = max(shard_bits, math.ceil(math.log2(size * CELLS_PER_BYTE + 1)))
     exact_bits = max(0, math.ceil(math.log2(size / exact_shard_bytes + 1e-9))) if size else 0

@@ -52,15 +52,19 @@ def brute_substrings(rows, window, hashes=None):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window,block,bits", [(20, 4 << 20, 22), (4, 3000, 8), (2, 500, 6)])
-def test_substring_dedup(spark, docs, rows, window, block, bits):
+@pytest.mark.parametrize("window,block,bits,grow", [(20, 4 << 20, 22, 32 << 30), (4, 3000, 8, 32 << 30), (2, 500, 6, 32 << 30), (2, 500, 6, 4000)])
+def test_substring_dedup(spark, docs, rows, window, block, bits, grow):
     named = [r for r in rows if r[0] is not None]
-    got = substring_dedup.remove_repeats(docs.filter("doc_id is not null"), window=window, block_bytes=block, shard_bits=bits, exact_shard_bytes=1000)
+    got = substring_dedup.remove_repeats(docs.filter("doc_id is not null"), window=window, block_bytes=block, shard_bits=bits, exact_shard_bytes=1000, grow_from=grow)
     pairs = spark.createDataFrame([(r[0], r[1] or "") for r in named], "doc_id long, text string")
     of = pairs.select("*", F.xxhash64("doc_id", "text"))
     assert plain(got) == brute_substrings(named, window, {(r[0], r[1]): r[2] for r in of.collect()})
 
 
+def test_blocks_grow_half_as_fast_as_the_texts():
+    assert [substring_dedup.growth(n << 30) for n in (0, 1, 32, 128, 2048, 8192, 100_000)] == [0, 0, 0, 1, 3, 4, 4]
+
+
 def thue_morse(n, a, b):
     return [b if bin(i).count("1") % 2 else a for i in range(n)]
 
