@@ -14,8 +14,8 @@ Documents are dealt into blocks by a hash of their ids and texts. Three passes o
 The sketch overestimates only, so that no repeated window is lost. Its width grows with the number of
 words, the number of shards with the width and that of blocks with the bytes: no task holds more than one block
 or shard. Each block has a record for each shard, so that beyond 32 GiB blocks and shards also get larger, with the
-square root of the bytes, up to 16 times: records then stay as large as before up to 8 TiB, and hold about ten windows
-at 100 TB. A block of 64 MiB takes a worker about a GB. A window in a third of all documents makes one record per block.
+square root of the bytes, up to 16 times: records then stay as large as before up to 8 TiB, and hold about five windows
+at 100 TB. The hashes and cells of a block of 64 MiB take 0.9 GB. A window in a third of all documents makes one record per block.
 """
 
 from __future__ import annotations
