@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import byte_bpe, chat_format, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, topk_search, url_filter
+from heddle.llm import byte_bpe, chat_format, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_topk_search": topk_search.op10_topk_search,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_topk_search": topk_search.OP10_SQL,
+    "op11_suffix_dedup": suffix_dedup.OP11_SQL,
 }
