@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import byte_bpe, chat_format, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, suffix_dedup, topk_search, url_filter
+from heddle.llm import byte_bpe, chat_format, line_dedup, mixing, ngram_join, quality_rules, ranked_search, secret_scan, substring_dedup, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_topk_search": topk_search.op10_topk_search,
     "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op9_ngram_join": ngram_join.OP9_SQL,
     "op10_topk_search": topk_search.OP10_SQL,
     "op11_suffix_dedup": suffix_dedup.OP11_SQL,
+    "op12_ranked_search": ranked_search.OP12_SQL,
 }
