@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heddle.llm import byte_bpe, chat_format, line_dedup, mixing, ngram_join, quality_rules, ranked_search, secret_scan, substring_dedup, suffix_dedup, topk_search, url_filter
+from heddle.llm import byte_bpe, chat_format, line_dedup, mixing, ngram_join, quality_rules, ranked_search, secret_scan, spelling, substring_dedup, suffix_dedup, topk_search, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_topk_search": topk_search.op10_topk_search,
     "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op10_topk_search": topk_search.OP10_SQL,
     "op11_suffix_dedup": suffix_dedup.OP11_SQL,
     "op12_ranked_search": ranked_search.OP12_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
