@@ -18,13 +18,13 @@ in them, and the suffixes there share ``length - reach + 8`` bytes, their core.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-from hashlib import blake2b
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from heddle.llm.common import give_back, pick, table, text_batches, written
 from heddle.llm.words import mix
@@ -32,8 +32,8 @@ from heddle.llm.words import mix
 LENGTH = 400
 REACH = 120  # bytes of a stretch that one suffix stands for: fewer make more suffixes, more make more windows to compare
 TOKENS = 4
-SEGMENT = 1 << 20  # starts of windows taken at a time from a long text
-BUCKET_ROWS, MOST_BUCKETS = 1 << 14, 1 << 19  # suffixes in a bucket, as long as there are no more buckets than these
+SEGMENT = 1 << 20  # bytes of texts taken at a time
+BUCKET_ROWS, MOST_BUCKETS = 1 << 15, 1 << 19  # suffixes in a bucket, as long as there are no more buckets than these
 SAMPLE_PER_BUCKET = 4  # suffixes that place the splitters
 
 _LANE = 8
@@ -43,14 +43,17 @@ SETTLED, COMPARED, BOTH, OPEN, SUMMARY = 1, 2, 3, 4, 5
 
 
 class _Suffixes:
-    """The suffixes that stand for the windows of one stretch of a text.
+    """The suffixes that stand for the windows of some stretches of texts.
 
-    ``at`` are their places, ``low`` and ``high`` the first and last start of the windows that each stands for.
+    ``stretches`` are (number of the text, place in it, bytes), each with the starts of all windows but its last ``length - 1`` places.
+    ``at`` are the suffixes' places in the joined bytes, ``low`` and ``high`` the first and last start of the windows that each stands
+    for, ``text`` the number of its text, ``shift`` what leads from places here to places in the text.
     """
 
-    def __init__(self, data: bytes, start: int, stop: int, length: int, reach: int):
-        self.length, self.reach, self.data = length, reach, data
-        held = np.frombuffer(data[start : stop + length - 1] + bytes(_LANE), np.uint8)
+    def __init__(self, stretches: list[tuple[int, int, bytes]], length: int, reach: int):
+        self.length, self.reach = length, reach
+        self.data = b"".join(s for _, _, s in stretches)
+        held = np.frombuffer(self.data + bytes(_LANE), np.uint8)
         n = len(held) - _LANE
         self.lanes = np.lib.stride_tricks.as_strided(held[:8].view(np.uint64), (n + 1,), (1,))
         h = self.lanes[: n - _LANE + 1] * _FACTOR
@@ -61,11 +64,18 @@ class _Suffixes:
             least, size = np.minimum(least[:-size], least[size:]), size * 2
         if size < width:
             least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-        at = (least[: stop - start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(at)) + 1
-        self.first = start
-        self.at = at[np.concatenate([[0], cut])]
-        self.low, self.high = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
+        sizes = np.array([len(s) for _, _, s in stretches])
+        ends = np.cumsum(sizes)
+        starts = np.ones(n, bool)
+        for end in ends.tolist():
+            starts[end - length + 1 : end] = False
+        starts = np.flatnonzero(starts)
+        at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.append(True, at[1:] != at[:-1])  # no window reaches into another stretch
+        self.at, self.low, self.high = at[new], starts[new], starts[np.append(new[1:], True)]
+        stretch = np.searchsorted(ends, self.low, "right")
+        self.text = np.array([k for k, _, _ in stretches])[stretch]
+        self.shift = (np.array([place for _, place, _ in stretches]) - (ends - sizes))[stretch]
 
     def tokens(self) -> np.ndarray:
         """Each core as two numbers, of two tokens each."""
@@ -79,19 +89,24 @@ class _Suffixes:
 
     def kinds(self) -> np.ndarray:
         """A digest of the bytes that each one's windows cover, and of its place in them."""
-        first, data = self.first, self.data
-        digests = [
-            blake2b(data[first + low : first + high + self.length], digest_size=8, salt=(at - low).to_bytes(4, "little")).digest()
-            for at, low, high in zip(self.at.tolist(), self.low.tolist(), self.high.tolist())
-        ]
-        return np.frombuffer(b"".join(digests), np.int64)
-
-
-def suffixes(data: bytes, length: int, reach: int, segment: int = SEGMENT) -> Iterator[_Suffixes]:
-    """All suffixes of a text, a bounded stretch at a time; the stretches follow from the text alone."""
-    starts = len(data) - length + 1
-    for start in range(0, max(starts, 0), segment):
-        yield _Suffixes(data, start, min(start + segment, starts), length, reach)
+        data, covered = self.data, (self.high + self.length).tolist()
+        digests = [xxh3_64_intdigest(data[a:b], place) for a, b, place in zip(self.low.tolist(), covered, (self.at - self.low).tolist())]
+        return np.array(digests, np.uint64).view(np.int64)
+
+
+def suffixes(texts: Iterable[bytes], length: int, reach: int, segment: int = SEGMENT) -> Iterator[_Suffixes]:
+    """All suffixes of texts, about ``segment`` bytes at a time; where a long text is parted follows from the text alone."""
+    held, size = [], 0
+    for k, data in enumerate(texts):
+        starts = len(data) - length + 1
+        for start in range(0, max(starts, 0), segment):
+            held.append((k, start, data[start : min(start + segment, starts) + length - 1]))
+            size += len(held[-1][2])
+            if size >= segment:
+                yield _Suffixes(held, length, reach)
+                held, size = [], 0
+    if held:
+        yield _Suffixes(held, length, reach)
 
 
 def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,29 +134,24 @@ def _schema(columns: dict[str, str]) -> str:
     return ", ".join(f"{c} {t}" for c, t in columns.items())
 
 
-def _own_kinds(data: bytes, length: int, reach: int) -> Iterator[tuple[_Suffixes, np.ndarray]]:
-    for held in suffixes(data, length, reach):
-        yield held, held.kinds()
-
-
 def _of_texts(frames: Iterator[pd.DataFrame], length: int, reach: int, splitters: list[bytes]) -> Iterator[pd.DataFrame]:
     """A row for each suffix of a document and kind, with its bucket."""
     for frame in frames:
-        parts = []
-        for doc, text in zip(frame["doc"], frame["text"]):
-            for held, kinds in _own_kinds(text.encode(), length, reach):
-                kinds, first, n = np.unique(kinds, return_index=True, return_counts=True)
-                parts.append((held.tokens()[first], np.full(len(kinds), doc, np.int64), kinds, n))
-        if not parts:
-            continue
-        tokens, docs, kinds, n = (np.concatenate(p) for p in zip(*parts))
-        bucket = np.zeros(len(docs), np.int32)
-        if splitters:
-            # big-endian and without signs, so that strings of bytes compare as the numbers do
-            keys = np.column_stack([tokens, docs.view(np.uint64) ^ np.uint64(1 << 63)]).astype(">u8").tobytes()
-            bucket = np.fromiter((bisect_right(splitters, keys[i : i + 24]) for i in range(0, len(keys), 24)), np.int32, len(docs))
-        signed = tokens.view(np.int64)
-        yield pd.DataFrame({"bucket": bucket, "t1": signed[:, 0], "t2": signed[:, 1], "doc": docs, "kind": kinds, "n": n})
+        ids = frame["doc"].to_numpy(np.int64)
+        for held in suffixes((text.encode() for text in frame["text"]), length, reach):
+            kinds = held.kinds()
+            order = np.lexsort((kinds, held.text))
+            text, kinds = held.text[order], kinds[order]
+            new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (kinds[1:] != kinds[:-1])))
+            tokens, docs, kinds = held.tokens()[order[new]], ids[text[new]], kinds[new]
+            n = np.diff(np.append(new, len(order)))
+            bucket = np.zeros(len(docs), np.int32)
+            if splitters:
+                # big-endian and without signs, so that strings of bytes compare as the numbers do
+                keys = np.column_stack([tokens, docs.view(np.uint64) ^ np.uint64(1 << 63)]).astype(">u8").tobytes()
+                bucket = np.fromiter((bisect_right(splitters, keys[i : i + 24]) for i in range(0, len(keys), 24)), np.int32, len(docs))
+            signed = tokens.view(np.int64)
+            yield pd.DataFrame({"bucket": bucket, "t1": signed[:, 0], "t2": signed[:, 1], "doc": docs, "kind": kinds, "n": n})
     give_back()
 
 
@@ -229,18 +239,21 @@ def remove_repeated_bytes(
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for doc, text, compared in zip(frame["doc"], frame["text"], frame["compared"]):
-                if compared is None or not len(compared):
-                    continue
-                data = text.encode()
-                for held, kinds in _own_kinds(data, length, reach):
-                    wanted = np.flatnonzero(np.isin(kinds, compared))
-                    wanted = wanted[np.unique(kinds[wanted], return_index=True)[1]]  # one of each kind
-                    for k in wanted.tolist():
-                        at = range(held.first + held.low[k], held.first + held.high[k] + 1)
-                        digests = np.frombuffer(b"".join([blake2b(data[p : p + length], digest_size=12).digest() for p in at]), np.int32).reshape(-1, 3)
-                        h1 = np.ascontiguousarray(digests[:, :2]).view(np.int64).ravel()
-                        yield pd.DataFrame({"doc": doc, "kind": kinds[k], "place": np.arange(len(at), dtype=np.int32), "h1": h1, "h2": digests[:, 2]})
+            frame = frame[[x is not None and len(x) > 0 for x in frame["compared"]]]
+            ids, wanted = frame["doc"].to_numpy(np.int64), frame["compared"].tolist()
+            for held in suffixes((text.encode() for text in frame["text"]), length, reach):
+                kinds, parts = held.kinds(), []
+                for text, a, b in _by_text(held):
+                    here = a + np.flatnonzero(np.isin(kinds[a:b], wanted[text]))
+                    parts.append(here[np.unique(kinds[here], return_index=True)[1]])  # one of each kind
+                sent = np.concatenate(parts)
+                n = held.high[sent] - held.low[sent] + 1
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                data, at = held.data, (np.repeat(held.low[sent], n) + place).tolist()
+                digests = np.frombuffer(b"".join([xxh3_128_digest(data[p : p + length]) for p in at]), np.int32).reshape(-1, 4)
+                h1 = np.ascontiguousarray(digests[:, :2]).view(np.int64).ravel()
+                doc, kind = ids[held.text[sent]], kinds[sent]
+                yield pd.DataFrame({"doc": np.repeat(doc, n), "kind": np.repeat(kind, n), "place": place.astype(np.int32), "h1": h1, "h2": digests[:, 2]})
         give_back()
 
     # the same exchange of texts serves both joins
@@ -253,11 +266,14 @@ def remove_repeated_bytes(
 
     def remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            texts = [text.encode() for text in frame["text"]]
+            runs = _repeated(texts, *(frame[c].tolist() for c in ("settled", "kinds", "places")), length, reach)
             out = []
-            for doc_id, text, settled, own, place in zip(frame["id"], frame["text"], frame["settled"], frame["kinds"], frame["places"]):
-                data = text.encode()
-                out.append((doc_id, len(data), *_without(data, settled, own, place, length, reach)))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "starts", "ends", "kept"])
+            for k, data in enumerate(texts):
+                starts, ends = runs.get(k, ([], []))
+                kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
+                out.append((len(data), len(data) - len(kept), starts, ends, kept))
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "starts", "ends", "kept"]).assign(id=frame["id"].to_numpy())
         give_back()
 
     id_type = rows.schema["id"].dataType.simpleString()
@@ -267,32 +283,41 @@ def remove_repeated_bytes(
     return kept.select(F.col("id").alias(id_col), "n_bytes", "n_removed", spans.alias("spans"), "kept")
 
 
-def _without(data: bytes, settled, own, place, length: int, reach: int) -> tuple[int, list[int], list[int], bytes]:
-    """How many bytes are removed, the removed runs and what is left, from kinds all of whose windows are repeated and single places of others."""
-    settled = settled if settled is not None else []
-    own = np.asarray(own if own is not None else [], np.int64)
-    if not len(settled) and not len(own):
-        return 0, [], [], data
-    place = np.asarray(place if place is not None else [], np.int64)
-    lows, highs = [], []
-    for held, kinds in _own_kinds(data, length, reach):
-        whole = np.isin(kinds, settled)
-        lows.append(held.first + held.low[whole])
-        highs.append(held.first + held.high[whole] + length)
-        for kind in np.unique(own):
-            for k in np.flatnonzero(kinds == kind).tolist():
-                at = held.first + held.low[k] + place[own == kind]
-                lows.append(at)
-                highs.append(at + length)
-    low, high = np.concatenate(lows), np.concatenate(highs)
-    if not len(low):
-        return 0, [], [], data
-    order = np.argsort(low, kind="stable")
-    low, high = low[order], np.maximum.accumulate(high[order])
-    new = np.append(True, low[1:] > high[:-1])
-    starts, ends = low[new].tolist(), high[np.append(new[1:], True)].tolist()
-    kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
-    return len(data) - len(kept), starts, ends, kept
+def _by_text(held: _Suffixes) -> Iterator[tuple[int, int, int]]:
+    """Each text's number and stretch of suffixes."""
+    edges = np.flatnonzero(np.diff(held.text)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(held.text)]):
+        yield int(held.text[a]), a, b
+
+
+def _repeated(texts: list[bytes], settled: list, own: list, place: list, length: int, reach: int) -> dict[int, tuple[list[int], list[int]]]:
+    """Starts and ends of the runs of each text that repeated windows cover: all windows of settled kinds, single places of others."""
+    some = [k for k in range(len(texts)) if settled[k] is not None and len(settled[k]) or own[k] is not None and len(own[k])]
+    covered: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for held in suffixes((texts[k] for k in some), length, reach):
+        kinds, low, high = held.kinds(), held.low + held.shift, held.high + held.shift
+        for n, a, b in _by_text(held):
+            k, found = some[n], covered.setdefault(some[n], [])
+            if settled[k] is not None and len(settled[k]):
+                whole = a + np.flatnonzero(np.isin(kinds[a:b], settled[k]))
+                found.append((low[whole], high[whole] + length))
+            if own[k] is not None and len(own[k]):
+                of = np.asarray(own[k], np.int64)
+                by_kind = np.argsort(of, kind="stable")
+                places, of = np.asarray(place[k], np.int64)[by_kind], of[by_kind]
+                first, last = np.searchsorted(of, kinds[a:b], "left"), np.searchsorted(of, kinds[a:b], "right")
+                for i in np.flatnonzero(last > first).tolist():
+                    at = low[a + i] + places[first[i] : last[i]]
+                    found.append((at, at + length))
+    out = {}
+    for k, parts in covered.items():
+        low, high = (np.concatenate(p) for p in zip(*parts))
+        if len(low):
+            order = np.argsort(low, kind="stable")
+            low, high = low[order], np.maximum.accumulate(high[order])
+            new = np.append(True, low[1:] > high[:-1])
+            out[k] = low[new].tolist(), high[np.append(new[1:], True)].tolist()
+    return out
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
