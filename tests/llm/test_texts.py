@@ -571,7 +571,7 @@ def test_secret_model_on_held_out_samples(spark, docs):
 
 
 def test_registered_queries():
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 14))
 
 
 def test_quality_rules_reject_low_entropy_and_keep_the_clean_tail(spark):
