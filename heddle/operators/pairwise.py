@@ -1,14 +1,17 @@
 """Statistics of all pairs of items over the members they share.
 
-An item's missing values are missing rows. ``block_sums`` multiplies dense blocks of items in Arrow batches: of data in
-which most pairs share most members, a join on the member would make a row for each pair and member.
-``pair_moments`` is that join, for sparse data. Neither gathers an item or a member as a whole.
+An item's missing values are missing rows. ``block_pairs`` deals items into blocks and members into slices, packs the cells
+of a block and slice into one record, and multiplies dense blocks in Arrow batches: of data in which most pairs share most
+members, a join on the member would make a row for each pair and member. What a pair of blocks yields is decided inside the
+task (a floor, the best few of each item), so that not every pair becomes a row. ``pair_moments`` is the join, for sparse data.
+Nothing gathers an item or a member as a whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,8 +25,10 @@ MOMENTS = ["n", "sx", "sy", "sxy", "sxx", "syy"]
 BLOCK_ITEMS = 512  # of a block; a task holds the sums of two blocks' pairs
 TASK_CELLS = 1 << 20  # measured values of a task, about
 _TILE = 2048  # members multiplied at a time
+_MERGED = 8  # slices of a pair of blocks whose sums are added in one task
 
-Factor = Callable[[np.ndarray], np.ndarray]
+#: A factor takes a cell's values, one array for each value column.
+Factor = Callable[..., np.ndarray]
 one: Factor = np.ones_like
 same: Factor = np.positive
 square: Factor = np.square
@@ -45,123 +50,263 @@ def pair_moments(values: DataFrame, item: str, member: str, value: str, within:
     return pairs.groupBy(*within, "a", "b").agg(*[F.sum(e).alias(c) for c, e in terms.items()])
 
 
-def _dealt(values: DataFrame, item: str, member: str, value: str, within: list[str], block_items: int, task_cells: int) -> tuple[DataFrame, int]:
-    """The values, each sent to the tasks (``within``, low, high, slice) that multiply its block, and the number of slices."""
-    rows = values.filter(F.col(value).isNotNull()).select(
-        *within, F.col(item).alias("item"), F.xxhash64(F.col(member)).alias("member"), F.col(value).cast("double").alias("value")
-    )
-    rows = written(rows, "cells")
-    size = rows.agg(F.count("*").alias("cells"), F.approx_count_distinct("item").alias("items")).first()
-    blocks = max(1, math.ceil(size["items"] / block_items))
-    slices = max(1, math.ceil(2 * size["cells"] / (blocks * task_cells)))
-    sent = (
-        rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(
-            *within, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            F.pmod("member", F.lit(slices)).alias("slice"), "block", "item", "member", "value",
-        )
-    )
-    return sent, slices
+class _Side:
+    """A block's items with its cells over some members: the item's number, the member's number (in order) and the values of each."""
+
+    def __init__(self, items: np.ndarray, row: np.ndarray, at: np.ndarray, cells: list[np.ndarray]):
+        self.items, self.row, self.at, self.cells = items, row, at, cells
 
+    def tile(self, factor: Factor, start: int, width: int, dtype: type) -> np.ndarray:
+        """The factor of the cells over ``width`` members, by item and member."""
+        here = slice(*np.searchsorted(self.at, [start, start + width]))
+        flat = self.row[here] * width + self.at[here] - start
+        return np.bincount(flat, factor(*[x[here] for x in self.cells]), len(self.items) * width).reshape(len(self.items), width).astype(dtype)
 
-def _sides(frame: pd.DataFrame, low: int, high: int) -> tuple[int, list[tuple]]:
-    """The number of members of a task, and for its two blocks their items, and by value the item's and member's number and x."""
-    column = np.unique(frame["member"], return_inverse=True)[1]
-    block, cells = frame["block"].to_numpy(), frame["value"].to_numpy()
-    sides = []
-    for which in (low, high):
-        own = np.flatnonzero(block == which)
-        items, row = np.unique(frame["item"].to_numpy()[own], return_inverse=True)
-        order = np.argsort(column[own], kind="stable")
-        sides.append((items, row[order], column[own][order], cells[own][order]))
-    return int(column.max()) + 1, sides
+    def total(self, factor: Factor) -> np.ndarray:
+        return np.bincount(self.row, factor(*self.cells), len(self.items))
 
 
-def _tile(side: tuple, factor: Factor, start: int) -> np.ndarray:
-    """The factor of a block's values over ``_TILE`` members, by item and member."""
-    items, row, at, x = side
-    here = slice(*np.searchsorted(at, [start, start + _TILE]))
-    flat = row[here] * _TILE + at[here] - start
-    return np.bincount(flat, factor(x[here]), len(items) * _TILE).reshape(len(items), _TILE)
+class PairBlock:
+    """The sums of all pairs of two blocks' items (``a`` and ``b``; ``diagonal`` where both are one block), and totals of the items.
+
+    Sums are worked out when they are asked for, of all pairs or of some; those of several slices are given as arrays.
+    """
+
+    def __init__(self, sides: tuple[_Side, _Side], members: int, sums: dict, totals: dict, diagonal: bool, dtype: type):
+        self.a, self.b = sides[0].items, sides[1].items
+        self.sides, self.members, self.sums, self.totals, self.diagonal, self.dtype = sides, members, sums, totals, diagonal, dtype
+        self.held: dict[str, np.ndarray] = {}
+        self.summed: dict[tuple[int, str], np.ndarray] = {}
+        self.tiles: dict[tuple, np.ndarray] = {}
+
+    def _tile(self, side: int, factor: Factor, start: int) -> np.ndarray:
+        side = 0 if self.diagonal else side
+        if self.members > _TILE:
+            return self.sides[side].tile(factor, start, _TILE, self.dtype)
+        if (side, factor) not in self.tiles:
+            self.tiles[side, factor] = self.sides[side].tile(factor, start, self.members, self.dtype)
+        return self.tiles[side, factor]
+
+    def sum(self, name: str) -> np.ndarray:
+        """By item of ``a`` and item of ``b``."""
+        if name not in self.held:
+            f, g = self.sums[name]
+            products = (self._tile(0, f, start) @ self._tile(1, g, start).T for start in range(0, self.members, _TILE))
+            self.held[name] = reduce(np.add, products, np.zeros((len(self.a), len(self.b))))
+        return self.held[name]
+
+    def at(self, name: str, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The sums of the pairs (a[i], b[j]): if they are few, without those of the others."""
+        if name in self.held or len(i) * 8 > len(self.a) * len(self.b):
+            return self.sum(name)[i, j]
+        f, g = self.sums[name]
+        found = np.zeros(len(i))
+        for start in range(0, self.members, _TILE):
+            x, y = self._tile(0, f, start), self._tile(1, g, start)
+            for k in range(0, len(i), 1024):
+                found[k : k + 1024] += np.einsum("ij,ij->i", x[i[k : k + 1024]], y[j[k : k + 1024]])
+        return found
+
+    def total(self, side: int, name: str) -> np.ndarray:
+        side = 0 if self.diagonal else side
+        if (side, name) not in self.summed:
+            self.summed[side, name] = self.sides[side].total(self.totals[name])
+        return self.summed[side, name]
+
+    def pairs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the wanted pairs of different items, each pair once."""
+        return np.nonzero(np.triu(wanted, 1) if self.diagonal else wanted)
+
+
+def _record(items: np.ndarray, row: np.ndarray, member: np.ndarray, cells: list[np.ndarray]) -> dict:
+    order = np.argsort(member, kind="stable")
+    parts = [row[order].astype(np.int32), member[order], *(x[order] for x in cells)]
+    return {"items": [items.tolist()], "data": [b"".join(np.ascontiguousarray(p).tobytes() for p in parts)]}
+
+
+def _unpacked(items: Iterable, data: bytes, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    n = len(data) // (12 + 8 * columns)
+    cells = [np.frombuffer(data, float, n, 12 * n + 8 * n * k) for k in range(columns)]
+    return np.asarray(items), np.frombuffer(data, np.int32, n).astype(np.int64), np.frombuffer(data, np.int64, n, 4 * n), cells
+
+
+def block_pairs(
+    values: DataFrame, item: str, member: str, columns: list[str], sums: dict[str, tuple[Factor, Factor]], finish: Callable[[PairBlock], pd.DataFrame], schema: str,
+    within: list[str] | None = None, totals: dict[str, Factor] | None = None, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS, dtype: type = float,
+) -> DataFrame:
+    """The rows (``within``, then ``schema``) that ``finish`` makes of each pair of blocks of items.
+
+    A sum is over the members that both items have of f(x) g(y), for a pair of factors (f, g) of the ``columns``; a total is over
+    one item's members. Items are dealt into blocks and members into slices, as many as the numbers of items and values ask
+    for. Cells are shuffled once; then a block's packed slice is sent once for each block. Sums of several slices
+    are added as arrays, some slices at a time. Rows with a null item, member or value don't count. The cells are stored
+    and counted while the plan is built. ``dtype``: float32 will do for counts of up to 2**24 members.
+    """
+    within, totals = within or [], totals or {}
+    rows = values.select(*within, F.col(item).alias("item"), F.xxhash64(F.col(member)).alias("member"), F.col(member).isNull().alias("_none"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)])
+    given = [f"x{k}" for k in range(len(columns))]
+    rows = written(rows.filter(" and ".join(["item is not null and not _none", *[f"{c} is not null" for c in given]])).drop("_none"), "cells")
+    size = rows.agg(F.count("*").alias("cells"), F.approx_count_distinct("item").alias("items")).first()
+    blocks = max(1, math.ceil(size["items"] / block_items))
+    slices = max(1, math.ceil(2 * size["cells"] / (blocks * task_cells)))
+    kind = values.schema[item].dataType.simpleString()
+    groups = [f"`{c}` {values.schema[c].dataType.simpleString()}" for c in within]
+
+    def keyed(key: tuple, found: dict | pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        found = pd.DataFrame(found)
+        for name, part in zip(reversed(names), reversed(key)):
+            found.insert(0, name, part)
+        return found
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        items, row = np.unique(frame["item"].to_numpy(), return_inverse=True)
+        return keyed(key, _record(items, row, frame["member"].to_numpy(), [frame[c].to_numpy(float) for c in given]), [*within, "block", "slice"])
+
+    def block_of(low: int, high: int, frame: pd.DataFrame) -> PairBlock | None:
+        own = {b: _unpacked(items, data, len(columns)) for b, items, data in zip(frame["block"], frame["items"], frame["data"])}
+        if low not in own or high not in own:
+            return None  # the other block has no member in this slice
+        members = np.unique(np.concatenate([x[2] for x in own.values()]))
+        sides = tuple(_Side(items, row, np.searchsorted(members, member), cells) for items, row, member, cells in (own[low], own[high]))
+        return PairBlock(sides, len(members), sums, totals, low == high, dtype)
+
+    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame | None:
+        held = block_of(key[len(within)], key[len(within) + 1], frame)
+        return keyed(key[: len(within)], finish(held), within) if held else pd.DataFrame({c: [] for c in [*within, *names]})
+
+    def part(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = key[len(within)], key[len(within) + 1]
+        held = block_of(low, high, frame)
+        if held is None:  # the totals of a block without a partner still count
+            own = [_unpacked(items, data, len(columns)) for items, data in zip(frame["items"], frame["data"])]
+            empty = _Side(own[0][0][:0], np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0)] * len(columns))
+            mine = _Side(own[0][0], own[0][1], np.arange(len(own[0][1])), own[0][3])
+            held = PairBlock((mine, empty) if frame["block"].iloc[0] == low else (empty, mine), 0, sums, totals, False, dtype)
+        return keyed(key, _arrays(held, list(sums), list(totals)), [*within, "low", "high", "slice"])
+
+    def added(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return keyed(key, _arrays(_added(frame, sums, totals, key[len(within)] == key[len(within) + 1], dtype), list(sums), list(totals)), [*within, "low", "high", "slice"])
+
+    def last(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return keyed(key[: len(within)], finish(_added(frame, sums, totals, key[len(within)] == key[len(within) + 1], dtype)), within)
+
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    head = ", ".join([*groups, ""])
+    packed = (
+        rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+        .withColumn("slice", F.pmod("member", F.lit(slices)).cast("int"))
+        .groupBy(*within, "block", "slice")
+        .applyInPandas(pack, f"{head}block int, slice int, items array<{kind}>, data binary")
+    )
+    sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        *within, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "slice", "block", "items", "data"
+    )
+    out = f"{head}{schema}"
+    if slices == 1:
+        return sent.groupBy(*within, "low", "high").applyInPandas(whole, out)
+    arrays = f"{head}low int, high int, slice int, a array<{kind}>, b array<{kind}>, sums binary, a_totals binary, b_totals binary"
+    partial = sent.groupBy(*within, "low", "high", "slice").applyInPandas(part, arrays)
+    while slices > _MERGED:
+        slices = -(-slices // _MERGED)
+        partial = partial.withColumn("slice", F.floor(F.col("slice") / _MERGED).cast("int")).groupBy(*within, "low", "high", "slice").applyInPandas(added, arrays)
+    return partial.groupBy(*within, "low", "high").applyInPandas(last, out)
+
+
+def _arrays(held: PairBlock, sums: list[str], totals: list[str]) -> dict:
+    return {
+        "a": [held.a.tolist()], "b": [held.b.tolist()], "sums": [b"".join(np.ascontiguousarray(held.sum(c), float).tobytes() for c in sums)],
+        "a_totals": [b"".join(held.total(0, c).astype(float).tobytes() for c in totals)], "b_totals": [b"".join(held.total(1, c).astype(float).tobytes() for c in totals)],
+    }
+
+
+def _added(frame: pd.DataFrame, sums: dict, totals: dict, diagonal: bool, dtype: type) -> PairBlock:
+    """The sums of some slices of a pair of blocks; an item need not be in every slice."""
+    a, b = (np.unique(np.concatenate([np.asarray(x) for x in frame[c] if len(x)] or [np.zeros(0)])) for c in ("a", "b"))
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+    held = PairBlock((_Side(a, *nothing), _Side(b, *nothing)), 0, sums, totals, diagonal, dtype)
+    held.held = {c: np.zeros((len(a), len(b))) for c in sums}
+    held.summed = {(side, c): np.zeros(len(items)) for side, items in enumerate((a, b)) for c in totals}
+    for row in frame.itertuples():
+        i, j = (np.searchsorted(all_, np.asarray(own)) if len(own) else np.zeros(0, np.int64) for all_, own in ((a, row.a), (b, row.b)))
+        parts = np.frombuffer(row.sums, float).reshape(len(sums), len(i), len(j))
+        for c, part in zip(sums, parts):
+            held.held[c][np.ix_(i, j)] += part
+        for side, (own, data) in enumerate(((i, row.a_totals), (j, row.b_totals))):
+            for c, part in zip(totals, np.frombuffer(data, float).reshape(len(totals), len(own))):
+                held.summed[side, c][own] += part
+    return held
 
 
 def block_sums(
-    values: DataFrame, item: str, member: str, value: str, sums: dict[str, tuple[Factor, Factor]], within: list[str] | None = None,
+    values: DataFrame, item: str, member: str, value: str, sums: dict[str, tuple[Factor, Factor]], within: list[str] | None = None, least: int = 1,
     block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS,
 ) -> DataFrame:
-    """Rows (``within``, a, b, n, and the ``sums``) for a < b that share a member.
+    """Rows (``within``, a, b, n, and the ``sums``) for a < b that share ``least`` members or more.
 
     A sum is over shared members of f(x) g(y), for a pair of factors (f, g); with each pair (g, f) must be there too.
-    Items are dealt into blocks and members into slices, as many as the numbers of items and values ask for. Each value is
-    sent to as many tasks as there are blocks; a task multiplies two blocks over one slice.
     """
-    within = within or []
     sums = {"n": (one, one)} | sums
     mirror = {name: next(k for k, v in sums.items() if v == (g, f)) for name, (f, g) in sums.items()}
-    sent, slices = _dealt(values, item, member, value, within, block_items, task_cells)
 
-    def products(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = key[len(within)], key[len(within) + 1]
-        members, sides = _sides(frame, low, high)
-        (a, *_), (b, *_) = sides
-        found = {name: np.zeros((len(a), len(b))) for name in sums}
-        for start in range(0, members, _TILE):
-            dense: dict[tuple, np.ndarray] = {}
-            for name, factors in sums.items():
-                for side, f in enumerate(factors):
-                    if (side, f) not in dense:
-                        dense[side, f] = _tile(sides[side], f, start)
-                found[name] += dense[0, factors[0]] @ dense[1, factors[1]].T
-        shared = found["n"] > 0.5
-        i, j = np.nonzero(shared & (a[:, None] < b[None, :]))
-        out = [pd.DataFrame({"a": a[i], "b": b[j]} | {name: found[name][i, j] for name in sums})]
-        if low != high:
-            i, j = np.nonzero(shared & (a[:, None] > b[None, :]))
-            out.append(pd.DataFrame({"a": b[j], "b": a[i]} | {name: found[mirror[name]][i, j] for name in sums}))
-        result = pd.concat(out).astype({"n": "int64"})
-        for name, part in zip(reversed(within), reversed(key[: len(within)])):
-            result.insert(0, name, part)
-        return result
+    def rows(held: PairBlock) -> pd.DataFrame:
+        i, j = held.pairs(held.sum("n") > max(least, 1) - 0.5)
+        turned = held.a[i] > held.b[j]
+        found = {name: held.at(name, i, j) for name in sums}
+        found = {name: np.where(turned, found[mirror[name]], x) for name, x in found.items()}
+        ends = {"a": np.where(turned, held.b[j], held.a[i]), "b": np.where(turned, held.a[i], held.b[j])}
+        return pd.DataFrame(ends | found).astype({"n": "int64"})
 
     kind = values.schema[item].dataType.simpleString()
-    groups = [f"`{c}` {values.schema[c].dataType.simpleString()}" for c in within]
-    schema = ", ".join([*groups, f"a {kind}", f"b {kind}", *[f"{c} {'long' if c == 'n' else 'double'}" for c in sums]])
-    partial = sent.groupBy(*within, "low", "high", "slice").applyInPandas(products, schema)
-    if slices == 1:
-        return partial
-    return partial.groupBy(*within, "a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    schema = ", ".join([f"a {kind}", f"b {kind}", *[f"{c} {'long' if c == 'n' else 'double'}" for c in sums]])
+    return block_pairs(values, item, member, [value], sums, rows, schema, within, block_items=block_items, task_cells=task_cells)
 
 
-def count_pairs(values: DataFrame, item: str, member: str, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS) -> int:
-    """The number of unordered pairs of different items that share a member.
+def best_partners(
+    values: DataFrame, item: str, member: str, columns: list[str], sums: dict[str, tuple[Factor, Factor]], totals: dict[str, Factor],
+    strength: Callable[[PairBlock], np.ndarray], k: int, support: str | None = None, digits: int | None = None,
+    block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS,
+) -> DataFrame:
+    """Rows (a, b, r, rank, and support): each item's ``k`` strongest partners, ties by the smaller partner.
 
-    A task makes one bit for each pair of its two blocks; the bits of all slices are put together per pair of blocks.
+    ``strength`` gives a pair of blocks' strengths, by item and item; those that are not finite don't count. Each task keeps the ``k`` best
+    of each of its items, so that at most blocks x items x k rows leave the tasks. ``support`` names a sum to return; r is rounded to ``digits`` to rank.
     """
-    sent, _ = _dealt(values.filter(F.col(item).isNotNull() & F.col(member).isNotNull()).withColumn("_one", F.lit(1.0)), item, member, "_one", [], block_items, task_cells)
-
-    def bits(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        low, high, _ = key
-        members, sides = _sides(frame, low, high)
-        (a, *_), (b, *_) = sides
-        shared = np.zeros((len(a), len(b)), bool)
-        for start in range(0, members, _TILE):
-            shared |= _tile(sides[0], one, start) @ _tile(sides[1], one, start).T > 0.5
-        if low == high:
-            shared &= a[:, None] < b[None, :]
-        return pd.DataFrame({"low": [low], "high": [high], "a": [a.tolist()], "b": [b.tolist()], "bits": [np.packbits(shared).tobytes()]})
-
-    def union(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.unique(np.concatenate([np.asarray(x) for x in frame[c]])) for c in ("a", "b"))
-        shared = np.zeros((len(a), len(b)), bool)
-        for own_a, own_b, data in zip(frame["a"], frame["b"], frame["bits"]):
-            part = np.unpackbits(np.frombuffer(data, np.uint8), count=len(own_a) * len(own_b)).astype(bool)
-            shared[np.ix_(np.searchsorted(a, own_a), np.searchsorted(b, own_b))] |= part.reshape(len(own_a), len(own_b))
-        return pd.DataFrame({"pairs": [int(shared.sum())]})
+    from pyspark.sql.window import Window
+
+    def best(held: PairBlock) -> pd.DataFrame:
+        r = np.array(strength(held), float)
+        if held.diagonal:
+            np.fill_diagonal(r, np.nan)
+        parts = []
+        for turned in (False,) if held.diagonal else (False, True):
+            x, own, other = (r.T, held.b, held.a) if turned else (r, held.a, held.b)
+            key = x if digits is None else np.round(x, digits)
+            order = np.argsort(np.where(np.isfinite(key), -key, np.inf), axis=1, kind="stable")[:, :k]  # items ascend: ties go to the smaller
+            i = np.repeat(np.arange(len(own)), order.shape[1])
+            j = order.ravel()
+            real = np.isfinite(x[i, j])
+            i, j = i[real], j[real]
+            part = {"a": own[i], "b": other[j], "r": x[i, j], "key": key[i, j]}
+            if support:
+                part["support"] = np.rint(held.at(support, *((j, i) if turned else (i, j)))).astype(np.int64)
+            parts.append(pd.DataFrame(part))
+        return pd.concat(parts)
 
     kind = values.schema[item].dataType.simpleString()
-    partial = sent.groupBy("low", "high", "slice").applyInPandas(bits, f"low int, high int, a array<{kind}>, b array<{kind}>, bits binary")
-    return partial.groupBy("low", "high").applyInPandas(union, "pairs long").agg(F.sum("pairs").alias("pairs")).first()["pairs"] or 0
+    schema = f"a {kind}, b {kind}, r double, key double" + (", support long" if support else "")
+    found = block_pairs(values, item, member, columns, sums, best, schema, totals=totals, block_items=block_items, task_cells=task_cells)
+    order = Window.partitionBy("a").orderBy(F.desc("key"), "b")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("key")
+
+
+def count_pairs(values: DataFrame, item: str, member: str, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS) -> int:
+    """The number of unordered pairs of different items that share a member."""
+    def count(held: PairBlock) -> pd.DataFrame:
+        return pd.DataFrame({"pairs": [len(held.pairs(held.sum("n") > 0.5)[0])]})
+
+    rows = values.withColumn("_one", F.lit(1.0))
+    found = block_pairs(rows, item, member, ["_one"], {"n": (one, one)}, count, "pairs long", block_items=block_items, task_cells=task_cells, dtype=np.float32)
+    return found.agg(F.sum("pairs").alias("pairs")).first()["pairs"] or 0
 
 
 def blocked_moments(values: DataFrame, item: str, member: str, value: str, within: list[str] | None = None, **sizes: int) -> DataFrame:
@@ -197,9 +342,9 @@ WEIGHTED_FACTORS = {
 
 def weighted_pearson(values: DataFrame, item: str, member: str, value: str, min_overlap: int = 1) -> DataFrame:
     """Rows (a, b, n, r, r_plain) for a < b with weights |x y|; null where the weights or a weighted variance are 0."""
-    sums = block_sums(values, item, member, value, MOMENT_FACTORS | WEIGHTED_FACTORS)
+    sums = block_sums(values, item, member, value, MOMENT_FACTORS | WEIGHTED_FACTORS, least=min_overlap)
     r = pearson("w", "wx", "wy", "wxy", "wxx", "wyy")
-    return sums.filter(F.col("n") >= min_overlap).select("a", "b", "n", F.when(F.col("w") > 0, r).alias("r"), pearson().alias("r_plain"))
+    return sums.select("a", "b", "n", F.when(F.col("w") > 0, r).alias("r"), pearson().alias("r_plain"))
 
 
 def _within(factor: Factor, most: float) -> Factor:
@@ -227,9 +372,9 @@ def item_correlations(
     b_size = sizes.select(*within, F.col(item).alias("b"), F.col("size").alias("b_size"))
     # what lies beyond the tail in either item is what does not lie within it in both
     inner = {f"in_{c}": (_within(f, tail), _within(g, tail)) for c, (f, g) in MOMENT_FACTORS.items()}
-    sums = block_sums(rows, item, member, value, MOMENT_FACTORS | inner, within)
+    sums = block_sums(rows, item, member, value, MOMENT_FACTORS | inner, within, least=min_overlap)
     sums = sums.withColumns({f"part_{c}": F.col(c) - F.col(f"in_{c}") for c in MOMENTS})
-    kept = sums.filter(F.col("n") >= min_overlap).withColumn("rho", pearson()).filter(F.abs("rho") >= min_rho)
+    kept = sums.withColumn("rho", pearson()).filter(F.abs("rho") >= min_rho)
     tail_rho = F.when(F.col("part_n") >= min_tail, pearson(*[f"part_{c}" for c in MOMENTS]))
     return (
         kept.join(a_size, [*within, "a"])
@@ -263,27 +408,88 @@ def hit_overlaps(hits: DataFrame, measured: DataFrame, item: str, member: str, w
     )
 
 
-def cohit_pairs(observations: DataFrame, gene: str, screen: str, value: str, hit: str, min_cohit: int = 3, min_screens: int = 1) -> DataFrame:
+def _hit(value: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    return hit
+
+
+def _up(value: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    return hit * (value > 0)
+
+
+def _down(value: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    return hit * (value < 0)
+
+
+def _measured(value: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    return np.ones_like(value)
+
+
+def cohit_pairs(
+    observations: DataFrame, gene: str, screen: str, value: str, hit: str, min_cohit: int = 3, min_screens: int = 1, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS
+) -> DataFrame:
     """Genes that are hits in the same screens: a < b, cohit, n (screens that measured both), a_hits and b_hits among
     these, expected, fold, p and concordance (share of common hits with the same strict sign).
 
-    Only pairs with ``min_cohit`` common hits are followed up, so that the join is over hits alone. The rows are stored
-    once, as each side of both joins reads them.
+    Each block of genes is a set of planes (measured, hit, hit upwards, hit downwards) over its screens. A pair of blocks is one product
+    for the common hits; only of pairs with ``min_cohit`` of them the other counts are taken. Observations are one per gene and screen.
     """
     rows = observations.filter(F.col(value).isNotNull()).select(
-        F.col(gene).alias("g"), F.col(screen).alias("s"), F.col(value).alias("v"), F.col(hit).alias("h")
+        F.col(gene).alias("g"), F.col(screen).alias("s"), F.col(value).alias("v"), F.coalesce(F.col(hit), F.lit(False)).cast("int").alias("h")
     )
-    rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_screens), "g", "left_semi")
-    rows = written(rows, "observations")
-    hits = rows.filter("h")
-    both = hits.select(F.col("g").alias("a"), "s", F.col("v").alias("x")).join(hits.select(F.col("g").alias("b"), "s", F.col("v").alias("y")), "s").filter("a < b")
-    same = F.count_if((F.col("x") < 0) & (F.col("y") < 0) | (F.col("x") > 0) & (F.col("y") > 0))
-    pairs = both.groupBy("a", "b").agg(F.count("*").alias("cohit"), same.alias("same")).filter(F.col("cohit") >= min_cohit)
-    measured_a = pairs.select("a", "b").join(rows.select(F.col("g").alias("a"), "s", F.col("h").alias("ha")), "a")
-    shared = measured_a.join(rows.select(F.col("g").alias("b"), "s", F.col("h").alias("hb")), ["b", "s"])
-    counts = shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if("ha").alias("a_hits"), F.count_if("hb").alias("b_hits"))
+    if min_screens > 1:
+        rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_screens), "g", "left_semi")
+    sums = {"cohit": (_hit, _hit), "n": (_measured, _measured), "a_hits": (_hit, _measured), "b_hits": (_measured, _hit), "up": (_up, _up), "down": (_down, _down)}
+
+    def counts(held: PairBlock) -> pd.DataFrame:
+        i, j = held.pairs(held.sum("cohit") > max(min_cohit, 1) - 0.5)
+        found = {c: np.rint(held.at(c, i, j)).astype(np.int64) for c in sums}
+        turned = held.a[i] > held.b[j]
+        return pd.DataFrame(
+            {
+                "a": np.where(turned, held.b[j], held.a[i]), "b": np.where(turned, held.a[i], held.b[j]), "cohit": found["cohit"], "n": found["n"],
+                "a_hits": np.where(turned, found["b_hits"], found["a_hits"]), "b_hits": np.where(turned, found["a_hits"], found["b_hits"]), "same": found["up"] + found["down"],
+            }
+        )
+
+    kind = observations.schema[gene].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, cohit long, n long, a_hits long, b_hits long, same long"
+    pairs = block_pairs(rows, "g", "s", ["v", "h"], sums, counts, schema, block_items=block_items, task_cells=task_cells, dtype=np.float32)
     expected = F.col("a_hits") * F.col("b_hits") / F.col("n")
-    return pairs.join(counts, ["a", "b"]).select(
+    return pairs.select(
         "a", "b", "cohit", "n", "a_hits", "b_hits", expected.alias("expected"), (F.col("cohit") / expected).alias("fold"),
         hypergeom_sf("cohit", "n", "a_hits", "b_hits").alias("p"), (F.col("same") / F.col("cohit")).alias("concordance"),
     )
+
+
+def _moment_of(f: Factor, masked: bool) -> Factor:
+    """A moment's factor of a value, where ``masked`` only of hits. The same object for the same arguments."""
+    return _MASKED.setdefault((f, masked), (lambda x, h: f(x) * h) if masked else (lambda x, h: f(x)))
+
+
+_MASKED: dict[tuple[Factor, bool], Factor] = {}
+
+
+def anchored_correlations(
+    observations: DataFrame, gene: str, screen: str, value: str, hit: str, least: int, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS
+) -> DataFrame:
+    """Pearson's r of genes (a < b, n, r) over the screens that measured both and in which one of them is a hit; null r are left out.
+
+    By inclusion and exclusion: a sum over screens where a or b is a hit is that over a's hits, plus that over b's, minus that over
+    common ones; each is a product of two blocks, of the values or of the hits' values.
+    """
+    rows = observations.select(gene, screen, F.col(value).alias("_x"), F.coalesce(F.col(hit), F.lit(False)).cast("int").alias("_h"))
+    ways = {"in_a": (True, False), "in_b": (False, True), "in_both": (True, True)}
+    sums = {f"{c}_{w}": (_moment_of(f, p), _moment_of(g, q)) for c, (f, g) in MOMENT_FACTORS.items() for w, (p, q) in ways.items()}
+
+    def correlated(held: PairBlock) -> pd.DataFrame:
+        n = held.sum("n_in_a") + held.sum("n_in_b") - held.sum("n_in_both")
+        i, j = held.pairs(n > max(least, 1) - 0.5)
+        n, sx, sy, sxy, sxx, syy = (held.at(f"{c}_in_a", i, j) + held.at(f"{c}_in_b", i, j) - held.at(f"{c}_in_both", i, j) for c in MOMENTS)
+        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+        real = (vx > 1e-9 * n * sxx) & (vy > 1e-9 * n * syy)  # sums added and taken off leave rests where nothing varies
+        r = (n * sxy - sx * sy)[real] / np.sqrt(vx[real] * vy[real])
+        a, b = held.a[i][real], held.b[j][real]
+        return pd.DataFrame({"a": np.where(a > b, b, a), "b": np.where(a > b, a, b), "n": np.rint(n[real]).astype(np.int64), "r": r})
+
+    kind = observations.schema[gene].dataType.simpleString()
+    return block_pairs(rows, gene, screen, ["_x", "_h"], sums, correlated, f"a {kind}, b {kind}, n long, r double", block_items=block_items, task_cells=task_cells)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from heddle.operators.graph import both_ways
 from heddle.operators.windows import add_running_total, average_rank, first_per_key, top_k
-from heddle.plans.networks import centred, coessential_network, cosine_pairs
+from heddle.plans.networks import centred, coessential_network, similar_profiles
 
 
 def longest_functions(proteins: DataFrame, genes: DataFrame) -> DataFrame:
@@ -63,9 +63,9 @@ def model_neighbours(values: DataFrame, known: DataFrame, k: int = 30, min_r: fl
     the cosine of the centred ones.
     """
     rows = values.select("gene", F.col("model").alias("screen_id"), F.col("value").alias("percentile"))
-    pairs = both_ways(cosine_pairs(centred(rows)).select("a", "b", "r")).filter(F.col("r") >= min_r)
-    mine = pairs.join(known.select(F.col("gene_id").alias("a")), "a", "left_semi")
-    return top_k(mine, ["a"], [F.round("r", 9).desc(), F.col("b")], k).select(F.col("a").alias("gene"), F.col("b").alias("neighbour"), "r")
+    best = similar_profiles(centred(rows), k, min_r, digits=9)
+    mine = best.join(known.select(F.col("gene_id").alias("a")).distinct(), "a", "left_semi")
+    return mine.select(F.col("a").alias("gene"), F.col("b").alias("neighbour"), "r")
 
 
 def whole_screens(observations: DataFrame, screens: DataFrame, organism: str, least: int = 15_000) -> DataFrame:

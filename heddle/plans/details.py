@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import rules, scores
+from heddle.operators import pairwise
 from heddle.operators.graph import both_ways, induced
 from heddle.operators.windows import first_per_key, top_k
 
@@ -179,15 +180,8 @@ def veto_directions(scores_: DataFrame, screens: DataFrame, directions: DataFram
 
 
 def anchored_correlations(observations: DataFrame, least: int) -> DataFrame:
-    """Pearson's r of genes (a < b) over the screens that measured both and in which one of them is a hit."""
-    from heddle.operators.pairwise import pearson
-
-    rows = observations.filter("percentile is not null").select("screen_id", "gene", "percentile", "hit")
-    left = rows.toDF("s", "a", "x", "hx")
-    pairs = left.join(rows.toDF("s", "b", "y", "hy"), "s").filter("a < b and (hx or hy)")
-    total = lambda e: F.sum(F.expr(e))
-    sums = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), total("x").alias("sx"), total("y").alias("sy"), total("x * y").alias("sxy"), total("x * x").alias("sxx"), total("y * y").alias("syy"))
-    return sums.filter(F.col("n") >= least).select("a", "b", "n", pearson().alias("r")).filter("r is not null")
+    """Pearson's r of genes (a < b, n, r) over the screens that measured both and in which one of them is a hit."""
+    return pairwise.anchored_correlations(observations.filter("percentile is not null"), "gene", "screen_id", "percentile", "hit", least)
 
 
 def connected(edges: DataFrame, nodes: DataFrame, node: object, kind: str) -> DataFrame:

@@ -1,24 +1,31 @@
 """Gene networks from screens: co-essentiality and co-hits.
 
 Matrices stay in long form. After imputing a gene's missing values with its own mean and centring, they are
-exactly 0, so that products run over measured values only. The leading component, which would fill the
-matrix, is kept as two factor tables u and v: the product of two cleaned rows is the product of the sparse
-rows minus s^2 times the product of their entries in u.
+exactly 0, so that products run over measured values only. The leading components, which would fill the
+matrix, are kept as two factor tables u and v: the product of two cleaned rows is the product of the sparse
+rows minus, per component, the product of their entries in u.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from heddle.operators.graph import both_ways
-from heddle.operators.pairwise import block_sums, cohit_pairs, count_pairs, same
+from heddle.operators.pairwise import Factor, PairBlock, best_partners, cohit_pairs, count_pairs
 from heddle.operators.windows import add_least_from, add_reciprocal, bh_threshold_of, fdr_sweep, top_k, value_ranks
 from heddle.storage import written
 
+COLUMNS, MOST_COLUMNS = 8, 40  # vectors that a round adds to the basis, and how many it has before it is begun anew
+MOST_ROUNDS = 100
+
 
 def network_genes(observations: DataFrame, hit_min: int = 5, min_coverage: float = 0.5, min_hit_rate: float = 0.02, min_screens: int = 15) -> DataFrame:
     """Genes that are hits often enough, measured in enough screens, and not less often hits than by chance."""
@@ -36,38 +43,141 @@ def centred(observations: DataFrame) -> DataFrame:
     return rows.join(means, "gene").select("gene", "screen_id", (F.col("percentile") - F.col("mean")).alias("x"))
 
 
-def leading_component(x: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The leading right singular vector by power iteration: v per screen, and su (s times u) per gene.
+def leading_components(x: DataFrame, count: int = 1, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
+    """The ``count`` leading right singular vectors: v per screen, and su (s times u) per gene, as arrays.
 
-    The screens' vector has a row per screen; each round is two aggregations over the measured values. The vector is
-    stored after each, and its length, one number, is taken from there. It starts from each screen's sum, so that the
-    result is reproducible.
+    Block Krylov iteration: a basis of screens' vectors grows by the residuals of its best approximations, several at a time, and is
+    begun anew from the best of it when it gets large. It ends when each wanted vector's residual is ``tolerance`` of the largest
+    eigenvalue or less; a basis that cannot grow holds them. Each round is two aggregations over the measured values; the basis has a row per screen
+    and is stored after each. What reaches the driver is one small matrix per partition of it. Starts jobs while the plan is built.
     """
-    def unit(df: DataFrame) -> DataFrame:
-        v = written(df, "component")
-        length = math.sqrt(v.agg(F.sum(F.col("v") * F.col("v")).alias("q")).first()["q"] or 0.0)
-        return v.withColumn("v", F.try_divide(F.col("v"), F.lit(length)))
-
-    v = unit(x.groupBy("screen_id").agg((F.sum("x") + F.lit(1e-9)).alias("v")))
-    for _ in range(rounds):
-        su = x.join(v, "screen_id").groupBy("gene").agg(F.sum(F.col("x") * F.col("v")).alias("su"))
-        v = unit(x.join(su, "gene").groupBy("screen_id").agg(F.sum(F.col("x") * F.col("su")).alias("v")))
-    return v, x.join(v, "screen_id").groupBy("gene").agg(F.sum(F.col("x") * F.col("v")).alias("su"))
-
-
-def cosine_pairs(x: DataFrame, su: DataFrame | None = None) -> DataFrame:
-    """Rows (a, b, r, support) for genes a < b with a common screen: the cosine of their centred rows.
-
-    With ``su``, of their rows without the leading component. Support is the number of screens that measured both.
+    def applied(r: DataFrame, width: int) -> DataFrame:
+        """r (screen_id, new) with the products of its vectors and the matrix of all pairs of screens."""
+        part = lambda c, k: F.sum(F.col("x") * F.get(c, F.lit(k)))
+        u = x.join(r.select("screen_id", "new"), "screen_id").groupBy("gene").agg(F.array(*[part("new", k) for k in range(width)]).alias("u"))
+        return x.join(u, "gene").groupBy("screen_id").agg(F.array(*[part("u", k) for k in range(width)]).alias("image"))
+
+    def matrices(basis: DataFrame, size: int) -> np.ndarray:
+        """The products of vectors with vectors, vectors with images, and images with images."""
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((3, size, size))
+            for frame in frames:
+                q, a = _stacked(frame)
+                total += np.stack([q.T @ q, q.T @ a, a.T @ a])
+            yield pd.DataFrame({"m": [total.ravel()]})
+
+        found = basis.select("q", "a").mapInPandas(run, "m array<double>").collect()
+        return sum((np.array(row.m).reshape(3, size, size) for row in found), np.zeros((3, size, size)))
+
+    kind = x.schema["screen_id"].dataType.simpleString()
+    hashed = [(F.pmod(F.xxhash64(F.lit(k), "screen_id"), F.lit(1009)) - 504).cast("double") for k in range(1, COLUMNS + count - 1)]
+    start = x.groupBy("screen_id").agg((F.sum("x") + F.lit(1e-9)).alias("s")).select("screen_id", F.array("s", *hashed).alias("new"))
+    start = written(start, "start")
+    width = len(hashed) + 1
+    basis = written(start.join(applied(start, width), "screen_id").select("screen_id", F.col("new").alias("q"), F.col("image").alias("a")), "basis")
+    size, before = width, None
+    for _ in range(MOST_ROUNDS):
+        gram, product, images = matrices(basis, size)
+        values, ritz = _ritz(gram, product)
+        wanted = min(count, len(values))
+        if not wanted:
+            break
+        best = slice(0, min(width, len(values)))
+        y, top = ritz[:, best], values[best]
+        squares = np.sum(y * (images @ y - (product + product.T) @ y * top + gram @ y * top**2), axis=0)
+        open_ = np.sqrt(np.maximum(squares, 0)) > tolerance * values[0]
+        state = (len(values), *np.round(values[:wanted], 12))
+        if not open_[:wanted].any() or state == before:
+            break
+        before = state
+        kept = ritz[:, : width + 1] if size + width > MOST_COLUMNS else ritz
+        lengths = np.sqrt(squares[open_])
+
+        def grown(frames: Iterator[pd.DataFrame], kept=kept, y=y[:, open_], top=top[open_], lengths=lengths) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                q, a = _stacked(frame)
+                new = (a @ y - (q @ y) * top) / lengths
+                yield pd.DataFrame({"screen_id": frame["screen_id"], "q": [*(q @ kept)], "a": [*(a @ kept)], "new": [*new]})
+
+        more = basis.mapInPandas(grown, f"screen_id {kind}, q array<double>, a array<double>, new array<double>")
+        added = int(open_.sum())
+        joined = more.join(applied(more, added), "screen_id")
+        basis = written(joined.select("screen_id", F.concat("q", "new").alias("q"), F.concat("a", "image").alias("a")), "basis")
+        size = kept.shape[1] + added
+    else:
+        raise RuntimeError(f"no convergence to {tolerance} in {MOST_ROUNDS} rounds")
+    mix = ritz[:, :count] if len(values) else np.zeros((size, 0))
+    v = basis.select("screen_id", F.array(*[sum((F.get("q", F.lit(k)) * float(mix[k, c]) for k in range(size)), F.lit(0.0)) for c in range(mix.shape[1])]).cast("array<double>").alias("v"))
+    v = written(v, "component")
+    sums = [F.sum(F.col("x") * F.get("v", F.lit(c))) for c in range(mix.shape[1])]
+    su = x.join(v, "screen_id").groupBy("gene").agg(F.array(*sums).cast("array<double>").alias("su"))
+    return v, su
+
+
+def _stacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([*frame["q"]]), np.stack([*frame["a"]])
+
+
+def _ritz(gram: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best approximations that a basis holds, largest first: eigenvalues, and each one's share of the basis' vectors."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    lengths, axes = np.linalg.eigh(gram * np.outer(scale, scale))
+    real = lengths > 1e-10
+    to = scale[:, None] * axes[:, real] / np.sqrt(lengths[real])
+    inside = to.T @ ((product + product.T) / 2) @ to
+    values, turns = np.linalg.eigh(inside)
+    order = np.argsort(-values)
+    order = order[values[order] > 1e-14 * max(values.max(initial=0), 1e-300)]
+    return values[order], to @ turns[:, order]
+
+
+def leading_component(x: DataFrame, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
+    """The leading right singular vector of rows (gene, screen_id, x): v per screen, and su (s times u) per gene."""
+    v, su = leading_components(x, 1, tolerance)
+    return v.withColumn("v", F.coalesce(F.get("v", F.lit(0)), F.lit(0.0))), su.withColumn("su", F.coalesce(F.get("su", F.lit(0)), F.lit(0.0)))
+
+
+def _value(x: np.ndarray, *v: np.ndarray) -> np.ndarray:
+    return x
+
+
+def _present(x: np.ndarray, *v: np.ndarray) -> np.ndarray:
+    return np.ones_like(x)
+
+
+def _square_of(x: np.ndarray, *v: np.ndarray) -> np.ndarray:
+    return x * x
+
+
+def _along(k: int) -> Factor:
+    return lambda x, *v: x * v[k]
+
+
+def similar_profiles(x: DataFrame, k: int, min_r: float, min_support: int = 0, components: DataFrame | None = None, count: int = 1, digits: int | None = None, **sizes: int) -> DataFrame:
+    """Each gene's ``k`` most alike genes (a, b, r, rank, and support where a least one is asked for) by the cosine of their centred rows.
+
+    With ``components`` (screen_id, v: array of ``count``), of their rows without these components. The best are taken inside each pair of blocks.
+    Genes need a common screen, and r must be ``min_r``, above 0, or more.
     """
-    dots = block_sums(x, "gene", "screen_id", "x", {"dot": (same, same)}).withColumnRenamed("n", "support")
-    norms = x.groupBy("gene").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
-    norms = norms.join(su, "gene", "left").withColumn("su", F.coalesce("su", F.lit(0.0))) if su is not None else norms.withColumn("su", F.lit(0.0))
-    norms = norms.withColumn("square", F.col("square") - F.col("su") * F.col("su"))
-    a = norms.select(F.col("gene").alias("a"), F.col("square").alias("qa"), F.col("su").alias("ua"))
-    b = norms.select(F.col("gene").alias("b"), F.col("square").alias("qb"), F.col("su").alias("ub"))
-    joined = dots.join(a, "a").join(b, "b").filter("qa > 1e-12 and qb > 1e-12")
-    return joined.select("a", "b", ((F.col("dot") - F.col("ua") * F.col("ub")) / F.sqrt(F.col("qa") * F.col("qb"))).alias("r"), "support")
+    columns = [f"v{c}" for c in range(count)] if components is not None else []
+    if components is not None:
+        x = x.join(components.select("screen_id", *[F.get("v", F.lit(c)).alias(f"v{c}") for c in range(count)]), "screen_id")
+    counted = min_support > 0 or components is not None
+    sums = {"dot": (_value, _value)} | ({"n": (_present, _present)} if counted else {})
+    totals = {"square": _square_of} | {c: _along(k) for k, c in enumerate(columns)}
+
+    def strength(held: PairBlock) -> np.ndarray:
+        along = [np.stack([held.total(side, c) for c in columns], axis=1) if columns else np.zeros((len(items), 0)) for side, items in enumerate((held.a, held.b))]
+        left, right = (held.total(side, "square") - (u * u).sum(axis=1) for side, u in enumerate(along))
+        r = held.sum("dot") - along[0] @ along[1].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = r / np.sqrt(left[:, None] * right[None, :])
+        real = (left[:, None] > 1e-12) & (right[None, :] > 1e-12) & (r >= min_r)
+        if counted:
+            real &= held.sum("n") > max(min_support, 1) - 0.5
+        return np.where(real, r, np.nan)
+
+    return best_partners(x, "gene", "screen_id", ["x", *columns], sums, totals, strength, k, "n" if counted else None, digits, **sizes)
 
 
 def mutual_top(pairs: DataFrame, k: int) -> DataFrame:
@@ -78,35 +188,84 @@ def mutual_top(pairs: DataFrame, k: int) -> DataFrame:
     return turned.dropDuplicates(["a", "b"])
 
 
-def shuffled(observations: DataFrame, seed: int = 0) -> DataFrame:
-    """Percentiles dealt anew among the genes of their screen, in the order of a seeded hash: the null model."""
-    order = Window.partitionBy("screen_id").orderBy(F.xxhash64(F.lit(seed), "gene"), "gene")
-    place = Window.partitionBy("screen_id").orderBy("gene")
-    values = observations.select("screen_id", "percentile", F.row_number().over(order).alias("place"))
-    genes = observations.drop("percentile").withColumn("place", F.row_number().over(place))
-    return genes.join(values, ["screen_id", "place"]).drop("place")
+def mutual(best: DataFrame) -> DataFrame:
+    """Pairs (a < b) of directed rows (a, b) of best partners, with reciprocal = 1 where both directions are there."""
+    both = add_reciprocal(best.drop("rank"), "a", "b")
+    return both.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"])
+
+
+def _permuted(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Each place of n moved by a permutation of 0 to n - 1 that the key chooses: a Feistel network over pairs, walked until it lands within."""
+    wide = np.ceil(np.sqrt(n)).astype(np.int64)
+    high = -(-n // wide)
+    out, walking = place.astype(np.int64), np.arange(len(place))
+    while len(walking):
+        w, h, k = wide[walking], high[walking], key[walking]
+        left, right = np.divmod(out[walking], w)
+        for step in range(_FEISTEL):
+            if step % 2:
+                right = (right + (_scrambled(left, k, step) % w.view(np.uint64)).view(np.int64)) % w
+            else:
+                left = (left + (_scrambled(right, k, step) % h.view(np.uint64)).view(np.int64)) % h
+        out[walking] = left * w + right
+        walking = walking[out[walking] >= n[walking]]
+    return out
+
+
+_FEISTEL = 6  # rounds
+
+
+def _scrambled(value: np.ndarray, key: np.ndarray, step: int) -> np.ndarray:
+    """64 bits of a value under a key, by the finishing steps of SplitMix64."""
+    h = value.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(step + 1) ^ key.view(np.uint64)
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@pandas_udf(T.LongType())
+def permuted(place: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series(_permuted(*(c.to_numpy(np.int64) for c in (place, n, key))))
+
+
+def numbered(observations: DataFrame) -> DataFrame:
+    """Observations with their place among the genes of their screen (from 0) and how many these are: sorted once for all null models."""
+    of = Window.partitionBy("screen_id")
+    rows = observations.withColumns({"place": F.row_number().over(of.orderBy("gene")) - 1, "of": F.count("*").over(of)})
+    return written(rows.withColumns({"place": F.col("place").cast("long")}), "numbered")
+
+
+def shuffled(placed: DataFrame, seed: int = 0) -> DataFrame:
+    """Percentiles dealt anew among the genes of their screen: the null model, from ``numbered`` rows. Nothing is sorted."""
+    key = F.xxhash64(F.lit(seed), "screen_id")
+    values = placed.select("screen_id", "percentile", permuted("place", "of", key).alias("place"))
+    return placed.drop("percentile", "of").join(values, ["screen_id", "place"]).drop("place")
 
 
 def coessential_network(
     observations: DataFrame, context: str = "all", hit_min: int = 5, min_coverage: float = 0.5, min_hit_rate: float = 0.02, min_screens: int = 15,
-    min_support: int = 20, min_corr: float = 0.15, k: int = 25, fdr: float = 0.05, remove_leading: bool = True,
+    min_support: int = 20, min_corr: float = 0.15, k: int = 25, fdr: float = 0.05, remove_leading: bool = True, nulls: int = 1,
 ) -> DataFrame:
     """Edges (a, b, context, channel, strength, support, reciprocal) of genes with alike profiles.
 
-    ``observations``: screen_id, gene, percentile, hit. The threshold is the first at which mutual-best pairs
-    of shuffled screens are at most ``fdr`` of the real ones.
+    ``observations``: screen_id, gene, percentile, hit, one row per gene and screen. The threshold is the first at which mutual-best pairs
+    of shuffled screens, the mean of ``nulls`` shuffles, are at most ``fdr`` of the real ones.
     """
     nodes = network_genes(observations, hit_min, min_coverage, min_hit_rate, min_screens)
     rows = observations.filter("percentile is not null").join(nodes, "gene", "left_semi").select("screen_id", "gene", "percentile")
 
     def best(of: DataFrame) -> DataFrame:
         x = written(centred(of), "centred")
-        su = leading_component(x)[1] if remove_leading else None
-        pairs = cosine_pairs(x, su).filter((F.col("support") >= min_support) & (F.col("r") >= min_corr))
-        return mutual_top(pairs, k)
-
-    real, null = best(rows), best(shuffled(rows))
-    limit = fdr_sweep(real.filter("reciprocal = 1"), null.filter("reciprocal = 1"), "r", min_corr, 0.90, 0.005, fdr)
+        v = leading_components(x)[0] if remove_leading else None
+        v = v.withColumn("v", F.array(F.coalesce(F.get("v", F.lit(0)), F.lit(0.0)))) if v is not None else None
+        return written(mutual(similar_profiles(x, k, min_corr, max(min_support, 1), v)), "best")  # at most k rows per gene, read twice
+
+    real, placed = best(rows), numbered(rows)
+    null = [best(shuffled(placed, seed)).filter("reciprocal = 1").select("r") for seed in range(nulls)]
+    for more in null[1:]:
+        null[0] = null[0].unionByName(more)
+    limit = fdr_sweep(real.filter("reciprocal = 1"), null[0], "r", min_corr, 0.90, 0.005, fdr * nulls)
     return real.join(F.broadcast(limit)).filter(F.col("r") >= F.col("threshold")).select(
         "a", "b", F.lit(context).alias("context"), F.lit("coessential").alias("channel"), F.round("r", 4).alias("strength"), "support", "reciprocal"
     )
@@ -118,8 +277,8 @@ def profile_neighbours(observations: DataFrame, min_r: float = 0.25, top: int =
     screens = rows.agg(F.count_distinct("screen_id").alias("screens"))
     counts = rows.groupBy("gene").agg(F.count("*").alias("n")).join(F.broadcast(screens))
     kept = counts.filter(F.col("n") >= F.greatest(F.lit(least), F.floor(F.lit(share) * F.col("screens")))).select("gene")
-    pairs = cosine_pairs(centred(rows.join(kept, "gene", "left_semi"))).filter(F.col("r") >= min_r)
-    return top_k(both_ways(pairs.select("a", "b", "r")), ["a"], [F.desc("r"), F.col("b")], top).withColumnsRenamed({"a": "gene", "b": "neighbour"})
+    best = similar_profiles(centred(rows.join(kept, "gene", "left_semi")), top, min_r)
+    return best.withColumnsRenamed({"a": "gene", "b": "neighbour"}).select("gene", "neighbour", "r", "rank")
 
 
 def cohit_network(observations: DataFrame, tested: int | None = None, min_cohit: int = 3, min_screens: int = 1, k: int = 25, alpha: float = 0.05) -> DataFrame:

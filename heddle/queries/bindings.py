@@ -57,6 +57,19 @@ def edges(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return mutual_top(joined.select("a", "b", (F.col("support") / F.sqrt(F.col("na") * F.col("nb"))).alias("r"), "support"), k).withColumnRenamed("r", "strength")
 
 
+def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as genes and the first two letters of words as screens: a table whose rows are alike in groups, by language and by copies.
+
+    A document is measured where it has such words, by their share of its words; the upper tenth of a screen's percentiles are hits.
+    """
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]+"), F.lit(0))
+    each = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gene"), F.explode(words).alias("w"))
+    counts = each.groupBy("gene", F.substring("w", 1, 2).alias("screen_id")).agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("gene").agg(F.sum("n").alias("all"))
+    rows = counts.join(sizes, "gene").select("screen_id", "gene", (F.col("n") / F.col("all")).alias("score"))
+    return add_signed_percentile(rows, ["screen_id"], "score").withColumn("hit", F.coalesce(F.col("percentile") >= 0.8, F.lit(False)))
+
+
 OBS = """obs AS (SELECT l_suppkey AS screen_id, l_partkey AS gene, l_extendedprice AS score, l_returnflag = 'R' AS hit,
   l_orderkey AS paper, l_linenumber AS line FROM lineitem)"""
 BEST = f"""{OBS},
@@ -75,3 +88,9 @@ ways AS (SELECT * FROM weighted UNION ALL SELECT b, a, strength, support FROM we
 tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY strength DESC, b) AS rn FROM ways) WHERE rn <= 5),
 edges AS (SELECT DISTINCT least(t.a, t.b) AS a, greatest(t.a, t.b) AS b, t.strength, t.support, CASE WHEN o.a IS NULL THEN 0 ELSE 1 END AS reciprocal
   FROM tops t LEFT JOIN tops o ON o.a = t.b AND o.b = t.a)"""
+DOCUMENTS = """dwords AS (SELECT doc_id AS gene, unnest(regexp_extract_all(coalesce(text, ''), '[a-z]+')) AS w FROM documents),
+dcounts AS (SELECT gene, substr(w, 1, 2) AS screen_id, count(*) AS n FROM dwords GROUP BY ALL),
+dshares AS (SELECT screen_id, gene, n / sum(n) OVER (PARTITION BY gene) AS score FROM dcounts),
+dranked AS (SELECT *, rank() OVER (PARTITION BY screen_id ORDER BY score) + (count(*) OVER (PARTITION BY screen_id, score) - 1) / 2.0 - 1.0 AS r0 FROM dshares),
+profiles AS (SELECT *, coalesce(percentile >= 0.8, false) AS hit
+  FROM (SELECT * EXCLUDE r0, CAST(2 AS DOUBLE) * (r0 / nullif(max(r0) OVER (PARTITION BY screen_id), 0)) - CAST(1 AS DOUBLE) AS percentile FROM dranked))"""

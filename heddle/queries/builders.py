@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from heddle.functions import fixed_values as V
 from heddle.functions import rules
 from heddle.plans import builders, details, serving
-from heddle.queries.bindings import BEST, EDGES, SCORED, SCREENS, best, edges, scored, screens, table
+from heddle.queries.bindings import BEST, EDGES, SCORED, SCREENS, best, document_profiles, edges, scored, screens, table
 from heddle.queries.registry import query, r6
 from heddle.sources import knowledge as sources
+from heddle.storage import written
 
 
 def _genes(spark, d):
@@ -81,7 +82,10 @@ def whole_screens(spark, d):
 
 @query()
 def organism_network(spark, d):
-    return builders.organism_network(scored(spark, d), screens(spark, d), "ASIA", 100, min_screens=3, min_support=3, hit_min=2, min_corr=0.2, fdr=2.0)
+    rows = written(document_profiles(spark, d), "profiles")
+    early = F.when(F.substring("screen_id", 1, 1) < "n", "early").otherwise("late")
+    screens_ = rows.select("screen_id").distinct().select("screen_id", early.alias("organism"), F.lit("FULL").alias("coverage"))
+    return builders.organism_network(rows, screens_, "early", 30, min_screens=15)
 
 
 @query(f"""WITH {EDGES}, way AS (SELECT a, b, strength, reciprocal FROM edges UNION ALL SELECT b, a, strength, reciprocal FROM edges), hv AS (SELECT a, sum(reciprocal) AS have FROM way GROUP BY a),

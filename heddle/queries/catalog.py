@@ -9,7 +9,7 @@ from heddle.functions import rules, scores
 from heddle.functions.stats import correlation_p, hypergeom_sf
 from heddle.operators import graph, pairwise, upsert, windows
 from heddle.plans import details, harmonize, knowledge, networks, serving, similarity, upload, warehouse
-from heddle.queries.bindings import BEST, EDGES, OBS, SCORED, SCREENS, best, edges, observations, scored, screens, table
+from heddle.queries.bindings import BEST, DOCUMENTS, EDGES, OBS, SCORED, SCREENS, best, document_profiles, edges, observations, scored, screens, table
 from heddle.queries.registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from heddle.sources import screens as screen_files
 from heddle.storage import written
@@ -378,14 +378,27 @@ def cohit_best_partners(spark, d):
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cohit", "reciprocal").distinct()
 
 
-@query()
+@query(f"""WITH {DOCUMENTS}, few AS (SELECT * FROM profiles WHERE percentile IS NOT NULL), hits AS (SELECT * FROM few WHERE hit),
+c AS (SELECT x.gene AS a, y.gene AS b, count(*) AS cohit, count(*) FILTER (x.percentile * y.percentile > 0) AS same FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL HAVING count(*) >= 3),
+w AS (SELECT x.gene AS a, y.gene AS b, count(*) AS n, count(*) FILTER (x.hit) AS a_hits, count(*) FILTER (y.hit) AS b_hits FROM few x JOIN few y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL),
+t AS (SELECT a, b, cohit, same, n, a_hits, b_hits, unnest(range(cohit, least(a_hits, b_hits) + 1)) AS x FROM c JOIN w USING (a, b)),
+cp AS (SELECT a, b, cohit, n, a_hits * b_hits / n AS expected, same / cohit AS concordance, sum({HYPER.format(n='n', r='a_hits', k='b_hits')}) AS p FROM t GROUP BY a, b, cohit, same, n, a_hits, b_hits),
+tested AS (SELECT 2 * (SELECT count(*) FROM w) + count(DISTINCT gene) AS m FROM few),
+ways AS (SELECT * FROM cp UNION ALL SELECT b, a, * EXCLUDE (a, b) FROM cp),
+ranks AS (SELECT *, count(*) OVER (ORDER BY p) AS place FROM ways),
+gate AS (SELECT coalesce(max(p) FILTER (p <= 0.05 * place / m), 0) AS threshold, count(*) AS candidates FROM ranks, tested),
+adjusted AS (SELECT *, min(least(1, p * m / place)) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING) AS q_bh, row_number() OVER (PARTITION BY a ORDER BY p, cohit DESC, b) AS rn FROM ranks, tested),
+best25 AS (SELECT * FROM adjusted, gate WHERE rn <= 25 AND p <= threshold)
+SELECT least(x.a, x.b) AS a, greatest(x.a, x.b) AS b, max(x.cohit) AS cohit, max(x.n) AS support, round(max(x.q_bh), 6) AS q_bh, round(least(1, max(x.p) * max(x.m) / max(x.candidates)), 6) AS q_ref, round(max(x.concordance), 3) AS concordance, max(CASE WHEN y.a IS NULL THEN 0 ELSE 1 END) AS reciprocal
+FROM best25 x LEFT JOIN best25 y ON y.a = x.b AND y.b = x.a GROUP BY 1, 2""")
 def cohit_network(spark, d):
-    return networks.cohit_network(scored(spark, d), alpha=0.5)
+    found = networks.cohit_network(written(document_profiles(spark, d), "profiles"), alpha=0.05)
+    return found.select("a", "b", "cohit", "support", r6("q_bh").alias("q_bh"), r6("q_ref").alias("q_ref"), "concordance", "reciprocal")
 
 
 @query()
 def coessential_network(spark, d):
-    return networks.coessential_network(scored(spark, d), min_screens=3, min_support=5, hit_min=2, min_coverage=0.1, min_corr=0.2, fdr=2.0)
+    return networks.coessential_network(written(document_profiles(spark, d), "profiles"), min_coverage=0.1, nulls=2)
 
 
 @query(f"""WITH {SCORED}, k AS (SELECT * FROM scored), g AS (SELECT gene, avg(percentile) AS mu FROM k GROUP BY gene HAVING count(*) >= greatest(20, floor(0.11 * (SELECT count(DISTINCT screen_id) FROM k)))),
@@ -1029,14 +1042,17 @@ def merged_facets(spark, d):
 @query()
 def screen_similarity_without_component(spark, d):
     rows = scored(spark, d).select("screen_id", "gene", "percentile")
-    v, su = networks.leading_component(written(networks.centred(rows), "centred"), rounds=6)
+    v, su = networks.leading_component(written(networks.centred(rows), "centred"))
     return similarity.screen_similarity(similarity.without_component(rows, v, su), min_overlap=50)
 
 
-@query(f"WITH {SCORED} SELECT screen_id, count(*) AS n, round(sum(percentile), 6) + 0 AS total, round(sum(percentile ** 2), 6) AS squares FROM scored GROUP BY screen_id")
+@query(f"WITH {SCORED} SELECT screen_id, percentile, count(*) AS n, count(*) OVER (PARTITION BY screen_id) > 20 AS dealt_anew FROM scored GROUP BY screen_id, percentile")
 def shuffled_null(spark, d):
-    null = networks.shuffled(scored(spark, d).select("screen_id", "gene", "percentile"))
-    return null.groupBy("screen_id").agg(F.count("*").alias("n"), r6(F.sum("percentile")).alias("total"), r6(F.sum(F.col("percentile") * F.col("percentile"))).alias("squares"))
+    rows = scored(spark, d).select("screen_id", "gene", "percentile")
+    null = networks.shuffled(networks.numbered(rows))
+    same = null.join(rows.withColumnRenamed("percentile", "own"), ["screen_id", "gene"]).groupBy("screen_id").agg(F.avg((F.col("own") == F.col("percentile")).cast("int")).alias("same"), F.count_distinct("own").alias("values"))
+    judged = same.select("screen_id", ((F.col("same") < 0.3) & (F.col("values") > 20)).alias("dealt_anew"))
+    return null.groupBy("screen_id", "percentile").agg(F.count("*").alias("n")).join(judged, "screen_id")
 
 
 from heddle.queries import builders, files  # noqa: E402, F401  these register their queries too

@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from heddle.plans import networks
+from heddle.queries.bindings import scored
 from heddle.queries.catalog import ORACLE_SQL, QUERIES
 from tests.oracle import TABLES, connect, same
 
@@ -14,7 +16,7 @@ WHOLE = [
     "gene_extremes", "resolve_gene_names", "layered_neighbours", "predicted_terms", "backtest_auroc", "hypergeometric_tail", "anchored_correlations", "partner_dossiers",
     "unpivoted_models",
 ]
-KEYS = {"lineitem": {"l_partkey": 100, "l_suppkey": 5}, "part": {"p_partkey": 100}, "supplier": {"s_suppkey": 5}}
+KEYS = {"lineitem": {"l_partkey": 100, "l_suppkey": 5}, "part": {"p_partkey": 100}, "supplier": {"s_suppkey": 5}, "documents": {"doc_id": 100}}
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +45,12 @@ def test_coessential_network_reaches_far_ids(spark, far_dir):
     assert any(max(r.a, r.b) > FAR for r in QUERIES["coessential_network"](spark, far_dir).collect())
 
 
+def test_organism_network_keeps_some_edges_and_drops_others(spark, far_dir):
+    """With its gate at 0.05, on documents: an early letter's words alone, and all of them."""
+    edges = {(r.a, r.b) for r in QUERIES["organism_network"](spark, far_dir).collect()}
+    assert any(max(e) > FAR for e in edges) and len(edges) < 200 * 25 / 2
+
+
 def test_screen_similarity_without_component_reaches_far_ids(spark, sf_dir, far_dir):
     near, far = ({(r.screen_a, r.screen_b) for r in QUERIES["screen_similarity_without_component"](spark, d).collect()} for d in (sf_dir, far_dir))
     assert far == {(moved(a, 5), moved(b, 5)) for a, b in near} and any(max(p) > FAR for p in far)
@@ -54,7 +62,7 @@ def test_cohit_network_reaches_far_ids_and_counts_its_tests(spark, tmp_path):
     schema = "l_suppkey long, l_partkey long, l_extendedprice double, l_returnflag string, l_orderkey long, l_linenumber int"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
     hits = {g: {s for s, h, _, flag, _, _ in rows if h == g and flag == "R"} for g in genes}
-    tested, found = len(genes) ** 2, {(r.a, r.b): r for r in QUERIES["cohit_network"](spark, str(tmp_path)).collect()}
+    tested, found = len(genes) ** 2, {(r.a, r.b): r for r in networks.cohit_network(scored(spark, str(tmp_path)), alpha=0.5).collect()}
     p = {}
     for a in genes:
         for b in genes:
