@@ -46,7 +46,7 @@ CLAIMED = rf"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\
 #: A word by itself or between the joints of an identifier; runs of letters inside keys touch digits or signs.
 WORD = r"(?<![A-Za-z0-9+/=])[A-Za-z]{3,}(?![A-Za-z0-9+/=])"
 
-#: Bounds of the training sample: documents (about so many, by a hash of their ids) whose words serve as
+#: Bounds of the training sample: documents (about so many, by a hash of ids and texts) whose words serve as
 #: identifiers, and random strings.
 SAMPLE_DOCUMENTS, SAMPLE_RANDOM, SAMPLE_SEED = 1000, 8000, "heddle"
 
@@ -70,14 +70,16 @@ def random_samples(spark: SparkSession, n: int = SAMPLE_RANDOM, seed: str = SAMP
 
 
 def identifier_samples(docs: DataFrame, id_col: str, text_col: str, n_docs: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """Ordinary words, alone and joined in pairs as identifiers are, from about ``n_docs`` documents.
+    """Ordinary words, alone and joined in pairs as identifiers are, from about ``n_docs`` different documents.
 
-    Documents are chosen by a hash of their ids, so that the share of ids below a bound makes the number. Secrets that
+    Documents are chosen by a hash of id and text, so that the share of hashes below a bound makes the number, whatever the ids
+    are; rows alike in both are one document, of which every copy is in the sample or none, and which counts once. Secrets that
     the fixed patterns report, and pieces of mixed tokens, are no ordinary words.
     """
-    share = min(1.0, n_docs / max(docs.count(), 1))
-    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    chosen = pick(docs, id=id_col, text=text_col).filter(hashed < math.ceil(share * (1 << 30)))
+    hashed = F.xxhash64("id", "text")
+    rows = pick(docs, id=id_col, text=text_col)
+    share = min(1.0, n_docs / max(rows.select(F.approx_count_distinct(hashed).alias("n")).first().n, 1))
+    chosen = rows.filter(F.pmod(hashed, F.lit(1 << 30)) < math.ceil(share * (1 << 30))).dropDuplicates(["id", "text"])
     ordinary = F.regexp_replace(F.coalesce("text", F.lit("")), CLAIMED, " ")
     words = F.regexp_extract_all(ordinary, F.lit(WORD), F.lit(0))
     pairs = chosen.select(words.alias("words")).select(
