@@ -6,8 +6,9 @@ A cell's queries are a group. From the summaries alone follows a score that the
 reach: no product of a query within s of pivot q and a row within r of pivot p is less than
 q.p - |q| r - s |p| - s r, nor more than q.p + |q| r + s |p| + s r; cells whose most is less are not searched.
 Each query first searches its home cell; its k-th best score there, if higher, is a sharper bound for that query.
-A cell's rows are sent only to groups with a query that needs the cell, and solved there. Groups of neighbouring
-cells are put together up to a block.
+Of a cell, a group gets those rows that some query of it needs, and solves there: a row d from pivot p gives a query q no more than
+q.p + |q| d, nor more than |q| times its own norm, so that each query asks for a least distance and a least norm. Groups of
+neighbouring cells are put together up to a block.
 
 Cells and groups of queries are split by hash into blocks of bounded size, so that a cell with a third of
 all rows is many blocks. Rows alike in id and vector are one row with a count.
@@ -109,13 +110,25 @@ class _Cells:
         #: By group and cell: whether the summaries leave the cell to be searched.
         self.reach = product + margin + slack >= self.floors[:, None]
 
-    def needed(self, points: np.ndarray, own: np.ndarray, floors: np.ndarray) -> np.ndarray:
-        """By query and cell: whether the query has to search the cell, its own one excepted."""
+    def _bounds(self, points: np.ndarray, own: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The group and norm of each query, and by query and cell the least bound that a row has to have, with its slack."""
         group = np.searchsorted(self.cells, own)
         norms = np.sqrt((points**2).sum(axis=1))
-        most = np.minimum(points @ self.pivots.T + norms[:, None] * self.radius, norms[:, None] * self.norm)
         slack = 0.5 + 1e-9 * norms[:, None] * (self.radius + self.norm)
-        return self.reach[group] & (most + slack >= np.fmax(floors, self.floors[group])[:, None]) & (self.cells != own[:, None])
+        return group, norms[:, None], np.fmax(floors, self.floors[group])[:, None] - slack
+
+    def needed(self, points: np.ndarray, own: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """By query and cell: whether the query has to search the cell, its own one excepted."""
+        group, norms, lowest = self._bounds(points, own, floors)
+        most = np.minimum(points @ self.pivots.T + norms * self.radius, norms * self.norm)
+        return self.reach[group] & (most >= lowest) & (self.cells != own[:, None])
+
+    def least(self, points: np.ndarray, own: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By query and cell: the least distance from the pivot and the least norm of a row that the query needs."""
+        _, norms, lowest = self._bounds(points, own, floors)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far, large = (lowest - points @ self.pivots.T) / norms, lowest / norms
+        return np.where(norms > 0, far, -np.inf), np.where(norms > 0, large, -np.inf)
 
 
 def _query_groups(summaries: list, pivots: dict[int, np.ndarray], block_rows: int) -> dict[tuple[int, int], int]:
@@ -183,11 +196,17 @@ _BLOCK = ["dim", "cell", "sub", "group"]
 _RESULT = {"query_id": "long", "qhash": "long", "vec_id": "long", "score": "long", "copies": "long"}
 
 
+def _sent(targets: DataFrame, data: DataFrame) -> DataFrame:
+    """The rows of ``data`` that the groups of ``targets`` need, with the block that each goes to."""
+    needed = targets.groupBy(*_BLOCK).agg(F.min("far").alias("far"), F.min("large").alias("large"))
+    held = data.select("id", "v", "copies", "dim", "cell", "sub", "distance", "norm").join(needed, ["dim", "cell", "sub"])
+    held = held.filter("distance >= far and norm >= large")
+    return held.select("id", "v", "copies", *(F.col(c).alias(f"to_{c}") for c in _BLOCK))  # fresh names: both sides of the cogroup come from one table
+
+
 def _solve(targets: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """Local results of queries (with the block each is to search) in ``data``, whose rows go where a group needs them."""
-    needed = targets.select(*_BLOCK).distinct()
-    sent = data.select("id", "v", "copies", "dim", "cell", "sub").join(needed, ["dim", "cell", "sub"])
-    sent = sent.select("id", "v", "copies", *(F.col(c).alias(f"to_{c}") for c in _BLOCK))  # fresh names: both sides of the cogroup come from one table
+    sent = _sent(targets, data)
 
     def solve(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
@@ -248,27 +267,32 @@ def search(
     # a query's group: that of its cell and, in a large cell, a hash
     group = F.concat_ws("-", "party", F.pmod(F.xxhash64("id", "v"), F.col("groups")))
     queries = placed.filter("is_query").select(
-        F.col("id").alias("query_id"), F.xxhash64("v").alias("qhash"), F.col("v").alias("qv"), "dim", "cell", "subs", group.alias("group")
-    )
+        F.col("id").alias("query_id"), F.xxhash64("v").alias("qhash"), F.col("v").alias("qv"), "dim", "cell", "subs", group.alias("group"),
+        F.lit(float("-inf")).alias("far"), F.lit(float("-inf")).alias("large"),
+    )
     every_sub = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
     home = written(_solve(queries.withColumn("sub", every_sub).drop("subs"), placed, k), "home")
     ranked = Window.partitionBy("query_id", "qhash").orderBy(F.desc("score"), "vec_id")
     floor = home.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") == k).select("query_id", "qhash", F.col("score").alias("floor"))
 
+    sent_columns = queries.columns
+
     def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby("dim"):
                 cells = by_dim[dim]
                 points = np.array(part["qv"].tolist(), float).reshape(-1, dim)
-                query, cell = np.nonzero(cells.needed(points, part["cell"].to_numpy(), part["floor"].to_numpy(float)))
+                own, floors = part["cell"].to_numpy(), part["floor"].to_numpy(float)
+                query, cell = np.nonzero(cells.needed(points, own, floors))
+                far, large = cells.least(points, own, floors)
                 for at in range(0, len(query), 10_000):
                     here = slice(at, at + 10_000)
                     sent = part.iloc[query[here]].assign(cell=cells.cells[cell[here]], subs=cells.subs[cell[here]])
-                    yield sent[["query_id", "qhash", "qv", "dim", "cell", "subs", "group"]]
+                    yield sent.assign(far=far[query[here], cell[here]], large=large[query[here], cell[here]])[sent_columns]
 
     others = (
         queries.join(floor, ["query_id", "qhash"], "left")
-        .select("query_id", "qhash", "qv", "dim", "cell", "subs", "group", F.col("floor").cast("double").alias("floor"))
+        .select("query_id", "qhash", "qv", "dim", "cell", "subs", "group", "far", "large", F.col("floor").cast("double").alias("floor"))
         .mapInPandas(needed, queries.schema)
         .withColumn("sub", every_sub)
         .drop("subs")
