@@ -92,6 +92,20 @@ def test_url_filter(spark, monkeypatch, shapes, broadcast):
     assert url_filter.filter_urls(df.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 2])
+def test_url_filter_of_long_urls_with_many_shapes(spark, monkeypatch, broadcast):
+    """More than 500 shapes, a rule of 3,000 characters, URLs of 100,000 characters in host or path."""
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
+    path = "/" + "abc/" * 30_000
+    rules = [("example.com", path[:n], "block" if n % 2 else "allow") for n in range(1, 600)] + [("example.com", path[:3000], "allow"), ("a.a", "", "block"), ("b", "/x", "block"), ("x.y." * 50 + "org", "/", "block")]
+    rows = [
+        (1, "http://example.com" + path[:100_000]), (2, "http://www.EXAMPLE.com" + path[:2500]), (3, "http://" + "a." * 50_000 + "a/abc"), (4, "http://" + "a." * 50_000 + "b/x" + "y" * 100_000),
+        (5, "http://" + "h" * 100_000 + ".b/x"), (6, "http://" + "x.y." * 50 + "org/z"), (7, "http://" + "b" * 100_000), (8, "http://" + "." * 100_000), (None, None), (None, "http://example.com/a"), (9, ""),
+    ]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, url_filter.RULES_SCHEMA))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((i, *brute_verdict(u, rules)) for i, u in rows), key=repr)
+
+
 def brute_search(rows, k):
     ok = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
@@ -195,5 +209,27 @@ def test_summaries_of_clusters_exclude_cells():
         assert found <= set(np.flatnonzero(needed[q])) | {near[q]}
 
 
+def test_of_a_cell_only_the_rows_that_a_group_needs_are_sent(spark, monkeypatch):
+    """A shell of rows far out and many near the origin, in few cells: near ones cannot be among the best of any query."""
+    r = np.random.default_rng(6)
+    way = r.normal(size=(1200, 6))
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    rows = [(i, (way[i] * (40 if i % 4 == 0 else 4 * r.random())).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counted, found = [], topk_search._sent
+
+    def spy(targets, data):
+        sent = found(targets, data)
+        whole = data.join(targets.select("dim", "cell", "sub", "group").distinct(), ["dim", "cell", "sub"]).count()
+        counted.append((sent.count(), whole))
+        return sent
+
+    monkeypatch.setattr(topk_search, "_sent", spy)
+    got = topk_search.search(df, lambda i: i % 4 == 0, k=5, n_pivots=3)
+    assert {tuple(x) for x in got.collect()} == brute_search(rows, 5)
+    (home, all_home), (sent, whole) = counted
+    assert home == all_home and 0 < sent < 0.5 * whole
+
+
 def test_pivots_grow_with_the_rows():
     assert [topk_search.choose_pivots(n) for n in (0, 10_000, 1_000_000, 10**12)] == [32, 32, 125, 1024]

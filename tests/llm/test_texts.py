@@ -556,6 +556,14 @@ def test_secrets_are_no_ordinary_words(spark):
     assert not any(w in found for w in ("abcdef", "qwerty", "deadbeef", "zq", "xw", "kp"))
 
 
+@pytest.mark.parametrize("ids", ["null", "equal", "different"])
+def test_sample_of_documents_is_bounded_whatever_the_ids(spark, ids):
+    rows = [({"null": None, "equal": 7, "different": i}[ids], f"words only here n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(2000)]
+    df = spark.createDataFrame(rows + [(1, "copies of one text")] * 3000, "doc_id long, text string")
+    sample = secret_scan.identifier_samples(df, "doc_id", "text", 200)
+    assert 4 * 100 <= sample.count() <= 4 * 400  # four words a document
+
+
 def test_secret_model_on_held_out_samples(spark, docs):
     from pyspark.sql import functions as F
 
