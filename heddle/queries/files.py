@@ -19,18 +19,19 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 @query("""SELECT 1 AS version_id, l_suppkey AS screen_id, CASE WHEN l_partkey % 97 != 5 THEN l_partkey END AS identifier_id, p_name AS gene_symbol, l_returnflag = 'R' AS hit_flag, CASE WHEN l_linenumber != 7 THEN l_extendedprice END AS score_1,
-l_discount AS score_2, CAST(l_orderkey * 10 + l_linenumber AS DOUBLE) AS score_3 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 50 != 7""")
+l_discount AS score_2, CAST(l_orderkey * 10 + l_linenumber AS DOUBLE) AS score_3, row_number FROM (SELECT *, 1 + row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_number FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE l_suppkey % 50 != 7""")
 def deposited_screens(spark, d):
     joined = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    text = joined.select(
+    in_files = joined.withColumn("file", F.col("l_suppkey") % 7).repartition(7, "file").sortWithinPartitions("file", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    text = in_files.select(
         F.when(F.col("l_suppkey") % 50 != 7, F.col("l_suppkey").cast("string")), F.when(F.col("l_partkey") % 97 == 5, "-").otherwise(F.col("l_partkey").cast("string")), "p_name",
         F.when(F.col("l_linenumber") == 7, "-").otherwise(F.col("l_extendedprice").cast("string")), F.col("l_discount").cast("string"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), F.when(F.col("l_returnflag") == "R", "yes").otherwise("NO"),
-    ).toDF("SCREEN_ID", "IDENTIFIER_ID", "Official_Symbol", "SCORE.1", "SCORE.2", "SCORE.3", "HIT")
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), F.when(F.col("l_returnflag") == "R", "yes").otherwise("NO"), "file",
+    ).toDF("SCREEN_ID", "IDENTIFIER_ID", "Official_Symbol", "SCORE.1", "SCORE.2", "SCORE.3", "HIT", "file")
     path = _folder(spark, "SCREEN_12")
-    text.write.csv(path, sep="\t", header=True, quote="", nullValue="", emptyValue="")
+    text.write.partitionBy("file").csv(path, sep="\t", header=True, quote="", nullValue="", emptyValue="")
     staged = screens.staged(screens.read_tab_files(spark, path), 1)
-    return staged.select("version_id", "screen_id", "identifier_id", "gene_symbol", "hit_flag", "score_1", "score_2", "score_3")
+    return staged.select("version_id", "screen_id", "identifier_id", "gene_symbol", "hit_flag", "score_1", "score_2", "score_3", "row_number")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS screen_id, s_name AS notes, CAST(s_nationkey AS VARCHAR) AS source FROM supplier")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 SCORES = [f"SCORE.{i}" for i in range(1, 6)]
+REQUIRED = ["SCREEN_ID", "OFFICIAL_SYMBOL", "HIT"]
 SCREEN_COLUMNS = ["SCREEN_ID", "IDENTIFIER_ID", "IDENTIFIER_TYPE", "OFFICIAL_SYMBOL", "ALIASES", "ORGANISM_ID", "ORGANISM_OFFICIAL", *SCORES, "HIT", "SOURCE"]
 
 
@@ -25,21 +31,73 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(F.col("fields")["SCREEN_ID"], F.col("key")).alias("screen_id"), "key", "fields")
 
 
+_HEADER = r"(?i)^#+\s*SCREEN_ID\t|^SCREEN_ID\t"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their numbers, from 1, within their split of a file; a task reads its splits one after the other, in order."""
+    last, reached = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = pa.array(np.arange(batch.num_rows))
+        files, blocks = batch.column("file").dictionary_encode(), batch.column("block").to_numpy()
+        codes = files.indices.to_numpy()
+        new = np.append(True, (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1]))
+        starts = np.flatnonzero(new)
+        number = ids.to_numpy() - np.repeat(starts, np.diff(np.append(starts, batch.num_rows))) + 1
+        first = (files.dictionary[int(codes[0])].as_py(), int(blocks[0]))
+        if first == last:
+            number[: starts[1] if len(starts) > 1 else None] += reached
+        last, reached = (files.dictionary[int(codes[-1])].as_py(), int(blocks[-1])), int(number[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], [*batch.schema.names, "number"])
+
+
+def _split_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of all files that are not empty (file, block, value, number in the block); and a row per split of a file: file, block,
+    before (lines in the splits before it) and names (the header's, null without one)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").filter("value != ''")
+    lines = lines.mapInArrow(_numbered, "file string, block long, value string, number long")
+    head = F.max(F.when((F.col("block") == 0) & (F.col("number") == 1), F.col("value")))
+    splits = lines.groupBy("file", "block").agg(F.max("number").alias("n"), head.alias("head"))
+    of_file = Window.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    header = F.first("head").over(of_file)
+    names = F.transform(F.split(F.regexp_replace("header", r"^#+\s*", ""), "\t"), lambda c: F.upper(F.trim(c)))
+    splits = splits.select("file", "block", before.alias("before"), header.alias("header"))
+    return lines, splits.select("file", "block", "before", F.when(F.rlike("header", F.lit(_HEADER)), names).alias("names"))
+
+
+def _missing(names: str = "names"):
+    return F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), F.coalesce(names, F.array().cast("array<string>")))
+
+
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files below ``path`` that ``read_tab_files`` leaves out (screen_file), and why (reason)."""
+    splits = _split_lines(spark, path)[1].filter("block = 0")
+    reason = F.when(F.col("names").isNull(), F.lit("no header")).otherwise(F.concat(F.lit("header without "), F.array_join(_missing(), ", ")))
+    return splits.filter(F.size(_missing()) > 0).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("screen_file"), reason.alias("reason"))
+
+
 def read_tab_files(spark: SparkSession, path: str) -> DataFrame:
-    """All tab-separated screen files below ``path`` in one scan: screen_file, and one text column per header name.
+    """All tab-separated screen files below ``path``: file_screen_id, screen_file, row_number, and one text column per header name.
+
+    Files may differ in their columns, so that each is read by its own header, its first line that is not empty; the last of two columns of
+    one name counts. A leading ``#`` of the header is dropped, names are matched without regard to case; files whose header lacks an id,
+    symbol or hit column are left out (``rejected_files`` names them). row_number counts the lines of a file that are not empty, the header as 1.
 
-    Files may differ in their columns, so that each is read by its own header: lines carry their file, and the
-    header of a file is joined to its lines (a file has one). A leading ``#`` of the header is dropped, names are
-    matched without regard to case; files that lack an id, symbol or hit column are left out.
+    A file may be read in many splits: lines are numbered within their split, and a row per split tells how many come before it and
+    at which places the wanted columns are. Lines meet it by file and split, so that no file is one task.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    is_header = F.rlike("value", F.lit(r"(?i)^#+\s*SCREEN_ID\t|^SCREEN_ID\t"))
-    headers = lines.filter(is_header).select("file", F.transform(F.split(F.regexp_replace("value", r"^#+\s*", ""), "\t"), lambda c: F.upper(F.trim(c))).alias("names"))
-    usable = headers.filter(F.array_contains("names", "SCREEN_ID") & F.array_contains("names", "OFFICIAL_SYMBOL") & F.array_contains("names", "HIT"))
-    cells = lines.filter(~is_header & (F.trim("value") != "")).withColumn("cells", F.split("value", "\t", -1)).join(usable.dropDuplicates(["file"]), "file")
-    record = F.map_from_entries(F.arrays_zip("names", F.slice("cells", F.lit(1), F.size("names"))))
-    wanted = [F.trim(F.col("record")[c]).alias(c.lower().replace(".", "_")) for c in SCREEN_COLUMNS]
-    return cells.select("file", record.alias("record")).select(F.regexp_extract("file", r"SCREEN_(\d+)", 1).alias("file_screen_id"), F.regexp_extract("file", r"([^/]+)$", 1).alias("screen_file"), *wanted)
+    lines, splits = _split_lines(spark, path)
+    last = lambda c: F.when(F.array_contains("names", c), F.size("names") - F.array_position(F.reverse("names"), c)).cast("int")
+    places = splits.filter(F.size(_missing()) == 0).select("file", "block", "before", F.array(*[last(c) for c in SCREEN_COLUMNS]).alias("places"))
+    cells = lines.filter(~F.rlike("value", F.lit(_HEADER)) & (F.trim("value") != "")).withColumn("cells", F.split("value", "\t", -1)).join(places, ["file", "block"])
+    wanted = [F.trim(F.get("cells", F.get("places", F.lit(k)))).alias(c.lower().replace(".", "_")) for k, c in enumerate(SCREEN_COLUMNS)]
+    return cells.select(
+        F.regexp_extract("file", r"SCREEN_(\d+)", 1).alias("file_screen_id"), F.regexp_extract("file", r"([^/]+)$", 1).alias("screen_file"),
+        (F.col("before") + F.col("number")).alias("row_number"), *wanted,
+    )
 
 
 def staged(rows: DataFrame, version_id: int) -> DataFrame:
@@ -47,7 +105,7 @@ def staged(rows: DataFrame, version_id: int) -> DataFrame:
     number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
     return rows.filter("screen_id is not null and screen_id != ''").select(
         F.lit(version_id).alias("version_id"), F.col("screen_id").try_cast("long").alias("screen_id"), F.col("identifier_id").try_cast("long").alias("identifier_id"),
-        F.col("official_symbol").alias("gene_symbol"), (F.upper("hit") == "YES").alias("hit_flag"), *[number(f"score_{i}").alias(f"score_{i}") for i in range(1, 6)], "screen_file",
+        F.col("official_symbol").alias("gene_symbol"), (F.upper("hit") == "YES").alias("hit_flag"), *[number(f"score_{i}").alias(f"score_{i}") for i in range(1, 6)], "screen_file", "row_number",
     )
 
 

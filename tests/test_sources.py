@@ -22,6 +22,41 @@ def test_screen_files(spark, tmp_path):
     assert {r.file_screen_id for r in rows.collect()} == {"381", "9"}
 
 
+def test_faults_of_files_are_their_own(spark, tmp_path):
+    """A name twice, no header, a header without a needed column, an empty file: each is judged alone, the others load."""
+    files = {
+        "SCREEN_1.txt": "#SCREEN_ID\tOFFICIAL_SYMBOL\tHIT\tNOTE\tNOTE\n1\tA\tYES\tx\ty\n",
+        "SCREEN_2.txt": "SCREEN_ID\tOFFICIAL_SYMBOL\tSCORE.1\tSCORE.1\tHIT\n2\tB\t1\t2\tYES\n2\tC\n",
+        "SCREEN_3.txt": "3\tC\tYES\n3\tD\tNO\n", "SCREEN_4.txt": "SCREEN_ID\tSCORE.1\n4\t1\n", "SCREEN_5.txt": "",
+        "SCREEN_6.txt": "\n\nSCREEN_ID\tOFFICIAL_SYMBOL\tHIT\n\n6\tE\tNO\n   \n\tF\tNO\n6\tG\tyes\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    staged = screens.staged(screens.read_tab_files(spark, str(tmp_path)), 1).collect()
+    assert {(r.screen_id, r.gene_symbol, r.hit_flag, r.score_1, r.row_number) for r in staged} == {(1, "A", True, None, 2), (2, "B", True, 2.0, 2), (2, "C", None, None, 3), (6, "E", False, None, 2), (6, "G", True, None, 5)}
+    rejected = {r.screen_file: r.reason for r in screens.rejected_files(spark, str(tmp_path)).collect()}
+    assert rejected == {"SCREEN_3.txt": "no header", "SCREEN_4.txt": "header without OFFICIAL_SYMBOL, HIT"}
+
+
+@pytest.mark.parametrize("bytes_", [200, 1 << 20])
+def test_row_numbers_over_splits(spark, tmp_path, bytes_):
+    sizes = {1: 400, 2: 3, 3: 90}
+    for s, n in sizes.items():
+        lines = ["#SCREEN_ID\tOFFICIAL_SYMBOL\tSCORE.1\tHIT"] + [f"{s}\tG{k}\t{k}\tNO" + ("\n" if k % 10 == 3 else "") for k in range(n)]
+        (tmp_path / f"SCREEN_{s}.txt").write_text("\n".join(lines))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = screens.read_tab_files(spark, str(tmp_path)).collect()
+        tasks = screens.read_tab_files(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(int(r.screen_id), int(r.score_1), r.row_number) for r in rows} == {(s, k, k + 2) for s, n in sizes.items() for k in range(n)}
+    assert tasks > 1 or bytes_ > 200
+
+
 def test_metadata(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"1": [{"SCREEN_ID": "1", "MOI": "0.3"}], "2": {"SCREEN_ID": "2", "NOTES": "n"}, "3": [], "4": [{"MOI": "1"}]}))
     got = {r.screen_id: r.fields for r in screens.read_metadata(spark, str(tmp_path)).collect()}
