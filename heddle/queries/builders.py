@@ -67,11 +67,11 @@ def literature_links(spark, d):
 
 @query("""WITH v AS (SELECT l_partkey AS gene, l_suppkey AS m, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL), mu AS (SELECT gene, avg(v) AS mu FROM v GROUP BY 1), c AS (SELECT v.gene, m, v.v - mu.mu AS x FROM v JOIN mu ON mu.gene = v.gene),
 nn AS (SELECT gene, sum(x * x) AS q FROM c GROUP BY 1 HAVING sum(x * x) > 1e-12), dd AS (SELECT p.gene AS a, q.gene AS b, sum(p.x * q.x) AS dot FROM c p JOIN c q ON p.m = q.m AND p.gene != q.gene GROUP BY ALL),
-rr AS (SELECT a, b, dot / sqrt(x.q * y.q) AS r FROM dd JOIN nn x ON x.gene = a JOIN nn y ON y.gene = b WHERE a % 2 = 0)
+rr AS (SELECT a, b, dot / sqrt(x.q * y.q) AS r FROM dd JOIN nn x ON x.gene = a JOIN nn y ON y.gene = b WHERE a IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'))
 SELECT a AS gene, b AS neighbour, round(r, 6) AS r FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(r, 9) DESC, b) AS rn FROM rr WHERE r >= 0.1) WHERE rn <= 30""")
 def model_neighbours(spark, d):
     values = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("model")).agg(F.max("l_extendedprice").alias("value"))
-    known = _genes(spark, d).filter("gene_id % 2 = 0")
+    known = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("gene_id"))
     return builders.model_neighbours(values, known).withColumn("r", r6("r"))
 
 

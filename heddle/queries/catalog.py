@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions import fixed_values as V
 from heddle.functions import rules, scores
 from heddle.functions.stats import correlation_p, hypergeom_sf
 from heddle.operators import graph, pairwise, upsert, windows
@@ -154,23 +155,34 @@ def dim_gene(spark, d):
     return _warehouse(spark, d)["dim_gene"].withColumn("avg_hit_percentage", r6("avg_hit_percentage"))
 
 
-CONTROL = "(VALUES (1, 'human', true), (2, 'human', false), (3, 'human', false), (4, 'mouse', true), (5, 'mouse', false)) v(version_id, organism, is_current)"
+CONTROL = """versions AS (SELECT n_nationkey AS version_id, r_name AS organism, n_nationkey = min(n_nationkey) OVER (PARTITION BY r_name) AS is_current FROM nation JOIN region ON n_regionkey = r_regionkey),
+done AS (SELECT DISTINCT s_nationkey AS version_id FROM supplier WHERE s_acctbal >= 0 AND s_nationkey != 13)"""
 
 
-def _control(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    rows = [(1, "human", True), (2, "human", False), (3, "human", False), (4, "mouse", True), (5, "mouse", False)]
-    runs = [(10, 1, "completed"), (11, 2, "completed"), (12, 3, "failed"), (13, 4, "completed")]
-    return spark.createDataFrame(rows, "version_id int, organism string, is_current boolean"), spark.createDataFrame(runs, "run_id int, version_id int, status string")
+def _promoted(version: int) -> str:
+    """SQL of the control table after a promotion."""
+    of = f"(SELECT organism FROM versions WHERE version_id = {version} AND version_id IN (FROM done))"
+    return f"SELECT version_id, organism, CASE WHEN coalesce(organism = {of}, false) THEN version_id = {version} ELSE is_current END AS is_current FROM versions"
 
 
-@query(f"SELECT version_id, organism, CASE WHEN organism = 'human' THEN version_id = 2 ELSE is_current END AS is_current FROM {CONTROL}")
+def _control(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as versions of their region, the first of each current; suppliers as runs of their nation's version."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    named = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("version_id"), F.col("r_name").alias("organism"))
+    first = named.groupBy("organism").agg(F.min("version_id").alias("first"))
+    versions = named.join(first, "organism").select("version_id", "organism", (F.col("version_id") == F.col("first")).alias("is_current"))
+    status = F.when((F.col("s_acctbal") >= 0) & (F.col("s_nationkey") != 13), "completed").otherwise("failed")
+    return versions, table(spark, d, "supplier").select(F.col("s_suppkey").alias("run_id"), F.col("s_nationkey").alias("version_id"), status.alias("status"))
+
+
+@query(f"WITH {CONTROL} {_promoted(12)}")
 def promote_version(spark, d):
-    return warehouse.promote(*_control(spark), 2)
+    return warehouse.promote(*_control(spark, d), 12)
 
 
-@query(f"SELECT version_id, organism, is_current FROM {CONTROL}")
+@query(f"WITH {CONTROL} {_promoted(13)}")
 def promote_without_run(spark, d):
-    return warehouse.promote(*_control(spark), 5)
+    return warehouse.promote(*_control(spark, d), 13)
 
 
 @query("SELECT table_name, CAST(v AS INTEGER) AS version_id, n AS rows_removed FROM (SELECT 'orders' AS table_name, o_custkey % 5 AS v, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'customer', c_custkey % 5, count(*) FROM customer GROUP BY ALL) WHERE v IN (1, 3)")
@@ -188,11 +200,10 @@ def storage_estimate(spark, d):
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 != 0), n AS (SELECT o_orderkey AS k, -o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0),
-m AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)) SELECT count(*) AS n, round(sum(v), 2) AS total FROM m""")
+m AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)) SELECT k, v FROM m""")
 def upsert_rows(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    merged = upsert.upsert(o.filter("k % 3 != 0"), o.filter("k % 2 = 0").withColumn("v", -F.col("v")), ["k"])
-    return merged.agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    return upsert.upsert(o.filter("k % 3 != 0"), o.filter("k % 2 = 0").withColumn("v", -F.col("v")), ["k"])
 
 
 @query("""WITH old AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0), fresh AS (SELECT o_custkey AS k, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
@@ -315,13 +326,19 @@ def _by_organism(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).join(F.broadcast(screens(spark, d).select("screen_id", "organism", "domain", "coverage", "condition", "pmid", "cell_line")), "screen_id")
 
 
+#: The two-sided p-value of a correlation r over n, by the finite series of Student's t with n - 2 degrees of freedom.
+P_OF_R = """greatest(0, 1 - CASE WHEN {n} % 2 = 0
+  THEN abs({r}) * list_sum(list_transform(range(CAST(({n} - 2) / 2 AS BIGINT)), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2)) * (1 - {r} ** 2) ** j))
+  ELSE 2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum(list_transform(range(CAST(({n} - 3) / 2 AS BIGINT)), lambda j: exp(2 * j * ln(2) + 2 * lgamma(j + 1) - lgamma(2 * j + 2)) * (1 - {r} ** 2) ** (j + 0.5))), 0)) END)"""
+
+
 @query(f"""WITH {PAIRS}, size AS (SELECT screen_id, count(*) AS k FROM u GROUP BY 1)
-SELECT organism, a, b, n, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) AS rho, round(n / least(p.k, q.k), 6) AS overlap_fraction,
+SELECT organism, a, b, n, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) AS rho, round(n / least(p.k, q.k), 6) AS overlap_fraction, round({P_OF_R.format(r='((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))', n='n')}, 6) AS p,
   CASE WHEN tn >= 20 THEN round((tn * txy - tx * ty) / sqrt((tn * txx - tx * tx) * (tn * tyy - ty * ty)), 6) END AS tail_rho
 FROM m JOIN size p ON p.screen_id = a JOIN size q ON q.screen_id = b WHERE n >= 100 AND abs((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))) >= 0.1""")
 def screen_correlations(spark, d):
     found = pairwise.item_correlations(_by_organism(spark, d), "screen_id", "gene", "percentile", ["organism"], min_overlap=100, min_rho=0.1)
-    return found.select("organism", "a", "b", "n", r6("rho").alias("rho"), r6("overlap_fraction").alias("overlap_fraction"), r6("tail_rho").alias("tail_rho"))
+    return found.select("organism", "a", "b", "n", r6("rho").alias("rho"), r6("overlap_fraction").alias("overlap_fraction"), r6("p").alias("p"), r6("tail_rho").alias("tail_rho"))
 
 
 @query(f"""WITH {SCORED}, few AS (SELECT * FROM scored)
@@ -778,14 +795,19 @@ def _literal(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', {_literal(a)}, {_literal(b)})" for name, (_, cases) in CASES.items() for a, b in cases) + ") v(rule, given, found)")
+def _listed(values: list) -> str:
+    return "[" + ", ".join(_literal(v) for v in values) + "]"
+
+
+@query("SELECT p_partkey, rule, given[p_partkey % len(given) + 1] AS given, found[p_partkey % len(found) + 1] AS found FROM part, (VALUES " + ", ".join(f"('{name}', {_listed([a for a, _ in cases])}, {_listed([b for _, b in cases])})" for name, (_, cases) in CASES.items()) + ") v(rule, given, found)")
 def rule_cases(spark, d):
-    whole = None
+    """Each part carries one of a rule's texts, for every rule."""
+    part = table(spark, d, "part").select("p_partkey")
+    judged = []
     for name, (rule, cases) in CASES.items():
-        rows = spark.createDataFrame([(a,) for a, _ in cases], "given string")
-        part = rows.select(F.lit(name).alias("rule"), "given", rule(F.col("given")).alias("found"))
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
+        text = F.get(F.array(*[F.lit(a).cast("string") for a, _ in cases]), (F.col("p_partkey") % len(cases)).cast("int"))
+        judged.append(F.struct(F.lit(name).alias("rule"), text.alias("given"), rule(text).cast("string").alias("found")))
+    return part.select("p_partkey", F.explode(F.array(*judged)).alias("j")).select("p_partkey", "j.rule", "j.given", "j.found")
 
 
 # ---- documents of events
@@ -903,55 +925,72 @@ def gene_bundles(spark, d):
     return found.select("gene_id", "symbol", size("aliases").cast("long").alias("n_aliases"), "n_hits", F.coalesce(size("phenotypes"), F.lit(0)).cast("long").alias("n_phenotypes"), F.coalesce(size("terms"), F.lit(0)).alias("n_terms"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'verified', 'high', 2), (2, 'rejected:not-novel', 'high', 2), (3, 'single-supporter', 'moderate', 1), (4, 'verified', 'moderate', 1), (5, 'rejected:no-verifiable-support', 'low', 0), (6, 'verified', 'low', 2)) v(id, verdict, confidence, n_support)""")
+@query("""SELECT p_partkey AS gene, id, verdict, confidence, n_support FROM part, (VALUES (1, 'verified', 'high', 2), (2, 'rejected:not-novel', 'high', 2), (3, 'single-supporter', 'moderate', 1), (4, 'verified', 'moderate', 1), (5, 'rejected:no-verifiable-support', 'low', 0), (6, 'verified', 'low', 2)) v(id, verdict, confidence, n_support) WHERE p_partkey % 7 != 6 OR id != 2
+UNION ALL SELECT p_partkey, 2, 'verified', 'high', 2 FROM part WHERE p_partkey % 7 = 6""")
 def prediction_verdicts(spark, d):
-    dossier = spark.createDataFrame(
-        [(1, "a", 0.9, 1, 1, ["t"]), (1, "b", 0.8, 1, 2, ["t"]), (1, "c", 0.7, 0, 3, ["t"]), (1, "x", 0.6, 0, 4, ["t"]), (1, "y", 0.5, 0, 4, ["t"]), (1, "z", 0.5, 0, 4, [])],
-        "gene int, partner string, strength double, reciprocal int, tier int, terms array<string>",
-    ).withColumn("pathways", F.array().cast("array<string>"))
-    cases = [(1, 1, "new one", ["a", "b", "q"]), (1, 2, " Known ", ["a", "b"]), (1, 3, "three", ["c", "c"]), (1, 4, "four", ["a", "z"]), (1, 5, "five", ["z"]), (1, 6, "six", ["x", "y"]), (1, 7, " ", ["a"])]
-    predictions = spark.createDataFrame(cases, "gene int, id int, name string, cited array<string>")
-    own = spark.createDataFrame([(1, "known")], "gene int, name string")
-    return details.weigh_predictions(predictions, dossier, own).select("id", "verdict", "confidence", F.col("n_support").cast("int").alias("n_support"))
-
-
-# ---- uploads, on files whose answers are written down
-
-UPLOADS = {
-    "counts": "id\tnum\tneg|score\tneg|lfc\n" + "".join(f"G{i}\t4\t0.{i}\t-{i}.5\n" for i in range(1, 8)),
-    "ranked": "Gene,q-value,p-value,LFC,Rank\n" + "".join(f"G{i},0.1,0.2,{i - 3},{i}\n" for i in range(6)),
-    "contrast": "gene\tbaseMean\tlog2FoldChange\tlfcSE\tpadj\n" + "".join(f"G{i}\t9\t{i}\t1\tNA\n" for i in range(1, 6)),
-    "deposited": "#SCREEN_ID\tOFFICIAL_SYMBOL\tSCORE.1\tHIT\n# note\n" + "".join(f"1\tG{i}\t{'-' if i == 4 else i - 2}\tYES\n" for i in range(5)),
-    "plain": "gene_symbol,score\n" + "".join(f"'ATG{i}',-{i}.25\n" for i in range(1, 6)) + ",1\n",
-    "short": "gene,score\nA,1\nB,2\n",
-}
+    """Each part is a gene with six partners and six predictions; every seventh knows no term yet."""
+    gene = table(spark, d, "part").select(F.col("p_partkey").alias("gene"))
 
+    def listed(rows: list[tuple], schema: str) -> DataFrame:
+        kind = f"array<struct<{schema}>>"
+        names = [c.split(":")[0] for c in schema.split(",")]
+        cells = [F.struct(*[(F.array(*[F.lit(y) for y in x]) if isinstance(x, list) and x else F.array() if isinstance(x, list) else F.lit(x)).alias(n) for n, x in zip(names, row)]) for row in rows]
+        return gene.select("gene", F.explode(F.array(*[c.cast(kind[6:-1]) for c in cells])).alias("r")).select("gene", "r.*")
 
-def _uploads(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(UPLOADS.items()), "file string, text string")
+    partners = [("a", 0.9, 1, 1, ["t"]), ("b", 0.8, 1, 2, ["t"]), ("c", 0.7, 0, 3, ["t"]), ("x", 0.6, 0, 4, ["t"]), ("y", 0.5, 0, 4, ["t"]), ("z", 0.5, 0, 4, [])]
+    dossier = listed(partners, "partner:string,strength:double,reciprocal:int,tier:int,terms:array<string>").withColumn("pathways", F.array().cast("array<string>"))
+    cases = [(1, "new one", ["a", "b", "q"]), (2, " Known ", ["a", "b"]), (3, "three", ["c", "c"]), (4, "four", ["a", "z"]), (5, "five", ["z"]), (6, "six", ["x", "y"]), (7, " ", ["a"])]
+    predictions = listed(cases, "id:int,name:string,cited:array<string>")
+    own = gene.filter("gene % 7 != 6").select("gene", F.lit("known").alias("name"))
+    return details.weigh_predictions(predictions, dossier, own).select("gene", "id", "verdict", "confidence", F.col("n_support").cast("int").alias("n_support"))
 
 
-@query("""SELECT * FROM (VALUES ('counts', 'MAGECK', 'id', 'neg|lfc', 0.95), ('ranked', 'STARS', 'Gene', 'LFC', 0.95), ('contrast', 'DESEQ2', 'gene', 'log2FoldChange', 0.95),
-('deposited', 'ORCS', 'OFFICIAL_SYMBOL', 'SCORE.1', 0.95), ('plain', 'SIMPLE', 'gene_symbol', 'score', 0.95), ('short', 'SIMPLE', 'gene', 'score', 0.95)) v(file, format, id_column, score_column, c), LATERAL (SELECT CAST(c AS DOUBLE) AS confidence)""".replace("SELECT * FROM", "SELECT file, format, id_column, score_column, confidence FROM"))
+# ---- uploads: each supplier's line items as a file of one of four formats
+
+UPLOAD_HEADERS = ["id\tnum\tneg|score\tneg|lfc", "Gene,q-value,p-value,LFC,Rank", "gene\tbaseMean\tlog2FoldChange\tlfcSE\tpadj", "gene_symbol,score"]
+UPLOAD_FORMATS = [("MAGECK", "id", "neg|lfc"), ("STARS", "Gene", "LFC"), ("DESEQ2", "gene", "log2FoldChange"), ("SIMPLE", "gene_symbol", "score")]
+#: A screen's scores lean one way or the other, by its key; some rows have no identifier, some no score.
+UPLOADED = """up AS (SELECT l_suppkey AS file, l_linenumber = 7 AS nameless, l_quantity = 10 AS scoreless, CASE WHEN l_quantity = 10 THEN 0 ELSE l_quantity - 60 * (l_suppkey % 3) / 2 END AS score FROM lineitem),
+counted AS (SELECT file, count(*) FILTER (NOT nameless) AS n_genes, count(*) FILTER (nameless) AS n_skipped, count(*) FILTER (NOT nameless AND scoreless) AS n_without_score,
+  count(*) FILTER (NOT nameless AND score < 0) AS neg, count(*) FILTER (NOT nameless AND score > 0) AS pos FROM up GROUP BY file)"""
+
+
+def _uploads(spark: SparkSession, d: str) -> DataFrame:
+    kind = (F.col("l_suppkey") % 4).cast("int")
+    symbol = F.when(F.col("l_linenumber") == 7, '""').otherwise(F.concat(F.lit("G"), F.col("l_partkey").cast("string")))
+    value = F.when(F.col("l_quantity") == 10, "").otherwise((F.col("l_quantity") - 60 * (F.col("l_suppkey") % 3) / 2).cast("decimal(12,2)").cast("string"))
+    lines = [F.concat_ws("\t", symbol, F.lit("4"), F.lit("0.1"), value), F.concat_ws(",", symbol, F.lit("0.1"), F.lit("0.2"), value, F.lit("1")), F.concat_ws("\t", symbol, F.lit("9"), value, F.lit("1"), F.lit("NA")), F.concat_ws(",", symbol, value)]
+    line = F.get(F.array(*lines), kind)
+    header = F.get(F.array(*[F.lit(h) for h in UPLOAD_HEADERS]), (F.col("file") % 4).cast("int"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), line.alias("line"))
+    return rows.groupBy("file").agg(F.collect_list("line").alias("lines")).select("file", F.concat(header, F.lit("\n"), F.array_join("lines", "\n")).alias("text"))
+
+
+@query("WITH formats AS (SELECT unnest(range(4)) AS k, unnest([" + ", ".join(f"'{f}'" for f, _, _ in UPLOAD_FORMATS) + "]) AS format, unnest([" + ", ".join(f"'{c}'" for _, c, _ in UPLOAD_FORMATS) + "]) AS id_column, unnest([" + ", ".join(f"'{c}'" for _, _, c in UPLOAD_FORMATS) + "]) AS score_column) SELECT file, format, id_column, score_column, CAST(0.95 AS DOUBLE) AS confidence FROM (SELECT DISTINCT l_suppkey AS file FROM lineitem) JOIN formats ON k = file % 4")
 def upload_formats(spark, d):
-    return upload.detect(_uploads(spark)).select("file", *[F.col(f"found.{c}").alias(c) for c in ("format", "id_column", "score_column", "confidence")])
+    return upload.detect(_uploads(spark, d)).select("file", *[F.col(f"found.{c}").alias(c) for c in ("format", "id_column", "score_column", "confidence")])
 
 
-@query("""SELECT file, n_genes, hit_count, coverage, direction FROM (VALUES ('counts', 7, -1, 'FULL', 'depletion'), ('ranked', 6, -1, 'FULL', 'bidirectional'), ('contrast', 5, -1, 'FULL', 'enrichment'),
-('deposited', 5, 5, 'HITS_ONLY', 'bidirectional'), ('plain', 5, -1, 'FULL', 'depletion')) v(file, n_genes, hit_count, coverage, direction)""")
+@query(f"""WITH {UPLOADED} SELECT file, n_genes, -1 AS hit_count, 'FULL' AS coverage,
+  CASE WHEN least(neg, pos) > 0 AND least(neg, pos) / n_genes > 0.15 THEN 'bidirectional' WHEN neg > pos THEN 'depletion' WHEN pos > neg THEN 'enrichment' END AS direction FROM counted WHERE n_genes >= {V.MIN_UPLOAD_GENES}""")
 def upload_signals(spark, d):
-    return upload.signals(upload.parse_genes(_uploads(spark))[0]).withColumn("hit_count", F.coalesce("hit_count", F.lit(-1)))
+    return upload.signals(upload.parse_genes(_uploads(spark, d))[0]).withColumn("hit_count", F.coalesce("hit_count", F.lit(-1)))
 
 
-@query("""SELECT file, n_genes, n_skipped, n_without_score, accepted FROM (VALUES ('counts', 7, 0, 0, true), ('ranked', 6, 0, 0, true), ('contrast', 5, 0, 0, true), ('deposited', 5, 0, 0, true), ('plain', 5, 1, 0, true), ('short', 2, 0, 0, false)) v(file, n_genes, n_skipped, n_without_score, accepted)""")
+@query(f"WITH {UPLOADED} SELECT file, n_genes, n_skipped, n_without_score, n_genes >= {V.MIN_UPLOAD_GENES} AS accepted FROM counted")
 def upload_reports(spark, d):
-    return upload.parse_genes(_uploads(spark))[1].drop("warnings")
+    return upload.parse_genes(_uploads(spark, d))[1].drop("warnings")
 
 
-@query("""SELECT symbol, resolved, mapped FROM (VALUES ('9474', 'ATG5', true), ('1', '1', false), ('ENSG00000057663.12', 'ATG5', true), ('Irgm1', 'IRGM', true), ('Abc', 'ABC', false)) v(symbol, resolved, mapped)""")
+@query("""WITH g AS (SELECT p_partkey AS k, p_size > 10 AS known, CASE p_partkey % 3 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'ENSG' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') || '.' || p_size ELSE 'Gene' || p_partkey END AS symbol FROM part)
+SELECT symbol, CASE WHEN known THEN 'S' || k WHEN k % 3 = 2 THEN upper(symbol) ELSE symbol END AS resolved, known AS mapped FROM g""")
 def upload_resolution(spark, d):
-    walk = spark.createDataFrame([("entrez", "9474", "ATG5"), ("ensembl", "ENSG00000057663", "ATG5"), ("ortholog", "Irgm1", "IRGM")], "kind string, id string, target string")
-    genes = spark.createDataFrame([("9474",), ("1",), ("ENSG00000057663.12",), ("Irgm1",), ("Abc",)], "symbol string")
+    part, k = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    ensembl = F.concat(F.lit("ENSG"), F.lpad(k, 11, "0"))
+    kinds = [("entrez", k, k), ("ensembl", ensembl, F.concat(ensembl, F.lit("."), F.col("p_size").cast("string"))), ("ortholog", F.concat(F.lit("Gene"), k), F.concat(F.lit("Gene"), k))]
+    of = (F.col("p_partkey") % 3).cast("int")
+    walk = part.filter("p_size > 10").select(*[F.get(F.array(*x), of).alias(n) for n, x in (("kind", [F.lit(a) for a, _, _ in kinds]), ("id", [b for _, b, _ in kinds]))], F.concat(F.lit("S"), k).alias("target"))
+    genes = part.select(F.get(F.array(*[c for _, _, c in kinds]), of).alias("symbol"))
     return upload.resolve_ids(genes, walk, "Mouse").select("symbol", "resolved", "mapped")
 
 
@@ -966,14 +1005,21 @@ def known_casings(spark, d):
     return details.known_casing(part.filter("p_partkey % 2 = 0").select(F.lower("p_name").alias("name")).distinct(), known).select("name", "symbol")
 
 
-@query("""SELECT screen_id, gene, CAST(harmonized AS DOUBLE) AS harmonized FROM (VALUES (1, 'a', 2.0), (1, 'b', NULL), (1, 'c', -3.0), (2, 'a', NULL), (2, 'b', NULL), (2, 'c', NULL), (3, 'a', 2.0), (3, 'b', -1.0), (3, 'c', -3.0), (4, 'a', 3.0), (4, 'b', 0.0), (4, 'c', -2.0)) v(screen_id, gene, harmonized)""")
+@query(f"""WITH {BEST}, v AS (SELECT screen_id, CAST(gene AS VARCHAR) AS gene, CAST(paper % 41 - 20 AS DOUBLE) AS x FROM best)
+SELECT screen_id, gene, CASE screen_id % 4 WHEN 1 THEN CASE WHEN x != 1 THEN -x END WHEN 2 THEN NULL WHEN 3 THEN -x ELSE 1.0 - x END AS harmonized FROM v""")
 def harmonized_overrides(spark, d):
-    rows = [(s, g, x, "1.0", None, None, None, "NO") for s in (1, 2, 3, 4) for g, x in (("a", "-2.0"), ("b", "1.0"), ("c", "3.0"))]
-    scores_ = spark.createDataFrame(rows, "screen_id long, gene string, score_1 string, score_2 string, score_3 string, score_4 string, score_5 string, hit string")
-    kinds = {1: "Log10", 2: "Log2FC", 3: "Bayes Factor", 4: "any"}
-    metadata = spark.createDataFrame([(s, t, "other", "", "", "", "Phenotype Screen", "Knockout", "") for s, t in kinds.items()], "screen_id long, type_1 string, type_2 string, type_3 string, type_4 string, type_5 string, screen_type string, methodology string, library_type string")
-    overrides = spark.createDataFrame([(1, "signed", "negate", "low", 1, True, 1.0), (2, "broken", "quarantine", "high", 1, None, None)], harmonize.OVERRIDES_SCHEMA)
-    directions = spark.createDataFrame([(4, "PAIR", None, 2, 1, "high", "auto"), (3, "SINGLE", 1, None, None, "low", "needs_review")], harmonize.DIRECTIONS_SCHEMA)
+    """Screens by their key: one column negated without its sentinel, quarantined, by the rule for the score's type, or a pair of columns by direction."""
+    text = [F.lit(None).cast("string").alias(f"score_{i}") for i in (3, 4, 5)]
+    scores_ = best(spark, d).select("screen_id", F.col("gene").cast("string").alias("gene"), (F.col("paper") % 41 - 20).cast("double").cast("string").alias("score_1"), F.lit("1.0").alias("score_2"), *text, F.lit("NO").alias("hit"))
+    screen, k = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("screen_id")), F.col("screen_id") % 4
+    kind = F.when(k == 1, "Log10").when(k == 2, "Log2FC").when(k == 3, "Bayes Factor").otherwise("any")
+    blank = [F.lit("").alias(f"type_{i}") for i in (3, 4, 5)]
+    metadata = screen.select("screen_id", kind.alias("type_1"), F.lit("other").alias("type_2"), *blank, F.lit("Phenotype Screen").alias("screen_type"), F.lit("Knockout").alias("methodology"), F.lit("").alias("library_type"))
+    fields = lambda schema, values: [F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for c, v in zip(schema.split(", ")[1:], values)]
+    overrides = screen.filter(k == 1).select("screen_id", *fields(harmonize.OVERRIDES_SCHEMA, ("signed", "negate", "low", 1, True, 1.0)))
+    overrides = overrides.unionByName(screen.filter(k == 2).select("screen_id", *fields(harmonize.OVERRIDES_SCHEMA, ("broken", "quarantine", "high", 1, None, None))))
+    directions = screen.filter(k == 0).select("screen_id", *fields(harmonize.DIRECTIONS_SCHEMA, ("PAIR", None, 2, 1, "high", "auto")))
+    directions = directions.unionByName(screen.filter(k == 3).select("screen_id", *fields(harmonize.DIRECTIONS_SCHEMA, ("SINGLE", 1, None, None, "low", "needs_review"))))
     return harmonize.harmonize(scores_, metadata, overrides, directions).select("screen_id", "gene", "harmonized")
 
 
@@ -1013,17 +1059,19 @@ def connected_genes(spark, d):
     return details.connected(signed, nodes, 17, "gene").select("node", r6("rho").alias("rho"))
 
 
-@query("SELECT id, CAST(p AS DOUBLE) AS p FROM (VALUES (1, 0.073388), (2, 0.5), (3, 1.0), (4, 0.0), (5, 0.00192)) v(id, p)")
+@query(f"WITH c AS (SELECT p_partkey AS id, (p_partkey * 37 % 199 - 99) / CAST(101.37 AS DOUBLE) AS r, 4 + p_partkey % 60 AS n FROM part) SELECT id, round({P_OF_R.format(r='r', n='n')}, 6) AS p FROM c")
 def correlation_p_values(spark, d):
-    rows = [(1, 2 / 14**0.5, 12.0), (2, 0.5**0.5, 3.0), (3, 0.0, 30.0), (4, 1.0, 9.0), (5, 0.65, 20.0)]
-    df = spark.createDataFrame(rows, "id int, r double, n double")
-    return df.select("id", F.round(correlation_p("r", "n"), 6).alias("p"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 37 % 199 - 99) / 101.37).alias("r"), (4 + F.col("p_partkey") % 60).cast("double").alias("n"))
+    return rows.select("id", F.round(correlation_p("r", "n"), 6).alias("p"))
 
 
-@query(f"SELECT version_id, organism, CASE WHEN organism = 'human' THEN version_id = 1 ELSE is_current END AS is_current FROM (SELECT version_id, organism, CASE WHEN organism = 'human' THEN version_id = 2 ELSE is_current END AS is_current FROM {CONTROL})")
+@query(f"""WITH {CONTROL}, now AS ({_promoted(18)}), own AS (SELECT * FROM now WHERE organism = (SELECT organism FROM versions WHERE version_id = 18)),
+target AS (SELECT max(version_id) AS t FROM own WHERE version_id IN (FROM done) AND version_id < (SELECT max(version_id) FROM own WHERE is_current))
+SELECT version_id, organism, CASE WHEN organism IN (SELECT organism FROM own) AND t IS NOT NULL THEN version_id = t ELSE is_current END AS is_current FROM now, target""")
 def rollback_version(spark, d):
-    versions, runs = _control(spark)
-    return warehouse.rollback(warehouse.promote(versions, runs, 2), runs, "human")
+    versions, runs = _control(spark, d)
+    organism = versions.filter("version_id = 18").first().organism
+    return warehouse.rollback(warehouse.promote(versions, runs, 18), runs, organism)
 
 
 @query(f"WITH {SCREENS} SELECT domain, count(*) AS n_screens, count(*) >= 25 AS has_power FROM screens GROUP BY domain")
@@ -1031,11 +1079,16 @@ def context_power(spark, d):
     return details.context_power(screens(spark, d), "domain", 25)
 
 
-@query("""SELECT screen_id, source, status, new_domain, domain_changed FROM (VALUES (1, 'rule', 'auto', 'fitness', true), (2, 'reviewed', 'auto', 'stress', false), (3, 'in review', 'needs_review', 'stress', false), (4, 'rule', 'auto', 'reporter', true)) v(screen_id, source, status, new_domain, domain_changed)""")
+@query("""SELECT s_suppkey AS screen_id, source, status, new_domain, domain_changed FROM supplier JOIN (VALUES (1, 'rule', 'auto', 'fitness', true), (2, 'reviewed', 'auto', 'stress', false), (3, 'in review', 'needs_review', 'stress', false), (0, 'rule', 'auto', 'reporter', true)) v(k, source, status, new_domain, domain_changed) ON k = s_suppkey % 4""")
 def merged_facets(spark, d):
-    rows = [(1, "baseline", "none", "proliferation", "stress"), (2, "signal", "UNRESOLVED", "UNRESOLVED", "stress"), (3, "signal", "UNRESOLVED", "UNRESOLVED", "stress"), (4, "binding", "suppressing", "binding", "fitness")]
-    by_rule = spark.createDataFrame(rows, "screen_id int, condition_class string, growth_direction string, readout_type string, current_domain string")
-    reviewed = spark.createDataFrame([(2, "suppressing", "survival", "s", "auto"), (3, "promoting", "survival", "", "open")], "screen_id int, growth_direction string, readout_type string, sign_convention string, status string")
+    """Suppliers as screens, whose facets by rule and review follow from their keys."""
+    screen = table(spark, d, "supplier").select(F.col("s_suppkey").alias("screen_id"))
+    of = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("screen_id") % 4).cast("int"))
+    by_rule = screen.select(
+        "screen_id", of("binding", "baseline", "signal", "signal").alias("condition_class"), of("suppressing", "none", "UNRESOLVED", "UNRESOLVED").alias("growth_direction"),
+        of("binding", "proliferation", "UNRESOLVED", "UNRESOLVED").alias("readout_type"), of("fitness", "stress", "stress", "stress").alias("current_domain"),
+    )
+    reviewed = screen.filter("screen_id % 4 in (2, 3)").select("screen_id", of("", "", "suppressing", "promoting").alias("growth_direction"), F.lit("survival").alias("readout_type"), of("", "", "s", "").alias("sign_convention"), of("", "", "auto", "open").alias("status"))
     return knowledge.merge_facets(by_rule, reviewed).select("screen_id", "source", "status", "new_domain", "domain_changed")
 
 
