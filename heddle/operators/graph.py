@@ -39,21 +39,35 @@ def neighbourhood(edges: DataFrame, seed: object, top: int = 18, reciprocal_only
     return itself.unionByName(ranked)
 
 
+def _wedges(way: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows a, b, far, c: of each pair the neighbours c of the end with fewer of them, and the other end. ``way``: a, b, both directions.
+
+    Of pairs that are edges there are no more rows than edges to the power 3/2: a hub is never the end that is opened, but for another hub.
+    """
+    size = way.groupBy("a").agg(F.count("*").alias("n"))
+    sized = pairs.join(size.withColumnRenamed("n", "na"), "a", "left").join(size.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b", "left")
+    fewer = F.coalesce("na", F.lit(0)) <= F.coalesce("nb", F.lit(0))
+    turned = sized.select("a", "b", F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("near"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("far"))
+    return turned.join(way.select(F.col("a").alias("near"), F.col("b").alias("c")), "near").filter("c != far").select("a", "b", "far", "c")
+
+
 def neighbourhood_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the Jaccard similarity of their neighbours in all ``edges``, both ends left out.
+    """``pairs`` (a, b) with the Jaccard similarity of their neighbours in all ``edges``, both ends left out; loops are no edges.
 
-    0 where nobody else is a neighbour; to three digits. Only the pairs' own nodes are looked up.
+    0 where nobody else is a neighbour; to three digits. The neighbours of the end with fewer are looked up among the other's; how many
+    each has in all follows from its degree.
     """
     own = pairs.select("a", "b").distinct()
-    way = both_ways(edges.select("a", "b")).distinct()
-    of_a = own.join(way.select("a", F.col("b").alias("c")), "a").filter("c != b")
-    of_b = own.join(way.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").filter("c != a")
-    common = of_a.join(of_b, ["a", "b", "c"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    counts_a = of_a.groupBy("a", "b").agg(F.count("*").alias("na"))
-    counts_b = of_b.groupBy("a", "b").agg(F.count("*").alias("nb"))
-    joined = pairs.join(counts_a, ["a", "b"], "left").join(counts_b, ["a", "b"], "left").join(common, ["a", "b"], "left")
-    c, na, nb = (F.coalesce(x, F.lit(0)) for x in ("common", "na", "nb"))
-    return joined.withColumn("jaccard", F.coalesce(F.round(F.try_divide(c, na + nb - c), 3), F.lit(0.0))).drop("common", "na", "nb")
+    way = both_ways(edges.select("a", "b")).filter("a != b").distinct()
+    met = way.select(F.col("a").alias("far"), F.col("b").alias("c"))
+    common = _wedges(way, own).join(met, ["far", "c"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("common"))
+    size = way.groupBy("a").agg(F.count("*").alias("na"))
+    linked = way.withColumn("linked", F.lit(1))
+    joined = pairs.join(size, "a", "left").join(size.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b", "left")
+    joined = joined.join(linked, ["a", "b"], "left").join(common, ["a", "b"], "left")
+    c, na, nb, one = (F.coalesce(x, F.lit(0)) for x in ("common", "na", "nb", "linked"))
+    similar = F.coalesce(F.round(F.try_divide(c, na + nb - 2 * one - c), 3), F.lit(0.0))
+    return joined.select(*pairs.columns, similar.alias("jaccard"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

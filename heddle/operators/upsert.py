@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.operators.windows import first_per_key
-from heddle.storage import exists, shared_dir
+from heddle.storage import exists, shared_dir, written
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,6 +37,38 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    """Write ``df`` as a table of ``buckets`` partitions, by a hash of its keys, for ``upsert_buckets``."""
+    _bucketed(df, keys, buckets).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+
+
+def upsert_buckets(new: DataFrame, path: str, keys: list[str], buckets: int) -> tuple[list[int], list[int]]:
+    """``upsert`` into a table of ``write_buckets``: the buckets that were rewritten, and those that rows were appended to.
+
+    Only the keys of the buckets that ``new`` has rows for are read. A bucket that holds one of the new keys is rewritten; to one that holds
+    none, rows are appended; the files of all others stay. A run that broke off is finished by running it again. Null keys
+    are never the same as others. What reaches the driver are numbers of buckets.
+    """
+    spark = new.sparkSession
+    given = written(_bucketed(new, keys, buckets), "upsert")
+    old = spark.read.schema(given.schema).parquet(path)
+    numbers = lambda df: sorted(r[0] for r in df.select("_bucket").distinct().collect())
+    hit = numbers(given)
+    changed = numbers(old.filter(F.col("_bucket").isin(hit)).select(*keys, "_bucket").join(given.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi"))
+    here = F.col("_bucket").isin(changed)
+    if changed:
+        merged = written(upsert(old.filter(here), given.filter(here), keys).select(given.columns), "merged")
+        replace_partitions(merged.repartition("_bucket"), path, ["_bucket"])
+    fresh = [b for b in hit if b not in changed]
+    if fresh:
+        given.filter(F.col("_bucket").isin(fresh)).repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
+    return changed, fresh
+
+
 def append_batches(work: DataFrame, path: str, key: str, batches: int) -> int:
     """Append in batches of whole keys, leaving out keys that ``path`` has; returns the batches written.
 

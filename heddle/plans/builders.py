@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.operators.graph import both_ways
+from heddle.operators.pairwise import PairBlock, best_partners, one
 from heddle.operators.windows import add_running_total, average_rank, first_per_key, top_k
 from heddle.plans.networks import centred, coessential_network, similar_profiles
 
@@ -90,14 +92,19 @@ def topped_up(edges: DataFrame, floor: int) -> DataFrame:
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def coscreen_layer(hits: DataFrame, k: int) -> DataFrame:
-    """Each gene's ``k`` best partners by c / sqrt(h_i h_j), c the screens in which both are hits. ``hits``: gene, screen_id."""
-    rows = hits.select("gene", "screen_id").distinct()
-    sizes = rows.groupBy("gene").agg(F.count("*").alias("h"))
-    pairs = rows.join(rows.withColumnRenamed("gene", "neighbour"), "screen_id").filter("gene < neighbour").groupBy("gene", "neighbour").agg(F.count("*").alias("c"))
-    sized = pairs.join(sizes, "gene").join(sizes.select(F.col("gene").alias("neighbour"), F.col("h").alias("hn")), "neighbour")
-    lift = both_ways(sized.select("gene", "neighbour", (F.col("c") / F.sqrt(F.col("h") * F.col("hn"))).alias("weight")), "gene", "neighbour")
-    return strongest(lift, k)
+def coscreen_layer(hits: DataFrame, k: int, **sizes: int) -> DataFrame:
+    """Each gene's ``k`` best partners (gene, neighbour, weight) by c / sqrt(h_i h_j), c the screens in which both are hits. ``hits``: gene, screen_id.
+
+    Genes' sets of screens are multiplied block by block, so that a screen with many hits makes no row for each pair of them.
+    """
+    rows = hits.select("gene", "screen_id", F.lit(1.0).alias("hit")).distinct()
+
+    def lift(held: PairBlock) -> np.ndarray:
+        common = held.sum("common")
+        return np.where(common > 0.5, common / np.sqrt(held.total(0, "hits")[:, None] * held.total(1, "hits")[None, :]), np.nan)
+
+    best = best_partners(rows, "gene", "screen_id", ["hit"], {"common": (one, one)}, {"hits": one}, lift, k, digits=9, **sizes)
+    return best.select(F.col("a").alias("gene"), F.col("b").alias("neighbour"), F.col("r").alias("weight"))
 
 
 def strongest(weights: DataFrame, k: int) -> DataFrame:

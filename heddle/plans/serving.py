@@ -58,7 +58,7 @@ def query_edges(observations: DataFrame, matched: DataFrame, dark: DataFrame, n_
     """Hits of the first dark genes in the first matched screens, for a graph."""
     screens = matched.orderBy(F.desc("shared_genes"), F.desc_nulls_first("rho"), "screen_id").limit(n_screens).select("screen_id")
     genes = dark.orderBy(F.desc("screens"), "pubs", "gene").limit(n_genes).select("gene")
-    hits = observations.filter("hit").join(F.broadcast(screens), "screen_id", "left_semi").join(F.broadcast(genes), "gene", "left_semi")
+    hits = observations.filter("hit").join(screens, "screen_id", "left_semi").join(genes, "gene", "left_semi")
     return hits.select("screen_id", "gene", "score").orderBy("screen_id", "gene").limit(limit)
 
 

@@ -148,7 +148,7 @@ def run_load(staging_screens: DataFrame, staging_genes: DataFrame, versions: Dat
     log = f"{path}/audit"
     done = audit_of(spark, log).filter((F.col("run_id") == run_id) & (F.col("status") == "completed"))
     completed = {r.step_name for r in done.select("step_name").distinct().collect()}
-    own = F.broadcast(versions.select("version_id").distinct())
+    own = versions.select("version_id").distinct()
     for order, (name, plan) in enumerate(STEPS.items(), start=1):
         began, failure = time.monotonic(), None
         try:
@@ -186,7 +186,7 @@ def issues(screens: DataFrame, genes: DataFrame) -> DataFrame:
 
 def current(table: DataFrame, versions: DataFrame) -> DataFrame:
     """The rows of the versions that the control table marks as current."""
-    return table.join(F.broadcast(versions.filter("is_current").select("version_id")), "version_id", "left_semi")
+    return table.join(versions.filter("is_current").select("version_id"), "version_id", "left_semi")
 
 
 def promote(versions: DataFrame, runs: DataFrame, version_id: int) -> DataFrame:
@@ -195,7 +195,7 @@ def promote(versions: DataFrame, runs: DataFrame, version_id: int) -> DataFrame:
     target = versions.join(done, "version_id", "left_semi").select(F.col("organism").alias("_organism"))
     same = F.col("organism") == F.col("_organism")
     return (
-        versions.join(F.broadcast(target), same, "left")
+        versions.join(target, same, "left")
         .withColumn("is_current", F.when(F.col("_organism").isNull(), F.col("is_current")).otherwise(F.col("version_id") == version_id))
         .drop("_organism")
     )

@@ -298,7 +298,7 @@ def harmonized_scores(spark, d):
 @query(f"""WITH {SCORED}, {SCREENS} SELECT domain, count(percentile) AS n, round(avg(percentile), 6) AS mean_percentile, count(percentile) >= 20 AND avg(percentile) >= 0 AS failed
 FROM scored JOIN screens USING (screen_id) WHERE gene % 10 = 3 GROUP BY domain""")
 def panel_check(spark, d):
-    rows = scored(spark, d).join(F.broadcast(screens(spark, d).select("screen_id", "domain")), "screen_id")
+    rows = scored(spark, d).join(screens(spark, d).select("screen_id", "domain"), "screen_id")
     panel = table(spark, d, "part").filter("p_partkey % 10 = 3").select(F.col("p_partkey").alias("gene"))
     return harmonize.panel_check(rows, panel, ["domain"]).withColumn("mean_percentile", r6("mean_percentile"))
 
@@ -323,7 +323,7 @@ m AS (SELECT x.organism, x.screen_id AS a, y.screen_id AS b, count(*) AS n, sum(
 
 
 def _by_organism(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).join(F.broadcast(screens(spark, d).select("screen_id", "organism", "domain", "coverage", "condition", "pmid", "cell_line")), "screen_id")
+    return scored(spark, d).join(screens(spark, d).select("screen_id", "organism", "domain", "coverage", "condition", "pmid", "cell_line"), "screen_id")
 
 
 #: The two-sided p-value of a correlation r over n, by the finite series of Student's t with n - 2 degrees of freedom.

@@ -138,3 +138,13 @@ def duplicate_files(spark, d):
     found = upsert.duplicate_files(spark.read.format("binaryFile").load(path))
     keys = F.transform("paths", lambda p: F.regexp_extract(p, r"n_nationkey=(\d+)", 1).cast("int"))
     return found.select(F.size("paths").cast("long").alias("n"), F.array_min(keys).alias("first"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 3 != 0), n AS (SELECT o_orderkey AS k, -o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0)
+SELECT k, v FROM n UNION ALL SELECT k, v FROM o WHERE k NOT IN (SELECT k FROM n)""")
+def upserted_buckets(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    path = _folder(spark, "buckets")
+    upsert.write_buckets(o.filter("k % 3 != 0"), path, ["k"], 16)
+    upsert.upsert_buckets(o.filter("k % 2 = 0").withColumn("v", -F.col("v")), path, ["k"], 16)
+    return spark.read.parquet(path).select("k", "v")

@@ -188,3 +188,63 @@ def test_duplicate_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     found = upsert.duplicate_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert [[p.rsplit("/", 1)[1] for p in r.paths] for r in found] == [["a", "b"]]
+
+
+def test_jaccard_at_a_hub_opens_the_smaller_end(spark):
+    """A star of 100,000 leaves with some triangles: as many rows as leaves, not their square; and all pairs by brute force."""
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    more = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 7)], "a long, b long")
+    edges = star.unionByName(more)
+    way = graph.both_ways(edges).filter("a != b").distinct()
+    assert graph._wedges(way, edges.filter("a != b")).count() < 20
+    got = {(r.a, r.b): r.jaccard for r in graph.neighbourhood_jaccard(edges, edges).filter("a > 0 or b < 6").collect()}
+    near = {0: set(range(1, 100_001)), 1: {0, 2}, 2: {0, 1, 3}, 3: {0, 2, 4}, 4: {0, 3}, 5: {0}, 7: {0}}
+    for (a, b), jaccard in got.items():
+        x, y = near[a] - {a, b}, near[b] - {a, b}
+        assert jaccard == round(len(x & y) / len(x | y), 3) if x | y else jaccard == 0.0
+    r = np.random.default_rng(2)
+    rows = {(int(a), int(b)) for a, b in r.integers(0, 15, (40, 2)) if a != b}
+    pairs = [(a, b) for a in range(16) for b in range(16) if a != b]
+    near = {x: {b for a, b in rows if a == x} | {a for a, b in rows if b == x} for x in range(16)}
+    found = graph.neighbourhood_jaccard(spark.createDataFrame([*rows], "a int, b int"), spark.createDataFrame(pairs, "a int, b int")).collect()
+    for q in found:
+        x, y = near[q.a] - {q.b}, near[q.b] - {q.a}
+        assert q.jaccard == (round(len(x & y) / len(x | y), 3) if x | y else 0.0)
+    assert len(found) == len(pairs)
+
+
+def test_upserts_touch_only_the_buckets_they_change(spark, tmp_path):
+    path = str(tmp_path / "table")
+    old = spark.createDataFrame([(i, f"o{i}") for i in range(200)] + [(None, "null")], "k int, v string")
+    upsert.write_buckets(old, path, ["k"], 20)
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+
+    before = files()
+    bucket = {r.k: r.b for r in old.select("k", F.pmod(F.xxhash64("k"), F.lit(20)).cast("int").alias("b")).collect()}
+    new = [(5, "n5"), (6, "n6"), (1000, "n1000"), (None, "null too")]
+    changed, fresh = upsert.upsert_buckets(spark.createDataFrame(new, "k int, v string"), path, ["k"], 20)
+    assert changed == sorted({bucket[5], bucket[6]}) and set(fresh).isdisjoint(changed) and len(fresh) <= 2
+    got = sorted(((r.k, r.v) for r in spark.read.parquet(path).collect()), key=repr)
+    assert got == sorted([(i, f"o{i}") for i in range(200) if i not in (5, 6)] + new + [(None, "null")], key=repr)
+    after, rewritten = files(), {f"_bucket={b}" for b in changed}
+    assert all(after.get(f) == t for f, t in before.items() if f.parent.name not in rewritten)
+    again = upsert.upsert_buckets(spark.createDataFrame(new[:3], "k int, v string"), path, ["k"], 20)
+    assert again == (sorted({bucket[5], bucket[6], *([b for b in fresh if b in again[0]])}), [])
+    assert spark.read.parquet(path).count() == 203
+
+
+def test_coscreen_layer_by_blocks(spark):
+    from heddle.plans import builders
+
+    r = np.random.default_rng(7)
+    rows = {(int(g), int(s)) for g, s in r.integers(0, 30, (250, 2))}
+    sets = {g: {s for h, s in rows if h == g} for g, _ in rows}
+    want = set()
+    for a in sets:
+        w = {b: len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b])) for b in sets if b != a and sets[a] & sets[b]}
+        want |= {(a, b, round(w[b], 9)) for b in sorted(w, key=lambda b: (-round(w[b], 9), b))[:4]}
+    df = spark.createDataFrame([*rows, *list(rows)[:9]], "gene long, screen_id long")
+    for sizes in ({}, {"block_items": 7, "task_cells": 40}):
+        assert {(q.gene, q.neighbour, round(q.weight, 9)) for q in builders.coscreen_layer(df, 4, **sizes).collect()} == want
