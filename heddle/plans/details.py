@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import rules, scores
-from heddle.operators import pairwise
+from heddle.operators import graph, pairwise
 from heddle.operators.graph import both_ways, induced
 from heddle.operators.windows import first_per_key, top_k
 
@@ -147,6 +147,20 @@ def partner_network(edges: DataFrame, gene: object, top: int = 12) -> DataFrame:
     return induced(edges, best.unionByName(edges.sparkSession.createDataFrame([(gene,)], best.schema)))
 
 
+def inline_network(edges: DataFrame, gene: object, cohits: DataFrame, top: int = 14) -> DataFrame:
+    """The edges (a, b, r, tier, direct) among a gene and its ``top`` partners, mutual-best ones first; direct ones touch the gene.
+
+    Edges between partners stay, as they shape the picture. ``cohits``: a row (a, b), a < b, for each co-hit pair.
+    """
+    drawn = graph.with_tiers(induced(edges, graph.neighbourhood(edges, gene, top=top)), cohits).filter("a != b")
+    return drawn.select("a", "b", F.round("strength", 3).alias("r"), "tier", ((F.col("a") == gene) | (F.col("b") == gene)).alias("direct"))
+
+
+def direct_tiers(drawn: DataFrame) -> DataFrame:
+    """Direct edges of an ``inline_network`` per tier, 1 to 4, with zeros."""
+    return graph.tier_histogram(drawn.filter("direct"))
+
+
 def screen_contexts(screens: DataFrame, observations: DataFrame) -> DataFrame:
     """Per screen: domain, class, mechanism (of drugs), modality with its sign, coverage, and its usable genes.
 

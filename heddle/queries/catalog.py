@@ -470,12 +470,32 @@ def neighbourhood_jaccard(spark, d):
     return graph.neighbourhood_jaccard(e, e.select("a", "b"))
 
 
+INLINE = f"""{EGO.replace('LIMIT 18', 'LIMIT 14')}, {BEST}, hits AS (SELECT * FROM best WHERE hit),
+ch AS (SELECT x.gene AS a, y.gene AS b FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL HAVING count(*) >= 6),
+drawn AS (SELECT e.a, e.b, round(strength, 3) AS r, e.a = 17 OR e.b = 17 AS direct, CASE WHEN reciprocal = 1 AND ch.a IS NOT NULL THEN 1 WHEN reciprocal = 1 THEN 2 WHEN ch.a IS NOT NULL THEN 3 ELSE 4 END AS tier
+  FROM edges e LEFT JOIN ch ON ch.a = e.a AND ch.b = e.b WHERE e.a IN (FROM nodes) AND e.b IN (FROM nodes))"""
+
+
+def _inline(spark, d):
+    cohits = pairwise.cohit_pairs(scored(spark, d), "gene", "screen_id", "percentile", "hit", 6)
+    return details.inline_network(edges(spark, d), 17, cohits)
+
+
+@query(f"WITH {INLINE} SELECT a, b, r, CAST(tier AS INTEGER) AS tier, direct FROM drawn")
+def inline_network(spark, d):
+    return _inline(spark, d)
+
+
+@query(f"WITH {INLINE} SELECT CAST(t AS INTEGER) AS tier, count(drawn.tier) AS n FROM (VALUES (1), (2), (3), (4)) v(t) LEFT JOIN drawn ON drawn.tier = t AND direct GROUP BY t")
+def direct_tiers(spark, d):
+    return details.direct_tiers(_inline(spark, d))
+
+
 @query(f"""WITH {EDGES}, {BEST}, hits AS (SELECT * FROM best WHERE hit), ch AS (SELECT x.gene AS a, y.gene AS b FROM hits x JOIN hits y ON x.screen_id = y.screen_id AND x.gene < y.gene GROUP BY ALL HAVING count(*) >= 6),
 tr AS (SELECT CASE WHEN reciprocal = 1 AND ch.a IS NOT NULL THEN 1 WHEN reciprocal = 1 THEN 2 WHEN ch.a IS NOT NULL THEN 3 ELSE 4 END AS tier FROM edges e LEFT JOIN ch ON ch.a = e.a AND ch.b = e.b)
 SELECT CAST(t AS INTEGER) AS tier, count(tr.tier) AS n FROM (VALUES (1), (2), (3), (4)) v(t) LEFT JOIN tr ON tr.tier = t GROUP BY t""")
 def edge_tiers(spark, d):
-    hits = best(spark, d).filter("hit").select("screen_id", "gene")
-    cohits = hits.withColumnRenamed("gene", "a").join(hits.withColumnRenamed("gene", "b"), "screen_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 6")
+    cohits = pairwise.cohit_pairs(scored(spark, d), "gene", "screen_id", "percentile", "hit", 6)
     return graph.tier_histogram(graph.with_tiers(edges(spark, d), cohits))
 
 

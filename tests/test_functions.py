@@ -3,7 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.functions import rules, scores, stats
+from heddle.functions import requests, rules, scores, stats
+from heddle.plans import knowledge
 from heddle.queries.catalog import CASES
 
 
@@ -80,3 +81,25 @@ def test_correlation_p(spark):
     got = {r.i: r.p for r in df.select("i", stats.correlation_p("r", "n").alias("p")).collect()}
     for i, (_, _, want) in enumerate(cases):
         assert got[i] == (pytest.approx(want, abs=1e-7) if want is not None else None)
+
+
+def test_requests_are_checked_before_any_plan():
+    assert (requests.symbol(" ATG5 "), requests.screen_id("381"), requests.context("human:drug")) == ("ATG5", "381", "human:drug")
+    assert [requests.organism(x) for x in (None, " ", "Human", "mouse", "MOUSE")] == ["human", "human", "human", "mouse", "mouse"]
+    for check, value in ((requests.symbol, "-x"), (requests.symbol, "a" * 41), (requests.symbol, "A;B"), (requests.screen_id, "12x"), (requests.screen_id, "1" * 10), (requests.context, ""), (requests.organism, "yeast")):
+        with pytest.raises(ValueError, match="invalid|unknown"):
+            check(value)
+
+
+def test_screen_facets(spark):
+    names = "screen_id methodology library_type enzyme screen_type full_size_available full_size phenotype setup condition notes".split()
+    rows = [
+        (1, "Knockout", "CRISPRn", "Cas9", "Negative Selection", "Yes", "18000", "cell proliferation", "Timecourse", "", ""),
+        (2, "Inhibition", "CRISPRi", "dCas9-KRAB", "Positive Selection", "No", "", "response to chemicals", "Drug Exposure", "Olaparib 5uM", ""),
+        (3, None, None, None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'int' if n == 'screen_id' else 'string'}" for n in names))
+    got = {r.screen_id: r for r in knowledge.screen_facets(df).collect()}
+    assert (got[1].perturbation, got[1].selection_method, got[1].assay_domain, got[1].condition_class, got[1].mechanism) == ("KO", "Negative", "fitness", "baseline", None)
+    assert (got[2].perturbation, got[2].selection_method, got[2].assay_domain, got[2].condition_class, got[2].mechanism) == ("CRISPRi", "Positive", "stress", "drug", "DDR·PARP")
+    assert (got[3].perturbation, got[3].selection_method, got[3].condition_class) == ("Other", "Unknown", "unknown") and len(got) == 3
