@@ -1128,4 +1128,4 @@ def shuffled_null(spark, d):
     return null.groupBy("screen_id", "percentile").agg(F.count("*").alias("n")).join(judged, "screen_id")
 
 
-from heddle.queries import builders, files  # noqa: E402, F401  these register their queries too
+from heddle.queries import builders, files, operations  # noqa: E402, F401  these register their queries too
