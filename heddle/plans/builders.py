@@ -29,6 +29,25 @@ def first_identifiers(rows: DataFrame, genes: DataFrame) -> DataFrame:
     return first_per_key(given, ["gene_id"], [F.col("place")]).select("gene_id", "identifier")
 
 
+def retired_aliases(history: DataFrame, genes: DataFrame, taxids: list[int]) -> DataFrame:
+    """Discontinued ids and symbols of known genes' predecessors, as aliases (gene_id, taxid, alias, alias_type), as often as they are listed.
+
+    ``history``: taxid, gene_id (text; ``-`` where nothing replaced the entry), retired_id, retired_symbol (``-`` for none).
+    """
+    replaced = history.filter(F.col("taxid").isin(taxids)).withColumn("gene_id", F.col("gene_id").try_cast("long")).filter("gene_id is not null")
+    known = replaced.join(genes.select("gene_id"), "gene_id", "left_semi")
+    kinds = F.array(*[F.struct(F.col(c).cast("string").alias("alias"), F.lit(kind).alias("alias_type")) for c, kind in (("retired_id", "discontinued_geneid"), ("retired_symbol", "discontinued_symbol"))])
+    each = known.select("gene_id", "taxid", F.explode(kinds).alias("k")).select("gene_id", "taxid", "k.*")
+    return each.filter("alias is not null and (alias != '-' or alias_type = 'discontinued_geneid')")
+
+
+def with_summaries(genes: DataFrame, summaries: DataFrame, taxids: list[int]) -> DataFrame:
+    """``genes`` with a summary, null where there is none; the last in ``place`` counts. ``summaries``: taxid, gene_id, summary, place."""
+    given = summaries.filter(F.col("taxid").isin(taxids) & (F.col("summary") != ""))
+    last = first_per_key(given, ["gene_id"], [F.desc("place"), F.desc("summary")]).select("gene_id", "summary")
+    return genes.join(last, "gene_id", "left")
+
+
 def orthologs(pairs: DataFrame, genes: DataFrame, taxids: tuple[int, int]) -> DataFrame:
     """Orthologs between two species in both directions, from known genes, with the other gene's symbol if it has one.
 

@@ -59,6 +59,25 @@ def pathway_links(spark, d):
     return builders.pathway_links(rows, _genes(spark, d), ["F", "O"])
 
 
+@query("""WITH h AS (SELECT l_linenumber AS taxid, l_partkey AS gene_id, CAST(l_orderkey AS VARCHAR) AS retired_id, CASE WHEN l_returnflag != 'N' THEN 'S' || l_suppkey END AS retired_symbol FROM lineitem
+WHERE l_quantity >= 10 AND l_linenumber IN (1, 2) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20))
+SELECT gene_id, taxid, retired_id AS alias, 'discontinued_geneid' AS alias_type FROM h UNION ALL SELECT gene_id, taxid, retired_symbol, 'discontinued_symbol' FROM h WHERE retired_symbol IS NOT NULL""")
+def retired_aliases(spark, d):
+    replaced = F.when(F.col("l_quantity") < 10, "-").otherwise(F.col("l_partkey").cast("string"))
+    symbol = F.when(F.col("l_returnflag") == "N", "-").otherwise(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+    history = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("taxid"), replaced.alias("gene_id"), F.col("l_orderkey").alias("retired_id"), symbol.alias("retired_symbol"))
+    known = table(spark, d, "part").filter("p_size > 20").select(F.col("p_partkey").alias("gene_id"))
+    return builders.retired_aliases(history, known, [1, 2])
+
+
+@query("""WITH s AS (SELECT l_partkey AS gene_id, 'paper ' || l_orderkey AS summary, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC) AS rn FROM lineitem WHERE l_linenumber IN (1, 2) AND l_quantity != 1)
+SELECT p_partkey AS gene_id, p_name AS symbol, summary FROM part LEFT JOIN (SELECT * FROM s WHERE rn = 1) ON gene_id = p_partkey""")
+def gene_summaries(spark, d):
+    text = F.when(F.col("l_quantity") == 1, "").otherwise(F.concat(F.lit("paper "), F.col("l_orderkey").cast("string")))
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("taxid"), F.col("l_partkey").alias("gene_id"), text.alias("summary"), F.col("l_orderkey").alias("place"))
+    return builders.with_summaries(_genes(spark, d), rows, [1, 2]).select("gene_id", "symbol", "summary")
+
+
 @query("SELECT l_partkey AS gene_id, l_orderkey AS pmid FROM lineitem WHERE l_linenumber IN (1, 2) AND l_partkey IN (SELECT p_partkey FROM part)")
 def literature_links(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("taxid"), F.col("l_partkey").alias("gene_id"), F.col("l_orderkey").alias("pmid"))
