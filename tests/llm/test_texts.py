@@ -321,6 +321,19 @@ def test_ngram_join_without_ids_and_empty(docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_planted_pairs_near_the_threshold_are_found(spark):
+    """300 pairs with a similarity of 231 / 281 = 0.822: five words of 260 exchanged, far apart."""
+    r = random.Random(12)
+    rows = []
+    for i in range(300):
+        ws = [f"w{r.randrange(100_000)}" for _ in range(260)]
+        changed = [f"v{r.randrange(100_000)}" if k % 50 == 20 else w for k, w in enumerate(ws)]
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(changed))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in got if r.n_links == 1 and r.class_id == r.doc_id // 2 * 2}
+    assert len(found) >= 0.99 * len(rows) and all(r.n_links <= 1 for r in got)
+
+
 def test_bands_reach_the_recall():
     bands, n = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**n) ** bands >= ngram_join.RECALL and bands * n <= ngram_join.MAX_HASHES
