@@ -119,15 +119,30 @@ class PairBlock:
 
 
 def _record(items: np.ndarray, row: np.ndarray, member: np.ndarray, cells: list[np.ndarray]) -> dict:
+    """Cells in the order of their members: the members once, how many cells each has, then the cells' items and values."""
     order = np.argsort(member, kind="stable")
-    parts = [row[order].astype(np.int32), member[order], *(x[order] for x in cells)]
+    members, counts = np.unique(member, return_counts=True)
+    head = np.array([len(members), len(member)], np.int64)
+    narrow = np.uint16 if len(items) <= 1 << 16 else np.int32
+    parts = [head, members, counts.astype(np.int32), row[order].astype(narrow), *(x[order] for x in cells)]
     return {"items": [items.tolist()], "data": [b"".join(np.ascontiguousarray(p).tobytes() for p in parts)]}
 
 
 def _unpacked(items: Iterable, data: bytes, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    n = len(data) // (12 + 8 * columns)
-    cells = [np.frombuffer(data, float, n, 12 * n + 8 * n * k) for k in range(columns)]
-    return np.asarray(items), np.frombuffer(data, np.int32, n).astype(np.int64), np.frombuffer(data, np.int64, n, 4 * n), cells
+    """A record's items, and of each cell the item's number, the member and the values."""
+    items, narrow = np.asarray(items), np.uint16 if len(items) <= 1 << 16 else np.int32
+    place = 0
+
+    def take(dtype: type, n: int) -> np.ndarray:
+        nonlocal place
+        found = np.frombuffer(data, dtype, n, place)
+        place += found.nbytes
+        return found
+
+    m, n = take(np.int64, 2).tolist()
+    members, counts = take(np.int64, m), take(np.int32, m)
+    row = take(narrow, n).astype(np.int64)
+    return items, row, np.repeat(members, counts), [take(float, n) for _ in range(columns)]
 
 
 def block_pairs(
@@ -434,7 +449,7 @@ def cohit_pairs(
     for the common hits; only of pairs with ``min_cohit`` of them the other counts are taken. Observations are one per gene and screen.
     """
     rows = observations.filter(F.col(value).isNotNull()).select(
-        F.col(gene).alias("g"), F.col(screen).alias("s"), F.col(value).alias("v"), F.coalesce(F.col(hit), F.lit(False)).cast("int").alias("h")
+        F.col(gene).alias("g"), F.col(screen).alias("s"), F.signum(F.col(value)).alias("v"), F.coalesce(F.col(hit), F.lit(False)).cast("int").alias("h")
     )
     if min_screens > 1:
         rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_screens), "g", "left_semi")
