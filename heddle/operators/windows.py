@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from heddle.functions.fixed_values import MAD_TO_SIGMA
 from heddle.storage import written
 
+ROUNDING = 1e-12  # what sums of percentiles in different orders may differ by; two means that differ do so by more
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in ``order``."""
@@ -172,10 +174,10 @@ def sum_layers(df: DataFrame, by: list[str], layer: str, node: str, weight: str)
 def flip_by_anchor(df: DataFrame, by: list[str], member: str, panel: DataFrame, value: str, least: int = 3) -> DataFrame:
     """Negates the values of groups in which a panel, that must be negative, has a positive mean over ``least`` members.
 
-    ``panel`` has the column ``member`` and is broadcast by Spark where small.
+    ``panel`` has the column ``member`` and is broadcast by Spark where small. A mean within ``ROUNDING`` of 0 is 0, in whatever order it was summed.
     """
     means = df.join(panel, member, "left_semi").groupBy(*by).agg(F.avg(value).alias("_mean"), F.count(value).alias("_n"))
-    wrong = (F.col("_n") >= least) & (F.col("_mean") > 0)
+    wrong = (F.col("_n") >= least) & (F.col("_mean") > ROUNDING)
     flipped = F.coalesce(wrong, F.lit(False))
     return (
         df.join(means, by, "left")
