@@ -57,7 +57,8 @@ def load_genes(staged: DataFrame, versions: DataFrame) -> DataFrame:
     """One row per (version, identifier): the first symbol, with the organism of the version."""
     valid = staged.filter("validation_errors is null").select("version_id", "identifier_id", "gene_symbol")
     one = first_per_key(valid, ["version_id", "identifier_id"], [F.col("gene_symbol").asc_nulls_last()])
-    return one.join(versions.select("version_id", "organism"), "version_id", "left")
+    # a row per version: shuffled by it, all genes of a version would meet in one task
+    return one.join(F.broadcast(versions.select("version_id", "organism")), "version_id", "left")
 
 
 def raw_pairs(staged: DataFrame, screens: DataFrame, genes: DataFrame) -> DataFrame:
@@ -148,13 +149,13 @@ def run_load(staging_screens: DataFrame, staging_genes: DataFrame, versions: Dat
     log = f"{path}/audit"
     done = audit_of(spark, log).filter((F.col("run_id") == run_id) & (F.col("status") == "completed"))
     completed = {r.step_name for r in done.select("step_name").distinct().collect()}
-    own = versions.select("version_id").distinct()
+    own = [r.version_id for r in versions.select("version_id").distinct().collect()]  # the partitions that a step reads back
     for order, (name, plan) in enumerate(STEPS.items(), start=1):
         began, failure = time.monotonic(), None
         try:
             if name not in completed:
                 replace_partitions(plan(tables), f"{path}/{name}", ["version_id"])
-            tables[name] = spark.read.parquet(f"{path}/{name}").join(own, "version_id", "left_semi")
+            tables[name] = spark.read.parquet(f"{path}/{name}").filter(F.col("version_id").isin(own))
             rows = tables[name].count()
         except (PySparkException, Py4JJavaError) as error:
             failure, rows = str(error)[:500], None
