@@ -51,9 +51,9 @@ def edges(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     from heddle.plans.networks import mutual_top
 
     seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("gene")).distinct()
-    sizes = seen.groupBy("gene").agg(F.count("*").alias("n"))
-    pairs = seen.withColumnRenamed("gene", "a").join(seen.withColumnRenamed("gene", "b"), "paper").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("support"))
-    joined = pairs.join(sizes.withColumnsRenamed({"gene": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"gene": "b", "n": "nb"}), "b")
+    seen = seen.join(seen.groupBy("gene").agg(F.count("*").alias("n")), "gene")  # before the pairs are made, which are many more rows
+    pairs = seen.withColumnsRenamed({"gene": "a", "n": "na"}).join(seen.withColumnsRenamed({"gene": "b", "n": "nb"}), "paper").filter("a < b")
+    joined = pairs.groupBy("a", "b").agg(F.count("*").alias("support"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return mutual_top(joined.select("a", "b", (F.col("support") / F.sqrt(F.col("na") * F.col("nb"))).alias("r"), "support"), k).withColumnRenamed("r", "strength")
 
 
