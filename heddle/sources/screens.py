@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from heddle.storage import written
+
+#: Rows of splits that are broadcast, some 300 bytes each.
+MOST_SPLITS = 50_000
 SCORES = [f"SCORE.{i}" for i in range(1, 6)]
 REQUIRED = ["SCREEN_ID", "OFFICIAL_SYMBOL", "HIT"]
 SCREEN_COLUMNS = ["SCREEN_ID", "IDENTIFIER_ID", "IDENTIFIER_TYPE", "OFFICIAL_SYMBOL", "ALIASES", "ORGANISM_ID", "ORGANISM_OFFICIAL", *SCORES, "HIT", "SOURCE"]
@@ -53,13 +57,29 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], [*batch.schema.names, "number"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per split of a file: its lines, and its first one if it begins the file. A task has whole splits."""
+    seen: dict[tuple[str, int], list] = {}
+    for batch in _numbered(batches):
+        block, number = batch.column("block").to_numpy(), batch.column("number").to_numpy()
+        files = batch.column("file").dictionary_encode()
+        codes = files.indices.to_numpy()
+        for end in np.append(np.flatnonzero((codes[1:] != codes[:-1]) | (block[1:] != block[:-1])), batch.num_rows - 1).tolist():
+            held = seen.setdefault((files.dictionary[int(codes[end])].as_py(), int(block[end])), [0, None])
+            held[0], first = int(number[end]), end - int(number[end]) + 1
+            if block[end] == 0 and first >= 0:
+                held[1] = batch.column("value")[first].as_py()
+    found = [(file, block, n, head) for (file, block), (n, head) in seen.items()]
+    kinds = {"file": pa.string(), "block": pa.int64(), "n": pa.int64(), "head": pa.string()}
+    yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in found], kind) for k, kind in enumerate(kinds.values())], [*kinds])
+
+
 def _split_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The lines of all files that are not empty (file, block, value, number in the block); and a row per split of a file: file, block,
     before (lines in the splits before it) and names (the header's, null without one)."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").filter("value != ''")
+    splits = lines.mapInArrow(_counted, "file string, block long, n long, head string")
     lines = lines.mapInArrow(_numbered, "file string, block long, value string, number long")
-    head = F.max(F.when((F.col("block") == 0) & (F.col("number") == 1), F.col("value")))
-    splits = lines.groupBy("file", "block").agg(F.max("number").alias("n"), head.alias("head"))
     of_file = Window.partitionBy("file").orderBy("block")
     before = F.coalesce(F.sum("n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     header = F.first("head").over(of_file)
@@ -87,11 +107,13 @@ def read_tab_files(spark: SparkSession, path: str) -> DataFrame:
     symbol or hit column are left out (``rejected_files`` names them). row_number counts the lines of a file that are not empty, the header as 1.
 
     A file may be read in many splits: lines are numbered within their split, and a row per split tells how many come before it and
-    at which places the wanted columns are. Lines meet it by file and split, so that no file is one task.
+    at which places the wanted columns are. These rows are stored while the plan is built and, up to ``MOST_SPLITS``, sent to the
+    lines; beyond that, as of very many small files, lines meet them by file and split. So no file is one task.
     """
     lines, splits = _split_lines(spark, path)
     last = lambda c: F.when(F.array_contains("names", c), F.size("names") - F.array_position(F.reverse("names"), c)).cast("int")
-    places = splits.filter(F.size(_missing()) == 0).select("file", "block", "before", F.array(*[last(c) for c in SCREEN_COLUMNS]).alias("places"))
+    places = written(splits.filter(F.size(_missing()) == 0).select("file", "block", "before", F.array(*[last(c) for c in SCREEN_COLUMNS]).alias("places")), "splits")
+    places = F.broadcast(places) if places.count() <= MOST_SPLITS else places
     cells = lines.filter(~F.rlike("value", F.lit(_HEADER)) & (F.trim("value") != "")).withColumn("cells", F.split("value", "\t", -1)).join(places, ["file", "block"])
     wanted = [F.trim(F.get("cells", F.get("places", F.lit(k)))).alias(c.lower().replace(".", "_")) for k, c in enumerate(SCREEN_COLUMNS)]
     return cells.select(

@@ -146,3 +146,20 @@ def test_streaming(spark, tmp_path, sf_dir):
     query = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_lines_of_screen_files_are_neither_sorted_nor_shuffled(spark, tmp_path):
+    """Also where a file is read in many splits, of which the first has the header."""
+    for k in range(2):
+        text = "# SCREEN_ID\tOFFICIAL_SYMBOL\tHIT\n" + "".join(f"{k}\tg{i}\tYES\n\n" for i in range(400))
+        (tmp_path / f"SCREEN_{k}.tab.txt").write_text(text)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        rows = screens.read_tab_files(spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        found = {(r.file_screen_id, r.official_symbol): r.row_number for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert found == {(str(k), f"g{i}"): i + 2 for k in range(2) for i in range(400)}
+    assert "Sort" not in plan and "Exchange hash" not in plan
