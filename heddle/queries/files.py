@@ -13,6 +13,8 @@ from heddle.queries.registry import query
 from heddle.sources import knowledge, screens, sinks
 from heddle.storage import shared_dir
 
+PART_ROWS = 200_000  # of a part of a screen file
+
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -22,7 +24,9 @@ def _folder(spark: SparkSession, name: str) -> str:
 l_discount AS score_2, CAST(l_orderkey * 10 + l_linenumber AS DOUBLE) AS score_3, row_number FROM (SELECT *, 1 + row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_number FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE l_suppkey % 50 != 7""")
 def deposited_screens(spark, d):
     joined = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    in_files = joined.withColumn("file", F.col("l_suppkey") % 7).repartition(7, "file").sortWithinPartitions("file", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = ["file", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    parts = min(max(7, table(spark, d, "lineitem").count() // PART_ROWS), 90_000)  # parts are read in the order of their names, with five digits
+    in_files = joined.withColumn("file", F.col("l_suppkey") % 7).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     text = in_files.select(
         F.when(F.col("l_suppkey") % 50 != 7, F.col("l_suppkey").cast("string")), F.when(F.col("l_partkey") % 97 == 5, "-").otherwise(F.col("l_partkey").cast("string")), "p_name",
         F.when(F.col("l_linenumber") == 7, "-").otherwise(F.col("l_extendedprice").cast("string")), F.col("l_discount").cast("string"),
@@ -30,7 +34,7 @@ def deposited_screens(spark, d):
     ).toDF("SCREEN_ID", "IDENTIFIER_ID", "Official_Symbol", "SCORE.1", "SCORE.2", "SCORE.3", "HIT", "file")
     path = _folder(spark, "SCREEN_12")
     text.write.partitionBy("file").csv(path, sep="\t", header=True, quote="", nullValue="", emptyValue="")
-    staged = screens.staged(screens.read_tab_files(spark, path), 1)
+    staged = screens.staged(screens.read_tab_files(spark, path, in_parts=True), 1)
     return staged.select("version_id", "screen_id", "identifier_id", "gene_symbol", "hit_flag", "score_1", "score_2", "score_3", "row_number")
 
 

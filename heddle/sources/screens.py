@@ -74,15 +74,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in found], kind) for k, kind in enumerate(kinds.values())], [*kinds])
 
 
-def _split_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _split_lines(spark: SparkSession, path: str, in_parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """The lines of all files that are not empty (file, block, value, number in the block); and a row per split of a file: file, block,
-    before (lines in the splits before it) and names (the header's, null without one)."""
+    before (lines in the splits before it) and names (the header's, null without one).
+
+    ``in_parts``: the files of a folder are one, in the order of their names, and the headers of all but the first don't count.
+    """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").filter("value != ''")
     splits = lines.mapInArrow(_counted, "file string, block long, n long, head string")
     lines = lines.mapInArrow(_numbered, "file string, block long, value string, number long")
     of_file = Window.partitionBy("file").orderBy("block")
-    before = F.coalesce(F.sum("n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     header = F.first("head").over(of_file)
+    of_whole = Window.partitionBy(F.regexp_replace("file", "[^/]+$", "")).orderBy("file", "block") if in_parts else of_file
+    again = F.coalesce((F.row_number().over(of_whole) > 1) & F.rlike("head", F.lit(_HEADER)), F.lit(False)).cast("long")
+    splits = splits.withColumn("again", again)
+    before = F.coalesce(F.sum(F.col("n") - F.col("again")).over(of_whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("again")
     names = F.transform(F.split(F.regexp_replace("header", r"^#+\s*", ""), "\t"), lambda c: F.upper(F.trim(c)))
     splits = splits.select("file", "block", before.alias("before"), header.alias("header"))
     return lines, splits.select("file", "block", "before", F.when(F.rlike("header", F.lit(_HEADER)), names).alias("names"))
@@ -99,18 +105,19 @@ def rejected_files(spark: SparkSession, path: str) -> DataFrame:
     return splits.filter(F.size(_missing()) > 0).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("screen_file"), reason.alias("reason"))
 
 
-def read_tab_files(spark: SparkSession, path: str) -> DataFrame:
+def read_tab_files(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
     """All tab-separated screen files below ``path``: file_screen_id, screen_file, row_number, and one text column per header name.
 
     Files may differ in their columns, so that each is read by its own header, its first line that is not empty; the last of two columns of
     one name counts. A leading ``#`` of the header is dropped, names are matched without regard to case; files whose header lacks an id,
-    symbol or hit column are left out (``rejected_files`` names them). row_number counts the lines of a file that are not empty, the header as 1.
+    symbol or hit column are left out (``rejected_files`` names them). row_number counts the lines of a file that are not empty, the header as 1;
+    with ``in_parts`` it goes on through the files of a folder, in the order of their names, as Spark writes one table.
 
     A file may be read in many splits: lines are numbered within their split, and a row per split tells how many come before it and
     at which places the wanted columns are. These rows are stored while the plan is built and, up to ``MOST_SPLITS``, sent to the
     lines; beyond that, as of very many small files, lines meet them by file and split. So no file is one task.
     """
-    lines, splits = _split_lines(spark, path)
+    lines, splits = _split_lines(spark, path, in_parts)
     last = lambda c: F.when(F.array_contains("names", c), F.size("names") - F.array_position(F.reverse("names"), c)).cast("int")
     places = written(splits.filter(F.size(_missing()) == 0).select("file", "block", "before", F.array(*[last(c) for c in SCREEN_COLUMNS]).alias("places")), "splits")
     places = F.broadcast(places) if places.count() <= MOST_SPLITS else places

@@ -163,3 +163,12 @@ def test_lines_of_screen_files_are_neither_sorted_nor_shuffled(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert found == {(str(k), f"g{i}"): i + 2 for k in range(2) for i in range(400)}
     assert "Sort" not in plan and "Exchange hash" not in plan
+
+
+def test_rows_are_numbered_through_the_parts_of_a_folder(spark, tmp_path):
+    for part, genes in enumerate((["a", "b"], [], ["c"], ["d", "e"])):
+        folder = tmp_path / "SCREEN_5"
+        folder.mkdir(exist_ok=True)
+        (folder / f"part-0000{part}.csv").write_text("SCREEN_ID\tOFFICIAL_SYMBOL\tHIT\n" * bool(genes) + "".join(f"5\t{g}\tYES\n" for g in genes))
+    rows = screens.read_tab_files(spark, str(tmp_path / "SCREEN_5"), in_parts=True).collect()
+    assert {(r.official_symbol, r.row_number) for r in rows} == {("a", 2), ("b", 3), ("c", 4), ("d", 5), ("e", 6)}
