@@ -16,10 +16,13 @@ def gene_details(observations: DataFrame, screens: DataFrame, most_citations: in
 
     ``screens``: screen_id, pmid, author.
     """
-    counts = observations.groupBy("gene").agg(
-        F.count_distinct("screen_id").alias("screens"), F.count_distinct(F.when(F.col("hit"), F.col("screen_id"))).alias("hit_screens"), F.avg(F.when(F.col("hit"), F.col("percentile"))).alias("correlation")
+    of_hits = F.when(F.col("hit"), F.col("percentile"))
+    measured = observations.groupBy("gene", "screen_id").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"), F.sum(of_hits).alias("sum"), F.count(of_hits).alias("n"))
+    counts = measured.groupBy("gene").agg(
+        F.count("screen_id").alias("screens"), F.count_if(F.col("hit") & F.col("screen_id").isNotNull()).alias("hit_screens"), F.try_divide(F.sum("sum"), F.sum("n")).alias("correlation")
     )
-    cited = observations.filter("hit").join(screens.filter("pmid is not null"), "screen_id").select("gene", F.col("pmid").cast("string").alias("pmid"), "author").distinct()
+    papers = screens.filter("pmid is not null").hint("merge")  # else hits that look few in their file are broadcast, and one task has all
+    cited = observations.filter("hit").select("gene", "screen_id").distinct().join(papers, "screen_id").select("gene", F.col("pmid").cast("string").alias("pmid"), "author").distinct()
     first = top_k(cited, ["gene"], [F.col("pmid"), F.col("author")], most_citations).groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("pmid", "author"))).alias("citations"))
     known = counts.join(first, "gene", "left")
     return known.withColumns({"dark_score": scores.dark_score(F.col("hit_screens")), "is_bright": F.col("hit_screens") > 50, "correlation": F.coalesce("correlation", F.lit(0.0))})
