@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.functions import fixed_values as V
 
@@ -181,7 +182,8 @@ def parse_genes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         warning((F.col("n_genes") > 0) & (F.col("n_genes") < V.MIN_UPLOAD_GENES), F.lit("too few genes")),
     ))
     report = counts.withColumn("accepted", F.col("n_genes") >= V.MIN_UPLOAD_GENES).withColumn("warnings", warnings)
-    genes = parsed.filter("symbol is not null").join(report.filter("accepted").select("file"), "file", "left_semi")
+    own = parsed.withColumn("_genes", F.count("symbol").over(Window.partitionBy("file")))  # a join with the report would parse all files once more
+    genes = own.filter(F.col("symbol").isNotNull() & (F.col("_genes") >= V.MIN_UPLOAD_GENES))
     return genes.select("file", "line", "symbol", "score", "is_hit", "extra"), report
 
 

@@ -13,3 +13,8 @@ def test_prediction_verdicts_are_dealt_by_gene(spark, sf_dir):
 def test_gene_details_broadcast_no_hits(spark, sf_dir):
     plan = QUERIES["gene_details"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_partkey" in plan and "BuildLeft" not in plan
+
+
+def test_upload_signals_parse_each_file_once(spark, sf_dir):
+    plan = QUERIES["upload_signals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") + plan.count("FileScan parquet") == 1
