@@ -17,4 +17,4 @@ def test_gene_details_broadcast_no_hits(spark, sf_dir):
 
 def test_upload_signals_parse_each_file_once(spark, sf_dir):
     plan = QUERIES["upload_signals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan parquet") + plan.count("FileScan parquet") == 1
+    assert plan.count("Scan parquet") == 1
