@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.stats import correlation_p, hypergeom_sf
+from heddle.functions.stats import correlation_p, hypergeom_sf, hypergeom_tail
+from heddle.operators.windows import top_k
 from heddle.storage import written
 
 MOMENTS = ["n", "sx", "sy", "sxy", "sxx", "syy"]
@@ -510,7 +511,7 @@ class _FirstSoFar:
     """The ``k`` first partners so far of each of a block's items, by a key (smaller is better) and more keys; ``bound``: what an item's next one's key may be at most."""
 
     def __init__(self, items: np.ndarray, k: int, bound: float, slack: float = 0.0):
-        self.items, self.k, self.slack = items, k, slack
+        self.items, self.k, self.first, self.slack = items, k, bound, slack
         self.bound, self.parts, self.waiting = np.full(len(items), bound), [], 0
 
     def add(self, row: np.ndarray, keys: list[np.ndarray], others: list[np.ndarray]) -> None:
@@ -533,6 +534,15 @@ class _FirstSoFar:
         order, row = order[place < self.k], row[place < self.k]
         self.parts, self.waiting = [(row, [x[order] for x in keys], [x[order] for x in others])], 0
 
+    def widen(self, items: np.ndarray) -> None:
+        """More items, among those of before."""
+        every = np.union1d(self.items, items)
+        at = np.searchsorted(every, self.items)
+        bound = np.full(len(every), self.first)
+        bound[at] = self.bound
+        self.parts = [(at[row], keys, others) for row, keys, others in self.parts]
+        self.items, self.bound = every, bound
+
     def rows(self) -> tuple | None:
         self.shorten()
         return (self.items[self.parts[0][0]], *self.parts[0][1:]) if self.parts else None
@@ -764,6 +774,164 @@ def _measured(value: np.ndarray, hit: np.ndarray) -> np.ndarray:
     return np.ones_like(value)
 
 
+COHIT_SUMS = {"cohit": (_hit, _hit), "n": (_measured, _measured), "a_hits": (_hit, _measured), "b_hits": (_measured, _hit), "up": (_up, _up), "down": (_down, _down)}
+_MEASURED, _COHITS, _TALLY, _FIRST = 0, 1, 2, 3  # what a row of a task of co-hits tells
+_COHIT_ROW = "what int, a {0}, b {0}, cohit long, n long, a_hits long, b_hits long, same long, p double, times long"
+_BASE = 50_000  # its fourth power is a long
+
+
+def _hit_rows(observations: DataFrame, gene: str, screen: str, value: str, hit: str, min_screens: int) -> DataFrame:
+    rows = observations.filter(F.col(value).isNotNull()).select(
+        F.col(gene).alias("g"), F.col(screen).alias("s"), F.signum(F.col(value)).alias("v"), F.coalesce(F.col(hit), F.lit(False)).cast("int").alias("h")
+    )
+    return rows.join(rows.groupBy("g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_screens), "g", "left_semi") if min_screens > 1 else rows
+
+
+class _Tails:
+    """Hypergeometric tails of co-hits, each asked for once in a task."""
+
+    def __init__(self):
+        self.keys, self.p = np.zeros(0, np.int64), np.zeros(0)
+
+    def of(self, cohit: np.ndarray, n: np.ndarray, r: np.ndarray, d: np.ndarray) -> np.ndarray:
+        few, many = np.minimum(r, d), np.maximum(r, d)
+        if n.max(initial=0) >= _BASE:
+            return hypergeom_tail(cohit, n, few, many)
+        key = ((n * _BASE + many) * _BASE + few) * _BASE + cohit
+        asked, place = np.unique(key, return_inverse=True)
+        at = np.searchsorted(self.keys, asked)
+        new = np.append(self.keys, -1)[at] != asked
+        if new.any():
+            k, rest = asked[new] % _BASE, asked[new] // _BASE
+            p = hypergeom_tail(k, rest // _BASE**2, rest % _BASE, rest // _BASE % _BASE)
+            self.keys, self.p = np.insert(self.keys, at[new], asked[new]), np.insert(self.p, at[new], p)
+            at = np.searchsorted(self.keys, asked)
+        return self.p[at][place]
+
+
+class _CohitsSoFar:
+    """A task's co-hits: of its pairs the numbers measured together and with enough common hits and how often each p occurs, or each item's ``k`` first partners."""
+
+    def __init__(self, least: int, most: float, k: int | None):
+        self.least, self.most, self.k, self.tails = max(least, 1), most, k, _Tails()
+        self.measured = self.found = 0
+        self.tally: dict[float, tuple[int, int]] = {}  # of each p, how often it occurs, and the fewest common hits that have it
+        self.blocks: dict[int, _FirstSoFar] = {}
+
+    def add(self, held: PairBlock | PairRows, low: int, high: int) -> None:
+        i, j = self._cohits(held)
+        cohit = np.rint(held.at("cohit", i, j)).astype(np.int64) if isinstance(held, PairRows) or held.members > _TILE or "cohit" in held.held else held.common(_hit, _hit, i, j)
+        if self.k is None:
+            self.measured += self._measured_pairs(held)
+            self.found += len(i)
+        counts = {"n": (_measured, _measured), "a_hits": (_hit, _measured), "b_hits": (_measured, _hit)}
+        packed = isinstance(held, PairBlock) and held.members <= _TILE and not held.held.keys() & counts.keys()
+        n, a, b = (held.common(*f, i, j) if packed else np.rint(held.at(c, i, j)).astype(np.int64) for c, f in counts.items())
+        if self.most < 0.5:  # the median is the mean, rounded down or up: a tail from there on is a half or more
+            more = cohit * n > a * b
+            i, j, cohit, n, a, b = (x[more] for x in (i, j, cohit, n, a, b))
+        p = self.tails.of(cohit, n, a, b)
+        real = p <= self.most
+        if self.k is None:
+            values, place, times = np.unique(p[real], return_inverse=True, return_counts=True)
+            fewest = np.full(len(values), np.iinfo(np.int64).max)
+            np.minimum.at(fewest, place, cohit[real])
+            for value, n, few in zip(values.tolist(), times.tolist(), fewest.tolist()):
+                before = self.tally.get(value, (0, few))
+                self.tally[value] = before[0] + n, min(before[1], few)
+            return
+        i, j, cohit, n, p = (x[real] for x in (i, j, cohit, n, p))
+        same = sum(held.common(f, f, i, j) if packed else np.rint(held.at(c, i, j)).astype(np.int64) for c, f in (("up", _up), ("down", _down)))
+        expected = {"a_hits": a[real], "b_hits": b[real]}
+        left, right = held.a[i], held.b[j]
+        ends = ((low, left, right, expected["a_hits"], expected["b_hits"]), (high, right, left, expected["b_hits"], expected["a_hits"]))
+        for block, own, partner, own_hits, other_hits in ends:
+            at = self.blocks.get(block)
+            items = np.unique(own) if isinstance(held, PairRows) else (held.a if block == low else held.b)
+            if at is None:
+                at = self.blocks[block] = _FirstSoFar(items, self.k, self.most)
+            elif isinstance(held, PairRows):
+                at.widen(items)
+            row = np.searchsorted(at.items, own)
+            here = p <= at.bound[row]
+            at.add(row[here], [p[here], -cohit[here], partner[here]], [n[here], own_hits[here], other_hits[here], same[here]])
+
+    def _cohits(self, held: PairBlock | PairRows) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs with enough common hits: from each member's hits, if they are few."""
+        if isinstance(held, PairBlock) and "cohit" not in held.held:
+            (ra, ma), (rb, mb) = ((s.row[x], s.at[x]) for s in (held.sides[0], held.sides[0 if held.diagonal else 1]) for x in (s.cells[1] != 0,))
+            start, end = np.searchsorted(mb, ma, "left"), np.searchsorted(mb, ma, "right")
+            size = end - start
+            if size.sum() < 4 * len(held.a) * len(held.b):
+                right = rb[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+                times = np.bincount(np.repeat(ra, size) * len(held.b) + right, minlength=len(held.a) * len(held.b))
+                i, j = np.divmod(np.flatnonzero(times >= self.least), len(held.b))
+                return (i[i < j], j[i < j]) if held.diagonal else (i, j)
+        return held.pairs(held.sum("cohit") > self.least - 0.5)
+
+    @staticmethod
+    def _measured_pairs(held: PairBlock | PairRows) -> int:
+        """The number of pairs that share a member: their words of members are compared, some rows at a time."""
+        if isinstance(held, PairRows) or held.members > _TILE or "n" in held.held:
+            return len(held.pairs(held.sum("n") > 0.5)[0])
+        x, y = held.bits(0, _measured), np.ascontiguousarray(held.bits(1, _measured).T)
+        shared, step = 0, max(1, (1 << 15) // max(1, y.shape[1]))
+        met, more = np.empty((2, step, y.shape[1]), np.uint64)
+        for start in range(0, len(x), step):
+            some = x[start : start + step]
+            all_, one_ = met[: len(some)], more[: len(some)]
+            np.bitwise_and(some[:, :1], y[0], out=all_)
+            for w in range(1, x.shape[1]):
+                all_ |= np.bitwise_and(some[:, w : w + 1], y[w], out=one_)
+            shared += np.count_nonzero(all_)
+        return (shared - len(held.a)) // 2 if held.diagonal else shared
+
+    def rows(self) -> Iterable[pd.DataFrame]:
+        nothing = {"a": None, "b": None, "cohit": 0, "n": 0, "a_hits": 0, "b_hits": 0, "same": 0}
+        if self.k is None:
+            yield pd.DataFrame({"what": [_MEASURED, _COHITS], **nothing, "p": 0.0, "times": [self.measured, self.found]})
+            times, fewest = ([v[c] for v in self.tally.values()] for c in (0, 1))
+            yield pd.DataFrame({"what": _TALLY, **nothing, "p": [*self.tally], "times": times}).assign(cohit=fewest)
+            return
+        for block in self.blocks.values():
+            if (held := block.rows()) is not None:
+                a, (p, cohit, b), (n, own, other, same) = held
+                yield pd.DataFrame({"what": _FIRST, "a": a, "b": b, "cohit": -cohit, "n": n, "a_hits": own, "b_hits": other, "same": same, "p": p, "times": 1})
+
+
+def _cohits(rows: DataFrame, least: int, most: float, k: int | None, block_items: int, task_cells: int) -> DataFrame:
+    def finish(held: PairBlock | PairRows) -> pd.DataFrame:
+        task = _CohitsSoFar(least, most, k)
+        task.add(held, 0, 0 if isinstance(held, PairBlock) and held.diagonal else 1)
+        return pd.concat([*task.rows()] or [pd.DataFrame({c.split(" ")[0]: [] for c in _COHIT_ROW.split(", ")})])
+
+    schema = _COHIT_ROW.format(rows.schema["g"].dataType.simpleString())
+    more = {"running": lambda: _CohitsSoFar(least, most, k), "block_items": block_items, "task_cells": task_cells, "dtype": np.float32}
+    return block_pairs(rows, "g", "s", ["v", "h"], COHIT_SUMS, finish, schema, **more)
+
+
+def cohit_tally(
+    observations: DataFrame, gene: str, screen: str, value: str, hit: str, min_cohit: int, min_screens: int, most: float, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS
+) -> tuple[int, int, DataFrame]:
+    """The numbers of pairs that share a screen and that share ``min_cohit`` hits, and rows (p, times, fewest) of how many of the latter have a p of ``most`` or less, and with how few common hits.
+
+    The pairs of ``cohit_pairs``, which are counted inside the tasks: no row is made of a pair.
+    """
+    found = written(_cohits(_hit_rows(observations, gene, screen, value, hit, min_screens), min_cohit, most, None, block_items, task_cells), "tally")
+    total = {r["what"]: r["n"] for r in found.filter(F.col("what") != _TALLY).groupBy("what").agg(F.sum("times").alias("n")).collect()}
+    return total.get(_MEASURED, 0), total.get(_COHITS, 0), found.filter(F.col("what") == _TALLY).groupBy("p").agg(F.sum("times").alias("times"), F.min("cohit").alias("fewest"))
+
+
+def first_cohits(
+    observations: DataFrame, gene: str, screen: str, value: str, hit: str, min_cohit: int, min_screens: int, most: float, k: int, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS
+) -> DataFrame:
+    """Each gene's ``k`` partners (rows as of ``cohit_pairs``, in both directions, with rank) of the smallest p, ``most`` or less; then by more common hits, then the smaller one."""
+    found = _cohits(_hit_rows(observations, gene, screen, value, hit, min_screens), min_cohit, most, k, block_items, task_cells)
+    kept = top_k(found, ["a"], [F.col("p"), F.desc("cohit"), F.col("b")], k)
+    expected = F.col("a_hits") * F.col("b_hits") / F.col("n")
+    return kept.select("a", "b", "cohit", "n", "a_hits", "b_hits", expected.alias("expected"), (F.col("cohit") / expected).alias("fold"), "p", (F.col("same") / F.col("cohit")).alias("concordance"), "rank")
+
+
 def cohit_pairs(
     observations: DataFrame, gene: str, screen: str, value: str, hit: str, min_cohit: int = 3, min_screens: int = 1, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS
 ) -> DataFrame:
@@ -773,12 +941,7 @@ def cohit_pairs(
     Each block of genes is a set of planes (measured, hit, hit upwards, hit downwards) over its screens. A pair of blocks is one product
     for the common hits; only of pairs with ``min_cohit`` of them the other counts are taken. Observations are one per gene and screen.
     """
-    rows = observations.filter(F.col(value).isNotNull()).select(
-        F.col(gene).alias("g"), F.col(screen).alias("s"), F.signum(F.col(value)).alias("v"), F.coalesce(F.col(hit), F.lit(False)).cast("int").alias("h")
-    )
-    if min_screens > 1:
-        rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_screens), "g", "left_semi")
-    sums = {"cohit": (_hit, _hit), "n": (_measured, _measured), "a_hits": (_hit, _measured), "b_hits": (_measured, _hit), "up": (_up, _up), "down": (_down, _down)}
+    rows, sums = _hit_rows(observations, gene, screen, value, hit, min_screens), COHIT_SUMS
 
     def counts(held: PairBlock) -> pd.DataFrame:
         i, j = held.pairs(held.sum("cohit") > max(min_cohit, 1) - 0.5)

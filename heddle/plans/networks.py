@@ -19,8 +19,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from heddle.operators.graph import both_ways
-from heddle.operators.pairwise import Factor, PairBlock, PairRows, best_partners, cohit_pairs, count_pairs, present
-from heddle.operators.windows import add_least_from, add_reciprocal, bh_threshold_of, fdr_sweep, top_k, value_ranks
+from heddle.operators.pairwise import Factor, PairBlock, PairRows, best_partners, cohit_tally, count_pairs, first_cohits, present
+from heddle.operators.windows import add_least_from, add_reciprocal, add_running_total, bh_threshold_of, fdr_sweep, top_k
 from heddle.storage import rewritten, written
 
 COLUMNS, MOST_COLUMNS, KEPT_COLUMNS = 2, 60, 20  # vectors that a round adds to the basis, how many it has before it is begun anew, and with how many
@@ -322,16 +322,23 @@ def cohit_network(observations: DataFrame, tested: int | None = None, min_cohit:
 
     ``tested``: the number of ordered pairs counted as tests; by default all pairs of genes measured together, a
     gene with itself included. q_ref is min(1, p x tested / candidates); q_bh the monotone adjusted p-value.
+
+    Pairs are measured twice: once to count tests and p-values, and once, with the threshold known, for each gene's best partners that pass it. No
+    pair becomes a row but these: the threshold, at which rank / tested x ``alpha`` is reached, is ``alpha`` or less, and an adjusted
+    p-value that passes it depends on p-values that do, as larger ones are adjusted to more than ``alpha``.
     """
-    pairs = written(cohit_pairs(observations, "gene", "screen_id", "percentile", "hit", min_cohit, min_screens), "cohits")
-    both = both_ways(pairs.drop("a_hits", "b_hits"))
+    columns = (observations, "gene", "screen_id", "percentile", "hit")
+    measured, found, tally = cohit_tally(*columns, min_cohit, min_screens, alpha)
+    tally = written(tally, "tally")
     if tested is None:
-        tested = measured_pairs(observations, min_screens)
-    ranks = value_ranks(both, "p")
-    limit = bh_threshold_of(ranks, tested, alpha).join(F.broadcast(both.agg(F.count("*").alias("candidates"))))
-    best = top_k(both, ["a"], [F.col("p"), F.desc("cohit"), F.col("b")], k).join(F.broadcast(limit)).filter(F.col("p") <= F.col("threshold"))
+        rows = observations.filter("percentile is not null")
+        tested = 2 * measured + rows.groupBy("gene").agg(F.count("*").alias("n")).filter(F.col("n") >= min_screens).count()
+    ranks = add_running_total(tally.select("p", (2 * F.col("times")).alias("n")), "p", "n", "k")
+    threshold = bh_threshold_of(ranks, tested, alpha).first()["threshold"]
+    fewest = tally.filter(F.col("p") <= threshold).agg(F.min("fewest")).first()[0]  # no pair with fewer common hits passes
+    best = written(first_cohits(*columns, max(min_cohit, fewest or 0), min_screens, threshold, k), "best").withColumn("candidates", F.lit(2 * found))
     edges = add_reciprocal(best, "a", "b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"])
-    steps = ranks.withColumn("q", F.least(F.lit(1.0), F.col("p") * tested / F.col("k")))
+    steps = ranks.filter(F.col("p") <= threshold).withColumn("q", F.least(F.lit(1.0), F.col("p") * tested / F.col("k")))
     adjusted = add_least_from(steps, "p", "q", "q_bh")
     return edges.join(adjusted.select("p", "q_bh"), "p").select(
         "a", "b", "cohit", F.round("expected", 3).alias("expected"), F.round("fold", 3).alias("fold"), "p",
