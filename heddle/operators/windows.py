@@ -9,7 +9,18 @@ from pyspark.sql.window import Window
 from heddle.functions.fixed_values import MAD_TO_SIGMA
 from heddle.storage import written
 
-ROUNDING = 1e-12  # what sums of percentiles in different orders may differ by; two means that differ do so by more
+_UNITS = 2.0**53  # percentiles, which are 2 q - 1 in double precision, are multiples of its inverse
+
+
+def positive_mean(value: str) -> Column:
+    """Whether the mean of a group's values is above 0: an aggregate that does not depend on the order of the rows.
+
+    Values are summed exactly, as multiples of 2**-53, which percentiles are; finer digits are rounded. Where one is not finite or
+    1,000 or more in size, the mean is taken in double precision.
+    """
+    units = (F.col(value) * _UNITS).try_cast("decimal(19,0)")
+    whole = F.count(units) == F.count(value)
+    return F.when(whole, F.sum(units) > 0).otherwise(F.avg(value) > 0)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -174,16 +185,15 @@ def sum_layers(df: DataFrame, by: list[str], layer: str, node: str, weight: str)
 def flip_by_anchor(df: DataFrame, by: list[str], member: str, panel: DataFrame, value: str, least: int = 3) -> DataFrame:
     """Negates the values of groups in which a panel, that must be negative, has a positive mean over ``least`` members.
 
-    ``panel`` has the column ``member`` and is broadcast by Spark where small. A mean within ``ROUNDING`` of 0 is 0, in whatever order it was summed.
+    ``panel`` has the column ``member`` and is broadcast by Spark where small. The mean's sign does not depend on the order of its values (``positive_mean``).
     """
-    means = df.join(panel, member, "left_semi").groupBy(*by).agg(F.avg(value).alias("_mean"), F.count(value).alias("_n"))
-    wrong = (F.col("_n") >= least) & (F.col("_mean") > ROUNDING)
-    flipped = F.coalesce(wrong, F.lit(False))
+    means = df.join(panel, member, "left_semi").groupBy(*by).agg(positive_mean(value).alias("_positive"), F.count(value).alias("_n"))
+    flipped = F.coalesce((F.col("_n") >= least) & F.col("_positive"), F.lit(False))
     return (
         df.join(means, by, "left")
         .withColumn("flipped", flipped)
         .withColumn(value, F.when(flipped, -F.col(value)).otherwise(F.col(value)))
-        .drop("_mean", "_n")
+        .drop("_positive", "_n")
     )
 
 

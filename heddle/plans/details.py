@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions import rules, scores
 from heddle.operators import graph, pairwise
 from heddle.operators.graph import both_ways, induced
-from heddle.operators.windows import ROUNDING, first_per_key, top_k
+from heddle.operators.windows import first_per_key, positive_mean, top_k
 
 
 def gene_details(observations: DataFrame, screens: DataFrame, most_citations: int = 5) -> DataFrame:
@@ -187,13 +187,13 @@ def context_power(contexts: DataFrame, by: str, least: int) -> DataFrame:
 def veto_directions(scores_: DataFrame, screens: DataFrame, directions: DataFrame, panel: DataFrame, least: int = 3) -> DataFrame:
     """Proposed directions with conflict = true where core-essential genes end up positive in a knockout viability screen.
 
-    ``scores_``: screen_id, gene, percentile as the direction makes them. ``panel``: gene. A mean of 0 but for rounding is not positive.
+    ``scores_``: screen_id, gene, percentile as the direction makes them. ``panel``: gene. The sign of a mean does not depend on the order of its values.
     """
-    means = scores_.join(panel, "gene", "left_semi").groupBy("screen_id").agg(F.count("percentile").alias("n_panel"), F.avg("percentile").alias("panel_mean"))
+    means = scores_.join(panel, "gene", "left_semi").groupBy("screen_id").agg(F.count("percentile").alias("n_panel"), F.avg("percentile").alias("panel_mean"), positive_mean("percentile").alias("_positive"))
     viable = screens.withColumn("_viable", rules.is_viability_knockout(F.col("methodology"), F.col("phenotype"), F.col("rationale"))).select("screen_id", "_viable")
     joined = directions.join(means, "screen_id", "left").join(viable, "screen_id", "left")
-    conflict = F.coalesce(F.col("_viable") & (F.col("n_panel") >= least) & (F.col("panel_mean") > ROUNDING), F.lit(False))
-    return joined.withColumn("conflict", conflict).drop("_viable")
+    conflict = F.coalesce(F.col("_viable") & (F.col("n_panel") >= least) & F.col("_positive"), F.lit(False))
+    return joined.withColumn("conflict", conflict).drop("_viable", "_positive")
 
 
 def anchored_correlations(observations: DataFrame, least: int) -> DataFrame:
