@@ -30,12 +30,14 @@ TASK_CELLS = 1 << 20  # measured values of a task, about
 _TILE = 2048  # members multiplied at a time
 _MERGED = 8  # slices of a pair of blocks whose sums are added in one task
 _SPARSE = 100  # products of a dense block that take the time of one pair of cells with a common member
-_PAIRS = 1 << 22  # pairs of cells with a common member that a task holds at a time
+_PAIRS = 1 << 19  # pairs of cells with a common member that a task holds at a time
 _BLOCK_PAIRS = 40_000_000  # such pairs of a block's cells, about
 _RANGE = 64  # blocks of a range, at most: a task holds the records of one range, and reads another
 _LONG = 1e3  # rows in single precision are shorter than this, so that their products stay exact enough to leave pairs out
+_FEW_PAIRS = 4  # pairs with common hits for each gene, at most, that are joined with all rows
 _COUNTED = 1 << 16  # pairs of blocks have common members counted for all pairs at once, where so many are asked for
-_SENT = 8  # how often a cell is sent, on the average, at most
+_SENT = 6  # how often a block of sparse data is sent to others, on the average, at most
+_NEAR = 4  # blocks of sparse data in a range, where they are not sent
 
 #: A factor takes a cell's values, one array for each value column.
 Factor = Callable[..., np.ndarray]
@@ -204,34 +206,72 @@ class _SomePairs:
         return x * y
 
 
+class _Cells:
+    """A block's cells by member, then item: of each cell the item's number and the values, of each member where its cells start and how many it has."""
+
+    def __init__(self, items: np.ndarray, members: np.ndarray, places: bytes, data: bytes, columns: int, totals: list[str]):
+        self.items, self.members = np.asarray(items), np.asarray(members)
+        self.counts, self.row = np.split(np.frombuffer(places, np.int32), [len(self.members)])
+        self.starts = np.cumsum(self.counts, dtype=np.int64) - self.counts
+        own = np.frombuffer(data, float)
+        self.values = [own[k * len(self.row) : (k + 1) * len(self.row)] for k in range(columns)]
+        self.totals = dict(zip(totals, own[columns * len(self.row) :].reshape(len(totals), len(self.items))))
+        self.by_row = np.argsort(self.row, kind="stable")
+        self.held: dict[Factor, np.ndarray] = {}
+
+    @staticmethod
+    def packed(items: np.ndarray, member: np.ndarray, values: list[np.ndarray], totals: dict[str, Factor]) -> dict:
+        items, row = np.unique(items, return_inverse=True)
+        order = np.lexsort((row, member))
+        members, counts = np.unique(member, return_counts=True)
+        sums = [np.bincount(row, f(*values), len(items)) for f in totals.values()]
+        places = np.concatenate([counts, row[order]]).astype(np.int32).tobytes()
+        return {"items": [items.tolist()], "members": [members], "places": [places], "data": [b"".join(x.astype(float).tobytes() for x in (*(v[order] for v in values), *sums))]}
+
+    def factor(self, f: Factor) -> np.ndarray:
+        if f not in self.held:
+            self.held[f] = np.asarray(f(*self.values), float)
+        return self.held[f]
+
+
 class PairRows:
-    """``PairBlock`` of the pairs that share a member only, each once: ``a``, ``b``, sums and totals have one entry for each of them."""
-
-    def __init__(self, items: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, factors: Callable, sums: dict, totals: dict):
-        self.left, self.right, self.factors, self.sums, self.item_totals = left, right, factors, sums, totals
-        low, width = row[left[0]], int(row[right].max()) + 1
-        flat = (row[left] - low) * width + row[right]
-        span = (int(row[left[-1]]) - int(low) + 1) * width
-        if span <= 4 * len(left) + 1024:
+    """``PairBlock`` of the pairs that share a member only, each once: ``a``, ``b``, sums and totals have one entry for each of them.
+
+    ``both``: each pair is there in both directions, and ``a``'s partners of the other block are all in one such object.
+    """
+
+    def __init__(self, sides: tuple[_Cells, _Cells], left: np.ndarray, right: np.ndarray, sums: dict, both: bool):
+        self.sides, self.left, self.right, self.sums, self.both = sides, left, right, sums, both
+        own, other = sides
+        row, width = own.row[left], len(other.items)
+        low = int(row[0])
+        flat = (row - low).astype(np.int64) * width + other.row[right]
+        span = (int(row[-1]) - low + 1) * width
+        if span <= 8 * len(left) + 1024:
             self.flat, self.span = flat, span
             self.count = np.bincount(flat, minlength=span)
+            if own is other:
+                self.count[np.arange(low, int(row[-1]) + 1) * (width + 1) - low * width] = 0  # an item with itself
             self.seen = np.flatnonzero(self.count)
             self.count, found = self.count[self.seen].astype(float), self.seen
         else:
+            if own is other:
+                real = row != other.row[right]
+                self.left, self.right, flat = left[real], right[real], flat[real]
             found, self.flat, self.count = np.unique(flat, return_inverse=True, return_counts=True)
             self.count, self.span, self.seen = self.count.astype(float), len(found), np.arange(len(found))
         self.ends = (found // width + low, found % width)
-        self.a, self.b = items[self.ends[0]], items[self.ends[1]]
+        self.a, self.b = own.items[self.ends[0]], other.items[self.ends[1]]
         self.held: dict[str, np.ndarray] = {}
         self.picked: tuple | None = None
 
     def _products(self, name: str, rows: np.ndarray | slice) -> np.ndarray:
         f, g = self.sums[name]
-        return self.factors(f)[self.left[rows]] * self.factors(g)[self.right[rows]]
+        return self.sides[0].factor(f)[self.left[rows]] * self.sides[1].factor(g)[self.right[rows]]
 
     def sum(self, name: str) -> np.ndarray:
         if name not in self.held:
-            counted = self.sums[name] == (one, one)
+            counted = all(f in (one, present, _measured) for f in self.sums[name])
             self.held[name] = self.count if counted else np.bincount(self.flat, self._products(name, slice(None)), self.span)[self.seen]
         return self.held[name]
 
@@ -249,7 +289,7 @@ class PairRows:
         return np.bincount(of, self._products(name, rows), n)[at]
 
     def total(self, side: int, name: str) -> np.ndarray:
-        return self.item_totals[name][self.ends[side]]
+        return self.sides[side].totals[name][self.ends[side]]
 
     def pairs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = np.flatnonzero(wanted)
@@ -260,89 +300,96 @@ class PairRows:
         return x * y
 
 
-def _cell_pairs(frame: pd.DataFrame, low: int, given: list[str], sums: dict, totals: list[str]) -> Iterable[PairRows]:
-    """The pairs of a pair of blocks' items by their cells, some items of the lower block at a time."""
-    items, row = np.unique(frame["item"].to_numpy(), return_inverse=True)
-    member = np.unique(frame["member"].to_numpy(), return_inverse=True)[1]
-    other = frame["block"].to_numpy() != low
-    order = np.lexsort((row, other, member))
-    row, member, other = row[order], member[order], other[order]
-    cells = [frame[c].to_numpy(float)[order] for c in given]
-    own = {}
-    for k, name in enumerate(totals):
-        own[name] = np.zeros(len(items))
-        own[name][row] = frame[f"t{k}"].to_numpy(float)[order]
-    held: dict[Factor, np.ndarray] = {}
-
-    def factors(f: Factor) -> np.ndarray:
-        if f not in held:
-            held[f] = np.asarray(f(*cells), float)
-        return held[f]
-
-    end = np.searchsorted(member, member, "right")
-    if other.any():
-        start = np.searchsorted(member * 2 + other, member * 2 + 1)
-        left = np.flatnonzero(~other)
-    else:
-        start, left = np.arange(len(row)) + 1, np.arange(len(row))
-    left = left[end[left] > start[left]]
-    left = left[np.argsort(row[left], kind="stable")]
+def _cell_pairs(own: _Cells, other: _Cells, sums: dict, both: bool) -> Iterable[PairRows]:
+    """The pairs of two blocks' items by their cells, some items of the first block at a time; of one block each once, or ``both`` ways."""
+    place = np.minimum(np.searchsorted(other.members, own.members), len(other.members) - 1)
+    met = other.members[place] == own.members
+    n, start = (np.repeat(x, own.counts) for x in (np.where(met, other.counts[place], 0), other.starts[place]))
+    if own is other and not both:  # of each cell, those after it
+        at = np.arange(len(own.row))
+        n, start = n - (at - start) - 1, at + 1
+    left = own.by_row[n[own.by_row] > 0]
     if not len(left):
         return
-    n = end[left] - start[left]
-    of_item = np.bincount(row[left], n)
-    batch = ((np.cumsum(of_item) - of_item) // _PAIRS)[row[left]]
-    for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(batch)) + 1):
+    of_item = np.bincount(own.row[left], n[left], len(own.items))
+    ends = np.cumsum(of_item)[own.row[left]]
+    of_item = of_item[own.row[left]]
+    batch = (ends - of_item) // _PAIRS
+    for part in np.split(left, np.flatnonzero(np.diff(batch)) + 1):
         size = n[part]
-        right = np.arange(size.sum()) + np.repeat(start[left[part]] - (np.cumsum(size) - size), size)
-        yield PairRows(items, row, np.repeat(left[part], size), right, factors, sums, own)
+        right = np.arange(size.sum()) + np.repeat(start[part] - (np.cumsum(size) - size), size)
+        yield PairRows((own, other), np.repeat(part, size), right, sums, both)
 
 
 def _shared_pairs(
-    rows: DataFrame, within: list[str], given: list[str], sums: dict, totals: dict, finish: Callable, merge: Callable | None, schema: str, cells: int, cell_pairs: int,
+    rows: DataFrame, within: list[str], given: list[str], sums: dict, totals: dict, finish: Callable, merge: Callable | None, schema: str, cells: int, cell_pairs: int, both: bool,
 ) -> DataFrame:
     """``block_pairs`` of sparse data: cells (``within``, item, member, values) meet only where a member is shared.
 
-    Blocks are ranges of items. A cell is sent to the pairs of blocks that its member has items of; blocks are joined
-    until a cell is sent ``_SENT`` times or less. A pair of items is in one task with all that it shares. Stored once while the plan is built.
+    Blocks are ranges of items, one record each. A task has one block and reads, one after the other, the blocks that share a member with it, or where
+    most do, ranges of blocks (as in ``_met``): it holds two blocks and ``_PAIRS`` pairs of cells at a time, however the members are dealt over blocks. What ``finish`` makes leaves the task at once, or with ``merge`` once for each block.
     """
-    blocks = max(1, math.ceil(cells / TASK_CELLS), math.ceil(cell_pairs / _BLOCK_PAIRS))
+    spark = rows.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(cells / TASK_CELLS), min(tasks, math.ceil(cell_pairs / _BLOCK_PAIRS)))
+    kind = rows.schema["item"].dataType.simpleString()
+    head = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in within)
+
+    def pack(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        frames = [*frames]
+        if not frames:
+            return
+        frame = pd.concat(frames)
+        for key, part in frame.groupby(within, sort=False, dropna=False) if within else [((), frame)]:
+            found = _Cells.packed(part["item"].to_numpy(), part["member"].to_numpy(), [part[c].to_numpy(float) for c in given], totals)
+            yield pd.DataFrame({**{c: [k] for c, k in zip(within, key)}, "block": [int(part["block"].iloc[0])], **found})
+
     ranged = rows.repartitionByRange(blocks, *within, "item").withColumn("block", F.spark_partition_id())
-    kinds = {f.name: f.dataType.simpleString() for f in ranged.schema.fields}
-    if totals:
-        def with_totals(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            frame = pd.concat([*frames] or [pd.DataFrame({c: [] for c in kinds})])  # a block's cells: an item is in one block
-            item = frame.groupby([*within, "item"], sort=False, dropna=False).ngroup().to_numpy()
-            values = [frame[c].to_numpy(float) for c in given]
-            yield frame.assign(**{f"t{k}": np.bincount(item, f(*values), 1)[item] for k, f in enumerate(totals.values())}) if len(frame) else frame.assign(**{f"t{k}": [] for k in range(len(totals))})
-
-        ranged = ranged.mapInPandas(with_totals, ", ".join([*[f"`{c}` {kind}" for c, kind in kinds.items()], *[f"t{k} double" for k in range(len(totals))]]))
-    ranged = written(ranged, "ranged")
-    joined = lambda by: F.array_distinct(F.transform("blocks", lambda b: F.floor(b / F.lit(by)).cast("int")))
-    met = ranged.groupBy(*within, "member").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("d")).filter("d > 1")
-    steps = [1 << k for k in range(blocks.bit_length() + 1)]
-    sent = met.agg(*[F.sum(F.col("d") * F.size(joined(by))).alias(str(by)) for by in steps]).first()
-    by = next(by for by in steps if by == steps[-1] or (sent[str(by)] or 0) <= _SENT * cells)
-    routes = met.select(*within, "member", joined(by).alias("others"))
-    kept = [c for c in ranged.columns if c not in (*within, "member", "block")]
-    routed = ranged.withColumn("block", F.floor(F.col("block") / F.lit(by)).cast("int")).join(routes, [*within, "member"])
-    routed = routed.withColumn("other", F.explode("others")).select(*within, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "member", *kept)
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts: list[pd.DataFrame] = []
-        for held in _cell_pairs(frame, key[len(within)], given, sums, list(totals)):
-            parts.append(finish(held))
-            if merge and len(parts) == _MERGED:
-                parts = [merge(pd.concat(parts))]
-        found = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in names})
-        found = merge(found) if merge and parts else found
-        for k, c in enumerate(within):
-            found.insert(k, c, key[k])
-        return found
+    packed = written(ranged.mapInPandas(pack, f"{head}block int, items array<{kind}>, members array<bigint>, places binary, data binary"), "packed")
+    seen = packed.select(*within, "block", F.explode("members").alias("member")).groupBy(*within, "member").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select(*within, "blocks").distinct()
+    near = seen.select(*within, "blocks", F.explode("blocks").alias("low")).select(*within, "low", F.explode("blocks").alias("block"))
+    near = written((near if both else near.filter("low <= block")).distinct(), "near")
+    record, width = ["items", "members", "places", "data"], len(given)
+
+    def of(row: dict, more: str = "") -> _Cells:
+        return _Cells(*(row[c + more] for c in record), width, [*totals])
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        left, parts = None, []
+
+        def given_out(parts: list[pd.DataFrame], key: tuple) -> Iterable[pd.DataFrame]:
+            for found in parts:
+                for k, c in enumerate(within):
+                    found.insert(k, c, key[k])
+                yield found
 
-    head = "".join(f"`{c}` {kinds[c]}, " for c in within)
-    return routed.groupBy(*within, "low", "high").applyInPandas(run, head + schema)
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                key, low, high = tuple(row[c] for c in within), row["low"], row["block"]
+                if left is None or left[0] != (key, low):
+                    if parts:
+                        yield from given_out([merge(pd.concat(parts))], left[0][0])
+                    left, parts = ((key, low), of(row)), []
+                for held in _cell_pairs(left[1], left[1] if low == high else of(row, "2" if "data2" in row else ""), sums, both):
+                    if merge is None:
+                        yield from given_out([finish(held)], key)
+                    else:
+                        parts.append(finish(held))
+                        if sum(map(len, parts)) > max(2 * len(parts[0]), _PAIRS):
+                            parts = [merge(pd.concat(parts))]
+        if parts:
+            yield from given_out([merge(pd.concat(parts))], left[0][0])
+
+    if near.count() <= _SENT * packed.count():
+        first = [*within, "low", F.col("low") != F.col("block"), "block"]
+        sent = packed.join(F.broadcast(near), [*within, "block"]).repartitionById(blocks, "low").sortWithinPartitions(*first)
+        return sent.select(*within, "low", "block", *record).mapInPandas(run, head + schema)
+    ranges = max(1, math.ceil(blocks / _NEAR))
+    ways = packed.repartitionByRange(ranges, "block")
+    other = ways.select(*[F.col(c).alias(f"{c}2") for c in ways.columns])
+    where = [F.lit(True) if both else F.col("block") <= F.col("block2"), *[F.col(c) == F.col(f"{c}2") for c in within]]
+    met = ways.hint("shuffle_replicate_nl").join(other, reduce(Column.__and__, where))
+    return met.select(*within, F.col("block").alias("low"), F.col("block2").alias("block"), *record, *[f"{c}2" for c in record]).mapInPandas(run, head + schema)
 
 
 def _record(items: np.ndarray, row: np.ndarray, member: np.ndarray, cells: list[np.ndarray]) -> dict:
@@ -416,7 +463,7 @@ def _met(packed: DataFrame, within: list[str], blocks: int) -> DataFrame:
 def block_pairs(
     values: DataFrame, item: str, member: str, columns: list[str], sums: dict[str, tuple[Factor, Factor]], finish: Callable[[PairBlock], pd.DataFrame], schema: str,
     within: list[str] | None = None, totals: dict[str, Factor] | None = None, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS, dtype: type = float,
-    merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, running: Callable | None = None,
+    merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, running: Callable | None = None, both: bool = False,
 ) -> DataFrame:
     """The rows (``within``, then ``schema``) that ``finish`` makes of each pair of blocks of items.
 
@@ -428,6 +475,7 @@ def block_pairs(
 
     Where pairs share few of the members, ``finish`` gets ``PairRows`` instead of ``PairBlock``, with the same sums, of pairs that share
     one; others must not count for it. ``merge`` may shorten what several calls of ``finish`` in one task have made.
+    With ``both``, each pair is in ``PairRows`` in both directions, and all of an item's are in one task where blocks are few that share members.
     ``running`` makes what takes the place of ``finish`` in a task that meets many pairs of blocks: it has ``add(held, low, high)`` for a
     pair of blocks, and ``rows()``, the frames of all of them. Only without ``within``.
     """
@@ -438,10 +486,10 @@ def block_pairs(
     size = rows.agg(F.count("*").alias("cells"), F.approx_count_distinct("item").alias("items")).first()
     shared = rows.groupBy(*within, "member").agg(F.count("*").alias("d")).groupBy(*within).agg(F.count("*").alias("members"), F.sum(F.expr("d * (d - 1) / 2")).alias("shared"))
     items = rows.groupBy(*within).agg(F.approx_count_distinct("item").alias("items"))
-    both = shared.join(items, within) if within else shared.crossJoin(items)
-    work = both.agg(F.sum("shared").alias("shared"), F.sum(F.expr("members * (double(items) * items / 2)")).alias("dense")).first()
+    joined = shared.join(items, within) if within else shared.crossJoin(items)
+    work = joined.agg(F.sum("shared").alias("shared"), F.sum(F.expr("members * (double(items) * items / 2)")).alias("dense")).first()
     if (work["shared"] or 0) * _SPARSE < (work["dense"] or 0):
-        return _shared_pairs(rows, within, given, sums, totals, finish, merge, schema, size["cells"], int(work["shared"]))
+        return _shared_pairs(rows, within, given, sums, totals, finish, merge, schema, size["cells"], int(work["shared"]), both)
     blocks = max(1, math.ceil(size["items"] / block_items))
     slices = max(1, math.ceil(2 * size["cells"] / (blocks * task_cells)))
     kind = values.schema[item].dataType.simpleString()
@@ -701,6 +749,19 @@ class _StrongestSoFar:
                 yield pd.DataFrame({"a": a, "b": b, "r": r, "key": -key} | ({"support": n} if self.support else {}))
 
 
+def _leading(row: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Places of the entries that are among their row's ``k`` largest keys, with ties; equal rows are adjacent."""
+    start = np.flatnonzero(np.diff(row, prepend=-1))
+    n = np.diff(start, append=len(row))
+    most = int(n.max(initial=0))
+    if most <= k or len(n) * most > 8 * len(row):  # few to leave out, or rows too different for one table
+        return np.arange(len(row))
+    table = np.full((len(n), most), -np.inf)
+    at = np.repeat(np.arange(len(n)), n)
+    table[at, np.arange(len(row)) - start[at]] = key
+    return np.flatnonzero(key >= np.partition(table, most - k, axis=1)[at, most - k])
+
+
 def best_partners(
     values: DataFrame, item: str, member: str, columns: list[str], sums: dict[str, tuple[Factor, Factor]], totals: dict[str, Factor],
     strength: Callable[[PairBlock], np.ndarray], k: int, support: str | None = None, digits: int | None = None, floor: float = -np.inf, least: int = 0,
@@ -730,10 +791,10 @@ def best_partners(
             r[~(held.sum(support) > least - 0.5)] = np.nan
         if isinstance(held, PairRows):
             i, _ = held.pairs(np.isfinite(r))
+            i = i[_leading(held.ends[0][i], r[i] if digits is None else np.round(r[i], digits), k)]
             key = r[i] if digits is None else np.round(r[i], digits)
             shared = {"support": np.rint(held.at(support, i, i)).astype(np.int64)} if support else {}
-            ways = ((held.a[i], held.b[i]), (held.b[i], held.a[i]))
-            return strongest(pd.concat([pd.DataFrame({"a": a, "b": b, "r": r[i], "key": key, **shared}) for a, b in ways]))
+            return strongest(pd.DataFrame({"a": held.a[i], "b": held.b[i], "r": r[i], "key": key, **shared}))
         if held.diagonal:
             np.fill_diagonal(r, np.nan)
         parts = []
@@ -754,7 +815,7 @@ def best_partners(
     kind = values.schema[item].dataType.simpleString()
     schema = f"a {kind}, b {kind}, r double, key double" + (", support long" if support else "")
     running = lambda: _StrongestSoFar(strength, k, support, digits, floor, least, rows)
-    found = block_pairs(values, item, member, columns, sums, best, schema, totals=totals, block_items=block_items, task_cells=task_cells, merge=strongest, running=running)
+    found = block_pairs(values, item, member, columns, sums, best, schema, totals=totals, block_items=block_items, task_cells=task_cells, merge=strongest, running=running, both=True)
     order = Window.partitionBy("a").orderBy(F.desc("key"), "b")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("key")
 
@@ -1042,6 +1103,18 @@ def first_cohits(
     return kept.select("a", "b", "cohit", "n", "a_hits", "b_hits", expected.alias("expected"), (F.col("cohit") / expected).alias("fold"), "p", (F.col("same") / F.col("cohit")).alias("concordance"), "rank")
 
 
+def _common_hits(rows: DataFrame, least: int, block_items: int, task_cells: int) -> DataFrame:
+    """Pairs (a < b, cohit) of genes with ``least`` common hits or more, from the hits alone."""
+    def counts(held: PairBlock | PairRows) -> pd.DataFrame:
+        i, j = held.pairs(held.sum("cohit") > least - 0.5)
+        a, b = held.a[i], held.b[j]
+        return pd.DataFrame({"a": np.where(a > b, b, a), "b": np.where(a > b, a, b), "cohit": np.rint(held.at("cohit", i, j)).astype(np.int64)})
+
+    kind = rows.schema["g"].dataType.simpleString()
+    hits = rows.filter("h = 1").select("g", "s", "h")
+    return block_pairs(hits, "g", "s", ["h"], {"cohit": (one, one)}, counts, f"a {kind}, b {kind}, cohit long", block_items=block_items, task_cells=task_cells, dtype=np.float32)
+
+
 def cohit_pairs(
     observations: DataFrame, gene: str, screen: str, value: str, hit: str, min_cohit: int = 3, min_screens: int = 1, block_items: int = BLOCK_ITEMS, task_cells: int = TASK_CELLS
 ) -> DataFrame:
@@ -1049,9 +1122,23 @@ def cohit_pairs(
     these, expected, fold, p and concordance (share of common hits with the same strict sign).
 
     Each block of genes is a set of planes (measured, hit, hit upwards, hit downwards) over its screens. A pair of blocks is one product
-    for the common hits; only of pairs with ``min_cohit`` of them the other counts are taken. Observations are one per gene and screen.
+    for the common hits; only of pairs with ``min_cohit`` of them the other counts are taken. Where these are few for the genes (``_FEW_PAIRS``), blocks
+    hold hits only, and the pairs' other counts come from joins with all rows. Observations are one per gene and screen. Stored while the plan is built.
     """
-    rows, sums = _hit_rows(observations, gene, screen, value, hit, min_screens), COHIT_SUMS
+    rows, sums = written(_hit_rows(observations, gene, screen, value, hit, min_screens), "measured"), COHIT_SUMS
+    expected = F.col("a_hits") * F.col("b_hits") / F.col("n")
+    of_pair = [
+        "a", "b", "cohit", "n", "a_hits", "b_hits", expected.alias("expected"), (F.col("cohit") / expected).alias("fold"),
+        hypergeom_sf("cohit", "n", "a_hits", "b_hits").alias("p"), (F.col("same") / F.col("cohit")).alias("concordance"),
+    ]
+    few = written(_common_hits(rows, max(min_cohit, 1), block_items, task_cells), "cohits")
+    if few.count() <= _FEW_PAIRS * rows.agg(F.approx_count_distinct("g")).first()[0]:
+        x, y = (rows.select(F.col("g").alias(end), "s", *[F.col(c).alias(f"{c}_{end}") for c in ("v", "h")]) for end in ("a", "b"))
+        both_hit = (F.col("h_a") == 1) & (F.col("h_b") == 1)
+        counts = few.join(x, "a").join(y, ["b", "s"]).groupBy("a", "b", "cohit").agg(
+            F.count("*").alias("n"), F.sum("h_a").alias("a_hits"), F.sum("h_b").alias("b_hits"), F.count_if(both_hit & (F.col("v_a") * F.col("v_b") > 0)).alias("same")
+        )
+        return counts.select(*of_pair)
 
     def counts(held: PairBlock) -> pd.DataFrame:
         i, j = held.pairs(held.sum("cohit") > max(min_cohit, 1) - 0.5)
@@ -1067,11 +1154,7 @@ def cohit_pairs(
     kind = observations.schema[gene].dataType.simpleString()
     schema = f"a {kind}, b {kind}, cohit long, n long, a_hits long, b_hits long, same long"
     pairs = block_pairs(rows, "g", "s", ["v", "h"], sums, counts, schema, block_items=block_items, task_cells=task_cells, dtype=np.float32)
-    expected = F.col("a_hits") * F.col("b_hits") / F.col("n")
-    return pairs.select(
-        "a", "b", "cohit", "n", "a_hits", "b_hits", expected.alias("expected"), (F.col("cohit") / expected).alias("fold"),
-        hypergeom_sf("cohit", "n", "a_hits", "b_hits").alias("p"), (F.col("same") / F.col("cohit")).alias("concordance"),
-    )
+    return pairs.select(*of_pair)
 
 
 def _moment_of(f: Factor, masked: bool) -> Factor:
